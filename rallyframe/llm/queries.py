@@ -5,10 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, sharding, url_filter
+from . import bpe, packing, quality, sharding, url_filter
 from .common import documents
 
 
+def vocabulary() -> str:
+    """The public vocabulary file, which the installed package of tokenizers carries."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_documents(documents(spark, sf_dir), vocabulary(), capacity=2048, end_id=0)
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.coded(documents(spark, sf_dir), vocabulary())
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
@@ -22,6 +37,6 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judged_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), model)
 
 
-QUERIES = {"op3_quality_rules": op3_quality_rules, "op7_sharding": op7_sharding, "op9_url_filters": op9_url_filters}
+QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op6_bpe": op6_bpe, "op3_quality_rules": op3_quality_rules, "op7_sharding": op7_sharding, "op9_url_filters": op9_url_filters}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -35,7 +35,7 @@ def draw_matrix(counts: list[int], n_shards: int, seed: int) -> np.ndarray:
 
 
 def _hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
-    """numpy's generator takes populations below 1e9; larger ones split into halves, drawn in turn."""
+    """numpy's generator takes populations below 1e9; beyond, the law is its normal limit, cut to the possible counts."""
     if good + bad < 1_000_000_000:
         return int(rng.hypergeometric(good, bad, draws))
     p = good / (good + bad)
@@ -63,7 +63,6 @@ def sharded(docs: DataFrame, key: str = "doc_id", text: str = "text", n_shards:
     slim = docs.select(F.col(key).alias("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"))
     buckets = max(min_buckets, -(-rows_in(docs) // rows_per_bucket))
     draw = lambda salt: F.xxhash64(F.lit(f"{seed}/{salt}"), "doc_id", "text_crc32", "size")
-    # Equal rows would share a bucket; their place in the input partition spreads them no less than their own hash does.
     slim = stored(slim.withColumn("bucket", F.pmod(draw("bucket"), F.lit(buckets)).cast("int")), "slim")
     counts = {r["bucket"]: r["n"] for r in slim.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()}
     matrix = draw_matrix([counts.get(b, 0) for b in range(buckets)], n_shards, seed)
