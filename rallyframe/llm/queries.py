@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, quality, sharding, url_filter
+from . import bpe, fingerprints, near_dedup, packing, quality, secret_scan, sharding, url_filter
 from .common import documents
 
 
@@ -20,10 +20,23 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(documents(spark, sf_dir), vocabulary(), capacity=2048, end_id=0)
 
 
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = near_dedup.NearDedup(k=2).labelled(documents(spark, sf_dir))
+    return rows.select("doc_id", "n_shingles", "component_id", "kept", "class_size")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.coded(documents(spark, sf_dir), vocabulary())
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(documents(spark, sf_dir))
+
+
+def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.scanned(documents(spark, sf_dir)))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
@@ -37,6 +50,6 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judged_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), model)
 
 
-QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op6_bpe": op6_bpe, "op3_quality_rules": op3_quality_rules, "op7_sharding": op7_sharding, "op9_url_filters": op9_url_filters}
+QUERIES = {"op5_minhash_near_dedup": op5_minhash_near_dedup, "op2_fingerprints": op2_fingerprints, "op10_secret_scans": op10_secret_scans, "op1_best_fit_packing": op1_best_fit_packing, "op6_bpe": op6_bpe, "op3_quality_rules": op3_quality_rules, "op7_sharding": op7_sharding, "op9_url_filters": op9_url_filters}
 
 ORACLE_SQL: dict[str, str] = {}
