@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, near_dedup, packing, quality, secret_scan, sharding, url_filter
+from . import bpe, fingerprints, line_dedup, near_dedup, packing, quality, secret_scan, sharding, url_filter, warc
 from .common import documents
+from .oracle import ORACLE_SQL  # noqa: F401
 
 
 def vocabulary() -> str:
@@ -20,9 +21,19 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(documents(spark, sf_dir), vocabulary(), capacity=2048, end_id=0)
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_dedup.deduplicated(documents(spark, sf_dir).select("doc_id", "text"))
+    return rows.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = warc.resolved(warc.captures(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+    return rows.select("record_id", "canonical", "outcome", "resolved_id", "resolved_digest", F.try_element_at("merged_headers", F.lit("date")).alias("merged_date"), F.try_element_at("merged_headers", F.lit("content-type")).alias("merged_type"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = near_dedup.NearDedup(k=2).labelled(documents(spark, sf_dir))
-    return rows.select("doc_id", "n_shingles", "component_id", "kept", "class_size")
+    return rows.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +61,4 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judged_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), model)
 
 
-QUERIES = {"op5_minhash_near_dedup": op5_minhash_near_dedup, "op2_fingerprints": op2_fingerprints, "op10_secret_scans": op10_secret_scans, "op1_best_fit_packing": op1_best_fit_packing, "op6_bpe": op6_bpe, "op3_quality_rules": op3_quality_rules, "op7_sharding": op7_sharding, "op9_url_filters": op9_url_filters}
-
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {"op4_line_dedup": op4_line_dedup, "op8_warc_revisits": op8_warc_revisits, "op5_minhash_near_dedup": op5_minhash_near_dedup, "op2_fingerprints": op2_fingerprints, "op10_secret_scans": op10_secret_scans, "op1_best_fit_packing": op1_best_fit_packing, "op6_bpe": op6_bpe, "op3_quality_rules": op3_quality_rules, "op7_sharding": op7_sharding, "op9_url_filters": op9_url_filters}
