@@ -103,8 +103,12 @@ def judged(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES,
 
 
 def kept_documents(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows that pass, with the columns of `docs` as they were, metric names included."""
+    """The rows that pass, with the columns of `docs` as they were, metric names included.
+
+    A filter moves below projections and takes their expressions with it, each as often as it is used. The
+    row's number, which isn't deterministic, keeps this one above them.
+    """
     columns = docs.columns
     boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__row"), F.col(text).alias("__body"))
-    good = judged(boxed, "__body").filter("kept")
+    good = judged(boxed, "__body").withColumn("__at", F.monotonically_increasing_id()).filter("kept and __at >= 0")
     return good.select(*[F.col("__row").getField(c).alias(c) for c in columns])
