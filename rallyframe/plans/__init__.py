@@ -1 +1,7 @@
+"""All registered queries of the library with their SQL twins."""
 
+from .quality import ORACLE as _QUALITY_SQL
+from .quality import QUERIES as _QUALITY
+
+QUERIES = {**_QUALITY}
+ORACLE = {**_QUALITY_SQL}
