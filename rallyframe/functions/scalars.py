@@ -8,6 +8,7 @@ from collections.abc import Iterable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The frame rates that a measured rate is matched to.
 FRAME_RATES = (24, 25, 30, 50, 60, 120)
@@ -63,7 +64,7 @@ def stable_id(path: Column) -> Column:
     return F.substring(F.sha1(F.lower(F.replace(path, F.lit("\\"), F.lit("/")))), 1, 16)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def ascii_folded(texts: pd.Series) -> pd.Series:
     """Compatibility decomposition without what isn't ASCII; Spark has no built-in for it."""
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode())

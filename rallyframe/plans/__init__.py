@@ -1,7 +1,6 @@
 """All registered queries of the library with their SQL twins."""
 
-from .quality import ORACLE as _QUALITY_SQL
-from .quality import QUERIES as _QUALITY
+from . import motion, quality
 
-QUERIES = {**_QUALITY}
-ORACLE = {**_QUALITY_SQL}
+QUERIES = {**quality.QUERIES, **motion.QUERIES}
+ORACLE = {**quality.ORACLE, **motion.ORACLE}
