@@ -198,8 +198,8 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", least
     rows = docs.withColumn("__hash", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
     probes = stored(_probes(rows.select(id_of.alias("doc"), "__hash", F.coalesce(F.col(text), F.lit("")).alias("text")), shards, least_chars), "line_probes")
     load = probes.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / 200_000).cast("int").alias("salts"))
-    salted = probes.join(load, "shard").withColumn("salt", F.pmod(F.xxhash64("doc", "__hash", "h2"), F.col("salts")).cast("int"))
-    copies = tables.join(load, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    salted = probes.join(load, "shard").withColumn("salt", F.pmod(F.xxhash64("doc", "__hash", "h2"), F.col("salts")).cast("int")).drop("salts")
+    copies = tables.join(load.withColumnRenamed("salts", "copies"), "shard").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
 
     def visit(mine: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
         if mine.empty or table.empty:

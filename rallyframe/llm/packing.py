@@ -65,7 +65,7 @@ def packed(pieces: DataFrame, capacity: int, length: str = "length", keys: tuple
 
     A size may hold a third of all rows: it is ranked in hashed buckets whose offsets come from their
     counts. Ties and repeated rows are interchangeable. Lengths out of range raise an error when the
-    plan runs. An empty table gives an empty result.
+    plan runs. Columns sequence_id and offset in `pieces` are replaced. An empty table gives an empty result.
     """
     spark = pieces.sparkSession
     size = F.when(F.col(length).between(1, capacity), F.col(length).cast("int")).otherwise(F.raise_error(F.lit(f"length outside 1..{capacity}")).cast("int"))
@@ -87,7 +87,8 @@ def packed(pieces: DataFrame, capacity: int, length: str = "length", keys: tuple
     plan = spark.range(1).select(F.inline(F.from_json(F.lit(table), schema)))
     run = F.get("runs", F.size(F.filter("runs", lambda r: r["end"] <= F.col("__rank"))))
     placed = ranked.join(F.broadcast(plan), "__size").withColumn("__run", run)
-    return placed.select(*pieces.columns, (F.col("__rank") + F.col("__run.shift")).alias("sequence_id"), F.col("__run.offset").alias("offset"))
+    own = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    return placed.select(*own, (F.col("__rank") + F.col("__run.shift")).alias("sequence_id"), F.col("__run.offset").alias("offset"))
 
 
 def token_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
