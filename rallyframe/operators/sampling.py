@@ -7,18 +7,22 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 ORDER = ("clip_id", "frame", "rank", "candidate_id")
 
 
-def numbered(rows: DataFrame, order: tuple[str, ...], name: str, per: str) -> DataFrame:
-    """Number rows 0..n-1 over a total order that begins with `per`, without one task for all rows.
+def numbered(rows: DataFrame, order: tuple[str, ...], name: str, parts: tuple[str, ...], within: tuple[str, ...] = ()) -> DataFrame:
+    """Number rows 0..n-1 in each `within`, over a total order that begins with `parts`, without a task for all rows.
 
-    Rows are numbered inside each `per`; the counts of the earlier ones, a row for each, are added.
+    Rows are numbered inside their part; the counts of the earlier parts, a row for each, are added.
     """
-    local = F.row_number().over(Window.partitionBy(per).orderBy(*[c for c in order if c != per])) - 1
-    counts = rows.groupBy(per).agg(F.count(F.lit(1)).alias("__n"))
-    before = counts.select(per, F.coalesce(F.sum("__n").over(Window.orderBy(per).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    return rows.withColumn("__local", local).join(before, per).withColumn(name, F.col("__before") + F.col("__local")).drop("__local", "__before")
+    keys = [*within, *parts]
+    local = F.row_number().over(Window.partitionBy(*keys).orderBy(*[c for c in order if c not in keys])) - 1
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    earlier = Window.partitionBy(*within).orderBy(*parts).rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(*keys, F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    return rows.withColumn("__local", local).join(before, keys).withColumn(name, F.col("__before") + F.col("__local")).drop("__local", "__before")
 
 
 def lowest_per_frame(rows: DataFrame, keys: DataFrame, per_frame: int) -> DataFrame:
@@ -45,7 +49,7 @@ def bucketed_round_robin(rows: DataFrame, bucket: str, order: tuple[str, ...], b
     """One row of each bucket a pass, buckets in the given order."""
     place = F.row_number().over(Window.partitionBy(bucket).orderBy(*order)) - 1
     at = F.array_position(F.array(*[F.lit(b) for b in buckets]), F.col(bucket))
-    return rows.withColumn("pass", place).withColumn("__b", at).filter(F.col("__b") > 0).orderBy("pass", "__b").limit(budget).drop("__b")
+    return rows.withColumn("pass", place).withColumn("__b", at).filter((F.col("__b") > 0) & (F.col("pass") < budget)).orderBy("pass", "__b").limit(budget).drop("__b")
 
 
 def even_indices(n: Column, k: int, to_nearest: bool = False) -> Column:
@@ -91,27 +95,39 @@ def fold_plan(rows: DataFrame, holdouts: list[str], same_frame: int = 4, missing
     All positives and hard negatives; of frames with a positive the first `same_frame` other candidates; and
     round-robin shares of the visible-missing and invisible ones, as multiples of the positives. The
     holdout is a dimension of the rows, so all folds are one plan. Rows of the holdout and ignored rows
-    never enter. sample_order numbers each fold.
+    never enter. sample_order numbers each fold. What is numbered is used twice, so it is computed once.
     """
     folds = F.array(*[F.lit(h) for h in holdouts])
     train = rows.filter(F.col("category") != "ignore").withColumn("holdout_clip", F.explode(folds)).filter(F.col("holdout_clip") != F.col("clip_id"))
-    fold = Window.partitionBy("holdout_clip")
-    train = train.withColumn("__p", F.count_if(F.col("category") == "positive").over(fold))
-    frame = Window.partitionBy("holdout_clip", "clip_id", "frame")
-    train = train.withColumn("__has", F.max(F.col("category") == "positive").over(frame))
-    place = F.row_number().over(Window.partitionBy("holdout_clip", "category", "clip_id", "frame").orderBy("rank", "candidate_id"))
-    train = train.withColumn("place", place)
-    turn = F.row_number().over(Window.partitionBy("holdout_clip", "category").orderBy(F.when(F.col("category").isin("visible_missing", "invisible"), F.col("place")).otherwise(F.lit(0)), "clip_id", "frame", "rank", "candidate_id"))
-    train = train.withColumn("turn", turn)
+    positives = train.filter("category = 'positive'").groupBy("holdout_clip").agg(F.count(F.lit(1)).alias("__p"))
+    # One row for each holdout: a bound that the caller's list sets.
+    train = train.join(F.broadcast(positives), "holdout_clip", "left").fillna(0, ["__p"])
     c = F.col("category")
-    reason = (F.when(c == "positive", "all_positive").when(c == "hard_negative", "all_hard_negative").when((c == "same_frame") & F.col("__has") & (F.col("place") <= same_frame), "top_rank_same_frame")
-              .when((c == "visible_missing") & (F.col("turn") <= missing_times * F.col("__p")), "round_robin_visible_missing").when((c == "invisible") & (F.col("turn") <= invisible_times * F.col("__p")), "round_robin_invisible"))
+    frame = Window.partitionBy("holdout_clip", "clip_id", "frame")
+    train = train.withColumn("__has", F.max(c == "positive").over(frame))
+    place = F.row_number().over(Window.partitionBy("holdout_clip", "clip_id", "frame", "category").orderBy("rank", "candidate_id"))
+    deep = F.when(c.isin("visible_missing", "invisible"), place).otherwise(F.lit(0))
+    train = train.withColumn("__place", place).withColumn("__depth", deep).withColumn("__span", F.expr("frame div 256"))
+    train = numbered(cut(train), ("__depth", "clip_id", "__span", "frame", "rank", "candidate_id"), "__turn", ("__depth", "clip_id", "__span"), ("holdout_clip", "category"))
+    reason = (F.when(c == "positive", "all_positive").when(c == "hard_negative", "all_hard_negative").when((c == "same_frame") & F.col("__has") & (F.col("__place") <= same_frame), "top_rank_same_frame")
+              .when((c == "visible_missing") & (F.col("__turn") < missing_times * F.col("__p")), "round_robin_visible_missing").when((c == "invisible") & (F.col("__turn") < invisible_times * F.col("__p")), "round_robin_invisible"))
     chosen = train.withColumn("selection_reason", reason).filter("selection_reason is not null")
     group = F.array_position(F.array(*[F.lit(r) for r in ("all_positive", "all_hard_negative", "top_rank_same_frame", "round_robin_visible_missing", "round_robin_invisible")]), F.col("selection_reason"))
-    order = F.row_number().over(Window.partitionBy("holdout_clip").orderBy(group, "turn")) - 1
-    return chosen.withColumn("sample_order", order).drop("__p", "__has", "place", "turn")
+    chosen = chosen.withColumn("__group", group).withColumn("__block", F.expr("__turn div 4096"))
+    out = numbered(cut(chosen), ("__group", "__block", "__turn"), "sample_order", ("__group", "__block"), ("holdout_clip",))
+    return out.drop("__p", "__has", "__place", "__depth", "__span", "__turn", "__group", "__block")
+
+
+def last_wins(rows: DataFrame, key: str, order: tuple[str, ...]) -> DataFrame:
+    """The last row of each key by the given columns; each task first keeps its own last rows."""
+    return rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c != key]), F.struct(*order)).alias("__last")).select(key, "__last.*")
 
 
-def last_wins(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
-    """The last row of each key."""
-    return rows.withColumn("__r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter("__r = 1").drop("__r")
+def tree_digest(rows: DataFrame, key: str, number: str, digest: str, fan: int = 1000, levels: int = 4) -> DataFrame:
+    """One ordered digest for each key. Digests of `fan` numbers in a row are joined and hashed, level by level, so
+    no group grows with the data: four levels hold numbers below fan ** 4."""
+    for _ in range(levels):
+        listed = F.array_sort(F.collect_list(F.struct(F.col(number).alias("n"), F.col(digest).alias("d"))))
+        text = F.array_join(F.transform(listed, lambda r: F.concat_ws(":", r["n"].cast("string"), r["d"])), ",")
+        rows = rows.groupBy(key, F.floor(F.col(number) / fan).alias("__up")).agg(F.sha2(text, 256).alias(digest)).withColumnRenamed("__up", number)
+    return rows.select(key, digest)

@@ -52,35 +52,37 @@ class _Frames:
 def _extensions(frames: _Frames, path: list[int], config: TrackConfig) -> list[tuple[float, float, int, float, float]]:
     """Allowed next points of a path, best first: (score change, score, row, prediction error, acceleration)."""
     here = path[-1]
-    x, y, _, area, bright, size = frames.data[here]
+    x, y, _, area, bright, size = frames.data[here].tolist()
     now = int(frames.frame[here])
-    velocity = None
+    until = min(now + config.max_gap_frames + 1, int(frames.frame[path[0]]) + config.max_span_frames - 1)
+    a, b = (int(i) for i in np.searchsorted(frames.frame, (now, until), "right"))
+    rows, dt = frames.data[a:b], (frames.frame[a:b] - now).astype(np.float64)
+    step = rows[:, :2] - (x, y)
+    jump = np.sqrt(step[:, 0] ** 2 + step[:, 1] ** 2)
+    near = np.flatnonzero((frames.segment[a:b] == frames.segment[here]) & (jump <= config.max_jump_per_frame * dt))
+    if not near.size:
+        return []
+    rows, dt, step, jump = rows[near], dt[near], step[near], jump[near]
+    error = acceleration = np.zeros(near.size)
+    ok = np.ones(near.size, bool)
     if len(path) > 1:
-        dt = max(1, now - int(frames.frame[path[-2]]))
-        velocity = (np.array([x, y]) - frames.data[path[-2], :2]) / dt
-    out = []
-    for dt in range(1, config.max_gap_frames + 2):
-        if now + dt - int(frames.frame[path[0]]) + 1 > config.max_span_frames or now + dt not in frames.span:
-            continue
-        a, b = frames.span[now + dt]
-        rows = frames.data[a:b]
-        step = rows[:, :2] - (x, y)
-        jump = np.hypot(step[:, 0], step[:, 1])
-        ok = (frames.segment[a:b] == frames.segment[here]) & (jump / dt <= config.max_jump_per_frame)
-        error = acceleration = np.zeros(b - a)
-        if velocity is not None:
-            miss, change = step - velocity * dt, step / dt - velocity
-            error, acceleration = np.hypot(miss[:, 0], miss[:, 1]), np.hypot(change[:, 0], change[:, 1])
-            old, new = math.hypot(*velocity), jump / dt
-            with np.errstate(all="ignore"):
-                turn = np.degrees(np.arccos(np.clip((step / dt @ velocity) / (old * new), -1, 1)))
-            turn = np.where((old < 1e-6) | (new < 1e-6), 0.0, turn)
-            ok &= (error <= config.prediction_error_limit + 4.0 * (dt - 1)) & (acceleration <= config.max_acceleration) & (turn <= config.max_turn_degrees)
-        with np.errstate(all="ignore"):
-            grown = lambda old, new: np.where((old > 0) & (new > 0), np.minimum(2.0, np.abs(np.log(new / old))), 0.0)
-            look = grown(area, rows[:, 3]) + np.where((bright > 0) & (rows[:, 4] > 0), np.abs(rows[:, 4] - bright) / 255.0, 0.0) + 0.5 * grown(size, rows[:, 5])
-        gain = 1.65 * rows[:, 2] - 0.035 * error - 0.022 * acceleration - 0.010 * jump - 0.24 * look - 0.10 * (dt - 1)
-        out += [(float(gain[i]), float(rows[i, 2]), a + int(i), float(error[i]), float(acceleration[i])) for i in np.flatnonzero(ok)]
+        velocity = (frames.data[here, :2] - frames.data[path[-2], :2]) / max(1, now - int(frames.frame[path[-2]]))
+        new = step / dt[:, None]
+        miss, change = step - velocity * dt[:, None], new - velocity
+        error, acceleration = np.hypot(miss[:, 0], miss[:, 1]), np.hypot(change[:, 0], change[:, 1])
+        old_speed, new_speed = math.hypot(*velocity), jump / dt
+        still = (new_speed < 1e-6) | (old_speed < 1e-6)
+        cosine = np.where(still, 1.0, new @ velocity / np.where(still, 1.0, old_speed * new_speed))
+        turn = np.degrees(np.arccos(np.clip(cosine, -1, 1)))
+        ok = (error <= config.prediction_error_limit + 4.0 * (dt - 1)) & (acceleration <= config.max_acceleration) & (turn <= config.max_turn_degrees)
+
+    def grown(old: float, new: np.ndarray) -> np.ndarray:
+        both = (new > 0) & (old > 0)
+        return np.where(both, np.minimum(2.0, np.abs(np.log(np.where(both, new, 1.0) / (old if old > 0 else 1.0)))), 0.0)
+
+    look = grown(area, rows[:, 3]) + np.where((bright > 0) & (rows[:, 4] > 0), np.abs(rows[:, 4] - bright) / 255.0, 0.0) + 0.5 * grown(size, rows[:, 5])
+    gain = 1.65 * rows[:, 2] - 0.035 * error - 0.022 * acceleration - 0.010 * jump - 0.24 * look - 0.10 * (dt - 1)
+    out = [(float(gain[i]), float(rows[i, 2]), a + int(near[i]), float(error[i]), float(acceleration[i])) for i in np.flatnonzero(ok)]
     return sorted(out, key=lambda e: (-e[0], -e[1]))[: config.branch_factor]
 
 

@@ -143,7 +143,7 @@ def frame_histories(spark, sf_dir):
 def manifest_numbers(spark, sf_dir):
     """Global numbers without a global sort: numbers inside a segment plus the counts before it."""
     rows = views.candidates(spark, sf_dir).withColumn("part", F.concat("clip_id", F.format_string("_%012d", F.expr("frame div 150"))))
-    out = sampling.numbered(rows, ("part", "frame", "rank"), "manifest_index", "part")
+    out = sampling.numbered(rows, ("part", "frame", "rank"), "manifest_index", ("part",))
     return out.select("clip_id", "candidate_id", "frame", "manifest_index", F.expr("manifest_index div 1024").alias("shard"))
 
 
@@ -226,7 +226,7 @@ def fold_report(spark, sf_dir):
 @query("SELECT user_id, event_id, event_type, round(value, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
 def latest_states(spark, sf_dir):
     """The latest event of each key: run states are kept as events, the last one counts."""
-    rows = sampling.last_wins(views.table(spark, sf_dir, "events"), "user_id", [F.desc("ts"), F.desc("event_id")])
+    rows = sampling.last_wins(views.table(spark, sf_dir, "events"), "user_id", ("ts", "event_id"))
     return rows.select("user_id", "event_id", "event_type", F.round("value", 6).alias("value"))
 
 
@@ -255,13 +255,19 @@ def duplicate_keys(spark, sf_dir):
     return views.table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
-@query("SELECT source, count(*) AS files, sha256(string_agg(doc_id || ':' || sha256(text), ',' ORDER BY doc_id)) AS digest FROM documents GROUP BY source")
+def _digest_sql() -> str:
+    tree = "d0 AS (SELECT source, doc_id AS n, sha256(text) AS d FROM documents)"
+    for level in range(4):
+        tree += f", d{level + 1} AS (SELECT source, n // 1000 AS n, sha256(string_agg(n || ':' || d, ',' ORDER BY n, d)) AS d FROM d{level} GROUP BY source, n // 1000)"
+    return sql("SELECT source, files, d4.d AS digest FROM d4 JOIN (SELECT source, count(*) AS files FROM documents GROUP BY source) USING (source)", tree)
+
+
+@query(_digest_sql())
 def dataset_digests(spark, sf_dir):
     """A digest of each file, and of each source's ordered list of digests."""
-    rows = views.table(spark, sf_dir, "documents").select("source", "doc_id", F.sha2("text", 256).alias("d"))
-    listed = F.array_sort(F.collect_list(F.struct("doc_id", "d")))
-    text = F.array_join(F.transform(listed, lambda r: F.concat_ws(":", r["doc_id"].cast("string"), r["d"])), ",")
-    return rows.groupBy("source").agg(F.count(F.lit(1)).alias("files"), F.sha2(text, 256).alias("digest"))
+    rows = views.table(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("n"), F.sha2("text", 256).alias("digest"))
+    files = rows.groupBy("source").agg(F.count(F.lit(1)).alias("files"))
+    return sampling.tree_digest(rows, "source", "n", "digest").join(files, "source").select("source", "files", "digest")
 
 
 @query("SELECT page_id, substr(sha1(lower(url)), 1, 16) AS id, CASE WHEN s = '' THEN 'run' ELSE s END AS slug FROM (SELECT page_id, url, regexp_replace(substr(regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 48), '-+$', '', 'g') AS s FROM pages)")
@@ -337,7 +343,7 @@ def motion_candidates(spark, sf_dir):
     return pixels.detected(views.frames(spark, sf_dir), 8, 8, scores.ComponentLimits(blur=1))
 
 
-RELAXED = tracklets.TrackConfig(max_jump_per_frame=220.0, prediction_error_limit=320.0, max_acceleration=320.0, max_turn_degrees=170.0, min_points=3, max_span_frames=12)
+RELAXED = tracklets.TrackConfig(max_jump_per_frame=90.0, prediction_error_limit=120.0, max_acceleration=120.0, max_turn_degrees=170.0, min_points=3, max_span_frames=12, seeds_per_frame=2)
 
 
 @query()

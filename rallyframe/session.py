@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str | None = None, **conf: str) -> SparkSession:
@@ -17,3 +19,14 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     } | conf
     return builder.config(map=settings).getOrCreate()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Compute a table once, into the folder that the cluster names in spark.checkpoint.dir, and cut its lineage.
+
+    Only where that setting is absent, as in local tests, a temporary folder takes its place.
+    """
+    spark = df.sparkSession
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='rallyframe-')}")
+    return df.checkpoint()

@@ -107,7 +107,7 @@ def test_sampling_examples(spark):
         down, near = one(spark, sampling.even_indices(F.lit(n), k), sampling.even_indices(F.lit(n), k, True))
         assert down == ([*range(n)] if k >= n else [n // 2] if k == 1 else [i * (n - 1) // (k - 1) for i in range(k)])
         assert near == ([*range(n)] if k >= n else [n // 2] if k == 1 else [round(i * (n - 1) / (k - 1)) for i in range(k)])
-    numbers = sampling.numbered(rows.withColumn("part", F.col("frame")), ("part", "rank"), "n", "part").orderBy("n").collect()
+    numbers = sampling.numbered(rows.withColumn("part", F.col("frame")), ("part", "rank"), "n", ("part",)).orderBy("n").collect()
     assert [(r.frame, r.rank, r.n) for r in numbers] == [(0, 1, 0), (0, 2, 1), (0, 3, 2), (1, 1, 3), (1, 2, 4), (1, 3, 5)]
     flags = spark.createDataFrame([(i, i < 3) for i in range(43)], "i long, rare boolean")
     assert sampling.oversampled(flags, "rare", 0.25, ("i",)).filter("rare").count() == 10
