@@ -45,15 +45,15 @@ def shingle_sets(texts: list[str | None], k: int, hashes: WordHashes) -> tuple[n
     A set has the distinct k-word windows of the A-Z lower-cased text; with fewer words the whole sequence
     is the one shingle; without words or text it is empty.
     """
-    if len(hashes) > 1_000_000:
-        hashes.clear()
-    flat: list[int] = []
     counts = np.zeros(len(texts), np.int64)
+    parts = []
     for i, text in enumerate(texts):
-        words = (text or "").encode().lower().split()  # bytes: A-Z and the contract's white space only
-        counts[i] = len(words)
-        flat += [hashes[w] for w in words]
-    words = np.array(flat, np.uint64)
+        if len(hashes) > 150_000:
+            hashes.clear()
+        found = (text or "").encode().lower().split()  # bytes: A-Z and the contract's white space only
+        counts[i] = len(found)
+        parts.append(np.fromiter(map(hashes.__getitem__, found), np.uint64, len(found)))
+    words = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
     n_windows = np.where(counts >= k, counts - k + 1, np.minimum(counts, 1))
     owner = np.repeat(np.arange(len(texts)), n_windows)
     first = np.repeat(np.cumsum(counts) - counts - (np.cumsum(n_windows) - n_windows), n_windows) + np.arange(n_windows.sum())
@@ -182,7 +182,7 @@ class NearDedup:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashes = WordHashes()
             for whole in batches:
-                for batch in slices(whole):
+                for batch in slices(whole, most_bytes=1 << 20):
                     values, sizes = shingle_sets(batch.column("text").to_pylist(), me.k, hashes)
                     ends = np.cumsum(sizes).tolist()
                     raw = values.tobytes()
