@@ -315,14 +315,40 @@ def _by_group(rows: DataFrame) -> DataFrame:
     return rows.repartition("group").sortWithinPartitions("group")
 
 
+def contracted(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) of the same components, fewer and flatter: each task joins the edges that it reads into
+    stars around their least node. What a task holds is bounded by its split of the table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent, kind = {}, None
+
+        def top(x):
+            while (up := parent.setdefault(x, x)) != x:
+                parent[x] = x = parent[up]
+            return x
+
+        for batch in batches:
+            kind = batch.column("a").type
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                a, b = sorted((top(a), top(b)))
+                parent[b] = a
+        stars = [(x, up) for x in parent if (up := top(x)) != x]
+        if stars:
+            yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in stars], kind) for i in (0, 1)], ["a", "b"])
+
+    node_type = edges.schema["a"].dataType.simpleString()
+    return edges.mapInArrow(run, f"a {node_type}, b {node_type}")
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, label) of every node with an edge; the label is the least node of its component.
 
-    Alternating large-star and small-star steps; each keeps components and ends with stars. Every round is
-    written to the shared folder, so a lost executor costs one round at most.
+    Alternating large-star and small-star steps on what `contracted` leaves; each keeps components and ends
+    with stars. Every round is written to the shared folder, so a lost executor costs one round at most.
     """
     now, seen = edges.select("a", "b"), None
     for round_ in range(most_rounds):
+        now = contracted(now)
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
         large = both.join(least, "a").filter("b > a and b != m").select(F.col("b").alias("u"), F.col("m").alias("v")).distinct()
