@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import rows_in, stored
+from .common import SPACE, rows_in, stored
 
 SEED = 0x5EED
 
@@ -252,10 +252,10 @@ class NearDedup:
         return rows.withColumn("group", F.explode(F.when(F.col("members") <= self.block, small).otherwise(pairs)))
 
     def labelled(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-        """(doc_id, text_hash, n_shingles, node, class_size, component_id, kept) for every row.
+        """(doc_id, text_hash, n_shingles, node, class_size, label, component_id, kept) for every row.
 
-        Rows of equal sets form a class, compared once. component_id is the smallest doc_id reachable
-        over links. Rows with an empty set (null or blank text) are linked with nothing. Null keys take
+        Rows of equal sets form a class, compared once. label names the component: its least node, null
+        for the empty set. component_id is the smallest doc_id reachable over links. Rows with an empty set (null or blank text) are linked with nothing. Null keys take
         part and lose every comparison of keys. Repeated keys are all kept if their key is the component's.
         """
         profiles = stored(self.profiles(docs, key, text), "profiles")
@@ -271,20 +271,25 @@ class NearDedup:
         label = components(links)
         joined = classes.select("node", "least", "class_size").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
         least = joined.groupBy("label").agg(F.min("least").alias("component_id"))
-        named = joined.join(least, "label").select("node", "class_size", "component_id")
+        named = joined.join(least, "label").select("node", "class_size", "label", "component_id")
         out = profiles.select("doc_id", "text_hash", "n_shingles", "node").join(named, "node", "left")
         out = out.withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
         return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
     def kept_documents(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-        """One row of each component, with the columns of `docs`; rows with an empty set all stay, repeats but one."""
-        rows = self.labelled(docs, key, text)
-        one = F.when(F.col("node").isNull(), F.struct(F.col("doc_id"), F.col("text_hash"))).alias("alone")
-        best = rows.groupBy("component_id", one).agg(F.min(F.struct("doc_id", "text_hash")).alias("k"), F.min(F.when(F.col("kept"), F.struct("doc_id", "text_hash"))).alias("own"))
-        best = stored(best.select(F.coalesce("own", "k").alias("k")).select(F.col("k.doc_id").alias("__doc"), F.col("k.text_hash").alias("__hash")).distinct(), "kept")
-        rows = docs.withColumn("__own_hash", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+        """One row of each component, with the columns of `docs`; rows with an empty set all stay, but of
+        repeats (same key and text) one. Rows without a key aren't repeats of each other.
+        """
+        body = F.coalesce(F.col(text), F.lit(""))
+        nameless = F.col(key).isNull() & ~body.rlike(f"[^{SPACE[1:]}")
+        named = docs.filter(~nameless)
+        rows = self.labelled(named, key, text).filter("kept")
+        own = F.struct("doc_id", "text_hash")
+        best = rows.groupBy("label", F.when(F.col("node").isNull(), own).alias("alone")).agg(F.min(own).alias("k"))
+        best = stored(best.select(F.col("k.doc_id").alias("__doc"), F.col("k.text_hash").alias("__hash")), "kept")
+        rows = named.withColumn("__own_hash", F.xxhash64(body))
         rows = rows.join(best, F.col(key).eqNullSafe(F.col("__doc")) & (F.col("__own_hash") == F.col("__hash")), "left_semi")
-        return rows.dropDuplicates([key, "__own_hash"]).drop("__own_hash")
+        return rows.dropDuplicates([key, "__own_hash"]).drop("__own_hash").union(docs.filter(nameless))
 
 
 def _verified(sig: np.ndarray, sets: list[np.ndarray], likely: float, percent: int) -> list[tuple[int, int]]:

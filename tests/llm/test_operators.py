@@ -291,6 +291,16 @@ def test_near_dedup(spark, docs, empty):
     assert ids[6] == 1 and 7 not in ids and ids[0] == 1 and ids[3] == 1
 
 
+def test_near_dedup_keeps_unrelated_rows_of_one_key(spark):
+    """Components are told apart by their texts, not by a key that is null or repeated."""
+    a, b, c, d, e = (" ".join(f"{name}{i}" for i in range(40)) for name in "abcde")
+    rows = [(None, a), (None, b), (None, b), (None, b + " more"), (None, ""), (None, None), (None, " "), (1, c), (1, d), (1, d), (2, d + " more"), (3, e), (None, e), (4, "\n"), (4, "\n"), (4, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = [(r.doc_id, r.text) for r in near_dedup.NearDedup().kept_documents(frame).collect()]
+    assert {t for i, t in out if i is None and t in (b, b + " more")} and len([t for _, t in out if t in (b, b + " more")]) == 1
+    same([r for r in out if r[1] not in (b, b + " more")], [(None, a), (None, ""), (None, None), (None, " "), (1, c), (1, d), (3, e), (4, "\n"), (4, "")])
+
+
 def test_near_dedup_family_in_blocks(spark):
     """A large family whose members are around the threshold, cut into small blocks: the same components."""
     base = [RNG.choice(WORDS) for _ in range(120)]
