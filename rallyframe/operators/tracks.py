@@ -9,6 +9,7 @@ from ..functions.scores import track_score, turn_degrees
 
 # The features that the audit compares.
 COMPARED = ("point_count", "span_frames", "coverage_ratio", "net_displacement", "total_distance", "straightness", "median_speed", "max_speed", "speed_mad", "median_acceleration", "max_acceleration", "turns_over_45", "turns_over_90")
+APPEARANCE = ("median_prediction_error", "median_area", "area_relative_mad", "median_elongation", "elongation_relative_mad", "median_brightness", "median_motion_strength", "median_fill_ratio", "median_circularity", "median_candidate_score")
 
 
 def with_kinematics(points: DataFrame, key: str = "track_id", order: tuple[str, ...] = ("frame",)) -> DataFrame:
@@ -49,6 +50,34 @@ def features(points: DataFrame, key: str = "track_id") -> DataFrame:
     )
 
 
+def appearance(points: DataFrame, candidates: DataFrame, last: tuple[str, ...], key: str = "track_id") -> DataFrame:
+    """Ten medians a track: of its points' prediction errors and of the candidates that the points name.
+
+    Of a repeated candidate_id the row that is last by `last` counts. Points without a candidate add to the
+    errors only; values that aren't finite numbers are 0; a box without width or height has no elongation.
+    Scores have six digits, so their median keeps seven.
+    """
+    named = {"area": "area", "brightness": "bright", "motion_strength": "motion", "fill_ratio": "fill", "circularity": "circ", "candidate_score": "score", "width": "width", "height": "height"}
+
+    def number(c):
+        v = F.coalesce(c.try_cast("double"), F.lit(0.0))
+        return F.when(F.isnan(v) | (F.abs(v) == float("inf")), 0.0).otherwise(v)
+
+    latest = candidates.groupBy("candidate_id").agg(F.max_by(F.struct(*[number(F.col(c)).alias(n) for n, c in named.items()]), F.struct(*last)).alias("c"))
+    rows = points.select(key, "candidate_id", number(F.col("prediction_error")).alias("prediction_error")).join(latest, "candidate_id", "left").select(key, "prediction_error", "c.*")
+    rows = rows.withColumn("elongation", F.when((F.col("width") > 0) & (F.col("height") > 0), F.greatest(F.col("width") / F.col("height"), F.col("height") / F.col("width")))).drop("width", "height")
+    centre = rows.groupBy(key).agg(*[F.coalesce(F.percentile(c, 0.5), F.lit(0.0)).alias(f"median_{c}") for c in rows.columns if c != key])
+    off = lambda c: F.percentile(F.abs(F.col(c) - F.col(f"median_{c}")), 0.5).alias(f"{c}_mad")
+    spread = rows.join(centre, key).groupBy(key).agg(off("area"), off("elongation"))
+    relative = lambda c: F.when(F.abs(F.col(f"median_{c}")) > 1e-9, F.col(f"{c}_mad") / F.abs(F.col(f"median_{c}"))).otherwise(0.0).alias(f"{c}_relative_mad")
+    return centre.join(spread, key).select("*", relative("area"), relative("elongation")).select(key, *[F.round(c, 7 if c == "median_candidate_score" else 6).alias(c) for c in APPEARANCE])
+
+
+def audit(points: DataFrame, candidates: DataFrame, last: tuple[str, ...], key: str = "track_id") -> DataFrame:
+    """All features of a track: those of its motion and those of its candidates."""
+    return features(points, key).join(appearance(points, candidates, last, key), key)
+
+
 def separation(per_track: DataFrame, label: str, names: tuple[str, ...] = COMPARED) -> DataFrame:
     """Difference of the two labels' medians over the joint interquartile range, for every feature."""
     pairs = F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).cast("double").alias("value")) for n in names])

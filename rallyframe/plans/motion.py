@@ -56,6 +56,40 @@ def feature_separation(spark, sf_dir):
     return tracks.separation(tracks.features(views.points(spark, sf_dir)).withColumn("label", label), "label")
 
 
+AUDIT = """lc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY clip_id DESC) AS place FROM candidates) WHERE place = 1),
+pc AS (SELECT track_id, CASE WHEN p.frame % 11 = 0 THEN 0 ELSE (p.frame % 26)::DOUBLE END AS err, c.area::DOUBLE AS area, bright::DOUBLE AS bright, motion::DOUBLE AS motion, fill::DOUBLE AS fill, circ::DOUBLE AS circ, score::DOUBLE AS score, CASE WHEN c.area % 13 > 0 THEN greatest((c.area % 13)::DOUBLE / (1 + c.area % 5), (1 + c.area % 5)::DOUBLE / (c.area % 13)) END AS elong FROM points p LEFT JOIN lc c ON c.candidate_id = format('f{:06d}_c{:02d}', p.frame // 4, 1 + p.frame % 3)),
+ce AS (SELECT track_id, quantile_cont(err, 0.5) AS err, coalesce(quantile_cont(area, 0.5), 0) AS area, coalesce(quantile_cont(elong, 0.5), 0) AS elong, coalesce(quantile_cont(bright, 0.5), 0) AS bright, coalesce(quantile_cont(motion, 0.5), 0) AS motion, coalesce(quantile_cont(fill, 0.5), 0) AS fill, coalesce(quantile_cont(circ, 0.5), 0) AS circ, coalesce(quantile_cont(score, 0.5), 0) AS score FROM pc GROUP BY track_id),
+de AS (SELECT track_id, quantile_cont(abs(pc.area - ce.area), 0.5) AS area_mad, quantile_cont(abs(pc.elong - ce.elong), 0.5) AS elong_mad FROM pc JOIN ce USING (track_id) GROUP BY track_id),
+audit AS (SELECT feat.*, round(err, 6) AS median_prediction_error, round(area, 6) AS median_area, round(CASE WHEN area > 1e-9 THEN area_mad / area ELSE 0 END, 6) AS area_relative_mad, round(elong, 6) AS median_elongation, round(CASE WHEN elong > 1e-9 THEN elong_mad / elong ELSE 0 END, 6) AS elongation_relative_mad, round(bright, 6) AS median_brightness, round(motion, 6) AS median_motion_strength, round(fill, 6) AS median_fill_ratio, round(circ, 6) AS median_circularity, round(score, 7) AS median_candidate_score FROM feat JOIN ce USING (track_id) JOIN de USING (track_id))"""
+
+
+def _audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every point names a candidate, which may not be there; names repeat over clips and the last clip's counts."""
+    frame = F.col("frame")
+    rows = views.points(spark, sf_dir).withColumn("candidate_id", F.format_string("f%06d_c%02d", F.expr("frame div 4"), 1 + frame % 3)).withColumn("prediction_error", F.when(frame % 11 != 0, (frame % 26).cast("double")))
+    found = views.candidates(spark, sf_dir).withColumn("width", F.col("area") % 13).withColumn("height", 1 + F.col("area") % 5)
+    return tracks.audit(rows, found, ("clip_id",))
+
+
+@query(sql("SELECT * FROM audit", CAND, POINTS, KIN, FEAT, AUDIT))
+def track_audit(spark, sf_dir):
+    """All 23 features of the audit, with the first and last frame."""
+    return _audit(spark, sf_dir)
+
+
+def _audit_separation_sql() -> str:
+    long = " UNION ALL ".join(f"SELECT track_id, '{n}' AS feature, {n}::DOUBLE AS value FROM audit" for n in tracks.COMPARED + tracks.APPEARANCE)
+    of = lambda k: f"coalesce(quantile_cont(value, 0.5) FILTER (WHERE track_id % 3 = {k}), 0)"
+    return sql(f"SELECT feature, round(b, 6) AS ball_median, round(n, 6) AS not_ball_median, round((b - n) / greatest(iqr, 1e-9), 6) AS robust_separation FROM (SELECT feature, {of(0)} AS b, {of(1)} AS n, quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS iqr FROM lg WHERE track_id % 3 < 2 GROUP BY feature)", CAND, POINTS, KIN, FEAT, AUDIT, f"lg AS ({long})")
+
+
+@query(_audit_separation_sql())
+def audit_separation(spark, sf_dir):
+    """Ball against other tracks in all 23 features."""
+    label = F.when(F.col("track_id") % 3 == 0, "ball").when(F.col("track_id") % 3 == 1, "not_ball").otherwise("uncertain")
+    return tracks.separation(_audit(spark, sf_dir).withColumn("label", label), "label", tracks.COMPARED + tracks.APPEARANCE)
+
+
 SUMMARY = """s0 AS (SELECT *, sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2) AS step, greatest(0, frame - lag(frame) OVER w - 1) AS gap, (frame % 100) / 100.0::DOUBLE AS score, CASE WHEN lag(frame) OVER w IS NOT NULL THEN (frame % 26)::DOUBLE END AS error, CASE WHEN lag(frame) OVER w IS NOT NULL THEN (frame % 24)::DOUBLE END AS acceleration FROM points WINDOW w AS (PARTITION BY track_id ORDER BY frame)),
 s1 AS (SELECT track_id, count(*) AS point_count, min(frame) AS first_frame, max(frame) AS last_frame, coalesce(sum(gap), 0)::BIGINT AS gap_frames, coalesce(sum(step), 0) AS distance, coalesce(avg(step), 0) AS speed, avg(score) AS ms, coalesce(avg(error), 0) AS me, coalesce(avg(acceleration), 0) AS ma FROM s0 GROUP BY track_id),
 su AS (SELECT track_id, point_count, first_frame, last_frame, last_frame - first_frame + 1 AS span_frames, round(point_count::DOUBLE / greatest(1, last_frame - first_frame + 1), 6) AS coverage_ratio, gap_frames, round(distance, 3) AS total_distance, round(speed, 3) AS mean_speed, round(ms, 6) AS mean_candidate_score, round(me, 3) AS mean_prediction_error, round(ma, 3) AS mean_acceleration,

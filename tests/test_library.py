@@ -348,3 +348,15 @@ def test_files(spark, tmp_path):
     assert sorted(r["count"] for r in spark.read.parquet(str(tmp_path / "shards")).groupBy("shard").count().collect()) == [2, 4, 4]
     files.write_csv(frame, str(tmp_path / "out"), ["n"], one_file=True)
     assert files.delimited(spark, str(tmp_path / "out"), ["n"]).count() == 10
+
+
+def test_audit_of_candidates(spark):
+    """The medians of the candidates that a track names; the last of repeated names counts, missing ones add nothing."""
+    points = spark.createDataFrame([("a", 1, 0.0, 0.0, "p", None), ("a", 2, 1.0, 0.0, "q", 3.0), ("a", 3, 2.0, 0.0, "r", 5.0), ("a", 4, 3.0, 0.0, "lost", float("nan")), ("b", 1, 0.0, 0.0, None, 2.0)], "track_id string, frame long, x double, y double, candidate_id string, prediction_error double")
+    boxes = [(0, "p", 999.0, 9.0, 9.0), (1, "p", 10.0, 2.0, 4.0), (2, "q", 20.0, 3.0, 3.0), (3, "r", 40.0, 0.0, 5.0)]
+    found = spark.createDataFrame([(*b, 50.0, float("inf"), 0.5, None, 0.25) for b in boxes], "row long, candidate_id string, area double, width double, height double, bright double, motion double, fill double, circ double, score double")
+    out = {r.track_id: r for r in tracks.audit(points, found, ("row",)).collect()}
+    assert [out["a"][n] for n in tracks.APPEARANCE] == [1.5, 20.0, 0.5, 1.5, pytest.approx(1 / 3, abs=1e-6), 50.0, 0.0, 0.5, 0.0, 0.25]
+    assert [out["b"][n] for n in tracks.APPEARANCE] == [2.0, *[0.0] * 9] and out["a"].point_count == 4
+    label = F.when(F.col("track_id") == "a", "ball").otherwise("not_ball")
+    assert tracks.separation(tracks.audit(points, found, ("row",)).withColumn("label", label), "label", tracks.COMPARED + tracks.APPEARANCE).count() == 23
