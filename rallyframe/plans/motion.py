@@ -377,7 +377,7 @@ def motion_candidates(spark, sf_dir):
     return pixels.detected(views.frames(spark, sf_dir), 8, 8, scores.ComponentLimits(blur=1))
 
 
-RELAXED = tracklets.TrackConfig(max_jump_per_frame=90.0, prediction_error_limit=120.0, max_acceleration=120.0, max_turn_degrees=170.0, min_points=3, max_span_frames=12, seeds_per_frame=2)
+RELAXED = tracklets.TrackConfig(max_jump_per_frame=90.0, prediction_error_limit=120.0, max_acceleration=120.0, max_turn_degrees=170.0, min_points=3)
 
 
 @query()

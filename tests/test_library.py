@@ -360,3 +360,14 @@ def test_audit_of_candidates(spark):
     assert [out["b"][n] for n in tracks.APPEARANCE] == [2.0, *[0.0] * 9] and out["a"].point_count == 4
     label = F.when(F.col("track_id") == "a", "ball").otherwise("not_ball")
     assert tracks.separation(tracks.audit(points, found, ("row",)).withColumn("label", label), "label", tracks.COMPARED + tracks.APPEARANCE).count() == 23
+
+
+def test_registered_tracklets_grow_every_seed(spark):
+    """The registered query keeps the operator's seeds and span, and grows what the plain search does."""
+    from rallyframe.plans.motion import RELAXED
+
+    own = random.Random(9)  # without ties, which the two searches may break apart by rounding
+    rows = [(*r[:4], r[4] + own.uniform(0, 0.5), r[5] + own.uniform(0, 0.5), r[6] + own.uniform(0, 0.1), *r[7:]) for r in moving(60, 6)]
+    got = tracklets.hypotheses(spark.createDataFrame(rows, CANDIDATE), RELAXED).collect()
+    assert sorted((r.seed_frame, r.seed_rank, r.path, tuple(r.candidate_ids)) for r in got) == sorted((f, p, n, tuple(ids)) for f, p, n, ids in plain_paths(rows, RELAXED))
+    assert {r.seed_rank for r in got} == set(range(6)) and max(r.frames[-1] - r.frames[0] + 1 for r in got) == 45
