@@ -170,3 +170,35 @@ def cropped(image: np.ndarray, x: float, y: float, size: int) -> np.ndarray:
 def heat_peaks(frames: DataFrame, column: str = "gray", key: str = "clip_id") -> DataFrame:
     """First position of the maximum along an axis, and its value."""
     return frames.select(key, "frame", (F.array_position(column, F.array_max(column)) - 1).alias("peak_at"), F.array_max(column).cast("bigint").alias("peak"))
+
+
+def axis_peaks(rows: DataFrame, source_width: Column, source_height: Column, x_axis: str = "x_axis", y_axis: str = "y_axis") -> DataFrame:
+    """Add pred_x and pred_y, the first maximum of each axis scaled to the source, and the smaller maximum as confidence."""
+    at = lambda c, n: (F.array_position(c, F.array_max(c)) - 1) * n / F.size(c)
+    return rows.withColumns({"pred_x": at(x_axis, source_width), "pred_y": at(y_axis, source_height), "confidence": F.least(F.array_max(x_axis), F.array_max(y_axis))})
+
+
+def target_position(visible: Column, x: Column, y: Column, source_width: Column, source_height: Column, width: int = 320, height: int = 128) -> tuple[Column, Column]:
+    """The place in the network's input; (-1, -1) if the ball isn't visible. A visible one needs both coordinates."""
+    def scaled(v, n, source):
+        known = F.when(x.isNull() | y.isNull(), F.raise_error(F.lit("a visible position is missing")).cast("double")).otherwise(v * n / source)
+        return F.when(visible, known).otherwise(F.lit(-1.0))
+
+    return scaled(x, width, source_width), scaled(y, height, source_height)
+
+
+def crop_margins(rows: DataFrame, by: str = "size") -> DataFrame:
+    """For each crop size: boxes that reach out of the crop, and the least, 5 % and median margin of a box inside its crop."""
+    box = crop_box(F.col("x"), F.col("y"), F.col(by), 1, 1)
+    left, top = F.col("bbox_x") - box["crop_x"], F.col("bbox_y") - box["crop_y"]
+    margin = F.least(left, F.col(by) - left - F.col("bbox_w"), top, F.col(by) - top - F.col("bbox_h"))
+    per = rows.select(by, margin.alias("margin")).groupBy(by)
+    return per.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("margin") < 0).alias("bbox_outside"), F.min("margin").alias("min_margin"), F.percentile("margin", 0.05).alias("p05_margin"), F.percentile("margin", 0.5).alias("median_margin"))
+
+
+def compression_summary(crops: DataFrame, total_rows: int, by: str = "size", candidate: str = "candidate_id", data: str = "data") -> DataFrame:
+    """Bytes of a candidate's encoded crops for each size: mean, median, 95 %, and the mean carried on to all rows."""
+    per = crops.groupBy(by, candidate).agg(F.sum(F.octet_length(data)).alias("bytes"))
+    out = per.groupBy(by).agg(F.count(F.lit(1)).alias("sample_rows"), F.avg("bytes").alias("mean_bytes"), F.percentile("bytes", 0.5).alias("median_bytes"), F.percentile("bytes", 0.95).alias("p95_bytes"))
+    total = F.col("mean_bytes") * F.lit(float(total_rows))
+    return out.withColumns({"estimated_total_bytes": total, "estimated_total_mib": total / 2**20})

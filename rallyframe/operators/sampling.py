@@ -73,6 +73,23 @@ def even_sample(rows: DataFrame, k: int, per: str, order: tuple[str, ...], to_ne
     return numbered_.filter(F.array_contains(even_indices(F.col("__n"), k, to_nearest), F.col("index"))).drop("__n")
 
 
+def stratified_sample(rows: DataFrame, flag: str, per: str, order: tuple[str, ...], total: int = 32, most: int = 8) -> DataFrame:
+    """`total` rows of each `per`: up to `most` flagged ones, the others unflagged, each part evenly spread.
+
+    A group that can't give `total` rows is an error.
+    """
+    mine = F.coalesce(F.col(flag), F.lit(False))
+    group = Window.partitionBy(per)
+    rows = rows.withColumn("__flag", mine).withColumn("__i", F.row_number().over(Window.partitionBy(per, mine).orderBy(*order)) - 1)
+    rows = rows.withColumn("__a", F.count_if("__flag").over(group)).withColumn("__b", F.count_if(~F.col("__flag")).over(group))
+    few = F.least(F.col("__a"), F.lit(most))
+    n, k = F.when(F.col("__flag"), F.col("__a")).otherwise(F.col("__b")), F.when(F.col("__flag"), few).otherwise(total - few)
+    spread = F.transform(F.sequence(F.lit(0).cast("bigint"), k - 1), lambda i: F.bround(i * (n - 1) / F.greatest(k - 1, F.lit(1))).cast("bigint"))
+    some = F.when(k <= 0, False).when(n <= k, True).when(k == 1, F.col("__i") == F.floor(n / 2)).otherwise(F.array_contains(spread, F.col("__i").cast("bigint")))
+    short = F.col("__b") < total - few
+    return rows.filter(F.when(short, F.raise_error(F.concat(F.lit("too few rows to sample: "), F.col(per).cast("string"))).cast("boolean")).otherwise(some)).drop("__flag", "__i", "__a", "__b")
+
+
 def oversampled(rows: DataFrame, flag: str, share: float, order: tuple[str, ...]) -> DataFrame:
     """Repeat flagged rows until they are `share` of the others, rounded up.
 

@@ -371,3 +371,30 @@ def test_registered_tracklets_grow_every_seed(spark):
     got = tracklets.hypotheses(spark.createDataFrame(rows, CANDIDATE), RELAXED).collect()
     assert sorted((r.seed_frame, r.seed_rank, r.path, tuple(r.candidate_ids)) for r in got) == sorted((f, p, n, tuple(ids)) for f, p, n, ids in plain_paths(rows, RELAXED))
     assert {r.seed_rank for r in got} == set(range(6)) and max(r.frames[-1] - r.frames[0] + 1 for r in got) == 45
+
+
+def test_stratified_sample(spark):
+    groups = {"a": (100, 20), "b": (29, 3), "c": (40, 0), "d": (31, 1)}
+    rows = [(g, i, i >= seen) for g, (seen, hidden) in groups.items() for i in range(seen + hidden)]
+    frame = spark.createDataFrame(rows, "rally string, frame long, invisible boolean").repartition(5)
+    out = sampling.stratified_sample(frame, "invisible", "rally", ("frame",)).collect()
+    for g, (seen, hidden) in groups.items():
+        k = min(8, hidden)
+        even = lambda n, k: list(range(n)) if n <= k else [round(i * (n - 1) / (k - 1)) for i in range(k)]
+        assert sorted(r.frame for r in out if r.rally == g) == even(seen, 32 - k) + [seen + i for i in even(hidden, k)]
+    with pytest.raises(Exception, match="too few rows"):
+        sampling.stratified_sample(frame.filter("rally = 'b' and frame > 0"), "invisible", "rally", ("frame",)).collect()
+
+
+def test_peaks_targets_margins_and_bytes(spark):
+    peaks = pixels.axis_peaks(spark.createDataFrame([([0.1, 0.9, 0.9, 0.2], [0.3, 0.7])], "x_axis array<double>, y_axis array<double>"), F.lit(1280), F.lit(720)).first()
+    assert (peaks.pred_x, peaks.pred_y, peaks.confidence) == (320.0, 360.0, 0.7)
+    place = lambda seen, x: one(spark, *pixels.target_position(F.lit(seen), F.lit(x).cast("double"), F.lit(72.0), F.lit(1280), F.lit(720)))
+    assert place(True, 640.0) == (160.0, 12.8) and place(False, None) == (-1.0, -1.0)
+    with pytest.raises(Exception, match="position is missing"):
+        place(True, None)
+    boxes = spark.createDataFrame([(32, 100.0, 100.0, 90, 95, 10, 12), (32, 10.0, 10.0, -9, 0, 4, 4), (48, 100.0, 100.0, 90, 95, 10, 12)], "size long, x double, y double, bbox_x long, bbox_y long, bbox_w long, bbox_h long")
+    assert sorted(map(tuple, pixels.crop_margins(boxes).collect())) == [(32, 2, 1, -3, pytest.approx(-2.55), 1.5), (48, 1, 0, 14, 14.0, 14.0)]
+    crops = spark.createDataFrame([(32, "a", b"12"), (32, "a", b"345"), (32, "b", b"1"), (48, "a", None)], "size long, candidate_id string, data binary")
+    found = {r.size: r for r in pixels.compression_summary(crops, 1000).collect()}
+    assert tuple(found[32]) == (32, 2, 3.0, 3.0, pytest.approx(4.8), 3000.0, 3000 / 2**20)
