@@ -35,9 +35,14 @@ BASE_RULES = (
     SecretRule("access", r"AKIA[A-Z0-9]{16,}"),
     SecretRule("hex", r"[0-9a-f]{24,}"),
 )
+# A key's body: header lines, then base64 to the end line; without an end line, the base64 lines that follow. These
+# are counted to 1000, 64,000 characters, as each costs the Java matcher stack.
+_HEADERS = r"(?:\s*[A-Za-z-]+:[^\r\n]*[\r\n]+){0,8}"
+_ENDED = _HEADERS + r"[A-Za-z0-9+/=\s\\]*-----END [A-Z ]*PRIVATE KEY-----"
+_OPEN = _HEADERS + r"(?:\s*[A-Za-z0-9+/]{40,}={0,2}){1,1000}(?:[\r\n]+[A-Za-z0-9+/]+={0,2}(?![^\r\n]))?"
 # Published token formats.
 MORE_RULES = (
-    SecretRule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    SecretRule("private_key", rf"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:{_ENDED}|{_OPEN})?"),
     SecretRule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     SecretRule("slack", r"xox[baprs]-[A-Za-z0-9-]{10,}"),
     SecretRule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),

@@ -449,3 +449,14 @@ def secret(text):
             out += text[at:start] + f"[{kind}]"
         at = max(at, end)
     return out + text[at:]
+
+
+def test_private_keys_go_whole(spark):
+    body = "\n".join("MIIEpAIBAAKCAQEA7bq/+" + chr(97 + i) * 43 for i in range(25)) + "\nQ9z=="
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    texts = [f"before {begin}\n{body}\n{end} after", f"{begin}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,AB12\n\n{body}\n{end}\nafter", f"{begin}\n{body}\nafter the key, text", f"{begin} alone, and text", f"{begin}\n{body}\n{end} and {begin}\n{body}\n{end}."]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in secret_scan.redacted(frame).collect()}
+    assert clean == {0: "before [private_key] after", 1: "[private_key]\nafter", 2: "[private_key]\nafter the key, text", 3: "[private_key] alone, and text", 4: "[private_key] and [private_key]."}
+    rule = next(r for r in secret_scan.MORE_RULES if r.kind == "private_key")
+    assert secret_scan.trigram_query(rule.pattern) == secret_scan.trigram_query(r"-----BEGIN [A-Z ]*PRIVATE KEY-----")
