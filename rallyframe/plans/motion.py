@@ -273,6 +273,21 @@ def reconciled_keys(spark, sf_dir):
     return both.groupBy((F.col("k") % 100).alias("bucket")).agg(F.count_if(F.col("t").isNull()).alias("only_left"), F.count_if(F.col("t").isNotNull()).alias("both_sides"), F.count_if(F.col("s") == F.col("t")).alias("agree"))
 
 
+def both_sides(e: DataFrame, m: DataFrame) -> DataFrame:
+    """Keys k of two tables with their states s and t: missing on either side, on both sides, and agreeing, by bucket."""
+    both = e.withColumn("l", F.lit(True)).join(m.withColumn("r", F.lit(True)), "k", "full")
+    left, right = F.col("l").isNotNull(), F.col("r").isNotNull()
+    return both.groupBy((F.col("k") % 100).alias("bucket")).agg(F.count_if(~right).alias("only_left"), F.count_if(~left).alias("only_right"), F.count_if(left & right).alias("both_sides"), F.count_if(F.col("s") == F.col("t")).alias("agree"))
+
+
+@query(sql("SELECT k % 100 AS bucket, count_if(r IS NULL) AS only_left, count_if(l IS NULL) AS only_right, count_if(l AND r) AS both_sides, count_if(s = t) AS agree FROM (SELECT o_orderkey AS k, o_orderstatus AS s, true AS l FROM orders WHERE o_orderkey % 7 > 0) e FULL JOIN (SELECT l_orderkey AS k, max(l_linestatus) AS t, true AS r FROM lineitem WHERE l_linenumber = 1 GROUP BY 1) m USING (k) GROUP BY 1"))
+def reconciled_both_ways(spark, sf_dir):
+    """Missing and extra keys: every seventh key is left out on the left side."""
+    e = views.table(spark, sf_dir, "orders").filter("o_orderkey % 7 > 0").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("s"))
+    m = views.table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").groupBy(F.col("l_orderkey").alias("k")).agg(F.max("l_linestatus").alias("t"))
+    return both_sides(e, m)
+
+
 @query("SELECT o_orderkey AS k FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
 def unmatched_keys(spark, sf_dir):
     keys = views.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k")).distinct()

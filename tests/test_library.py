@@ -398,3 +398,10 @@ def test_peaks_targets_margins_and_bytes(spark):
     crops = spark.createDataFrame([(32, "a", b"12"), (32, "a", b"345"), (32, "b", b"1"), (48, "a", None)], "size long, candidate_id string, data binary")
     found = {r.size: r for r in pixels.compression_summary(crops, 1000).collect()}
     assert tuple(found[32]) == (32, 2, 3.0, 3.0, pytest.approx(4.8), 3000.0, 3000 / 2**20)
+
+
+def test_reconciled_keys_of_both_sides(spark):
+    from rallyframe.plans.motion import both_sides
+
+    left, right = spark.createDataFrame([(1, "a"), (2, "b")], "k long, s string"), spark.createDataFrame([(2, "b"), (3, "c"), (4, None)], "k long, t string")
+    assert sorted(map(tuple, both_sides(left, right).collect())) == [(1, 1, 0, 0, 0), (2, 0, 0, 1, 1), (3, 0, 1, 0, 0), (4, 0, 1, 0, 0)]
