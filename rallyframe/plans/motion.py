@@ -234,6 +234,13 @@ def oversampled_rows(spark, sf_dir):
     return sampling.oversampled(rows, "invisible", 0.25, ("o_orderkey",)).groupBy("invisible").agg(F.count(F.lit(1)).alias("rows_out"), F.count_distinct("o_orderkey").alias("keys"))
 
 
+@query("SELECT invisible, copy, count(*) AS rows_out, count(DISTINCT o_orderkey) AS keys FROM (SELECT o_orderkey, invisible, unnest(range(1, 1 + CASE WHEN invisible THEN wanted // have + CASE WHEN r <= wanted % have THEN 1 ELSE 0 END ELSE 1 END)) AS copy FROM (SELECT *, greatest(have, (3 * (n - have) + 1) // 2) AS wanted FROM (SELECT o_orderkey, o_orderstatus = 'P' AS invisible, count(*) FILTER (WHERE o_orderstatus = 'P') OVER () AS have, count(*) OVER () AS n, row_number() OVER (PARTITION BY o_orderstatus = 'P' ORDER BY o_orderkey) AS r FROM orders))) GROUP BY invisible, copy")
+def oversampled_copies(spark, sf_dir):
+    """Wanted are one and a half invisible rows to each other row, so every one repeats; which ones repeat once more is by hash, their number isn't."""
+    rows = views.table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderstatus") == "P").alias("invisible"))
+    return sampling.oversampled(rows, "invisible", 1.5, ("o_orderkey",)).groupBy("invisible", F.col("copy").cast("bigint").alias("copy")).agg(F.count(F.lit(1)).alias("rows_out"), F.count_distinct("o_orderkey").alias("keys"))
+
+
 def _fold_sql(tail: str) -> str:
     return sql(tail, CAND, GT, LAB, OUT, CAT, """tr AS (SELECT c.*, h AS holdout_clip FROM cat c CROSS JOIN (SELECT unnest(['clip_0', 'clip_1', 'clip_2']) AS h) WHERE h <> clip_id AND category <> 'ignore'),
  t1 AS (SELECT *, count_if(category = 'positive') OVER (PARTITION BY holdout_clip) AS np, bool_or(category = 'positive') OVER (PARTITION BY holdout_clip, clip_id, frame) AS has, row_number() OVER (PARTITION BY holdout_clip, category, clip_id, frame ORDER BY rank) AS pl FROM tr),
