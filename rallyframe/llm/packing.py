@@ -1,11 +1,10 @@
 """Best-fit packing of documents into sequences of a fixed number of tokens.
 
-Bulk-synchronous best-fit. Documents are range-sorted by size and ranked inside each size; open sequences
-are range-sorted by gap. A round takes the largest size that is left, sweeps its documents over the
-successor gaps (the smallest gap that holds them), gives the k-th document in rank the k-th sequence of
-the gap, and moves those sequences to their new gap. What no gap holds opens sequences. Equal documents
-and equal gaps move as runs, so the sweep's state is at most `capacity` sizes and gaps however many rows
-there are; only that histogram reaches the driver. Ranking and assignment run on all rows in Spark.
+The successor sweep of best-fit is planned on the driver: the histogram of sizes is collected, and one loop
+from the largest size down matches runs of equal documents to runs of equal gaps (the smallest gap that
+holds them); what no gap holds opens sequences. Sizes and gap values are at most `capacity`; the runs aren't
+bounded by it (the README has their measured number), and go back to Spark as one broadcast table. Ranking
+and assignment run on all rows in Spark.
 """
 
 from __future__ import annotations
