@@ -105,8 +105,10 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int =
         for whole in batches:
             for batch in slices(whole):
                 doc, piece, start, length, crc = [], [], [], [], []
-                for i, ids in enumerate(cache.ids(batch.column("text").to_pylist())):
-                    ids += end
+                flat, begin = cache.ids(batch.column("text"))
+                raw, begin = flat.tobytes(), begin.tolist()
+                for i in range(batch.num_rows):
+                    ids = raw[4 * begin[i] : 4 * begin[i + 1]] + end
                     n, at = len(ids) // 4, 0
                     for p in range(-(-n // capacity)):
                         to = n - capacity * (-(-n // capacity) - 1 - p)

@@ -3,10 +3,12 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from rallyframe.llm import bpe, fingerprints, line_dedup, near_dedup, packing, quality, secret_scan, sharding, url_filter, warc
@@ -108,10 +110,32 @@ def test_bpe_equals_the_library(docs, empty):
 def test_bpe_on_random_pieces():
     from tokenizers import Tokenizer
 
-    tok, cache = Tokenizer.from_file(vocabulary()), bpe.coder(vocabulary())[1]
-    texts = ["".join(RNG.choice("ab 1.\n\t'é 😀<|sS") for _ in range(RNG.randint(0, 25))) for _ in range(2000)]
-    for text, ids in zip(texts, cache.ids(texts), strict=True):
-        assert np.frombuffer(ids, np.uint32).tolist() == tok.encode(text, add_special_tokens=False).ids, text
+    tok, cache = Tokenizer.from_file(vocabulary()), bpe.PieceCache(bpe.ByteBPE(vocabulary()), limit_bytes=100_000)
+    for alphabet in ("ab 1.\n\t'é 😀<|sS", "ab  \n", "aA9.' \r\u00a0\u2003"):
+        texts = ["".join(RNG.choice(alphabet) for _ in range(RNG.randint(0, 25))) for _ in range(2000)]
+        texts += [f"{a}<|endoftext|>{b}" for a, b in zip(texts[:200], texts[200:400], strict=True)]
+        for at in range(0, len(texts), 500):
+            part = texts[at : at + 500]
+            ids, start = cache.ids(pa.array(["left out", *part]).slice(1))
+            for i, text in enumerate(part):
+                assert ids[start[i] : start[i + 1]].tolist() == tok.encode(text, add_special_tokens=False).ids, text
+
+
+@pytest.mark.parametrize("kind", ["letters", "few", "one", "words", "marks", "wide"])
+def test_bpe_on_long_words(kind):
+    """A million characters without a space: equal to the library, in seconds."""
+    from tokenizers import Tokenizer
+
+    rng = np.random.default_rng(3)
+    n = 1_000_000
+    text = {
+        "letters": lambda: "".join(map(chr, rng.integers(97, 123, n))), "few": lambda: "".join(map(chr, rng.integers(97, 100, n))), "one": lambda: "a" * n, "marks": lambda: "".join(rng.choice(list("=-_#*/"), n)),
+        "words": lambda: "".join(rng.choice(["the", "ing", "straße", "tion", "un", "der", "mente"], n // 4)), "wide": lambda: "".join(rng.choice(list("日本語éß"), n // 3)),
+    }[kind]()
+    began = time.perf_counter()
+    ids, _ = bpe.coder(vocabulary())[1].ids(pa.array([text]))
+    assert time.perf_counter() - began < 10
+    assert ids.tolist() == Tokenizer.from_file(vocabulary()).encode(text, add_special_tokens=False).ids
 
 
 def test_packing(docs, empty):
