@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import track_score, turn_degrees
@@ -142,9 +142,18 @@ def triplets(frames: DataFrame, key: str = "clip_id") -> DataFrame:
 
 
 def trails(points: DataFrame, frames: int = 12, key: str = "track_id") -> DataFrame:
-    """Number and mean place of a track's points in the last `frames` frames."""
+    """Number and mean place of a track's points in the last `frames` frames.
+
+    Places count in ten-thousandths, so sums are exact in any order; means are rounded half up to six digits.
+    """
     w = Window.partitionBy(key).orderBy("frame").rangeBetween(-(frames - 1), 0)
-    return points.select(key, "frame", F.count(F.lit(1)).over(w).alias("trail_points"), F.round(F.avg("x").over(w), 6).alias("trail_x"), F.round(F.avg("y").over(w), 6).alias("trail_y"))
+    rows = points.select(key, "frame", F.count(F.lit(1)).over(w).alias("trail_points"), *[v.over(w).alias(f"__{c}{v_}") for c in ("x", "y") for v_, v in (("n", F.count(c)), ("s", F.sum(F.round(F.col(c) * 10_000).cast("bigint"))))])
+
+    def mean(c: str) -> Column:
+        doubled, n = F.expr(f"200 * __{c}s + __{c}n"), F.expr(f"nullif(2 * __{c}n, 0)")
+        return ((doubled - F.pmod(doubled, n)) / n / 1e6).alias(f"trail_{c}")
+
+    return rows.select(key, "frame", "trail_points", mean("x"), mean("y"))
 
 
 def smoothed(points: DataFrame, alpha: float = 0.72, max_gap: int = 4, max_jump: float = 230.4, key: str = "track_id", reach: int = 60) -> DataFrame:

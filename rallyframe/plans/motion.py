@@ -144,7 +144,7 @@ def temporal_triplets(spark, sf_dir):
     return tracks.triplets(segments(views.candidates(spark, sf_dir)).select("clip_id", "frame").distinct())
 
 
-@query(sql("SELECT track_id, frame, count(*) OVER w AS trail_points, round(avg(x) OVER w, 6) AS trail_x, round(avg(y) OVER w, 6) AS trail_y FROM points WINDOW w AS (PARTITION BY track_id ORDER BY frame RANGE BETWEEN 599 PRECEDING AND CURRENT ROW)", POINTS))
+@query(sql("SELECT track_id, frame, count(*) OVER w AS trail_points, ((200 * sum(round(x * 10000)::BIGINT) OVER w + count(x) OVER w) // (2 * count(x) OVER w)) / 1e6::DOUBLE AS trail_x, ((200 * sum(round(y * 10000)::BIGINT) OVER w + count(y) OVER w) // (2 * count(y) OVER w)) / 1e6::DOUBLE AS trail_y FROM points WINDOW w AS (PARTITION BY track_id ORDER BY frame RANGE BETWEEN 599 PRECEDING AND CURRENT ROW)", POINTS))
 def point_trails(spark, sf_dir):
     return tracks.trails(views.points(spark, sf_dir), frames=600)
 
