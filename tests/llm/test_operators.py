@@ -161,25 +161,55 @@ def test_packing(docs, empty):
             assert offset == ends[-1]
             ends.append(offset + length)
         assert ends[-1] <= capacity
-    lengths, bins = sorted((r.length for r in out), reverse=True), []
-    for n in lengths:  # plain best-fit decreasing
-        fits = [b for b in bins if b >= n]
-        if fits:
-            bins.remove(best := min(fits))
-            bins.append(best - n)
-        else:
-            bins.append(capacity - n)
-    assert len(held) == len(bins)
+    lengths = [r.length for r in out]
+    assert len(held) == plain_rounds(lengths, capacity) and len(held) >= -(-sum(lengths) // capacity)
     assert packing.packed_documents(empty, vocabulary(), capacity).count() == 0
 
 
-def test_packing_plan_covers_every_rank():
-    counts = {s: RNG.randint(1, 50) for s in RNG.sample(range(1, 257), 100)}
-    runs = packing.plan_runs(counts, 256)
-    seen = defaultdict(list)
-    for size, rank, count, _, _ in runs:
-        seen[size] += range(rank, rank + count)
-    assert {s: sorted(r) for s, r in seen.items()} == {s: list(range(n)) for s, n in counts.items()}
+def plain_rounds(lengths, capacity):
+    """The rounds on single documents and gaps, without runs and ranges: how many sequences there are."""
+    left, gaps, opened = sorted(lengths), [], 0
+    while left:
+        taking = [n for n in left if 2 * n >= left[-1]]
+        left = [n for n in left if 2 * n < left[-1]]
+        stack, after = [], []
+        for value, is_gap in sorted([(n, 0) for n in taking] + [(g, 1) for g in gaps]):
+            if not is_gap:
+                stack.append(value)
+            elif not stack:
+                after.append(value)
+            else:
+                size, gap = stack[-1], value
+                while stack and stack[-1] == size and gap >= size:
+                    stack.pop()
+                    gap -= size
+                after.append(gap)
+        if stack:
+            new = min(len(stack), max(1, sum(2 * n > capacity for n in stack), int(0.5 * -(-sum(stack) // capacity))))
+            opened += new
+            after += [capacity - stack.pop() for _ in range(new)]
+        left, gaps = sorted(left + stack), [g for g in after if g]
+    return opened
+
+
+@pytest.mark.parametrize("shape", ["mixed", "one size", "tiny", "full"])
+def test_packing_plan(spark, shape):
+    rng = np.random.default_rng(4)
+    lengths = {"mixed": np.minimum(rng.lognormal(4, 1.2, 6000), 512).astype(int) + 1, "one size": np.full(3000, 171), "tiny": np.full(5000, 1), "full": np.r_[np.full(50, 512), np.full(50, 300)]}[shape].clip(1, 512).tolist()
+    frame = spark.createDataFrame([(i, 0, n) for i, n in enumerate(lengths)], "doc_id long, piece int, length long")
+    for limit in (400_000, 0):  # the plan broadcast, and joined
+        out = packing.packed(frame, 512, broadcast_runs=limit).collect()
+        assert sorted(r.doc_id for r in out) == list(range(len(lengths)))
+        held = defaultdict(list)
+        for r in out:
+            held[r.sequence_id].append((r.offset, r.length))
+        for parts in held.values():
+            ends = np.cumsum([n for _, n in sorted(parts)])
+            assert [o for o, _ in sorted(parts)] == [0, *ends[:-1].tolist()] and ends[-1] <= 512
+        assert len(held) == plain_rounds(lengths, 512)
+        assert len(held) <= 1.01 * -(-sum(lengths) // 512) or shape in ("one size", "full")
+    if shape == "one size":
+        assert len(held) == -(-3000 // 2)
 
 
 def test_packing_refuses_lengths(spark):
