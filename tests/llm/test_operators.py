@@ -79,19 +79,55 @@ def test_quality(docs, empty):
 
 
 def test_sharding(docs, empty):
-    out = sharding.sharded(docs, n_shards=4, min_buckets=3).collect()
-    same([(r.doc_id, r.size, r.text_crc32) for r in out], [(i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in ROWS])
-    slots = defaultdict(list)
-    for r in out:
-        slots[r.shard].append(r.slot)
-        assert r.law == "rows" and r.grown_shard is None
-    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
-    sizes = [len(slots[s]) for s in range(4)]
-    assert max(sizes) - min(sizes) <= 1
+    for limit in (400_000, 0):
+        out = sharding.sharded(docs, n_shards=4, rows_per_range=3, broadcast_rows=limit).collect()
+        same([(r.doc_id, r.size, r.text_crc32) for r in out], [(i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in ROWS])
+        slots = defaultdict(list)
+        for r in out:
+            slots[r.shard].append(r.slot)
+            assert r.law == "rows" and r.grown_shard is None
+        assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+        sizes = [len(slots[s]) for s in range(4)]
+        assert max(sizes) - min(sizes) <= 1
     assert sharding.sharded(empty).count() == 0
+
+
+def test_sharding_is_uniform(spark):
+    """Shard and slot don't depend on the place in the input, and repeated rows spread like others."""
+    n, shards = 24_000, 8
+    frame = spark.range(0, n, 1, 6).selectExpr("id div 2 as doc_id", "'same' as text")
+    rows = [(r.doc_id, r.shard, r.slot) for r in sharding.sharded(frame, rows_per_range=700).collect()]
+    table = np.zeros((12, shards))
+    for doc, shard, _ in rows:
+        table[doc * 12 * 2 // n, shard] += 1
+    wanted = n / 12 / shards
+    chi = ((table - wanted) ** 2 / wanted).sum()
+    assert 35 < chi < 130  # 77 degrees of freedom: 77 is the mean, 12.4 the deviation
+    docs_, slots = np.array([r[0] for r in rows]), np.array([r[2] for r in rows])
+    assert abs(np.corrcoef(docs_, slots)[0, 1]) < 4 / n**0.5
+    pairs = defaultdict(list)
+    for doc, shard, _ in rows:
+        pairs[doc].append(shard)
+    assert abs(sum(a == b for a, b in pairs.values()) / len(pairs) - 1 / shards) < 0.02
+
+
+def test_hypergeometric_draws():
     matrix = sharding.draw_matrix([1000, 0, 500, 3], 4, 1)
     assert matrix.sum(1).tolist() == [1000, 0, 500, 3] and np.ptp(matrix.sum(0)) <= 1
-    assert abs(matrix[0] - 250).max() < 60
+    rng = np.random.default_rng(2)
+    for good, bad, draws in ((5, 7, 4), (300, 2000, 700), (3, 10**6, 10**5)):
+        from math import comb
+
+        got = Counter(sharding.hypergeometric(rng, good, bad, draws) for _ in range(4000))
+        for k in range(max(0, draws - bad), min(good, draws) + 1):
+            p = comb(good, k) * comb(bad, draws - k) / comb(good + bad, draws) if good + bad < 5000 else comb(good, k) * 0.1**k * 0.9 ** (good - k)
+            assert abs(got[k] / 4000 - p) < 5 * (p * (1 - p) / 4000) ** 0.5 + 1e-3
+    # One way at every size: mean and deviation of a huge population.
+    good, bad, draws = 10**12, 7 * 10**12, 4 * 10**8
+    got = np.array([sharding.hypergeometric(rng, good, bad, draws) for _ in range(200)], float)
+    sd = (draws / 8 * 7 / 8) ** 0.5
+    assert abs(got.mean() - draws / 8) < 5 * sd / 200**0.5 and 0.8 < got.std() / sd < 1.2
+    assert sharding.hypergeometric(rng, 10, 0, 4) == 4 and sharding.hypergeometric(rng, 0, 10, 4) == 0
 
 
 def test_bpe_equals_the_library(docs, empty):
