@@ -1,9 +1,10 @@
 """Order MinHash fingerprints, sensitive to edit distance, in built-in functions.
 
-A text's k-mers are windows of k words, numbered by occurrence, and hashed once. The hash's leading bits
-split them over `bins` (one permutation, cut into equal ranges); in each bin the `tuple_size` least are
-selected, put back in text order, and the tuple is hashed. Two texts agree in a bin only if they share
-the selected k-mers and their order.
+A text's k-mers are windows of k pieces, numbered by occurrence. A selection takes, under each of two
+permutations of its own, the minimal one of all numbered k-mers, puts the two in text order and hashes the
+tuple: two texts agree in a selection only if they share both k-mers and their order. Pieces are words; a
+longer word is cut behind certain letters, and ideographs stand alone, so that an edit in a text without
+spaces changes only the k-mers around it.
 """
 
 from __future__ import annotations
@@ -11,7 +12,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_of, words_of
+from .common import text_of
+
+# Fixed values of the method: words up to 16 characters are pieces; in longer ones a piece ends behind a vowel or
+# an even digit and after 8 characters at the latest; from U+2E80 on every character is a piece.
+_WORD = r"[^\x20\x09-\x0D\x{2E80}-\x{10FFFF}]"
+PIECE = rf"[\x{{2E80}}-\x{{10FFFF}}]|{_WORD}{{1,16}}(?!{_WORD})|{_WORD}{{0,7}}?[aeiouyAEIOUY02468]|{_WORD}{{1,8}}"
+PLACE_BITS = 24
 
 
 def _let(value: Column, body) -> Column:
@@ -19,15 +26,15 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def with_signature(df: DataFrame, text: str, out: str, k: int = 3, bin_bits: int = 5, tuple_size: int = 2) -> DataFrame:
-    """Add an array of 2**bin_bits ints, null where the text has no k-mer in the bin.
+def with_kmers(df: DataFrame, text: str, out: str, k: int = 3) -> DataFrame:
+    """Replace the text by an array of the hashes of its occurrence-numbered k-mers in text order.
 
-    A text of fewer than k words counts as one k-mer, one without words has none. Whole texts are used;
-    the steps are linear or a sort in the number of words.
+    A text of fewer than k pieces counts as one k-mer, one without pieces has none. Only texts with a repeated
+    k-mer sort, to number it.
     """
-    own = [F.col(f"`{c}`") for c in df.columns if c != out]
+    own = [F.col(f"`{c}`") for c in df.columns if c not in (out, text)]
     empty = F.expr("cast(array() as array<bigint>)")
-    step = df.select(*own, words_of(F.col(text)).alias("__w"))
+    step = df.select(*own, F.regexp_extract_all(F.col(text), F.lit(PIECE), F.lit(0)).alias("__w"))
     n = F.size("__w")
     word = lambda i: F.get("__w", i)
     kmers = F.when(n >= k, F.transform(F.sequence(F.lit(0), n - k), lambda i: F.xxhash64(*[word(i + j) for j in range(k)])))
@@ -38,80 +45,107 @@ def with_signature(df: DataFrame, text: str, out: str, k: int = 3, bin_bits: int
     step = step.select(*own, "__g", "__s", F.when(F.col("__s").isNotNull(), ends).alias("__e"))
     before = lambda r: F.coalesce(F.when(r > 0, F.get("__e", r - 1)), F.lit(0))
     run = lambda e, r: F.slice("__s", before(r) + 1, e - before(r))
-    numbered = F.flatten(F.transform("__e", lambda e, r: F.transform(run(e, r), lambda p, o: F.struct(p["i"].alias("i"), F.xxhash64(p["x"], o).alias("h")))))
-    in_order = F.transform(F.sort_array(numbered), lambda p: p["h"])
-    once = F.transform("__g", lambda x: F.xxhash64(x, F.lit(0)))
-    step = step.select(*own, F.when(F.col("__s").isNull(), once).otherwise(in_order).alias("__h"))
-    step = step.select(*own, "__h", F.sort_array("__h").alias("__z"))
-    bin_of = lambda h: F.shiftrightunsigned(h, 64 - bin_bits)
-    size = F.size("__z")
-    firsts = F.filter(F.sequence(F.lit(0), size - 1), lambda j: (j == 0) | (bin_of(F.get("__z", j)) != bin_of(F.get("__z", j - 1))))
-    step = step.select(*own, "__h", "__z", F.when(size > 0, firsts).otherwise(F.expr("cast(array() as array<int>)")).alias("__f"))
-    until = lambda r: F.coalesce(F.get("__f", r + 1), F.size("__z"))
-    least = lambda j, r: F.slice("__z", j + 1, F.least(F.lit(tuple_size), until(r) - j))
-    placed = lambda hs: F.sort_array(F.transform(hs, lambda h: F.struct(F.array_position("__h", h).alias("i"), h.alias("h"))))
-    entry = lambda j, r: F.struct(bin_of(F.get("__z", j)).cast("int").alias("b"), F.hash(F.transform(placed(least(j, r)), lambda p: p["h"])).alias("v"))
-    every = F.sequence(F.lit(0), F.lit(2**bin_bits - 1))
-    bins = _let(F.map_from_entries(F.transform("__f", entry)), lambda m: F.transform(every, lambda b: F.try_element_at(m, b)))
-    return step.select(*own, bins.alias(out))
+    numbered = F.flatten(F.transform("__e", lambda e, r: F.transform(run(e, r), lambda p, o: F.struct(p["i"].alias("i"), F.when(o > 0, F.xxhash64(p["x"], o)).otherwise(p["x"]).alias("h")))))
+    return step.select(*own, F.when(F.col("__s").isNull(), F.col("__g")).otherwise(F.transform(F.sort_array(numbered), lambda p: p["h"])).alias(out))
+
+
+def signatures(df: DataFrame, keys: list[str], kmers: str, out: str, selections: int = 32) -> DataFrame:
+    """(keys, out): an array of ints, one for each selection, null for a text without k-mers.
+
+    A minimum is one long, the upper 40 bits of the permuted hash over the k-mer's place, so the aggregate runs
+    on primitive values. Places from 2**24 on aren't told apart. If `df` is partitioned by some of the keys,
+    nothing moves.
+    """
+    place = (1 << PLACE_BITS) - 1
+    rows = df.select(*keys, F.posexplode_outer(kmers).alias("__at", "__h"))
+    drawn = lambda i: F.xxhash64("__h", F.lit(i)).bitwiseAND(F.lit(~place)).bitwiseOR(F.least(F.col("__at"), F.lit(place)).cast("long"))
+    least = rows.groupBy(*keys).agg(*[F.min(F.when(F.col("__h").isNotNull(), drawn(i))).alias(f"__m{i}") for i in range(2 * selections)])
+
+    def tuple_of(i: int) -> Column:
+        a, b = F.col(f"__m{2 * i}"), F.col(f"__m{2 * i + 1}")
+        in_order = a.bitwiseAND(F.lit(place)) <= b.bitwiseAND(F.lit(place))
+        return F.when(a.isNotNull(), F.hash(F.shiftrightunsigned(a, PLACE_BITS), F.shiftrightunsigned(b, PLACE_BITS), in_order))
+
+    return least.select(*keys, F.array(*[tuple_of(i) for i in range(selections)]).alias(out))
 
 
 def shown(signature: Column) -> Column:
-    """The fingerprint as text: 8 hex digits a bin, dashes for an empty bin."""
+    """The fingerprint as text: 8 hex digits a selection, dashes for a text without k-mers."""
     return F.array_join(F.transform(signature, lambda v: F.coalesce(F.lower(F.lpad(F.hex(v.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")), F.lit("-" * 8))), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """The share of equal bins among those that either fills; 1 if neither fills any."""
-    both = F.zip_with(a, b, lambda x, y: F.when(x.isNull() & y.isNull(), F.lit(None)).otherwise(F.coalesce((x == y).cast("double"), F.lit(0.0))))
-    return _let(F.array_compact(both), lambda v: F.when(F.size(v) == 0, F.lit(1.0)).otherwise(F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / F.size(v)))
+    """The share of equal selections; 1 if neither text has k-mers, 0 if one has none."""
+    same = F.zip_with(a, b, lambda x, y: x.eqNullSafe(y).cast("int"))
+    return _let(same, lambda v: F.aggregate(v, F.lit(0), lambda s, x: s + x) / F.size(v))
 
 
-def with_next(df: DataFrame, key: str, columns: list[str], tie: str, rows_per_bucket: int = 20_000) -> DataFrame:
-    """Add next_<column> from the row with the next key in ascending order; after the last comes the first.
+def with_next(df: DataFrame, key: str, column: str, rows_per_bucket: int = 20_000, most_buckets: int = 100_000) -> DataFrame:
+    """Add bucket, row, is_copy and next_<column> from the row with the next key; after the last comes the first.
 
-    No task sees the whole order. Rows fall into ranges of the key, cut at its approximate quantiles and
-    evenly between them; the first rows of a range are also sent to the range before, where they follow
-    its last row. Null keys come first; equal keys are ordered by the tie column. One row for each range
-    (rows / rows_per_bucket of them) reaches the driver.
+    No task sees the whole order. Rows fall into ranges of the numeric key, cut at its approximate quantiles and
+    evenly between them; a key of a thousandth of all rows or more has ranges of its own, cut by a number that
+    is random for each row, as the order of equal keys is free. The first row of a range is also sent to the range
+    before, as a copy behind its last row. Null keys come first. One row for each range, `most_buckets` of them or
+    so, reaches the driver and is broadcast. `row` numbers a range in order.
     """
     spark = df.sparkSession
-    coarse = 64
+    coarse = 1000
+    spread = F.xxhash64(F.monotonically_increasing_id())
     stats = df.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(F.col(key), [i / coarse for i in range(coarse + 1)], 10_000).alias("q")).first()
-    cuts = sorted(set(stats["q"] or []))
-    fine = max(1, -(-max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), stats["n"] // rows_per_bucket) // coarse))
+    marks, rows_ = list(stats["q"] or []), stats["n"]
+    buckets = min(most_buckets, max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), rows_ // rows_per_bucket))
+    hot = sorted({a for a, b in zip(marks, marks[1:], strict=False) if a == b}) if rows_ >= 4 * coarse else []  # a repeat then means repeated keys
+    cuts = sorted({*marks[:: max(1, coarse // 50)], *hot})
+    fine = max(1, buckets // max(1, len(cuts)))
     bucket = F.lit(0)
     for c, low in enumerate(cuts):
         width = max(1, (cuts[c + 1] if c + 1 < len(cuts) else low + 1) - low)
         inside = F.least(F.floor((F.col(key).cast("double") - F.lit(float(low))) * (fine / width)), F.lit(fine - 1))
-        bucket = F.when(F.col(key) >= low, F.lit(1 + c * fine) + F.greatest(inside, F.lit(0))).otherwise(bucket)
-    rows = df.withColumn("__bucket", bucket.cast("long"))
-    firsts = sorted((r["__bucket"], r["first"]) for r in df.select(key).withColumn("__bucket", bucket.cast("long")).groupBy("__bucket").agg(F.min(key).alias("first")).collect())
-    seams = [(first, firsts[i - 1][0]) for i, (_, first) in enumerate(firsts)]
+        first = 1 + 2 * c * fine
+        bucket = F.when(F.col(key) >= low, F.lit(first + fine) + F.greatest(inside, F.lit(0))).otherwise(bucket)
+        if low in hot:
+            share = F.shiftright((F.shiftright("__spread", 32).cast("long") + (1 << 31)) * fine, 32)
+            bucket = F.when(F.col(key) == low, F.lit(first) + share).otherwise(bucket)
+    rows = df.withColumn("__spread", spread).withColumn("__bucket", bucket.cast("long"))
+    order = [F.col(key).asc_nulls_first(), F.col("__spread")]
+    least = F.min(F.struct(F.col(key).isNotNull().alias("known"), F.col(key).alias("k"), F.col("__spread").alias("s")))
+    firsts = sorted((r["__bucket"], r["first"]["k"], r["first"]["s"]) for r in rows.groupBy("__bucket").agg(least.alias("first")).collect())
     kind = df.schema[key].dataType.simpleString()
-    seam = spark.createDataFrame(seams, f"__first {kind}, __before long")
-    rows = rows.join(F.broadcast(seam), F.col(key).eqNullSafe(F.col("__first")), "left")
-    place = F.array(F.struct(F.col("__bucket").alias("b"), F.lit(0).alias("copy")), F.when(F.col("__before").isNotNull(), F.struct(F.col("__before").alias("b"), F.lit(1).alias("copy"))))
-    rows = rows.withColumn("__place", F.explode(F.array_compact(place)))
-    order = Window.partitionBy("__place.b").orderBy("__place.copy", F.col(key).asc_nulls_first(), F.xxhash64(tie), tie)
-    rows = rows.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns])
-    return rows.filter(F.col("__place.copy") == 0).drop("__bucket", "__first", "__before", "__place")
+    seam = spark.createDataFrame([(k, s if k in hot else None, firsts[i - 1][0]) for i, (_, k, s) in enumerate(firsts)], f"__k {kind}, __s long, __before long")
+    rows = rows.join(F.broadcast(seam), F.col(key).eqNullSafe(F.col("__k")) & (F.col("__s").isNull() | (F.col("__spread") == F.col("__s"))), "left")
+    place = F.array(F.struct(F.col("__bucket").alias("bucket"), F.lit(False).alias("is_copy")), F.when(F.col("__before").isNotNull(), F.struct(F.col("__before").alias("bucket"), F.lit(True).alias("is_copy"))))
+    rows = rows.select(*df.columns, "__spread", F.inline(F.array_compact(place)))
+    line = Window.partitionBy("bucket").orderBy("is_copy", *order)
+    # Where an input comes in another order when it is read again, a range of one hot key may miss its copy: its own first row follows then.
+    following = F.coalesce(F.lead(column).over(line), F.first(column).over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.select("*", F.row_number().over(line).alias("row"), following.alias(f"next_{column}")).drop("__spread")
 
 
 def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next).
 
     The edited text has the last floor(n/2) code points replaced by the first as many, or all, of the next
-    document. Null text counts as empty. A single document is its own next. The signature is computed
-    once a text and travels with it; texts move once, to their neighbours.
+    document. Null text counts as empty. A single document is its own next. The key is numeric; rows of equal or
+    null keys follow each other in a free order. Texts move once, to the range of their key; their k-mers
+    are selected where they lie.
     """
-    rows = docs.select(F.col(key).alias("doc_id"), text_of(text).alias("text"))
-    rows = with_next(with_signature(rows, "text", "sig"), "doc_id", ["text", "sig"], "text")
+    rows = with_next(docs.select(F.col(key).alias("doc_id"), text_of(text).alias("text")), "doc_id", "text")
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
-    rows = rows.withColumn("edited", F.concat(F.left(F.col("text"), n - half), F.left(F.col("next_text"), half))).withColumn("n_chars", n.cast("long"))
-    rows = with_signature(rows.drop("text", "next_text"), "edited", "edited_sig")
-    return rows.select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), shown(F.col("sig")).alias("fingerprint"), shown(F.col("edited_sig")).alias("edited_fingerprint"),
+    edited = F.when(~F.col("is_copy"), F.concat(F.left(F.col("text"), n - half), F.left(F.col("next_text"), half)))
+    rows = rows.select("bucket", "row", "is_copy", "doc_id", n.cast("long").alias("n_chars"), "text", edited.alias("edited"))
+    rows = rows.withColumn("sha", F.sha2("edited", 256))
+    keys = ["bucket", "row", "is_copy", "doc_id", "n_chars", "sha"]
+    bodies = F.array_compact(F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("body")), F.when(~F.col("is_copy"), F.struct(F.lit(1).alias("which"), F.col("edited").alias("body")))))
+    kmers = with_kmers(rows.select(*keys, F.inline(bodies)), "body", "kmers")
+    each = signatures(kmers, [*keys, "which"], "kmers", "sig")
+    of = lambda w: F.max(F.when(F.col("which") == w, F.col("sig")))
+    both = each.groupBy(*keys).agg(of(0).alias("sig"), of(1).alias("edited_sig"))
+    line = Window.partitionBy("bucket").orderBy("row")
+    following = F.coalesce(F.lead("sig").over(line), F.first("sig").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    both = both.withColumn("next_sig", following).filter(~F.col("is_copy"))
+    return both.select(
+        "doc_id", "n_chars", F.col("sha").alias("edited_sha256"), shown(F.col("sig")).alias("fingerprint"), shown(F.col("edited_sig")).alias("edited_fingerprint"),
         likeness(F.col("sig"), F.col("edited_sig")).alias("near_edited"), likeness(F.col("sig"), F.col("next_sig")).alias("near_next"),
     )
