@@ -1,10 +1,11 @@
 """Secret scans over a trigram inverted index.
 
 From each rule's regex a Boolean trigram query is derived: every clause must hold, a clause holds if all
-trigrams of one of its strings occur. Postings (trigram, text fingerprint) of the needed trigrams are
-intersected by fingerprint; only texts in a rule's candidates are verified with its regex. A rule without
-mandatory trigrams scans all texts. Everything is a built-in function; the text itself is shuffled only if
-the candidates are too many to broadcast.
+trigrams of one of its strings occur. The index holds the postings (trigram, text fingerprint) of the needed
+trigrams. A query picks its trigrams' postings, intersects them for each string, unites the strings of a clause and
+intersects the clauses; only texts in a rule's candidates are verified with its regex. A rule without mandatory
+trigrams scans all texts. Everything is a built-in function; the text itself is shuffled only if the candidates
+are too many to broadcast. Arrays are summed up in blocks, so the work is linear in a text's matches.
 """
 
 from __future__ import annotations
@@ -102,34 +103,50 @@ def trigram_query(pattern: str, most: int = 64) -> Query:
 
 
 def postings(docs: DataFrame, trigrams: list[str], text: str = "text") -> DataFrame:
-    """(fingerprint, trigram): which of the given trigrams occur in which texts, in any letter case."""
+    """(trigram, fingerprint), each once: in which texts a trigram of the list occurs, in any letter case."""
     low = docs.select(F.xxhash64(text_of(text)).alias("fingerprint"), F.lower(text_of(text)).alias("__low"))
-    found = F.array_compact(F.array(*[F.when(F.contains("__low", F.lit(t)), F.lit(i)) for i, t in enumerate(trigrams)]))
-    return low.select("fingerprint", F.explode(found).alias("trigram"))
+    found = F.array_compact(F.array(*[F.when(F.contains("__low", F.lit(t)), F.lit(t)) for t in trigrams]))
+    return low.select(F.explode(found).alias("trigram"), "fingerprint").distinct()
 
 
 def candidates(docs: DataFrame, rules: tuple[SecretRule, ...], text: str = "text") -> tuple[DataFrame | None, list[int]]:
-    """(fingerprint, rules): the texts that satisfy the query of any rule; and which rules must scan fully."""
+    """(fingerprint, rules): the texts that satisfy the query of any rule; and which rules must scan fully.
+
+    A posting list may hold nearly all texts, so lists are intersected by counting (string, fingerprint) pairs:
+    no group holds a list.
+    """
     queries = {i: q for i, r in enumerate(rules) if (q := trigram_query(r.pattern))}
     full = [i for i in range(len(rules)) if i not in queries]
     if not queries:
         return None, full
-    trigrams = sorted({t for q in queries.values() for clause in q for strings in clause for t in strings})
-    number = {t: i for i, t in enumerate(trigrams)}
-    have = lambda strings: F.size(F.array_except(F.array(*[F.lit(number[t]) for t in strings]), F.col("__have"))) == 0
+    terms = [(t, i, c, s, len(strings)) for i, q in queries.items() for c, clause in enumerate(q) for s, strings in enumerate(clause) for t in strings]
+    query = docs.sparkSession.createDataFrame(terms, "trigram string, rule int, clause int, string int, needed int")
+    clauses = docs.sparkSession.createDataFrame([(i, len(q)) for i, q in queries.items()], "rule int, clauses int")
+    index = stored(postings(docs, sorted({t[0] for t in terms}), text), "postings")
+    # Both tables of the rules are as long as the rules' texts.
+    picked = index.join(F.broadcast(query), "trigram").groupBy("rule", "clause", "string", "needed", "fingerprint").agg(F.count(F.lit(1)).alias("n"))
+    united = picked.filter("n = needed").select("rule", "clause", "fingerprint").distinct()
+    met = united.groupBy("rule", "fingerprint").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(clauses), "rule").filter("n = clauses")
+    return met.groupBy("fingerprint").agg(F.collect_set("rule").alias("rules")), full
+
+
+def _let(value: Column, body) -> Column:
+    """Evaluate `value` once and use it in `body`."""
+    return F.transform(F.array(value), body)[0]
+
 
-    def holds(query: Query) -> Column:
-        whole = F.lit(True)
-        for clause in query:
-            any_of = F.lit(False)
-            for strings in clause:
-                any_of = any_of | have(strings)
-            whole = whole & any_of
-        return whole
+def running(values: Column, plus, block: int = 256) -> Column:
+    """Inclusive running sums of an int array under `plus`, which takes 0 as its neutral value.
 
-    each = postings(docs, trigrams, text).groupBy("fingerprint").agg(F.collect_set("trigram").alias("__have"))
-    met = F.array_compact(F.array(*[F.when(holds(q), F.lit(i)) for i, q in queries.items()]))
-    return each.select("fingerprint", met.alias("rules")).filter(F.size("rules") > 0), full
+    Appending to an array copies it, so sums run inside blocks, then over the blocks' last values.
+    """
+    none = F.expr("cast(array() as array<int>)")
+    last = lambda sums: F.coalesce(F.get(sums, F.size(sums) - 1), F.lit(0))
+    along = lambda part: F.aggregate(part, none, lambda sums, x: F.array_append(sums, plus(last(sums), x)))
+    before = lambda parts: F.aggregate(parts, F.array(F.lit(0)), lambda sums, p: F.array_append(sums, plus(last(sums), last(p))))
+    whole = lambda parts: _let(before(parts), lambda s: F.flatten(F.transform(parts, lambda p, b: F.transform(p, lambda x: plus(F.get(s, b), x)))))
+    starts = F.sequence(F.lit(0), F.floor((F.size(values) - 1) / block).cast("int"))
+    return F.when(F.size(values) > 0, _let(F.transform(starts, lambda b: along(F.slice(values, b * block + 1, F.lit(block)))), whole)).otherwise(none)
 
 
 def matches(rule: SecretRule, order: int, text: Column) -> Column:
@@ -140,16 +157,14 @@ def matches(rule: SecretRule, order: int, text: Column) -> Column:
     between, found = F.split(text, rule.pattern, -1), F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else found
     parts = F.filter(F.arrays_zip(between.alias("gap"), found.alias("hit"), value.alias("value")), lambda x: x["hit"].isNotNull())
-    none = F.expr("cast(array() as array<struct<start int, order int, end int, kind string, ok boolean>>)")
+    sizes = F.transform(parts, lambda x: F.struct(F.length(x["gap"]).alias("gap"), F.length(x["hit"]).alias("hit"), (F.length(x["value"]) >= rule.least).alias("ok")))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        span = F.struct(start.alias("start"), F.lit(order).alias("order"), end.alias("end"), F.lit(rule.kind).alias("kind"), (F.length(x["value"]) >= rule.least).alias("ok"))
-        return F.struct(end.alias("at"), F.array_append(acc["out"], span).alias("out"))
+    def spans(items: Column) -> Column:
+        ends = running(F.transform(items, lambda x: x["gap"] + x["hit"]), lambda a, b: a + b)
+        good = F.filter(F.arrays_zip(items.alias("x"), ends.alias("end")), lambda z: z["x"]["ok"])
+        return F.transform(good, lambda z: F.struct((z["end"] - z["x"]["hit"]).alias("start"), F.lit(order).alias("order"), z["end"].alias("end"), F.lit(rule.kind).alias("kind")))
 
-    spans = F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
-    return F.transform(F.filter(spans, lambda s: s["ok"]), lambda s: F.struct(s["start"].alias("start"), s["order"].alias("order"), s["end"].alias("end"), s["kind"].alias("kind")))
+    return _let(sizes, spans)
 
 
 SPANS = "array<struct<start int, order int, end int, kind string>>"
@@ -192,18 +207,28 @@ def digest(found: DataFrame, key: str = "doc_id") -> DataFrame:
     return found.select(key, *[count(k) for k in base], F.sha2(joined(own), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
-def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The columns of `docs`, with every span in the text replaced by its kind in brackets."""
+def redacted(docs: DataFrame, text: str = "text", block: int = 4096) -> DataFrame:
+    """The columns of `docs`, with every span in the text replaced by its kind in brackets.
+
+    A span that begins inside an earlier one adds nothing to it but its end. Cutting counts code points from a
+    text's start, so the text is first cut into blocks, and each part between spans is cut from its blocks.
+    """
     boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(text).alias("__body"))
     found = scanned(boxed, "__body")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        body = F.col("__body")
-        gap = F.substring(body, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        mark = F.when(s["start"] >= acc["at"], F.concat(F.lit("["), s["kind"], F.lit("]"))).otherwise("")
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap, mark).alias("out"))
-
-    ends = F.aggregate("spans", start, step)
-    clean = F.when(F.size("spans") > 0, F.transform(F.array(ends), lambda e: F.concat(e["out"], F.substring(F.col("__body"), e["at"] + 1, F.length("__body"))))[0]).otherwise(F.col("__body"))
-    return found.select(*[clean.alias(c) if c == text else F.col("__row").getField(c).alias(c) for c in docs.columns])
+    until = F.transform("spans", lambda s: s["end"])
+    found = found.select("__row", "__body", "spans", F.when(F.size("spans") > 0, running(until, lambda a, b: F.greatest(a, b))).alias("__reach"))
+    found = found.withColumn("__blocks", F.when(F.size("spans") > 0, F.regexp_extract_all("__body", F.lit(f"(?s).{{1,{block}}}"), F.lit(0))))
+
+    def between(low: Column, high: Column) -> Column:
+        at = F.floor(low / block).cast("int")
+        some = F.array_join(F.slice("__blocks", at + 1, F.floor(F.greatest(high - 1, low) / block).cast("int") - at + 1), "")
+        return F.when(high > low, F.substring(some, low - at * block + 1, high - low)).otherwise("")
+
+    def part(s: Column, i: Column) -> Column:
+        done = F.coalesce(F.get("__reach", i - 1), F.lit(0))
+        return F.when(s["start"] >= done, F.concat(between(done, s["start"]), F.lit("["), s["kind"], F.lit("]"))).otherwise("")
+
+    rest = between(F.get("__reach", F.size("__reach") - 1), F.length("__body"))
+    clean = F.when(F.size("spans") > 0, F.concat(F.array_join(F.transform("spans", part), ""), rest)).otherwise(F.col("__body"))
+    found = found.select("__row", clean.alias("__clean"))
+    return found.select(*[F.col("__clean").alias(c) if c == text else F.col("__row").getField(c).alias(c) for c in docs.columns])

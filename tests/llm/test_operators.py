@@ -483,6 +483,23 @@ def test_secrets(docs, empty):
         assert clean[i] == (wanted + t[at:] if spans_of(t) else t)
 
 
+def test_secrets_in_long_texts(spark):
+    """Thousands of matches in one text: equal to the plain version, in about proportional time."""
+    def text(n):
+        return " ".join(f"ümlaut 😀 {i:024x} token={'s' * (4 + i % 4)}" if i % 3 else f"{i:030x}" for i in range(n)) + " end"
+
+    took = {}
+    for n in (50, 6000, 24_000):
+        frame = spark.createDataFrame([(1, text(n)), (2, text(n // 2))], "doc_id long, text string")
+        began = time.perf_counter()
+        spans = {r.doc_id: [tuple(s) for s in r.spans] for r in secret_scan.scanned(frame).collect()}
+        clean = {r.doc_id: r.text for r in secret_scan.redacted(frame).collect()}
+        took[n] = time.perf_counter() - began
+        assert spans == {1: spans_of(text(n)), 2: spans_of(text(n // 2))}
+        assert clean == {1: secret(text(n)), 2: secret(text(n // 2))}
+    assert took[24_000] - took[50] < 8 * max(1.0, took[6000] - took[50])
+
+
 def test_trigram_queries_hold_for_every_match():
     samples = ["Password: hunter2", "api_key='abcdefg'", "apikey=abcdefg", "xx AKIA" + "A" * 20, "-----BEGIN PRIVATE KEY-----", "ghs_" + "z" * 40, "xoxb-123456789012", "eyJabcdefgh.eyJabcdefgh.abcdefgh", "passwd = 123456", "SECRET:abcdef", "token=abcdef"]
     for rule in secret_scan.BASE_RULES + secret_scan.MORE_RULES:
