@@ -2,9 +2,12 @@
 
 Each permutation gives two signature values, the least and the greatest hash of the set, so 80 hash
 evaluations an element give 160 values. Documents of equal sets form a class. Bands of five values put
-classes into buckets; inside a bucket, signatures that look similar enough are joined to families by
-linearly many edges; inside a family, links are confirmed on the full shingle sets. Pairs are looked at
-inside tasks and never become rows: what leaves a bucket or a family is a spanning forest.
+classes into buckets; a bucket's sets whose signatures look similar enough, and all sets of a very large
+bucket, are joined to families by linearly many edges; inside a family, links are confirmed on the full shingle
+sets. Pairs are looked at inside tasks and never become rows: what leaves a bucket or a family is a spanning
+forest, found by comparing each reached set with those not yet reached. A large family is cut into blocks that
+all see some of its members as representatives; what then isn't in the family's main component is compared with
+every member, so no link is left out and alike members cost one comparison each.
 """
 
 from __future__ import annotations
@@ -105,29 +108,44 @@ def compact(signature: np.ndarray) -> np.ndarray:
     return (signature & np.uint64(255)).astype(np.uint8)
 
 
-def _forest(alike: np.ndarray) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of a symmetric boolean matrix."""
-    left, edges = np.ones(len(alike), bool), []
-    for root in range(len(alike)):
-        if not left[root]:
-            continue
-        left[root] = False
-        todo = [root]
-        while todo:
-            a = todo.pop()
-            found = np.flatnonzero(alike[a] & left)
-            left[found] = False
-            edges += [(a, int(b)) for b in found]
-            todo += found.tolist()
+def _reached(left: np.ndarray, roots: list[int], alike) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the graph `alike(i, others) -> bool array`. A reached member is compared with the
+    members not reached yet, and only with these. `roots` are taken first."""
+    edges: list[tuple[int, int]] = []
+    waiting = list(roots)
+    left = np.setdiff1d(left, roots)
+    while left.size or waiting:
+        if not waiting:
+            waiting, left = [int(left[0])], left[1:]
+        i = waiting.pop()
+        if not left.size:
+            break
+        found = alike(i, left)
+        edges += [(i, int(j)) for j in left[found]]
+        waiting += left[found].tolist()
+        left = left[~found]
     return edges
 
 
-def _estimates(sig: np.ndarray) -> np.ndarray:
-    """Share of equal signature bytes for all pairs of a block."""
-    out = np.empty((len(sig), len(sig)), np.float32)
-    for i in range(len(sig)):
-        out[i] = (sig == sig[i]).mean(1)
-    return out
+def _likely(sig: np.ndarray, least: float):
+    return lambda i, others: (sig[others] == sig[i]).mean(1) >= least
+
+
+def _linked(sig: np.ndarray, sets: list[np.ndarray], least: float, percent: int):
+    """Links on full sets; what the signatures and the sizes rule out isn't looked at."""
+    sizes = np.array([len(x) for x in sets])
+    likely = _likely(sig, least)
+
+    def alike(i: int, others: np.ndarray) -> np.ndarray:
+        n = sizes[others]
+        out = likely(i, others) & (100 * np.minimum(n, sizes[i]) >= percent * np.maximum(n, sizes[i]))
+        some = others[out]
+        if some.size:
+            shared = np.add.reduceat(np.isin(np.concatenate([sets[j] for j in some]), sets[i]), np.cumsum(sizes[some]) - sizes[some], dtype=np.int64)
+            out[np.flatnonzero(out)] = 100 * shared >= percent * (sizes[some] + sizes[i] - shared)
+        return out
+
+    return alike
 
 
 def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -158,7 +176,8 @@ def _bounds(keys: np.ndarray) -> Iterator[tuple[int, int]]:
 class NearDedup:
     """Parameters of the operator. `likely` prefilters by the signatures: five standard deviations below
     the threshold, so that a true link passes it but for some 1e-6 of cases; candidates meet in one of
-    `bands` bands at least but for 3e-6 of the links of similarity 0.8."""
+    `bands` bands at least but for 3e-6 of the links of similarity 0.8. Families of more than `block` members
+    are confirmed in blocks of half as many, with `representatives` of them in each."""
 
     k: int = 5
     percent: int = 80
@@ -166,6 +185,7 @@ class NearDedup:
     band_rows: int = 5
     likely: float = 0.64
     block: int = 2048
+    representatives: int = 16
 
     @property
     def bands(self) -> int:
@@ -208,48 +228,79 @@ class NearDedup:
         return rows.mapInArrow(run, schema)
 
     def families(self, classes: DataFrame) -> DataFrame:
-        """Edges (a, b) between sets that share a band and whose signatures look similar enough: in each
-        bucket a spanning forest, so their number is linear in the bucket whatever it holds."""
+        """Edges (a, b) between sets that share a band: in a bucket of up to `block` sets a spanning forest of the
+        similar signatures, in a larger one all sets with its least, so edges are linear in the bucket."""
         bands = classes.select("node", F.explode("keys").alias("key"))
-        shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-        rows = self._blocks(bands.join(shared, "key"), "key").join(classes.select("node", "sig"), "node")
+        shared = stored(bands.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("first")).filter("members > 1"), "buckets")
+        rows = stored(hub_join(bands, shared, "key", "members"), "bucketed")
+        crowd = rows.filter((F.col("members") > self.block) & (F.col("node") != F.col("first"))).select(F.col("first").alias("a"), F.col("node").alias("b"))
+        few = rows.filter(F.col("members") <= self.block).join(classes.select("node", "sig"), "node")
         likely = self.likely
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for table in _groups(batches, "group"):
+            for table in _groups(batches, "key"):
                 nodes = table.column("node").to_pylist()
                 sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(nodes), -1)
                 edges: list[tuple[int, int]] = []
-                for a, b in _bounds(table.column("group").to_numpy()):
-                    edges += [(a + i, a + j) for i, j in _forest(_estimates(sig[a:b]) >= likely)]
+                for a, b in _bounds(table.column("key").to_numpy()):
+                    edges += _reached(np.arange(a, b), [], _likely(sig, likely))
                 yield _links(nodes, edges)
 
-        return _by_group(rows.select("group", "node", "sig")).mapInArrow(run, "a binary, b binary").distinct()
+        return _by_group(few.select("key", "node", "sig"), "key").mapInArrow(run, "a binary, b binary").union(crowd).distinct()
 
     def confirmed(self, members: DataFrame) -> DataFrame:
-        """Links (a, b) inside families, on full sets, down to a spanning forest of each block."""
-        rows = self._blocks(members, "family")
+        """Links (a, b) inside families, on full sets, as spanning forests. `members` has node, family, members (how
+        many the family has), sig and shingles, and is read more than once."""
+        small = members.filter(F.col("members") <= self.block).withColumn("group", F.xxhash64("family")).withColumn("role", F.lit(1))
+        links = self._verified(small)
+        if not members.filter(F.col("members") > self.block).limit(1).count():
+            return links
+        blocks = F.ceil(F.col("members") / (self.block // 2)).cast("int")
+        large = members.filter(F.col("members") > self.block).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+        first = large.filter(F.col("block") < self.representatives).groupBy("family", "block").agg(F.min("node").alias("node"))
+        chosen = large.join(stored(first, "chosen").select("node"), "node", "left_semi")
+        group = F.xxhash64("family", "block")
+        rest = large.join(chosen.select("node"), "node", "left_anti").withColumn("group", group).withColumn("role", F.lit(1))
+        every = chosen.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("group", group).withColumn("role", F.lit(0))
+        near = stored(self._verified(rest.unionByName(every)), "near")
+        part = large.select("node", "family").join(components(near), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        sizes = part.groupBy("family", "label").agg(F.count(F.lit(1)).alias("n"))
+        main = sizes.groupBy("family").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("members"), (F.sum("n") - F.max("n")).alias("loose"))
+        main = stored(main, "main")
+        loose = stored(hub_join(part, main, "family", "members").filter(F.col("label") != F.col("main")).select("node"), "loose")
+        if not loose.limit(1).count():
+            return links.union(near)
+        # Every loose set meets every set of its family: chunks of loose ones by blocks of all.
+        sized = large.join(main.select("family", F.ceil(F.col("loose") / (self.block // 2)).cast("int").alias("chunks")).filter("chunks > 0"), "family")
+        mine = sized.join(loose, "node", "left_semi")
+        chunk = F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")).cast("int")
+        group = F.xxhash64("family", "block", "chunk")
+        asking = mine.withColumn("chunk", chunk).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("role", F.lit(2))
+        asked = sized.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("role", F.lit(1))
+        return links.union(near).union(self._verified(asked.unionByName(asking).withColumn("group", group)))
+
+    def _verified(self, rows: DataFrame) -> DataFrame:
+        """Links inside groups. Rows of role 0 are compared first; where there are rows of role 2, they are compared
+        with those of role 1, and these not with each other."""
         likely, percent = self.likely, self.percent
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for table in _groups(batches, "group"):
-                nodes, sets = table.column("node").to_pylist(), [np.frombuffer(s, np.uint64) for s in table.column("shingles").to_pylist()]
+                nodes, sets = table.column("node").to_pylist(), [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
                 sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(nodes), -1)
+                role = table.column("role").to_numpy()
                 edges: list[tuple[int, int]] = []
                 for a, b in _bounds(table.column("group").to_numpy()):
-                    edges += [(a + i, a + j) for i, j in _verified(sig[a:b], sets[a:b], likely, percent)]
+                    alike = _linked(sig[a:b], sets[a:b], likely, percent)
+                    mine = role[a:b]
+                    if (mine == 2).any():
+                        found = [(int(i), int(j)) for i in np.flatnonzero(mine == 2) for j in np.flatnonzero(mine == 1)[alike(i, np.flatnonzero(mine == 1))]]
+                    else:
+                        found = _reached(np.arange(b - a), np.flatnonzero(mine == 0).tolist(), alike)
+                    edges += [(a + i, a + j) for i, j in _spanning(found)]
                 yield _links(nodes, edges)
 
-        return _by_group(rows.select("group", "node", "sig", "shingles")).mapInArrow(run, "a binary, b binary").distinct()
-
-    def _blocks(self, rows: DataFrame, key: str) -> DataFrame:
-        """Add `group`. A key of more than `block` members is cut into hashed blocks, and every pair of
-        blocks makes a group, so that each pair of members still meets and no group grows with the key."""
-        blocks = F.ceil(F.col("members") / (self.block // 2)).cast("int")
-        mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
-        pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.xxhash64(F.col(key), F.least(mine, o), F.greatest(mine, o)))
-        small = F.array(F.xxhash64(F.col(key)))
-        return rows.withColumn("group", F.explode(F.when(F.col("members") <= self.block, small).otherwise(pairs)))
+        return _by_group(rows.select("group", "role", "node", "sig", "shingles"), "group").mapInArrow(run, "a binary, b binary").distinct()
 
     def labelled(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         """(doc_id, text_hash, n_shingles, node, class_size, label, component_id, kept) for every row.
@@ -261,17 +312,17 @@ class NearDedup:
         profiles = stored(self.profiles(docs, key, text), "profiles")
         classes = stored(profiles.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("class_size"), F.first("keys").alias("keys"), F.first("sig").alias("sig")), "classes")
         family = components(stored(self.families(classes), "likely"))
-        sizes = family.groupBy("label").agg(F.count(F.lit(1)).alias("members"))
-        members = stored(family.join(sizes, "label").select("node", F.col("label").alias("family"), "members").join(classes.select("node", "least", "sig"), "node"), "members")
+        sizes = stored(family.groupBy("label").agg(F.count(F.lit(1)).alias("members")), "family_sizes")
+        members = hub_join(family, sizes, "label", "members").select("node", F.col("label").alias("family"), "members")
+        members = stored(members.join(classes.select("node", "least", "sig"), "node"), "members")
         wanted = members.select(F.col("least").alias("__least")).distinct()
         wanted = F.broadcast(wanted) if rows_in(members) <= 400_000 else wanted
         texts = docs.join(wanted, F.col(key).eqNullSafe(F.col("__least")), "left_semi")
         sets = self.profiles(texts, key, text, sets=True).dropDuplicates(["node"])
-        links = stored(self.confirmed(members.join(sets, "node")), "links")
-        label = components(links)
-        joined = classes.select("node", "least", "class_size").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        least = joined.groupBy("label").agg(F.min("least").alias("component_id"))
-        named = joined.join(least, "label").select("node", "class_size", "label", "component_id")
+        links = stored(self.confirmed(stored(members.join(sets, "node"), "sets")), "links")
+        joined = classes.select("node", "least", "class_size").join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        least = stored(joined.groupBy("label").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("classes")), "components")
+        named = hub_join(joined, least, "label", "classes").select("node", "class_size", "label", "component_id")
         out = profiles.select("doc_id", "text_hash", "n_shingles", "node").join(named, "node", "left")
         out = out.withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
         return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -292,23 +343,22 @@ class NearDedup:
         return rows.dropDuplicates([key, "__own_hash"]).drop("__own_hash").union(docs.filter(nameless))
 
 
-def _verified(sig: np.ndarray, sets: list[np.ndarray], likely: float, percent: int) -> list[tuple[int, int]]:
-    """Links of a block that join parts not yet joined: each pair is looked at until its parts are one."""
-    n = len(sets)
-    sizes = np.array([len(s) for s in sets])
-    part = np.arange(n)
-    edges = []
-    estimate = _estimates(sig)
-    for i in range(n):
-        near = (estimate[i] >= likely) & (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i]))
-        near[: i + 1] = False
-        for j in np.flatnonzero(near)[np.argsort(-estimate[i][near], kind="stable")].tolist():
-            if part[i] != part[j]:
-                both = np.intersect1d(sets[i], sets[j], assume_unique=True).size
-                if 100 * both >= percent * (sizes[i] + sizes[j] - both):
-                    edges.append((i, j))
-                    part[part == part[j]] = part[i]
-    return edges
+def _spanning(edges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The edges that join parts not joined by earlier ones."""
+    parent: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
+        return x
+
+    out = []
+    for i, j in edges:
+        a, b = top(i), top(j)
+        if a != b:
+            parent[b] = a
+            out.append((i, j))
+    return out
 
 
 def _links(nodes: list[bytes], edges: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -316,8 +366,24 @@ def _links(nodes: list[bytes], edges: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([a for a, _ in ordered], pa.binary()), pa.array([b for _, b in ordered], pa.binary())], ["a", "b"])
 
 
-def _by_group(rows: DataFrame) -> DataFrame:
-    return rows.repartition("group").sortWithinPartitions("group")
+def _by_group(rows: DataFrame, group: str) -> DataFrame:
+    return rows.repartition(group).sortWithinPartitions(group)
+
+
+def hub_join(rows: DataFrame, facts: DataFrame, key: str, count: str, hub_rows: int = 2000, salts: int = 64, broadcast_rows: int = 400_000) -> DataFrame:
+    """Inner join with one row of `facts` for each key, whose column `count` says how many rows have that key.
+
+    Keys of more than `hub_rows` rows are dealt to `salts` tasks and their facts copied so often. Which keys these
+    are is broadcast, if they are few enough; they are at most rows / hub_rows.
+    """
+    hubs = facts.filter(F.col(count) > hub_rows).select(key)
+    n = rows_in(hubs)
+    if not n or n > broadcast_rows:
+        return rows.join(facts, key)
+    spread = F.pmod(F.xxhash64(*[c for c in rows.columns if c != key]), F.lit(salts)).cast("int")
+    dealt = rows.join(F.broadcast(hubs.withColumn("__hub", F.lit(True))), key, "left").withColumn("__salt", F.when(F.col("__hub"), spread).otherwise(0)).drop("__hub")
+    copies = facts.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.when(F.col(count) > hub_rows, salts - 1).otherwise(0))))
+    return dealt.join(copies, [key, "__salt"]).drop("__salt")
 
 
 def contracted(edges: DataFrame) -> DataFrame:
@@ -353,10 +419,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     now, seen = edges.select("a", "b"), None
     for round_ in range(most_rounds):
-        now = contracted(now)
+        now = stored(contracted(now), f"contracted{round_}")
         both = now.union(now.select("b", "a"))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.join(least, "a").filter("b > a and b != m").select(F.col("b").alias("u"), F.col("m").alias("v")).distinct()
+        least = stored(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), F.count(F.lit(1)).alias("degree")), f"least{round_}")
+        large = hub_join(both, least, "a", "degree").filter("b > a and b != m").select(F.col("b").alias("u"), F.col("m").alias("v")).distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.explode(F.array(F.struct(F.col("u").alias("a"), F.col("m").alias("b")), F.struct(F.col("v").alias("a"), F.col("m").alias("b")))).alias("e"))
         now = stored(small.select("e.a", "e.b").filter("a != b").distinct(), f"round{round_}")
