@@ -176,8 +176,8 @@ def _bounds(keys: np.ndarray) -> Iterator[tuple[int, int]]:
 class NearDedup:
     """Parameters of the operator. `likely` prefilters by the signatures: five standard deviations below
     the threshold, so that a true link passes it but for some 1e-6 of cases; candidates meet in one of
-    `bands` bands at least but for 3e-6 of the links of similarity 0.8. Families of more than `block` members
-    are confirmed in blocks of half as many, with `representatives` of them in each."""
+    `bands` bands at least but for 3e-6 of the links of similarity 0.8. Buckets of more than `crowd` sets are
+    families as they are; families of more than `block` members are confirmed in blocks of half as many, with `representatives` of them in each."""
 
     k: int = 5
     percent: int = 80
@@ -185,6 +185,7 @@ class NearDedup:
     band_rows: int = 5
     likely: float = 0.64
     block: int = 2048
+    crowd: int = 256
     representatives: int = 16
 
     @property
@@ -228,13 +229,13 @@ class NearDedup:
         return rows.mapInArrow(run, schema)
 
     def families(self, classes: DataFrame) -> DataFrame:
-        """Edges (a, b) between sets that share a band: in a bucket of up to `block` sets a spanning forest of the
+        """Edges (a, b) between sets that share a band: in a bucket of up to `crowd` sets a spanning forest of the
         similar signatures, in a larger one all sets with its least, so edges are linear in the bucket."""
         bands = classes.select("node", F.explode("keys").alias("key"))
         shared = stored(bands.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("first")).filter("members > 1"), "buckets")
         rows = stored(hub_join(bands, shared, "key", "members"), "bucketed")
-        crowd = rows.filter((F.col("members") > self.block) & (F.col("node") != F.col("first"))).select(F.col("first").alias("a"), F.col("node").alias("b"))
-        few = rows.filter(F.col("members") <= self.block).join(classes.select("node", "sig"), "node")
+        crowd = rows.filter((F.col("members") > self.crowd) & (F.col("node") != F.col("first"))).select(F.col("first").alias("a"), F.col("node").alias("b"))
+        few = rows.filter(F.col("members") <= self.crowd).join(classes.select("node", "sig"), "node")
         likely = self.likely
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

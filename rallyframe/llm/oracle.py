@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from . import quality, secret_scan, warc
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -49,7 +51,8 @@ FROM s JOIN (SELECT doc_id, min(reach) AS component_id FROM r GROUP BY doc_id) c
 
 
 def secret_sql() -> str:
-    rules = secret_scan.BASE_RULES + secret_scan.MORE_RULES
+    # This engine counts to 1000 in all; it needs no bound, as it takes no stack.
+    rules = [replace(r, pattern=r.pattern.replace("{1,1000}", "+")) for r in secret_scan.BASE_RULES + secret_scan.MORE_RULES]
     scans = " UNION ALL ".join(
         f"SELECT rid, {i} AS ord, '{r.kind}' AS kind, {r.least} AS least, regexp_extract_all(t, {_quoted(r.pattern)}, 0) AS f, regexp_extract_all(t, {_quoted(r.pattern)}, {r.group}) AS v, string_split_regex(t, {_quoted(r.pattern)}) AS g FROM d WHERE regexp_matches(t, {_quoted(r.pattern)})"
         for i, r in enumerate(rules)
@@ -72,12 +75,12 @@ WITH u AS (SELECT page_id, sha1(coalesce(html, '')) AS digest, regexp_replace(re
 c AS (SELECT page_id, digest, regexp_extract(rest, '^([^/?]*)', 1) AS host, regexp_replace(rest, '^[^/?]*', '') AS tail FROM u),
 n AS (SELECT page_id, digest, regexp_replace(translate(host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '^www\.', '') ||
  regexp_replace(regexp_replace(regexp_replace(tail, '([?&])utm_[^&]*(&|$)', '\1', 'g'), '[?&]+$', ''), '/+(\?|$)', '\1', 'g') AS canonical FROM c),
-a AS (SELECT page_id, digest, canonical, after, page_id || '-' || after AS record_id, 10 * page_id + after AS ts,
- CASE WHEN after = 0 THEN 'W/' || digest[1:12] WHEN after = 7 AND page_id % 5 = 0 THEN 'W/other' WHEN page_id % 7 = 0 THEN NULL ELSE 'W/' || digest[1:12] END AS etag FROM n, (VALUES (0), (7), (1000)) AS v(after)),
-j AS (SELECT x.*, (SELECT max(struct_pack(t := y.ts, r := y.record_id, e := y.etag, d := y.digest)) FROM a y WHERE y.after = 0 AND y.canonical = x.canonical AND y.ts < x.ts) AS p FROM a x),
-o AS (SELECT *, CASE WHEN after = 0 THEN 'response' WHEN p IS NULL THEN 'no_earlier' WHEN etag IS NOT NULL AND etag <> p.e THEN 'changed' WHEN etag IS NULL THEN 'unvalidated' ELSE 'resolved' END AS outcome FROM j)
-SELECT record_id, canonical, outcome, CASE WHEN outcome = 'resolved' THEN p.r END AS resolved_id, CASE WHEN outcome = 'resolved' THEN p.d END AS resolved_digest,
- {"ts" if merged else "CASE WHEN outcome = 'resolved' THEN p.t ELSE ts END"}::VARCHAR AS merged_date, CASE WHEN outcome IN ('resolved', 'response') THEN 'text/html' ELSE 'text/plain' END AS merged_type FROM o"""
+a AS (SELECT page_id, digest, canonical, after, page_id || '-' || after AS record_id, 10 * page_id + after AS ts, CASE WHEN page_id % 4 <> 0 THEN page_id + CASE WHEN after = 1000 AND page_id % 11 = 0 THEN 1 ELSE 0 END END AS day,
+ CASE WHEN after = 7 AND page_id % 5 = 0 THEN 'other' WHEN after = 1000 AND page_id % 7 = 0 THEN NULL ELSE digest[1:12] END AS tag FROM n, (VALUES (0), (7), (1000)) AS v(after)),
+j AS (SELECT x.*, (SELECT max(struct_pack(t := y.ts, r := y.record_id, e := y.tag, m := y.day, d := y.digest)) FROM a y WHERE y.after = 0 AND y.canonical = x.canonical AND y.ts < x.ts) AS p FROM a x),
+o AS (SELECT *, CASE WHEN after = 0 THEN 'response' WHEN p IS NULL THEN 'no_earlier' WHEN coalesce(tag <> p.e, false) OR coalesce(day <> p.m, false) THEN 'changed' WHEN (tag = p.e) IS NULL AND (day = p.m) IS NULL THEN 'unvalidated' ELSE 'resolved' END AS outcome FROM j)
+SELECT record_id, canonical, outcome, CASE WHEN outcome = 'resolved' THEN p.r END AS resolved_id, CASE WHEN outcome = 'resolved' THEN p.d END AS resolved_digest, {'ts' if merged else "CASE WHEN outcome = 'resolved' THEN p.t ELSE ts END"}::VARCHAR AS merged_date,
+ CASE WHEN outcome IN ('resolved', 'response') THEN 'text/html' ELSE 'text/plain' END AS merged_type, CASE WHEN outcome IN ('resolved', 'response') THEN 'one' ELSE 'two' END AS merged_server, 'max-age=' || after AS merged_cache, CASE WHEN after = 1000 THEN ts::VARCHAR END AS merged_expires FROM o"""
 
 
 ORACLE_SQL = {

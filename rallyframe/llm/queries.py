@@ -28,7 +28,8 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = warc.resolved(warc.captures(spark.read.parquet(f"{sf_dir}/pages.parquet")))
-    return rows.select("record_id", "canonical", "outcome", "resolved_id", "resolved_digest", F.try_element_at("merged_headers", F.lit("date")).alias("merged_date"), F.try_element_at("merged_headers", F.lit("content-type")).alias("merged_type"))
+    headers = [F.try_element_at("merged_headers", F.lit(h)).alias(c) for h, c in (("date", "merged_date"), ("content-type", "merged_type"), ("server", "merged_server"), ("cache-control", "merged_cache"), ("expires", "merged_expires"))]
+    return rows.select("record_id", "canonical", "outcome", "resolved_id", "resolved_digest", *headers)
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

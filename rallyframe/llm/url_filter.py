@@ -14,17 +14,12 @@ from .common import ascii_lower
 # Fixed values: (verdict, host with its path); the longest that fits decides.
 URL_RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 
-# The labelled URL table, host names with the verdict for them.
-BLOCKED_HOSTS = (
-    "ads-track.example.com free-bets.example.net cheap-pills.example.net spam-farm.example.org casino-win.example.net adult-x.example.com "
-    "ad-tracker.example.org best-bets.example.com pills-shop.example.org spam-links.example.com casino-bonus.example.org adult-cams.example.net"
-).split()
-ALLOWED_HOSTS = (
-    "news.example.com library.example.org weather.example.net city-hall.example.org open-maps.example.com museum.example.net "
-    "university.example.org recipes.example.com gardens.example.net science.example.org history.example.com thtion.example.net "
-    "therin.example.com ththan.example.org tionble.example.net anering.example.com"
-).split()
-LABELLED_PATHS = ("", "/", "/en/12", "/fr/7/", "/de/305.html", "/es/88?page=2&ref=x", "/en/410#top", "/fr/9?utm_source=feed")
+# Words of the labelled URL table. A URL is to be blocked if its host or its path has a blocked word.
+BLOCKED_HOSTS = "ads-track free-bets cheap-pills spam-farm casino-win adult-x ad-tracker best-bets pills-shop spam-links casino-bonus adult-cams".split()
+ALLOWED_HOSTS = "news library weather city-hall open-maps museum university recipes gardens science history archive theatre railway hospital school".split()
+BLOCKED_PATHS = "casino/bonus bets/free pills/cheap adult/cams spam/links ads/click win/jackpot loans/fast".split()
+ALLOWED_PATHS = "en/articles fr/histoire de/nachrichten es/noticias docs/guide events/2024 maps/city about/team".split()
+DOMAINS = ("example.com", "example.net", "example.org")
 
 
 def parsed(url: Column) -> tuple[Column, Column]:
@@ -51,15 +46,22 @@ def grams(host: Column, path: Column, sizes: tuple[int, ...] = (3, 4)) -> Column
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """(url, label) with label 1.0 for block: every labelled host with every path, some 230 rows."""
-    rows = [(f"https://{h}{p}", label) for hosts, label in ((BLOCKED_HOSTS, 1.0), (ALLOWED_HOSTS, 0.0)) for h in hosts for p in LABELLED_PATHS]
+    """(url, label) with label 1.0 for block: every host word with every path word and with bare and numbered
+    paths, some 520 rows. Host and path decide together, so the n-grams of both carry the label."""
+    rows = []
+    for i, host in enumerate([*BLOCKED_HOSTS, *ALLOWED_HOSTS]):
+        bad = host in BLOCKED_HOSTS
+        site = f"https://{host}.{DOMAINS[i % len(DOMAINS)]}"
+        rows += [(f"{site}{p}", float(bad)) for p in ("", "/", f"/{i}.html", f"/en/{i}")]
+        rows += [(f"{site}/{p}/{i}", 1.0) for p in BLOCKED_PATHS] + [(f"{site}/{p}/{i}", float(bad)) for p in ALLOWED_PATHS]
     return spark.createDataFrame(rows, "url string, label double")
 
 
 def trained(labelled: DataFrame, dim: int = 4096, reg: float = 0.001, max_iter: int = 60, max_rows: int = 100_000) -> PipelineModel:
-    """Fit on at most `max_rows` labelled rows (a bound on the label table, not on what is judged)."""
+    """Fit on at most `max_rows` labelled rows, those of the least hash of their URL (a bound on the label table, not
+    on what is judged)."""
     host, path = parsed(F.col("url"))
-    rows = labelled.filter("label is not null").limit(max_rows).select(grams(host, path).alias("__grams"), F.col("label"))
+    rows = labelled.filter("label is not null").orderBy(F.xxhash64("url"), "url", "label").limit(max_rows).select(grams(host, path).alias("__grams"), F.col("label"))
     hashing = HashingTF(inputCol="__grams", outputCol="__features", numFeatures=dim, binary=True)
     line = LogisticRegression(featuresCol="__features", labelCol="label", predictionCol="__class", probabilityCol="__probability", rawPredictionCol="__raw", regParam=reg, maxIter=max_iter)
     return PipelineModel([hashing, line.fit(hashing.transform(rows.coalesce(1)))])
