@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import f_beta, inside, is_hit
+from .ranks import percentiles
 
 # The thresholds that the sweep tries.
 GLOBAL_THRESHOLDS = (0.02, 0.03, 0.04, 0.05, 0.06, 0.075, 0.10, 0.125, 0.15, 0.20, 0.25)
@@ -44,22 +45,26 @@ def stage_metrics(valid: Column, error: Column) -> list[Column]:
     return [
         F.count(F.lit(1)).alias("frames"), seen.alias("visible_frames"), shown.alias("valid_frames"), F.count_if(valid & ~visible).alias("invisible_valid"),
         F.count_if(hit).alias("raw_hits"), tp.alias("valid_hits"), precision.alias("precision"), recall.alias("recall"), F.round(f_beta(precision, recall), 6).alias("f1"),
-        F.round(F.percentile(F.when(visible, error), 0.5), 6).alias("raw_median_error"), F.round(F.percentile(F.when(valid & visible, error), 0.5), 6).alias("valid_median_error"), F.round(F.percentile(F.when(valid & visible, error), 0.9), 6).alias("valid_p90_error"),
     ]
 
 
 def grouped_stage_metrics(predictions: DataFrame, global_min: float = 0.15, local_min: float = 0.04) -> DataFrame:
-    """Both stages by frame rate, by match and over all, in one aggregation over grouping sets."""
+    """Both stages by frame rate, by match and over all: counts in one aggregation, error percentiles by ranks."""
     stages = F.array(
         F.struct(F.lit("global").alias("stage"), F.coalesce((F.col("global_conf") >= global_min) & in_image("global"), F.lit(False)).alias("valid"), F.col("global_error").alias("error")),
         F.struct(F.lit("refined").alias("stage"), strict_refined_valid(global_min, local_min).alias("valid"), F.col("refined_error").alias("error")),
     )
-    rows = predictions.select("visible", "fps_nominal", F.col("match_id").cast("string").alias("match_id"), F.inline(stages))
-    sets = rows.groupingSets([["stage", "fps_nominal"], ["stage", "match_id"], ["stage"]], "stage", "fps_nominal", "match_id")
-    out = sets.agg(*stage_metrics(F.col("valid"), F.col("error")), F.grouping("fps_nominal").alias("__f"), F.grouping("match_id").alias("__m"))
-    name = F.when(F.col("__f") == 0, "fps").when(F.col("__m") == 0, "match").otherwise("all")
-    value = F.when(F.col("__f") == 0, F.col("fps_nominal")).when(F.col("__m") == 0, F.col("match_id")).otherwise("all")
-    return out.withColumn("grouping", name).withColumn("value", value).drop("__f", "__m", "fps_nominal", "match_id")
+    views = [("fps", F.col("fps_nominal")), ("match", F.col("match_id").cast("string")), ("all", F.lit("all"))]
+    groups = F.array(*[F.struct(F.lit(n).alias("grouping"), v.alias("value")) for n, v in views])
+    rows = predictions.select("*", F.inline(stages)).select("visible", "stage", "valid", "error", F.inline(groups))
+    keys = ["stage", "grouping", "value"]
+    errors = rows.filter("visible and error is not null")
+    raw = percentiles(errors, keys, "error", {"raw_median_error": 0.5})
+    shown = percentiles(errors.filter("valid"), keys, "error", {"valid_median_error": 0.5, "valid_p90_error": 0.9})
+    out = rows.groupBy(*keys).agg(*stage_metrics(F.col("valid"), F.col("error"))).withColumnsRenamed({k: f"__{k}" for k in keys})
+    for more in (raw, shown):
+        out = out.join(more, [F.col(f"__{k}").eqNullSafe(F.col(k)) for k in keys], "left").drop(*keys)
+    return out.withColumnsRenamed({f"__{k}": k for k in keys}).withColumns({c: F.round(c, 6) for c in ("raw_median_error", "valid_median_error", "valid_p90_error")})
 
 
 def transitions(predictions: DataFrame) -> DataFrame:

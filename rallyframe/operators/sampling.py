@@ -15,13 +15,25 @@ ORDER = ("clip_id", "frame", "rank", "candidate_id")
 def numbered(rows: DataFrame, order: tuple[str, ...], name: str, parts: tuple[str, ...], within: tuple[str, ...] = ()) -> DataFrame:
     """Number rows 0..n-1 in each `within`, over a total order that begins with `parts`, without a task for all rows.
 
-    Rows are numbered inside their part; the counts of the earlier parts, a row for each, are added.
+    Rows are numbered inside their part, and the counts of earlier parts are added level by level: parts under the
+    same leading columns, then these under theirs. A last part that is a number gets a level of 1000 of them, so
+    no window holds the parts of a large group. Parts aren't null.
     """
     keys = [*within, *parts]
     local = F.row_number().over(Window.partitionBy(*keys).orderBy(*[c for c in order if c not in keys])) - 1
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    earlier = Window.partitionBy(*within).orderBy(*parts).rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select(*keys, F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    levels = list(parts)
+    if dict(counts.dtypes)[parts[-1]] in ("int", "bigint"):
+        counts = counts.withColumn("__thousand", F.expr(f"`{parts[-1]}` div 1000"))
+        levels.insert(len(parts) - 1, "__thousand")
+    before = counts.withColumn("__before", F.lit(0).cast("bigint"))
+    for i, level in enumerate(levels):
+        lead = [*within, *levels[:i]]
+        sums = counts.groupBy(*lead, level).agg(F.sum("__n").alias("__sum"))
+        earlier = Window.partitionBy(*lead).orderBy(level).rowsBetween(Window.unboundedPreceding, -1)
+        more = sums.select(*lead, level, F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__more"))
+        before = before.join(more, [*lead, level]).withColumn("__before", F.col("__before") + F.col("__more")).drop("__more")
+    before = before.select(*keys, "__before")
     return rows.withColumn("__local", local).join(before, keys).withColumn(name, F.col("__before") + F.col("__local")).drop("__local", "__before")
 
 
@@ -42,14 +54,23 @@ def round_robin(rows: DataFrame, budget: int) -> DataFrame:
     and only the last depth is ordered to be cut.
     """
     depth = F.row_number().over(Window.partitionBy("clip_id", "frame").orderBy("rank", "candidate_id")) - 1
-    return rows.withColumn("depth", depth).orderBy("depth", "clip_id", "frame").limit(budget)
+    deep = rows.withColumn("depth", depth)
+    # A row for each depth: as many as the fullest frame has rows.
+    left = budget
+    for r in sorted(deep.groupBy("depth").agg(F.count(F.lit(1)).alias("n")).collect()):
+        if r["n"] > left:
+            last = deep.filter(F.col("depth") == r["depth"]).orderBy("clip_id", "frame").limit(left)
+            return deep.filter(F.col("depth") < r["depth"]).union(last)
+        left -= r["n"]
+    return deep
 
 
 def bucketed_round_robin(rows: DataFrame, bucket: str, order: tuple[str, ...], buckets: tuple[str, ...], budget: int) -> DataFrame:
-    """One row of each bucket a pass, buckets in the given order."""
-    place = F.row_number().over(Window.partitionBy(bucket).orderBy(*order)) - 1
+    """One row of each bucket a pass, buckets in the given order. A task sorts no more of a bucket than the budget."""
+    place = F.row_number().over(Window.partitionBy(bucket).orderBy(*order))
     at = F.array_position(F.array(*[F.lit(b) for b in buckets]), F.col(bucket))
-    return rows.withColumn("pass", place).withColumn("__b", at).filter((F.col("__b") > 0) & (F.col("pass") < budget)).orderBy("pass", "__b").limit(budget).drop("__b")
+    some = rows.filter(F.col(bucket).isin(*buckets)).withColumn("__place", place).filter(F.col("__place") <= budget)
+    return some.withColumn("pass", F.col("__place") - 1).orderBy("pass", at).limit(budget).drop("__place")
 
 
 def even_indices(n: Column, k: int, to_nearest: bool = False) -> Column:
@@ -102,7 +123,9 @@ def oversampled(rows: DataFrame, flag: str, share: float, order: tuple[str, ...]
     if not have:
         return rows.withColumn("copy", F.lit(1))
     whole = flagged.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(wanted // have))))
-    more = flagged.orderBy(F.xxhash64(*order), *order).limit(wanted % have).withColumn("copy", F.lit(wanted // have + 1))
+    hashed = flagged.withColumn("__hash", F.xxhash64(*order)).withColumn("__part", F.shiftright("__hash", 44))
+    turns = numbered(hashed, ("__part", "__hash", *order), "__turn", ("__part",))
+    more = turns.filter(F.col("__turn") < wanted % have).drop("__hash", "__part", "__turn").select(*rows.columns).withColumn("copy", F.lit(wanted // have + 1))
     return rows.filter(~F.col(flag)).withColumn("copy", F.lit(1)).unionByName(whole).unionByName(more)
 
 

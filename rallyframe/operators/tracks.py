@@ -125,13 +125,24 @@ def links(candidates: DataFrame, max_gap: int = 2, max_jump: float = 58.0, cuts:
 
 
 def overlaps(members: DataFrame, set_key: str, item: str, within: str, least: float = 0.65) -> DataFrame:
-    """Pairs of sets in the same group whose shared items are at least a part of the smaller set."""
+    """Pairs of sets in the same group whose shared items are at least a part of the smaller set.
+
+    A set of n items that shares p of them has a shared one among any n - p + 1 of its own: only the rarest of the
+    smaller set's items look for partners, and a pair that is found is counted on its items.
+    """
     sized = members.select(within, set_key, item).distinct()
     sizes = sized.groupBy(within, set_key).agg(F.count(F.lit(1)).alias("size"))
+    often = sized.groupBy(within, item).agg(F.count(F.lit(1)).alias("__often"))
     rows = sized.join(sizes, [within, set_key])
-    a, b = rows.select(within, item, F.col(set_key).alias("a"), F.col("size").alias("na")), rows.select(within, item, F.col(set_key).alias("b"), F.col("size").alias("nb"))
-    pairs = a.join(b, [within, item]).filter("a < b").groupBy(within, "a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    return pairs.withColumn("overlap", F.round(F.col("shared") / F.least("na", "nb"), 6)).filter(F.col("overlap") >= least).drop("na", "nb")
+    place = F.row_number().over(Window.partitionBy(within, set_key).orderBy("__often", item))
+    rare = rows.join(often, [within, item]).withColumn("__place", place).filter(F.col("__place") <= F.col("size") - F.ceil(F.lit(least - 1e-6) * F.col("size")) + 1)
+    smaller = rare.select(within, item, F.col(set_key).alias("s"), F.col("size").alias("ns"))
+    larger = rows.select(within, item, F.col(set_key).alias("t"), F.col("size").alias("nt"))
+    found = smaller.join(larger, [within, item]).filter("s != t and ns <= nt").select(within, F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b"), F.least("ns", "nt").alias("n")).distinct()
+    mine = found.join(sized.select(within, F.col(set_key).alias("a"), item), [within, "a"])
+    both = mine.join(sized.select(within, F.col(set_key).alias("b"), item), [within, "b", item])
+    pairs = both.groupBy(within, "a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first("n").alias("n"))
+    return pairs.withColumn("overlap", F.round(F.col("shared") / F.col("n"), 6)).filter(F.col("overlap") >= least).drop("n")
 
 
 def triplets(frames: DataFrame, key: str = "clip_id") -> DataFrame:
@@ -189,13 +200,26 @@ def histories(frames: DataFrame, length: int = 9, key: str = "clip_id") -> DataF
     return rows.filter((F.size("history") == length) & (F.get("history", 0) == F.col("frame") - (length - 1)))
 
 
-def islands(rows: DataFrame, key: str, order: str, flag: str) -> DataFrame:
-    """Longest run of true and of false for each key (gaps and islands)."""
-    w = Window.partitionBy(key).orderBy(order)
-    group = F.row_number().over(w) - F.row_number().over(Window.partitionBy(key, flag).orderBy(order))
-    runs = rows.withColumn("__g", group).groupBy(key, flag, "__g").agg(F.count(F.lit(1)).alias("n"))
+def islands(rows: DataFrame, key: str, order: str, flag: str, span: int = 4096) -> DataFrame:
+    """Longest run of true and of false for each key (gaps and islands), rows with a null flag left out.
+
+    Runs are found inside spans of the numeric order. Only a span's first and last run can go on in the next one:
+    these, two a span, are joined over the whole key.
+    """
+    rows = rows.filter(F.col(flag).isNotNull()).withColumn("__span", F.floor(F.col(order) / span))
+    w = Window.partitionBy(key, "__span").orderBy(order)
+    group = F.row_number().over(w) - F.row_number().over(Window.partitionBy(key, "__span", flag).orderBy(order))
+    runs = rows.withColumn("__g", group).groupBy(key, "__span", flag, "__g").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("__from"))
+    inside = Window.partitionBy(key, "__span")
+    runs = runs.withColumn("__first", F.col("__from") == F.min("__from").over(inside)).withColumn("__last", F.col("__from") == F.max("__from").over(inside))
+    edge = F.col("__first") | F.col("__last")
+    line = Window.partitionBy(key).orderBy("__from")
+    goes_on = F.col("__first") & F.lag("__last").over(line) & (F.lag(flag).over(line) == F.col(flag))
+    edges = runs.filter(edge).withColumn("__on", F.coalesce(goes_on, F.lit(False)))
+    joined = edges.withColumn("__run", F.count_if(~F.col("__on")).over(line.rowsBetween(Window.unboundedPreceding, 0))).groupBy(key, flag, "__run").agg(F.sum("n").alias("n"))
+    whole = joined.select(key, flag, "n").union(runs.filter(~edge).select(key, flag, "n"))
     longest = lambda v: F.coalesce(F.max(F.when(F.col(flag) == v, F.col("n"))), F.lit(0))
-    return runs.groupBy(key).agg(longest(True).alias("longest_true"), longest(False).alias("longest_false"))
+    return whole.groupBy(key).agg(longest(True).alias("longest_true"), longest(False).alias("longest_false"))
 
 
 def neighbours(candidates: DataFrame, radii: tuple[int, ...] = (20, 40, 80)) -> DataFrame:

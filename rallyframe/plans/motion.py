@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars, scores
-from ..operators import pixels, sampling, scene, tracklets, tracks
+from ..operators import pixels, ranks, sampling, scene, tracklets, tracks
 from ..sources import views
 from ..sources.views import CAND, FRAMES, GT, POINTS, sql
 from ..streaming import sessions
@@ -118,10 +118,9 @@ def run_summary(spark, sf_dir):
 @query(sql("SELECT event_type, round(min(x), 6) AS low, round(max(x) FILTER (WHERE r = round_even((n - 1) * 0.5, 0) + 1), 6) AS p50, round(max(x) FILTER (WHERE r = round_even((n - 1) * 0.9::DOUBLE, 0) + 1), 6) AS p90, round(max(x), 6) AS high, round(max(lin), 6) AS linear_p90 FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY x, frame) AS r, count(*) OVER (PARTITION BY event_type) AS n, quantile_cont(x, 0.9) OVER (PARTITION BY event_type) AS lin FROM points) GROUP BY event_type", POINTS))
 def distributions(spark, sf_dir):
     """Nearest-rank percentiles beside the interpolated one."""
-    w = Window.partitionBy("event_type")
-    rows = views.points(spark, sf_dir).withColumn("r", F.row_number().over(w.orderBy("x", "frame"))).withColumn("n", F.count(F.lit(1)).over(w))
-    near = lambda p: F.round(F.max(F.when(F.col("r") == F.bround((F.col("n") - 1) * p) + 1, F.col("x"))), 6)
-    return rows.groupBy("event_type").agg(F.round(F.min("x"), 6).alias("low"), near(0.5).alias("p50"), near(0.9).alias("p90"), F.round(F.max("x"), 6).alias("high"), F.round(F.percentile("x", 0.9), 6).alias("linear_p90"))
+    wanted = {"low": 0.0, "p50": 0.5, "p90": 0.9, "high": 1.0, "linear_p90": 0.9}
+    out = ranks.percentiles(views.points(spark, sf_dir), ["event_type"], "x", wanted, nearest=("low", "p50", "p90", "high"))
+    return out.select("event_type", *[F.round(c, 6).alias(c) for c in wanted])
 
 
 @query(sql("SELECT clip_id, a_candidate_id, b_candidate_id, frame_delta, round(jump, 6) AS jump FROM (SELECT a.clip_id, a.candidate_id AS a_candidate_id, b.candidate_id AS b_candidate_id, b.frame - a.frame AS frame_delta, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS jump FROM seg a JOIN seg b ON a.clip_id = b.clip_id AND b.frame BETWEEN a.frame + 1 AND a.frame + 3 WHERE a.frame // 50 = b.frame // 50) WHERE jump / frame_delta <= 58", CAND, SEG))
