@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars, scores
-from ..operators import pixels, ranks, sampling, scene, tracklets, tracks
+from ..operators import pixels, ranks, records, sampling, scene, tracklets, tracks
 from ..sources import views
 from ..sources.views import CAND, FRAMES, GT, POINTS, sql
 from ..streaming import sessions
@@ -425,7 +425,8 @@ def preferred_files(spark, sf_dir):
 def metrics_with_fallback(spark, sf_dir):
     points = views.table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("track_id")).agg(F.round(F.avg("value"), 4).alias("mean_value"))
     known = views.table(spark, sf_dir, "customer").filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("track_id"), F.round("c_acctbal", 4).alias("score"))
-    return points.join(known, "track_id", "left").select("track_id", F.coalesce("score", "mean_value").alias("score"), F.col("score").isNull().alias("recomputed"))
+    out = records.with_fallback(points.withColumnRenamed("mean_value", "score"), known, "track_id", ("score",))
+    return out.withColumn("recomputed", F.col("recomputed") > 0)
 
 
 @query("SELECT conv_id AS run_id, max(turn)::BIGINT AS steps, arg_max(role, turn) AS last_role, bool_or(role = 'assistant') AS answered FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id")
