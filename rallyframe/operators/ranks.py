@@ -13,6 +13,8 @@ def counted_values(rows: DataFrame, keys: list[str], value: str, cells: int = 64
     Values are counted before anything is sorted. A group's values are split at approximate quantiles into cells,
     running sums go over a cell's values and over the cells. Keys are matched with null as a value.
     """
+    if cells < 2:
+        raise ValueError("cells must be 2 or more")
     per = rows.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
     named = {k: f"__key{i}" for i, k in enumerate(keys)}
     steps = [i / cells for i in range(1, cells)]

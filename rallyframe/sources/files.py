@@ -111,9 +111,13 @@ def read_annotation_archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def probed_videos(rows: DataFrame, probe) -> DataFrame:
-    """Add what `probe(path) -> dict` finds about each file; a failing probe gives probe_error and no row is lost."""
-    schema = rows.schema.simpleString()[7:-1] + ", width int, height int, fps double, duration_s double, frame_count bigint, probe_error string"
-    names = ["width", "height", "fps", "duration_s", "frame_count", "probe_error"]
+    """Add what `probe(path) -> dict` finds about each file; a failing probe gives probe_error and no row is lost.
+
+    A probe may give `avg_rate` and `rate` as fractions in text, and `frames`. The rate is the average one, else the
+    nominal one; without a count of frames it is the rate times the duration.
+    """
+    schema = rows.schema.simpleString()[7:-1].replace(":", " ") + ", width int, height int, avg_rate string, rate string, duration_s double, frames bigint, probe_error string"
+    names = ["width", "height", "avg_rate", "rate", "duration_s", "frames", "probe_error"]
 
     def one(path: str) -> dict:
         try:
@@ -126,7 +130,33 @@ def probed_videos(rows: DataFrame, probe) -> DataFrame:
             found = pd.DataFrame([one(p) for p in pdf["path"]], index=pdf.index, columns=names)
             yield pd.concat([pdf, found], axis=1)
 
-    return rows.mapInPandas(run, schema.replace(":", " "))
+    found = rows.mapInPandas(run, schema)
+    rate = F.coalesce(fraction(F.col("avg_rate")), fraction(F.col("rate")))
+    count = F.coalesce("frames", F.bround(F.col("fps") * F.col("duration_s")).cast("bigint"))
+    return found.withColumn("fps", rate).withColumn("frame_count", count).drop("avg_rate", "rate", "frames")
+
+
+def fraction(text: Column) -> Column:
+    """`30000/1001` or `25` as a number; null for what isn't one or is 0."""
+    top, below = F.split_part(text, F.lit("/"), F.lit(1)).try_cast("double"), F.split_part(text, F.lit("/"), F.lit(2))
+    value = F.try_divide(top, F.when(below == "", 1.0).otherwise(below.try_cast("double")))
+    return F.when(value > 0, value)
+
+
+def write_json(rows: DataFrame, path: str, one_file: bool = False) -> None:
+    """One JSON object a row, nulls included. The committer renames files when all are written. One file only for small tables."""
+    (rows.coalesce(1) if one_file else rows).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+def catalog(videos: DataFrame, most: int = 100_000) -> DataFrame:
+    """The catalogue as one row: schema_version, video_count and the videos in order of their paths. A document is
+    one value, so more than `most` videos are an error; larger lists are tables."""
+    entry = F.struct(F.lower("path").alias("by"), F.struct(*videos.columns).alias("video"))
+    count = F.count(F.lit(1))
+    some = videos.agg(count.alias("n")).first()["n"]
+    if some > most:
+        raise ValueError(f"{some} videos are too many for one document")
+    return videos.agg(F.lit(1).alias("schema_version"), count.alias("video_count"), F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["video"]).alias("videos"))
 
 
 def write_csv(rows: DataFrame, path: str, columns: Sequence[str], one_file: bool = False) -> None:
@@ -135,14 +165,45 @@ def write_csv(rows: DataFrame, path: str, columns: Sequence[str], one_file: bool
     (out.coalesce(1) if one_file else out).write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_shards(rows: DataFrame, path: str, per_shard: int, order: Column) -> None:
-    """Parquet shards of `per_shard` rows in the given order of a numbered column."""
-    rows.withColumn("shard", F.floor(order / per_shard)).repartition("shard").sortWithinPartitions(order).write.mode("overwrite").partitionBy("shard").parquet(path)
+# The columns of a crop shard in order, with the sizes of its two crops.
+SHARD_COLUMNS = {"local_rgb": "binary", "context_rgb": "binary", "label": "tinyint", "hard_negative": "tinyint", "manifest_index": "int", "candidate_id": "string", "clip_id": "string", "local_frame": "int", "source_frame": "int", "rank": "smallint", "x": "float", "y": "float"}
+LOCAL_SIZE, CONTEXT_SIZE = 64, 128
+
+
+def shard_schema_problem(rows: DataFrame) -> str | None:
+    """Why a table can't be a shard: its columns in order and their types; or None."""
+    found = [(n, t) for n, t in rows.dtypes if n != "shard"]
+    if [n for n, _ in found] != list(SHARD_COLUMNS):
+        return f"columns: {', '.join(n for n, _ in found)}"
+    return next((f"{n}: {t} in place of {SHARD_COLUMNS[n]}" for n, t in found if t != SHARD_COLUMNS[n]), None)
+
+
+def shard_row_problem(id_width: int = 64, local: int = LOCAL_SIZE, context: int = CONTEXT_SIZE) -> Column:
+    """Why a row doesn't keep the shard's contract, or null: whole crops of three frames, known values, ids that fit, no nulls."""
+    crop = lambda c, n: F.octet_length(c) != 3 * n * n * 3
+    missing = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in SHARD_COLUMNS]))
+    return (F.when(F.size(missing) > 0, F.concat(F.lit("null: "), F.array_join(missing, ","))).when(crop("local_rgb", local), "local_rgb").when(crop("context_rgb", context), "context_rgb")
+            .when(~F.col("label").isin(-1, 0, 1), "label").when(~F.col("hard_negative").isin(0, 1), "hard_negative").when((F.length("candidate_id") > id_width) | (F.length("clip_id") > id_width), "id too long"))
+
+
+def write_shards(rows: DataFrame, path: str, per_shard: int, **sizes: int) -> None:
+    """Parquet shards of `per_shard` rows by `manifest_index`. A wrong schema raises at once, a wrong row when it is written."""
+    if problem := shard_schema_problem(rows):
+        raise ValueError(problem)
+    problem = shard_row_problem(**sizes)
+    good = rows.filter(F.when(problem.isNull(), True).otherwise(F.raise_error(problem).cast("boolean")))
+    sharded = good.withColumn("shard", F.floor(F.col("manifest_index") / per_shard)).repartition("shard").sortWithinPartitions("shard", "manifest_index")
+    sharded.write.mode("overwrite").partitionBy("shard").parquet(path)
 
 
-def shard_problem(pixels: Column, size: int, label: Column) -> Column:
-    """Why a crop row doesn't keep the shard's contract, or null."""
-    return F.when(F.octet_length(pixels) != 3 * size * size * 3, "pixels").when(~label.isin(-1, 0, 1), "label")
+def written_problem(written: DataFrame, manifest: DataFrame, per_shard: int) -> DataFrame:
+    """(shard, problem) of shards that don't hold the manifest's candidates at their places."""
+    wanted = manifest.select(F.col("manifest_index").alias("i"), F.col("candidate_id").alias("wanted"))
+    found = written.select(F.col("manifest_index").alias("i"), F.col("candidate_id").alias("found"), F.col("shard").cast("bigint").alias("in_shard"))
+    rows = found.join(wanted, "i", "full")
+    shard = F.coalesce("in_shard", F.floor(F.col("i") / per_shard))
+    problem = F.when(F.col("found").isNull(), "missing").when(F.col("wanted").isNull(), "extra").when(F.col("found") != F.col("wanted"), "order").when(F.col("in_shard") != F.floor(F.col("i") / per_shard), "shard")
+    return rows.select(shard.alias("shard"), problem.alias("problem")).filter("problem is not null").groupBy("shard").agg(F.min("problem").alias("problem"))
 
 
 def packed_crop(frames: Sequence[np.ndarray]) -> bytes:

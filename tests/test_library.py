@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rallyframe.functions import scalars, scores
-from rallyframe.operators import evaluation, pixels, ranking, sampling, scene, tracklets, tracks
+from rallyframe.operators import evaluation, jobs, pixels, ranking, ranks, records, sampling, scene, tracklets, tracks
 from rallyframe.sources import files
 from rallyframe.streaming import sessions
 
@@ -324,7 +324,8 @@ def test_files(spark, tmp_path):
         (tmp_path / "v" / name).write_bytes(b"x" * 10)
     listed = files.listed_videos(spark, str(tmp_path / "v")).collect()
     assert [r.path.rsplit("/", 1)[1] for r in listed] == ["A.mov", "b.MP4"]
-    probed = files.probed_videos(files.listed_videos(spark, str(tmp_path / "v")).select("id", "path"), lambda p: {"width": 640, "fps": 25.0} if p.endswith("MP4") else 1 / 0).orderBy("path").collect()
+    probed = files.probed_videos(files.listed_videos(spark, str(tmp_path / "v")).select("id", "path"), lambda p: {"width": 640, "avg_rate": "0/0", "rate": "30000/1001", "duration_s": 2.0} if p.endswith("MP4") else 1 / 0).orderBy("path").collect()
+    assert probed[1].frame_count == 60 and abs(probed[1].fps - 29.97003) < 1e-5 and probed[0].fps is None
     assert probed[1].width == 640 and probed[0].probe_error.startswith("ZeroDivisionError")
     (tmp_path / "c.csv").write_text("﻿candidate_id,frame,time_s,x,y,score,rank\nb,1.0,0.1,1,2,0.5,2\na,1,0.1,1,2,0.9,1\n", encoding="utf-8")
     rows = files.read_candidates(spark, str(tmp_path / "c.csv")).collect()
@@ -344,8 +345,28 @@ def test_files(spark, tmp_path):
     (tmp_path / "m.json").write_text('{"tracks": [{"track_id": "T1", "score": 1.0}, {"track_id": null}, {"track_id": "T1", "score": 2.0}]}')
     assert files.read_track_metrics(spark, str(tmp_path / "m.json"), "score double").first().score == 2.0
     frame = spark.range(10).withColumn("n", F.col("id"))
-    files.write_shards(frame, str(tmp_path / "shards"), 4, F.col("n"))
-    assert sorted(r["count"] for r in spark.read.parquet(str(tmp_path / "shards")).groupBy("shard").count().collect()) == [2, 4, 4]
+    bytes_of = lambda n: F.encode(F.lpad(F.lit(""), 9 * n * n, F.lit("a")), "UTF-8")
+    values = {"local_rgb": bytes_of(2), "context_rgb": bytes_of(4), "label": F.col("id") % 3 - 1, "hard_negative": F.lit(0), "manifest_index": F.col("id"), "candidate_id": F.concat(F.lit("c"), F.col("id")), "clip_id": F.lit("k"), "local_frame": F.lit(1), "source_frame": F.lit(1), "rank": F.lit(1), "x": F.lit(0.5), "y": F.lit(0.5)}
+    shard = frame.select(*[values[c].cast(t).alias(c) for c, t in files.SHARD_COLUMNS.items()])
+    where = str(tmp_path / "shards")
+    files.write_shards(shard, where, 4, local=2, context=4)
+    written = spark.read.parquet(where)
+    assert sorted(r["count"] for r in written.groupBy("shard").count().collect()) == [2, 4, 4]
+    assert files.written_problem(written, shard, 4).count() == 0
+    other = shard.filter("manifest_index != 9").withColumn("candidate_id", F.when(F.col("manifest_index") == 5, "z").otherwise(F.col("candidate_id")))
+    assert sorted(map(tuple, files.written_problem(written, other, 4).collect())) == [(1, "order"), (2, "extra")]
+    assert files.shard_schema_problem(shard.drop("y")).startswith("columns") and files.shard_schema_problem(shard.withColumn("rank", F.lit(1))) == "rank: int in place of smallint"
+    bad = [("label", F.lit(5).cast("tinyint"), "label"), ("hard_negative", F.lit(2).cast("tinyint"), "hard_negative"), ("local_rgb", bytes_of(3), "local_rgb"), ("clip_id", F.lit(None).cast("string"), "null: clip_id"), ("candidate_id", F.lit("c" * 65), "id too long")]
+    for column, value, problem in bad:
+        assert shard.withColumn(column, value).select(files.shard_row_problem(local=2, context=4).alias("p")).first().p == problem
+    with pytest.raises(Exception, match="hard_negative"):
+        files.write_shards(shard.withColumn("hard_negative", F.lit(2).cast("tinyint")), where, 4, local=2, context=4)
+    whole = files.catalog(files.listed_videos(spark, str(tmp_path / "v")).drop("modificationTime"))
+    files.write_json(whole, str(tmp_path / "catalog"), one_file=True)
+    back = spark.read.json(str(tmp_path / "catalog")).first()
+    assert (back.schema_version, back.video_count) == (1, 2) and [v.path[-5:] for v in back.videos] == ["A.mov", "b.MP4"]
+    with pytest.raises(ValueError, match="too many"):
+        files.catalog(frame.withColumn("path", F.lit("x")), most=3)
     files.write_csv(frame, str(tmp_path / "out"), ["n"], one_file=True)
     assert files.delimited(spark, str(tmp_path / "out"), ["n"]).count() == 10
 
@@ -405,3 +426,104 @@ def test_reconciled_keys_of_both_sides(spark):
 
     left, right = spark.createDataFrame([(1, "a"), (2, "b")], "k long, s string"), spark.createDataFrame([(2, "b"), (3, "c"), (4, None)], "k long, t string")
     assert sorted(map(tuple, both_sides(left, right).collect())) == [(1, 1, 0, 0, 0), (2, 0, 0, 1, 1), (3, 0, 1, 0, 0), (4, 0, 1, 0, 0)]
+
+
+def test_labels_and_manifests(spark):
+    rows = spark.createDataFrame([("ball", True, " r1 "), ("not_ball", True, "r1"), ("ignore", False, None), (None, None, "r2")], "label string, hard boolean, run_id string").withColumn("track_id", F.lit("T1"))
+    assert [r.n for r in rows.filter("label is not null").select(records.label_number(F.col("label")).alias("n")).collect()] == [1, 0, -1]
+    for wrong in ("Ball", None):
+        with pytest.raises(Exception, match="unknown label"):
+            spark.range(1).select(records.label_number(F.lit(wrong).cast("string"))).collect()
+    assert [r.p for r in rows.select(records.manifest_problem(F.col("label"), F.col("hard")).alias("p")).collect()] == ["hard_negative", None, None, "label"]
+    assert records.label_rows_problem(rows.limit(2), "r1") is None
+    assert records.label_rows_problem(rows.limit(3), "r1") == "rows of another run: without an id"
+    assert records.label_rows_problem(rows.filter("run_id = 'r2'"), "r1") == "rows of another run: r2"
+    assert records.label_rows_problem(rows.limit(0), "r1") == "no rows"
+    assert records.label_rows_problem(rows.drop("label", "track_id"), "r1") == "columns missing: label, track_id"
+
+
+def test_run_history(spark):
+    """Refused events change nothing, whatever the blocks; an unknown event is refused."""
+    events = "start create create complete start delete complete start delete delete create".split() + ["noise", "create", "delete"]
+    rows = [("a", i, e) for i, e in enumerate(events)] + [("b", 3, "create"), ("b", 900, "start"), ("b", 2000, "fail"), ("c", 0, None)]
+    frame = spark.createDataFrame(rows, "run string, at long, event string")
+    wanted, state = [], {}
+    for run, at, event in rows:
+        before = state.get(run, "none")
+        after = records.CHANGES.get((before, event), before)
+        state[run] = after
+        wanted.append((run, at, event, before, (before, event) not in records.CHANGES, after))
+    for block in (3, 1000):
+        assert sorted(map(tuple, records.run_history(frame, "run", "at", "event", block).collect()), key=repr) == sorted(wanted, key=repr)
+    assert records.run_history(frame.limit(0), "run", "at", "event").count() == 0
+
+
+def test_run_checks(spark):
+    check = lambda *v: spark.range(1).select(records.clip_range_problem(*[F.lit(x).cast("double") for x in v]).alias("p")).first().p
+    assert [check(*v) for v in ((0, 15, None), (-1, 15, None), (0, 0.5, None), (0, 61, None), (20, 5, 20), (10, 10.01, 20), (10, 10.02, 20), (None, 5, 20), (float("nan"), 5, 20), (3, 5, 0))] == [None, "negative start", "too short", "too long", "starts after the end", None, "ends after the end", "not a number", "not a number", None]
+    made = spark.sql("SELECT timestamp'2026-03-04 05:06:07' AS t").select(records.new_run_id(F.col("t"), F.lit("a/b/Été Final.v2.mp4"), F.lit("abcdef99")).alias("i")).first().i
+    assert made == "20260304T050607_ete-final-v2_abcdef"
+    kept = records.video_snapshot(spark.createDataFrame([("1", "/abs/x.mp4", "x.mp4")], "id string, absolute_path string, filename string"))
+    assert kept.columns == list(records.SNAPSHOT) and kept.first().id == "1" and kept.first().codec is None
+    a = spark.createDataFrame([(1, True, 0.0, 0.0)], "id int, visible boolean, x double, y double")
+    assert records.reconciled_or_error(a, a, ["id"], ("visible",)).first().delta == 0
+    for b, problem in ((a.withColumn("id", F.lit(2)), "only"), (a.withColumn("visible", F.lit(False)), "differs: visible")):
+        with pytest.raises(Exception, match=problem):
+            records.reconciled_or_error(a, b, ["id"], ("visible",)).collect()
+
+
+@pytest.mark.parametrize("cells", [2, 4, 64])
+def test_percentiles(spark, cells):
+    rng = np.random.default_rng(1)
+    rows = [(k, float(v)) for k, n in (("a", 1), ("b", 2), ("c", 501)) for v in rng.integers(0, 40, n)] + [(None, 3.0), ("d", None), ("c", None)] + [("e", 7.0)] * 50
+    frame = spark.createDataFrame(rows, "k string, v double")
+    counted = ranks.counted_values(frame, ["k"], "v", cells).collect()
+    by_key = {}
+    for k, v in rows:
+        if v is not None:
+            by_key.setdefault(k, []).append(v)
+    assert sorted(((r.k, r.v, r["__n"], r["__first"], r["__size"]) for r in counted), key=repr) == sorted(((k, v, vs.count(v), sum(x < v for x in vs), len(vs)) for k, vs in by_key.items() for v in set(vs)), key=repr)
+    got = {r.k: r for r in ranks.percentiles(frame, ["k"], "v", {"p5": 0.05, "p50": 0.5, "p90": 0.9, "n90": 0.9}, nearest=("n90",)).collect()}
+    assert set(got) == set(by_key)
+    for k, vs in by_key.items():
+        assert (got[k].p5, got[k].p50, got[k].p90) == pytest.approx(tuple(np.percentile(vs, [5, 50, 90])))
+        assert got[k].n90 == sorted(vs)[round((len(vs) - 1) * 0.9)]
+
+
+def test_longest_runs_over_spans(spark):
+    rng = np.random.default_rng(2)
+    rows = [(k, int(i), bool(f)) for k in "ab" for i, f in zip(sorted(rng.choice(4000, 700, replace=False)), np.repeat(rng.random(100) < 0.5, 7), strict=True)]
+    frame = spark.createDataFrame(rows + [("a", 5000, None)], "k string, i long, f boolean")
+    from itertools import groupby
+
+    for span in (16, 300, 4096):
+        for r in tracks.islands(frame, "k", "i", "f", span).collect():
+            runs = [(f, len(list(g))) for f, g in groupby(x[2] for x in rows if x[0] == r.k)]
+            assert (r.longest_true, r.longest_false) == tuple(max((n for f, n in runs if f is flag), default=0) for flag in (True, False))
+
+
+def test_overlaps_against_all_pairs(spark):
+    rng = random.Random(4)
+    sets = {i: {rng.randrange(14) for _ in range(rng.randrange(1, 12))} for i in range(60)}
+    rows = spark.createDataFrame([(i % 2, i, x) for i, xs in sets.items() for x in xs], "g long, s long, x long")
+    wanted = {(i % 2, i, j, len(sets[i] & sets[j]), round(len(sets[i] & sets[j]) / min(len(sets[i]), len(sets[j])), 6)) for i in sets for j in sets if i < j and i % 2 == j % 2 and len(sets[i] & sets[j]) / min(len(sets[i]), len(sets[j])) >= 0.65}
+    assert {tuple(r) for r in tracks.overlaps(rows, "s", "x", "g").collect()} == wanted
+
+
+def test_tracking_job(spark):
+    """A bright disc that moves over dark frames is found, tracked as one track and summarized."""
+    h, w, frames = 40, 60, []
+    for f in range(14):
+        yy, xx = np.mgrid[0:h, 0:w]
+        image = np.where((xx - 8 - 3 * f) ** 2 + (yy - 20) ** 2 <= 9, 230, 10)
+        frames.append(("c", f, image.ravel().astype(int).tolist()))
+    table = spark.createDataFrame(frames, "clip_id string, frame long, gray array<int>")
+    job = jobs.tracked(table, h, w, scores.ComponentLimits(blur=1))
+    assert {r.frame: r.n for r in job.counts.collect()}[7] >= 1 and job.counts.count() == 14
+    best = job.summaries.orderBy(F.desc("point_count")).first()
+    assert best.point_count >= 8 and abs(best.mean_speed - 3) < 1
+    labels = spark.createDataFrame([("r", "T001", "Ball")], "run_id string, track_id string, label string")
+    rows, _ = jobs.audited(job.points, job.candidates.withColumnsRenamed({"mean_brightness": "bright", "motion_strength": "motion", "fill_ratio": "fill", "circularity": "circ", "bbox_w": "width", "bbox_h": "height"}), labels, "r")
+    assert rows.first().label == "ball"
+    with pytest.raises(ValueError, match="another run"):
+        jobs.audited(job.points, job.candidates, labels, "other")
