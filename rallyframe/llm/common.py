@@ -14,31 +14,39 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. The cluster names it in spark.checkpoint.dir; only where
-    that is unset (local tests) a temporary folder takes its place."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share. The cluster names it in spark.checkpoint.dir; only where that is unset and the
+    master is local (tests) a temporary folder takes its place."""
+    context = spark.sparkContext
+    known = context._jsc.sc().getCheckpointDir()
+    path = spark.conf.get("spark.checkpoint.dir", None) or (known.get() if known.isDefined() else None)
     if not path:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        path = known.get() if known.isDefined() else f"file://{tempfile.mkdtemp(prefix='rallyframe-')}"
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(path)
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        path = f"file://{tempfile.mkdtemp(prefix='rallyframe-')}"
+    if not known.isDefined():
+        context.setCheckpointDir(path)
     return path
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint, which a lost executor doesn't take with it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+def _written_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/rallyframe/{spark.sparkContext.applicationId}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table into the shared folder and read it again: columns stay prunable, unlike in a checkpoint."""
+    """Write a table into the shared folder and read it again: this cuts the lineage, a lost executor doesn't take it
+    along, and columns stay prunable. What an application wrote stays until `discard_stored`."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/rallyframe/{uuid.uuid4().hex}/{name}"
+    path = f"{_written_dir(spark)}/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard_stored(spark: SparkSession) -> None:
+    """Delete all tables that this application stored. Results that read them must be written before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_written_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def text_of(column: str | Column = "text") -> Column:
     """A null text counts as empty."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

@@ -648,3 +648,13 @@ def test_private_keys_go_whole(spark):
     assert clean == {0: "before [private_key] after", 1: "[private_key]\nafter", 2: "[private_key]\nafter the key, text", 3: "[private_key] alone, and text", 4: "[private_key] and [private_key]."}
     rule = next(r for r in secret_scan.MORE_RULES if r.kind == "private_key")
     assert secret_scan.trigram_query(rule.pattern) == secret_scan.trigram_query(r"-----BEGIN [A-Z ]*PRIVATE KEY-----")
+
+
+def test_stored_tables(spark):
+    from rallyframe.llm import common
+
+    table = common.stored(spark.range(3), "three")
+    assert table.count() == 3 and spark.sparkContext.applicationId in table.inputFiles()[0]
+    common.discard_stored(spark)
+    with pytest.raises(Exception, match="(?i)exist"):
+        spark.read.parquet(table.inputFiles()[0]).count()
