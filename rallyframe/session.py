@@ -24,9 +24,13 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
 def cut(df: DataFrame) -> DataFrame:
     """Compute a table once, into the folder that the cluster names in spark.checkpoint.dir, and cut its lineage.
 
-    Only where that setting is absent, as in local tests, a temporary folder takes its place.
+    Only where that setting is absent and the master is local, as in tests, a temporary folder takes its place.
     """
     spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='rallyframe-')}")
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or f"file://{tempfile.mkdtemp(prefix='rallyframe-')}")
     return df.checkpoint()
