@@ -83,10 +83,38 @@ SELECT record_id, canonical, outcome, CASE WHEN outcome = 'resolved' THEN p.r EN
  CASE WHEN outcome IN ('resolved', 'response') THEN 'text/html' ELSE 'text/plain' END AS merged_type, CASE WHEN outcome IN ('resolved', 'response') THEN 'one' ELSE 'two' END AS merged_server, 'max-age=' || after AS merged_cache, CASE WHEN after = 1000 THEN ts::VARCHAR END AS merged_expires FROM o"""
 
 
+TRIE_SQL = rf"""
+WITH t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, g) AS i, g, n FROM
+  (SELECT conv_id, turn, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS g, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS n FROM conversations WHERE conv_id IS NOT NULL)),
+k AS (SELECT c, c - c % 20 AS b, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+  lambda a, x: list_reduce(list_prepend(xor(a, x), range(8)), lambda y, z: xor(y >> 1, 3988292384 * (y & 1)))), 4294967295) % 4 AS h FROM (SELECT DISTINCT c FROM t)),
+m AS (SELECT k.c, t.i, t.g, t.n FROM k JOIN t ON t.c = k.b AND t.i <= k.h UNION ALL SELECT c, t.i, t.g, t.n FROM t JOIN k USING (c) WHERE t.i > k.h),
+p AS (SELECT c, row_number() OVER w AS d, sha256(string_agg(g, '') OVER w) AS g, n FROM m WINDOW w AS (PARTITION BY c ORDER BY i)),
+a AS (SELECT c, d, g, n, lag(g, 1, '') OVER (PARTITION BY c ORDER BY d) AS p FROM p UNION ALL SELECT c, 0, '', 0, NULL FROM k),
+n AS (SELECT g, d, min(c) AS conv_id, any_value(p) AS p, count(*) AS n_convs, (count(*) - 1) * any_value(n) AS own FROM a GROUP BY g, d),
+f AS (SELECT p AS g, count(*) AS n_children FROM n WHERE p IS NOT NULL GROUP BY p),
+e AS (SELECT g, sha256(string_agg(c::VARCHAR, ',' ORDER BY c)) AS ends FROM (SELECT c, arg_max(g, d) AS g FROM a GROUP BY c) GROUP BY g),
+s AS (SELECT u.g, sum(n.own) AS saved, count(*) FILTER (WHERE n.g NOT IN (SELECT g FROM f)) AS leaves FROM (SELECT DISTINCT x.g, y.g AS low FROM a x JOIN a y ON x.c = y.c AND x.d <= y.d) u JOIN n ON n.g = u.low GROUP BY u.g)
+SELECT n.conv_id, n.d::BIGINT AS depth, o.conv_id AS parent_conv_id, n.n_convs, coalesce(f.n_children, 0)::BIGINT AS n_children, s.leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, coalesce(e.ends, sha256('')) AS ends_sha256
+FROM n JOIN s USING (g) LEFT JOIN f USING (g) LEFT JOIN e USING (g) LEFT JOIN n o ON o.g = n.p"""
+
+NEGATIVE_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+ WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, r.vec_id AS row_id, a.label = r.label AS same, list_dot_product(a.q, r.q)::BIGINT AS score FROM v a JOIN v r ON a.vec_id % 50 = 0 AND a.vec_id <> r.vec_id),
+p AS (SELECT anchor_id, row_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, row_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER w AS rank, row_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, row_id)
+QUALIFY row_number() OVER w <= 3"""
+
+
 ORACLE_SQL = {
     "op3_quality_rules": quality_sql(),
     "op4_line_dedup": LINE_SQL,
     "op5_minhash_near_dedup": NEAR_SQL,
     "op8_warc_revisits": revisit_sql(),
     "op10_secret_scans": secret_sql(),
+    "op12_conversation_trie": TRIE_SQL,
+    "op13_hard_negatives": NEGATIVE_SQL,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, line_dedup, near_dedup, packing, quality, secret_scan, sharding, url_filter, warc
+from . import bpe, conversation_trie, fingerprints, hard_negatives, line_dedup, near_dedup, packing, quality, secret_scan, sharding, toxicity, url_filter, warc
 from .common import documents
 from .oracle import ORACLE_SQL  # noqa: F401
 
@@ -62,4 +62,21 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judged_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), model)
 
 
-QUERIES = {"op4_line_dedup": op4_line_dedup, "op8_warc_revisits": op8_warc_revisits, "op5_minhash_near_dedup": op5_minhash_near_dedup, "op2_fingerprints": op2_fingerprints, "op10_secret_scans": op10_secret_scans, "op1_best_fit_packing": op1_best_fit_packing, "op6_bpe": op6_bpe, "op3_quality_rules": op3_quality_rules, "op7_sharding": op7_sharding, "op9_url_filters": op9_url_filters}
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.trained(documents(spark, sf_dir), labels, learn=~toxicity.held_out())
+    return toxicity.scored(documents(spark, sf_dir), model, threshold=0.3)
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, known = conversation_trie.spliced(conversation_trie.numbered(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+    return conversation_trie.trie(rows, known).drop("digest", "parent")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = hard_negatives.quantised(spark.read.parquet(f"{sf_dir}/embeddings.parquet").withColumn("label", moved))
+    return hard_negatives.mined(rows, F.col("vec_id") % 50 == 0, positives=5, negatives=3, window=(50, 95))
+
+
+QUERIES = {"op4_line_dedup": op4_line_dedup, "op8_warc_revisits": op8_warc_revisits, "op5_minhash_near_dedup": op5_minhash_near_dedup, "op2_fingerprints": op2_fingerprints, "op10_secret_scans": op10_secret_scans, "op1_best_fit_packing": op1_best_fit_packing, "op6_bpe": op6_bpe, "op3_quality_rules": op3_quality_rules, "op7_sharding": op7_sharding, "op9_url_filters": op9_url_filters, "op11_toxicity": op11_toxicity, "op12_conversation_trie": op12_conversation_trie, "op13_hard_negatives": op13_hard_negatives}
