@@ -109,7 +109,7 @@ class BallTree:
             return hits
         norms = np.sqrt((queries.astype(np.float64) ** 2).sum(axis=1))
         whole = norms.max() * self.biggest >= EXACT
-        left = (queries.astype(object) if whole else queries.astype(np.float64), self.vectors.astype(object) if whole else self.vectors.astype(np.float64))
+        left = tuple(_integers(x) if whole else x.astype(np.float64) for x in (queries, self.vectors))
 
         def wanted(q: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             at = np.einsum("ij,ij->i", queries[q].astype(np.float64), self.centre[node])
@@ -125,7 +125,7 @@ class BallTree:
 
         def not_beneath(q: np.ndarray, node: np.ndarray, above: np.ndarray) -> np.ndarray:
             kth, row = hits.score[q, -1], hits.row[q, -1]
-            return (above > kth) | ((above == kth) & (self.first[node] < row))
+            return (above > kth).astype(bool) | ((above == kth).astype(bool) & (self.first[node] < row))
 
         def scored(q: np.ndarray, node: np.ndarray) -> None:
             order = np.argsort(node, kind="stable")
@@ -136,7 +136,7 @@ class BallTree:
                 a, b = self.start[leaf], self.end[leaf]
                 score = left[0][who] @ left[1][a:b].T
                 fits = (self.labels[a:b][None, :] == labels[who][:, None]) == same
-                fits &= (score >= least[who][:, None]) & (score <= most[who][:, None]) & (self.ids[a:b][None, :] != own[who][:, None])
+                fits &= (score >= least[who][:, None]).astype(bool) & (score <= most[who][:, None]).astype(bool) & (self.ids[a:b][None, :] != own[who][:, None])
                 kth = hits.score[who, -1][:, None]
                 i, j = np.nonzero(fits & (score >= kth).astype(bool))
                 hits.offer(who[i], score[i, j].astype(np.float64), self.ids[a:b][j]) if not whole else self._whole(hits, who[i], score[i, j], self.ids[a:b][j])
@@ -173,6 +173,12 @@ class BallTree:
         hits.offer(query, score, row)
 
 
+def _integers(x: np.ndarray) -> np.ndarray:
+    out = np.empty(x.shape, object)
+    out.ravel()[:] = [int(v) for v in x.ravel()]
+    return out
+
+
 def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
     out = np.zeros((len(vectors), width))
     for i, v in enumerate(vectors):

@@ -1,8 +1,8 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
 Confirmed toxic texts are the positives; all other text is unlabelled, whatever a label may say of it. A text's
-features are its words and their runs of GRAM characters, edges included, each as present and as a share of the
-words. Document counts of the features cover every document; those that toxic texts show far more often than the
+features are its words and their runs of GRAM characters, edges included: whether the text's distinct words hold
+one, whether several of them do, and their share. Document counts of the features cover every document; those that toxic texts show far more often than the
 corpus are kept. Numpy classifiers then minimise, over a bounded sample, the risk
 
     prior * R+(positives)  +  max(0, R-(unlabelled) - prior * R-(positives))
@@ -31,7 +31,7 @@ from .common import rows_in, stored, text_of
 
 WORD = re.compile(r"[^\W_]+")
 #: Rows that the fit takes at most, about: confirmed toxic texts, and other texts of the corpus.
-POSITIVES, UNLABELLED = 20_000, 40_000
+POSITIVES, UNLABELLED = 5_000, 20_000
 #: Words and runs looked at (those in most toxic texts), and features kept (those most typical of toxic texts).
 CANDIDATES, FEATURES = 16_384, 1_024
 #: A feature's share in toxic texts lies so many deviations above its share in the corpus, and is so many times as large.
@@ -64,18 +64,15 @@ class Parts:
         return found
 
     def counted(self, text: str) -> tuple[np.ndarray, np.ndarray, int]:
-        """(places, words that hold each, words in all)."""
-        counts = Counter(WORD.findall(text.lower()))
-        seen, places, times = self.seen, [], []
-        for word, n in counts.items():
+        """(places, distinct words that hold each, distinct words)."""
+        words, seen, places = set(WORD.findall(text.lower())), self.seen, []
+        for word in words:
             at = seen.get(word)
             if at is None:
                 at = self._of(word)
-            if at:
-                places += at
-                times += [n] * len(at)
-        at, back = np.unique(np.array(places, np.int64), return_inverse=True)
-        return at, np.bincount(back, times, len(at)).astype(np.int64), counts.total()
+            places += at
+        at, n = np.unique(np.array(places, np.int64), return_counts=True)
+        return at, n, len(words)
 
 
 def dense(n: np.ndarray, total: int) -> np.ndarray:
@@ -89,7 +86,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 @dataclass(frozen=True)
 class Model:
-    """Parts with rows of weights, a column per classifier: for being present, then for their share of the words."""
+    """Parts with rows of weights (for being present, in several words, and for their share), a column per classifier."""
 
     index: dict[str, int]
     weights: np.ndarray
@@ -101,7 +98,7 @@ class Model:
         out = np.empty(len(texts))
         for i, text in enumerate(texts):
             at, n, total = found.counted(text)
-            margin = self.bias + self.weights[at].sum(axis=0) + shares(n, total) @ self.weights[at + k] if len(at) else self.bias
+            margin = self.bias + self.weights[at].sum(axis=0) + self.weights[at[n > 1] + k].sum(axis=0) + shares(n, total) @ self.weights[at + 2 * k]
             out[i] = _sigmoid(margin).mean()
         return out
 
@@ -114,7 +111,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def nn_pu_fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int, epochs: int = 60, batch: int = 2048, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+def nn_pu_fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int, steps: int = 800, batch: int = 2048, rate: float = 0.02, decay: float = 1e-3) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic classifier on two matrices, by Adam on the non-negative risk.
 
     With the logistic loss l+(m) = log(1 + e^-m), l-(m) = log(1 + e^m).
@@ -123,20 +120,17 @@ def nn_pu_fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed:
     w = np.zeros(positive.shape[1] + 1)
     w[-1] = np.log(prior / (1 - prior))
     p1, u1 = (np.hstack([x, np.ones((len(x), 1), x.dtype)]) for x in (positive, unlabelled))
-    first, second, step = np.zeros_like(w), np.zeros_like(w), 0
-    n_batches = max(1, len(u1) // batch)
-    for _ in range(epochs):
-        for p, u in zip(np.array_split(rng.permutation(len(p1)), min(n_batches, len(p1))), np.array_split(rng.permutation(len(u1)), min(n_batches, len(p1))), strict=True):
-            xp, xu = p1[p], u1[u]
-            mp, mu = xp @ w, xu @ w
-            clean = np.logaddexp(0, mu).mean() - prior * np.logaddexp(0, mp).mean()
-            of_clean = xu.T @ _sigmoid(mu) / len(xu) - prior * (xp.T @ _sigmoid(mp)) / len(xp)
-            of_toxic = prior * (xp.T @ (_sigmoid(mp) - 1)) / len(xp)
-            slope = of_toxic + of_clean if clean >= 0 else -of_clean
-            slope[:-1] += decay * w[:-1]
-            step += 1
-            first, second = 0.9 * first + 0.1 * slope, 0.999 * second + 0.001 * slope**2
-            w = w - rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
+    first, second = np.zeros_like(w), np.zeros_like(w)
+    for step in range(1, steps + 1):
+        xp, xu = (x[rng.integers(0, len(x), min(batch, len(x)))] for x in (p1, u1))
+        mp, mu = xp @ w, xu @ w
+        clean = np.logaddexp(0, mu).mean() - prior * np.logaddexp(0, mp).mean()
+        of_clean = xu.T @ _sigmoid(mu) / len(xu) - prior * (xp.T @ _sigmoid(mp)) / len(xp)
+        of_toxic = prior * (xp.T @ (_sigmoid(mp) - 1)) / len(xp)
+        slope = of_toxic + of_clean if clean >= 0 else -of_clean
+        slope[:-1] += decay * w[:-1]
+        first, second = 0.9 * first + 0.1 * slope, 0.999 * second + 0.001 * slope**2
+        w = w - rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
     return w[:-1], float(w[-1])
 
 
@@ -163,13 +157,13 @@ def _counts(kept: dict[str, int]):
 
 
 def _matrix(rows: pd.DataFrame, place: dict[int, int]) -> np.ndarray:
-    """Presence of each feature, then its share."""
-    out, k = np.zeros((len(rows), 2 * len(place)), np.float32), len(place)
+    """Three blocks of columns as in `Model`."""
+    out, k = np.zeros((len(rows), 3 * len(place)), np.float32), len(place)
     for i, (at, n, total) in enumerate(zip(rows["at"], rows["n"], rows["total"], strict=True)):
         known = [(place[p], j) for j, p in enumerate(at) if p in place]
         if known:
             p, j = np.array(known).T
-            out[i, p], out[i, p + k] = 1, shares(np.asarray(n)[j], total)
+            out[i, p], out[i, p + k], out[i, p + 2 * k] = 1, np.asarray(n)[j] > 1, shares(np.asarray(n)[j], total)
     return out
 
 
