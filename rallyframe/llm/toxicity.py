@@ -31,9 +31,9 @@ from .common import rows_in, stored, text_of
 
 WORD = re.compile(r"[^\W_]+")
 #: Rows that the fit takes at most, about: confirmed toxic texts, and other texts of the corpus.
-POSITIVES, UNLABELLED = 5_000, 20_000
+POSITIVES, UNLABELLED = 5_000, 10_000
 #: Words and runs looked at (those in most toxic texts), and features kept (those most typical of toxic texts).
-CANDIDATES, FEATURES = 16_384, 1_024
+CANDIDATES, FEATURES = 16_384, 512
 #: A feature's share in toxic texts lies so many deviations above its share in the corpus, and is so many times as large.
 DEVIATIONS, RATIO = 5.0, 2.0
 GRAM = 5
@@ -119,14 +119,17 @@ def nn_pu_fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed:
     rng = np.random.default_rng(seed)
     w = np.zeros(positive.shape[1] + 1)
     w[-1] = np.log(prior / (1 - prior))
-    p1, u1 = (np.hstack([x, np.ones((len(x), 1), x.dtype)]) for x in (positive, unlabelled))
+
+    def slopes(x: np.ndarray, by: np.ndarray) -> np.ndarray:
+        return np.append(by @ x, by.sum()) / len(x)
+
     first, second = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, steps + 1):
-        xp, xu = (x[rng.integers(0, len(x), min(batch, len(x)))] for x in (p1, u1))
-        mp, mu = xp @ w, xu @ w
+        xp, xu = (x[rng.integers(0, len(x), min(batch, len(x)))] for x in (positive, unlabelled))
+        mp, mu = xp @ w[:-1] + w[-1], xu @ w[:-1] + w[-1]
         clean = np.logaddexp(0, mu).mean() - prior * np.logaddexp(0, mp).mean()
-        of_clean = xu.T @ _sigmoid(mu) / len(xu) - prior * (xp.T @ _sigmoid(mp)) / len(xp)
-        of_toxic = prior * (xp.T @ (_sigmoid(mp) - 1)) / len(xp)
+        of_clean = slopes(xu, _sigmoid(mu)) - prior * slopes(xp, _sigmoid(mp))
+        of_toxic = prior * slopes(xp, _sigmoid(mp) - 1)
         slope = of_toxic + of_clean if clean >= 0 else -of_clean
         slope[:-1] += decay * w[:-1]
         first, second = 0.9 * first + 0.1 * slope, 0.999 * second + 0.001 * slope**2
@@ -135,35 +138,45 @@ def nn_pu_fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed:
 
 
 def _counts(kept: dict[str, int]):
-    """Documents by candidate (present, dense), summed in the task, and the parts of the rows that the fit takes."""
-    columns = ["part", "present", "dense", "positive", "at", "n", "total"]
+    """Texts by candidate (present, dense, and the same among the positives), summed in the task, and the parts of the
+    rows that the fit takes."""
+    columns = ["part", "present", "dense", "toxic_present", "toxic_dense", "positive", "at", "n", "total"]
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        present, often = np.zeros(len(kept), np.int64), np.zeros(len(kept), np.int64)
+        held = np.zeros((4, len(kept)), np.int64)
         found = Parts(kept)
         for pdf in batches:
             rows = []
             for text, positive, drawn in zip(pdf["text"], pdf["positive"], pdf["drawn"], strict=True):
                 at, n, total = found.counted(text)
-                present[at] += 1
-                often[at[dense(n, total)]] += 1
+                often = at[dense(n, total)]
+                for first in (0, 2) if positive else (0,):
+                    held[first, at] += 1
+                    held[first + 1, often] += 1
                 if positive or drawn:
-                    rows.append((-1, 0, 0, bool(positive), at, n, total))
+                    rows.append((-1, 0, 0, 0, 0, bool(positive), at, n, total))
             yield pd.DataFrame(rows, columns=columns)
-        some = np.flatnonzero(present)
-        yield pd.DataFrame([(i, present[i], often[i], False, [], [], 0) for i in some], columns=columns)
+        yield pd.DataFrame([(i, *held[:, i], False, [], [], 0) for i in np.flatnonzero(held[0])], columns=columns)
 
     return count
 
 
-def _matrix(rows: pd.DataFrame, place: dict[int, int]) -> np.ndarray:
-    """Three blocks of columns as in `Model`."""
-    out, k = np.zeros((len(rows), 3 * len(place)), np.float32), len(place)
+def _narrowed(place: dict[int, int]):
+    """Keep the features of a row's parts."""
+
+    def narrow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            known = [[(place[p], int(k)) for p, k in zip(at, n, strict=True) if p in place] for at, n in zip(pdf["at"], pdf["n"], strict=True)]
+            yield pdf.assign(at=[[p for p, _ in row] for row in known], n=[[k for _, k in row] for row in known])
+
+    return narrow
+
+
+def _matrix(rows: pd.DataFrame, k: int) -> np.ndarray:
+    """Three blocks of k columns as in `Model`."""
+    out = np.zeros((len(rows), 3 * k), np.float32)
     for i, (at, n, total) in enumerate(zip(rows["at"], rows["n"], rows["total"], strict=True)):
-        known = [(place[p], j) for j, p in enumerate(at) if p in place]
-        if known:
-            p, j = np.array(known).T
-            out[i, p], out[i, p + k], out[i, p + 2 * k] = 1, np.asarray(n)[j] > 1, shares(np.asarray(n)[j], total)
+        out[i, at], out[i, at + k], out[i, at + 2 * k] = 1, n > 1, shares(n, total)
     return out
 
 
@@ -197,26 +210,27 @@ def trained(documents: DataFrame, labels: DataFrame, learn: Column, seeds: tuple
         return bare
     kept = {r["part"]: i for i, r in enumerate(common)}
     marked = texts.select("text", F.coalesce("positive", F.lit(False)).alias("positive"), drawn.alias("drawn"))
-    table = stored(marked.mapInPandas(_counts(kept), "part int, present long, dense long, positive boolean, at array<int>, n array<int>, total long"), "toxic_parts")
-    rows = table.where("part < 0").select("positive", "at", "n", "total").toPandas()
-    toxic_rows, other_rows = rows[rows["positive"]], rows[~rows["positive"]]
-    everywhere, inside = np.zeros((2, len(kept))), np.zeros((2, len(kept)))
-    for r in table.where("part >= 0").groupBy("part").agg(F.sum("present"), F.sum("dense")).collect():
-        everywhere[:, r[0]] = r[1], r[2]
-    for at, n, total in zip(toxic_rows["at"], toxic_rows["n"], toxic_rows["total"], strict=True):
-        inside[0, at] += 1
-        inside[1, np.asarray(at)[dense(np.asarray(n), total)]] += 1
-    inside, share = inside / max(len(toxic_rows), 1), np.clip(everywhere / max(n_docs, 1), 1 / max(n_docs, 1), 1)
-    deviations = np.where(inside >= RATIO * share, (inside - share) / np.sqrt(share * (1 - share) / max(len(toxic_rows), 1) + 1e-12), 0).max(axis=0)
+    table = stored(marked.mapInPandas(_counts(kept), "part int, present long, dense long, toxic_present long, toxic_dense long, positive boolean, at array<int>, n array<int>, total long"), "toxic_parts")
+    held = np.zeros((4, len(kept)))
+    for r in table.where("part >= 0").groupBy("part").agg(*[F.sum(c) for c in ("present", "dense", "toxic_present", "toxic_dense")]).collect():
+        held[:, r[0]] = r[1:]
+    drawn_rows = table.where("part < 0")
+    n_positive = rows_in(drawn_rows.where("positive"))
+    if not n_positive:
+        return bare
+    inside, share = held[2:] / n_positive, np.clip(held[:2] / n_docs, 1 / n_docs, 1)
+    deviations = np.where(inside >= RATIO * share, (inside - share) / np.sqrt(share * (1 - share) / n_positive + 1e-12), 0).max(axis=0)
     typical = np.flatnonzero(deviations >= DEVIATIONS)
     typical = typical[np.argsort(-deviations[typical], kind="stable")][:FEATURES]
     if not len(typical):
         return bare
-    place = {int(w): i for i, w in enumerate(typical)}
+    place = {int(p): i for i, p in enumerate(typical)}
+    rows = drawn_rows.select("positive", "at", "n", "total").mapInPandas(_narrowed(place), "positive boolean, at array<int>, n array<int>, total long").toPandas()
+    rows = rows.iloc[sorted(range(len(rows)), key=lambda i: (rows["total"].iat[i], *rows["at"].iat[i], *rows["n"].iat[i]))]  # the fit doesn't depend on how tasks ran
+    toxic_rows, other_rows = rows[rows["positive"]], rows[~rows["positive"]]
     # Confirmed texts are texts of the corpus too: the unlabelled side holds its share of them.
-    hidden = round(len(other_rows) * len(toxic_rows) / max(n_docs - len(toxic_rows), 1))
-    positive = _matrix(toxic_rows, place)
-    unlabelled = np.vstack([_matrix(other_rows, place), positive[:hidden]])
+    hidden = round(len(other_rows) * n_positive / max(n_docs - n_positive, 1))
+    positive, unlabelled = _matrix(toxic_rows, len(place)), _matrix(pd.concat([other_rows, toxic_rows[:hidden]]), len(place))
     fits = [nn_pu_fit(positive, unlabelled, prior, seed) for seed in seeds]
     names = list(kept)
     return Model({names[w]: i for w, i in place.items()}, np.stack([w for w, _ in fits], axis=1), np.array([b for _, b in fits]))
