@@ -176,6 +176,7 @@ def _matrix(rows: pd.DataFrame, k: int) -> np.ndarray:
     """Three blocks of k columns as in `Model`."""
     out = np.zeros((len(rows), 3 * k), np.float32)
     for i, (at, n, total) in enumerate(zip(rows["at"], rows["n"], rows["total"], strict=True)):
+        at, n = np.asarray(at, np.int64), np.asarray(n, np.int64)
         out[i, at], out[i, at + k], out[i, at + 2 * k] = 1, n > 1, shares(n, total)
     return out
 
