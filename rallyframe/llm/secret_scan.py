@@ -37,10 +37,10 @@ BASE_RULES = (
     SecretRule("hex", r"[0-9a-f]{24,}"),
 )
 # A key's body: header lines, then base64 to the end line; without an end line, the base64 lines that follow and a
-# padded last one. These are counted to 1000, 64,000 characters, as each costs the Java matcher stack.
-_HEADERS = r"(?:\s*[A-Za-z-]+:[^\r\n]*[\r\n]+){0,8}"
-_ENDED = _HEADERS + r"[A-Za-z0-9+/=\s\\]*-----END [A-Z ]*PRIVATE KEY-----"
-_OPEN = _HEADERS + r"(?:\s*[A-Za-z0-9+/]{40,}={0,2}){1,1000}(?:[\r\n]+[A-Za-z0-9+/]*={1,2})?"
+# padded last one. Neither is counted: possessive loops take the Java matcher no stack, however many lines there are.
+_HEADERS = r"(?:\s*[A-Za-z-]+:[^\r\n]*[\r\n]+)*+"
+_ENDED = _HEADERS + r"[A-Za-z0-9+/=\s\\]*+-----END [A-Z ]*PRIVATE KEY-----"
+_OPEN = _HEADERS + r"(?:\s*[A-Za-z0-9+/]{40,}={0,2})++(?:[\r\n]+[A-Za-z0-9+/]*={1,2})?"
 # Published token formats.
 MORE_RULES = (
     SecretRule("private_key", rf"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:{_ENDED}|{_OPEN})?"),
