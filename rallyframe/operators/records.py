@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import slug
+from . import scan
 
 # The states of a run, what changes them, and the labels' numbers.
 STATES = ("none", "created", "running", "completed", "failed", "deleted")
@@ -65,7 +66,7 @@ def run_history(events: DataFrame, run: str, order: str, event: str, block: int
     """Add `before`, `refused` and `after` to every event of every run, in order of a number unique in its run.
 
     An event that the state at hand doesn't allow is refused and changes nothing. A block of events is a map from
-    states to states; a run's blocks are followed on these maps, so no group holds all events of a run.
+    states to states; the maps of the blocks before are composed by a scan, so no group holds all events of a run.
     """
     at = {s: i for i, s in enumerate(STATES)}
     kinds = sorted({e for _, e in CHANGES})
@@ -74,12 +75,11 @@ def run_history(events: DataFrame, run: str, order: str, event: str, block: int
     to = lambda state, k: F.when(k >= 0, F.get(F.get(table, state), k)).otherwise(-1)
     step = lambda state, e: F.when(to(state, e["kind"]) >= 0, to(state, e["kind"])).otherwise(state)
     rows = events.withColumn("__block", F.floor(F.col(order) / block)).withColumn("__event", F.struct(F.col(order).alias("at"), kind.alias("kind"), F.struct(*events.columns).alias("row")))
-    parts = rows.groupBy(run, "__block").agg(F.array_sort(F.collect_list("__event")).alias("events"))
+    parts = rows.groupBy(run, F.col("__block").alias(scan.SPAN)).agg(F.array_sort(F.collect_list("__event")).alias("events"))
     every = F.array(*[F.lit(i) for i in range(len(STATES))])
     parts = parts.withColumn("map", F.transform(every, lambda s: F.aggregate("events", s, step)))
-    line = Window.partitionBy(run).orderBy("__block")
-    chain = F.collect_list("map").over(line.rowsBetween(Window.unboundedPreceding, -1))
-    parts = parts.withColumn("state", F.aggregate(chain, F.lit(0), lambda s, m: F.get(m, s)))
+    carries = scan.before_spans(parts, run, "map", every, lambda first, then: F.transform(first, lambda s: F.get(then, s)))
+    parts = scan.joined(parts, carries, run).withColumn("state", F.get("__before", F.lit(0)))
     none = F.expr("cast(array() as array<int>)")
     states = F.aggregate("events", F.struct(F.col("state").alias("s"), none.alias("out")), lambda acc, e: F.struct(step(acc["s"], e).alias("s"), F.array_append(acc["out"], acc["s"]).alias("out")))["out"]
     each = parts.select(F.inline(F.arrays_zip(F.col("events").alias("e"), states.alias("s"))))

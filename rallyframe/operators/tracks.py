@@ -6,21 +6,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import track_score, turn_degrees
+from .scan import SIZE, inside, with_halo, with_previous, with_running, with_smoothed
 
 # The features that the audit compares.
 COMPARED = ("point_count", "span_frames", "coverage_ratio", "net_displacement", "total_distance", "straightness", "median_speed", "max_speed", "speed_mad", "median_acceleration", "max_acceleration", "turns_over_45", "turns_over_90")
 APPEARANCE = ("median_prediction_error", "median_area", "area_relative_mad", "median_elongation", "elongation_relative_mad", "median_brightness", "median_motion_strength", "median_fill_ratio", "median_circularity", "median_candidate_score")
 
 
-def with_kinematics(points: DataFrame, key: str = "track_id", order: tuple[str, ...] = ("frame",)) -> DataFrame:
-    """Add step, dt (1 at least), vx, vy, speed, acceleration (of velocities, not divided by time) and turn."""
-    w = Window.partitionBy(key).orderBy(*order)
-    dx, dy = F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w)
-    moved = points.withColumn("dt", F.greatest(F.lit(1), F.col("frame") - F.lag("frame").over(w))).withColumn("dx", dx).withColumn("dy", dy)
-    moved = moved.withColumn("step", F.hypot("dx", "dy")).withColumn("vx", F.col("dx") / F.col("dt")).withColumn("vy", F.col("dy") / F.col("dt")).withColumn("speed", F.col("step") / F.col("dt"))
-    px, py = F.lag("vx").over(w), F.lag("vy").over(w)
-    moved = moved.withColumn("px", px).withColumn("py", py)
-    return moved.withColumn("acceleration", F.hypot(F.col("vx") - F.col("px"), F.col("vy") - F.col("py"))).withColumn("turn", turn_degrees(F.col("px"), F.col("py"), F.col("vx"), F.col("vy"))).drop("px", "py", "dx", "dy")
+def with_kinematics(points: DataFrame, key: str = "track_id", order: tuple[str, ...] = ("frame",), size: int = SIZE) -> DataFrame:
+    """Add step, dt (1 at least), vx, vy, speed, acceleration (of velocities, not divided by time) and turn.
+
+    A row needs the two before it; these come from its span or, at a span's start, from the spans before.
+    """
+    moved = with_previous(points, key, ("frame", "x", "y"), order, size)
+    away = lambda c: F.col(c) - F.col(f"__one.{c}")
+    back = lambda c: (F.col(f"__one.{c}") - F.col(f"__two.{c}")) / F.greatest(F.lit(1), F.col("__one.frame") - F.col("__two.frame"))
+    moved = moved.withColumn("dt", F.greatest(F.lit(1), away("frame"))).withColumn("step", F.hypot(away("x"), away("y")))
+    moved = moved.withColumn("vx", away("x") / F.col("dt")).withColumn("vy", away("y") / F.col("dt")).withColumn("speed", F.col("step") / F.col("dt"))
+    moved = moved.withColumn("px", F.when(F.col("__two").isNotNull(), back("x"))).withColumn("py", F.when(F.col("__two").isNotNull(), back("y")))
+    return moved.withColumn("acceleration", F.hypot(F.col("vx") - F.col("px"), F.col("vy") - F.col("py"))).withColumn("turn", turn_degrees(F.col("px"), F.col("py"), F.col("vx"), F.col("vy"))).drop("px", "py", "__one", "__two")
 
 
 def median_of_deviations(rows: DataFrame, key: str, value: str) -> DataFrame:
@@ -90,11 +94,12 @@ def separation(per_track: DataFrame, label: str, names: tuple[str, ...] = COMPAR
 
 def summaries(points: DataFrame, key: str = "track_id") -> DataFrame:
     """Track summary and final score. Error and acceleration means leave out each track's first point."""
-    w = Window.partitionBy(key).orderBy("frame")
-    steps = points.withColumn("step", F.hypot(F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w))).withColumn("gap", F.greatest(F.lit(0), F.col("frame") - F.lag("frame").over(w) - 1))
+    steps = with_previous(points, key, ("frame", "x", "y"))
+    steps = steps.withColumn("step", F.hypot(F.col("x") - F.col("__one.x"), F.col("y") - F.col("__one.y"))).withColumn("gap", F.greatest(F.lit(0), F.col("frame") - F.col("__one.frame") - 1))
+    mean = lambda c: F.sum(F.col(c).cast("decimal(28,12)")).cast("double") / F.count(c)  # noqa: E731  the same in any order of rows
     per = steps.groupBy(key).agg(
         F.count(F.lit(1)).alias("point_count"), F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame"), F.coalesce(F.sum("gap"), F.lit(0)).cast("bigint").alias("gap_frames"),
-        F.coalesce(F.sum("step"), F.lit(0.0)).alias("distance"), F.coalesce(F.avg("step"), F.lit(0.0)).alias("speed"), F.avg("score").alias("mean_score"), F.coalesce(F.avg("error"), F.lit(0.0)).alias("mean_error"), F.coalesce(F.avg("acceleration"), F.lit(0.0)).alias("mean_acceleration"),
+        F.coalesce(F.sum("step"), F.lit(0.0)).alias("distance"), F.coalesce(F.avg("step"), F.lit(0.0)).alias("speed"), mean("score").alias("mean_score"), F.coalesce(mean("error"), F.lit(0.0)).alias("mean_error"), F.coalesce(mean("acceleration"), F.lit(0.0)).alias("mean_acceleration"),
     )
     span = F.col("last_frame") - F.col("first_frame") + 1
     coverage = F.col("point_count") / F.greatest(span, F.lit(1))
@@ -107,13 +112,14 @@ def links(candidates: DataFrame, max_gap: int = 2, max_jump: float = 58.0, cuts:
     """Pairs of the same clip, 1 to max_gap + 1 frames apart, with a limited jump a frame and no cut between.
 
     The interval join becomes an equi-join: each candidate is sent to the frames that it may link to, so rows
-    grow by the gap and not with the clip. Cuts become a running segment number, equal on both sides.
+    grow by the gap and not with the clip. Cuts become a running segment number, equal on both sides, counted
+    by span.
     """
     if cuts is not None:
-        w = Window.partitionBy("clip_id").orderBy("frame", "__kind").rowsBetween(Window.unboundedPreceding, 0)
         marks = cuts.select("clip_id", "frame").distinct().withColumn("__kind", F.lit(0))
         rows = candidates.withColumn("__kind", F.lit(1)).unionByName(marks, allowMissingColumns=True)
-        candidates = rows.withColumn("segment", F.count_if(F.col("__kind") == 0).over(w)).filter("__kind = 1").drop("__kind")
+        counted = with_running(rows, "clip_id", {"segment": (F.col("__kind") == 0).cast("long")}, ("frame", "__kind"))
+        candidates = counted.filter("__kind = 1").drop("__kind")
     else:
         candidates = candidates.withColumn("segment", F.lit(0))
     side = lambda p: [F.col(c).alias(f"{p}_{c}") for c in candidates.columns if c not in ("clip_id", "segment")]
@@ -147,9 +153,10 @@ def overlaps(members: DataFrame, set_key: str, item: str, within: str, least: fl
 
 def triplets(frames: DataFrame, key: str = "clip_id") -> DataFrame:
     """Whether the frames just before and after are there."""
-    w = Window.partitionBy(key).orderBy("frame")
+    w = inside(key, "frame")
     before, after = F.lag("frame").over(w) == F.col("frame") - 1, F.lead("frame").over(w) == F.col("frame") + 1
-    return frames.withColumn("has_before", F.coalesce(before, F.lit(False))).withColumn("has_after", F.coalesce(after, F.lit(False))).withColumn("triplet", F.col("has_before") & F.col("has_after"))
+    seen = with_halo(frames, before=1, after=1).withColumn("has_before", F.coalesce(before, F.lit(False))).withColumn("has_after", F.coalesce(after, F.lit(False)))
+    return seen.where("__own").drop("__own", "__span").withColumn("triplet", F.col("has_before") & F.col("has_after"))
 
 
 def trails(points: DataFrame, frames: int = 12, key: str = "track_id") -> DataFrame:
@@ -157,8 +164,8 @@ def trails(points: DataFrame, frames: int = 12, key: str = "track_id") -> DataFr
 
     Places count in ten-thousandths, so sums are exact in any order; means are rounded half up to six digits.
     """
-    w = Window.partitionBy(key).orderBy("frame").rangeBetween(-(frames - 1), 0)
-    rows = points.select(key, "frame", F.count(F.lit(1)).over(w).alias("trail_points"), *[v.over(w).alias(f"__{c}{v_}") for c in ("x", "y") for v_, v in (("n", F.count(c)), ("s", F.sum(F.round(F.col(c) * 10_000).cast("bigint"))))])
+    w = inside(key, "frame").rangeBetween(-(frames - 1), 0)
+    rows = with_halo(points, before=frames - 1, size=max(SIZE, frames)).select(key, "frame", "__own", F.count(F.lit(1)).over(w).alias("trail_points"), *[v.over(w).alias(f"__{c}{v_}") for c in ("x", "y") for v_, v in (("n", F.count(c)), ("s", F.sum(F.round(F.col(c) * 10_000).cast("bigint"))))]).where("__own")
 
     def mean(c: str) -> Column:
         doubled, n = F.expr(f"200 * __{c}s + __{c}n"), F.expr(f"nullif(2 * __{c}n, 0)")
@@ -167,37 +174,37 @@ def trails(points: DataFrame, frames: int = 12, key: str = "track_id") -> DataFr
     return rows.select(key, "frame", "trail_points", mean("x"), mean("y"))
 
 
-def smoothed(points: DataFrame, alpha: float = 0.72, max_gap: int = 4, max_jump: float = 230.4, key: str = "track_id", reach: int = 60) -> DataFrame:
-    """Exponential smoothing that restarts after a gap or a jump.
+def smoothed(points: DataFrame, alpha: float = 0.72, max_gap: int = 4, max_jump: float = 230.4, key: str = "track_id", reach: int = 60, size: int = SIZE) -> DataFrame:
+    """Exponential smoothing that restarts after a gap or a jump; `session` counts the restarts."""
+    rows = with_previous(points.select(key, "frame", "x", "y"), key, ("frame", "x", "y"), size=size)
+    far = F.hypot(F.col("x") - F.col("__one.x"), F.col("y") - F.col("__one.y")) > max_jump
+    fresh = F.col("__one.frame").isNull() | (F.col("frame") - F.col("__one.frame") > max_gap) | far
+    out = with_smoothed(rows.withColumn("__fresh", fresh), key, "__fresh", ("x", "y"), alpha, reach=reach, size=size)
+    return out.select(key, "frame", "session", F.round("smooth_x", 6).alias("smooth_x"), F.round("smooth_y", 6).alias("smooth_y"))
+
+
+def best_window(rows: DataFrame, size: int, key: str, order: str, value: str, span: int = SIZE) -> DataFrame:
+    """The start of the full window of `size` rows with the greatest mean, the earliest on ties.
 
-    A restart starts a new session (a running count). Weights fall by 1 - alpha a point, so `reach` points
-    carry all that a double can hold (0.28 ** 60 is below 1e-33): the window is bounded, the track isn't.
+    Means are differences of running sums, so the work doesn't grow with the window. Sums are exact on fifteen
+    decimals; a window with a null has the mean of its other values.
     """
-    if not 0 < alpha <= 1 or (1 - alpha) ** reach > 1e-17:
-        raise ValueError("reach is too short for this alpha")
-    w = Window.partitionBy(key).orderBy("frame")
-    far = F.hypot(F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w)) > max_jump
-    fresh = F.lag("frame").over(w).isNull() | (F.col("frame") - F.lag("frame").over(w) > max_gap) | far
-    rows = points.withColumn("__fresh", fresh).withColumn("session", F.count_if("__fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    back = Window.partitionBy(key, "session").orderBy("frame").rowsBetween(-(reach - 1), 0)
-    fold = lambda c: F.aggregate(F.slice(c, 2, F.greatest(F.size(c) - 1, F.lit(0))), F.get(c, 0), lambda s, v: alpha * v + (1 - alpha) * s)
-    rows = rows.withColumn("__xs", F.collect_list("x").over(back)).withColumn("__ys", F.collect_list("y").over(back))
-    return rows.select(key, "frame", "session", F.round(fold(F.col("__xs")), 6).alias("smooth_x"), F.round(fold(F.col("__ys")), 6).alias("smooth_y"))
-
-
-def best_window(rows: DataFrame, size: int, key: str, order: str, value: str) -> DataFrame:
-    """The start of the full window of `size` rows with the greatest mean, the earliest on ties."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(0, size - 1)
-    full = rows.select(key, order, F.round(F.avg(value).over(w), 6).alias("mean"), F.count(F.lit(1)).over(w).alias("n")).filter(F.col("n") == size)
+    number = F.col(value).cast("decimal(38,15)")
+    sums = {"__place": F.lit(1).cast("long"), "__held": F.col(value).isNotNull().cast("long"), "__sum": F.coalesce(number, F.lit(0).cast("decimal(38,15)"))}
+    run = with_running(rows.select(key, order, value), key, sums, (order,), span)
+    first = run.select(key, F.col(order).alias("__start"), "__place", (F.col("__held") - F.col(value).isNotNull().cast("long")).alias("__h0"), (F.col("__sum") - F.coalesce(number, F.lit(0))).alias("__s0"))
+    last = run.select(key, (F.col("__place") - size + 1).alias("__place"), "__held", "__sum")
+    mean = F.round(F.try_divide((F.col("__sum") - F.col("__s0")).cast("double"), (F.col("__held") - F.col("__h0")).cast("double")), 6)
+    full = first.join(last, [key, "__place"]).select(key, F.col("__start").alias(order), mean.alias("mean"))
     best = full.groupBy(key).agg(F.max(F.struct(F.col("mean"), (-F.col(order)).alias("o"))).alias("b"))
     return best.select(key, (-F.col("b.o")).alias("start"), F.col("b.mean").alias("best_mean"))
 
 
 def histories(frames: DataFrame, length: int = 9, key: str = "clip_id") -> DataFrame:
     """Frames with their `length - 1` direct predecessors, oldest first; others have no row."""
-    w = Window.partitionBy(key).orderBy("frame").rowsBetween(-(length - 1), 0)
-    rows = frames.select(key, "frame", F.collect_list("frame").over(w).alias("history"))
-    return rows.filter((F.size("history") == length) & (F.get("history", 0) == F.col("frame") - (length - 1)))
+    w = inside(key, "frame").rowsBetween(-(length - 1), 0)
+    rows = with_halo(frames, before=length - 1, size=max(SIZE, length)).select(key, "frame", "__own", F.collect_list("frame").over(w).alias("history"))
+    return rows.filter("__own").drop("__own").filter((F.size("history") == length) & (F.get("history", 0) == F.col("frame") - (length - 1)))
 
 
 def islands(rows: DataFrame, key: str, order: str, flag: str, span: int = 4096) -> DataFrame:
