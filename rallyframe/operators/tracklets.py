@@ -8,9 +8,12 @@ from dataclasses import asdict, dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+from .tracks import overlaps
+
 FIELDS = ("x", "y", "score", "area", "bright", "size")
 
 
@@ -151,29 +154,53 @@ def hypotheses(candidates: DataFrame, config: TrackConfig = TrackConfig(), block
     return slim.groupBy("clip_id", "__part").applyInPandas(run, schema)
 
 
+PATH_KEY = ("seed_frame", "seed_rank", "path")
+
+
+def suppressed(ranked: DataFrame, edges: DataFrame, group: str, most: int | None = None) -> DataFrame:
+    """(group, id) of the ids that a greedy pass over each group keeps: best first, none that has an edge to one kept
+    before it; with `most`, at least the first `most` of them.
+
+    `ranked` has one row for each (group, id); lesser ids are better. `edges` (group, better, worse) are pairs of it.
+    In every round an id without an open better neighbour is kept and its worse neighbours go, which is what the
+    sequential pass decides. Only open edges are held, and what comes after a group's `most` kept ids is left out.
+    """
+    ends = lambda e: e.select(group, F.explode(F.array(F.struct(F.col("better").alias("id"), F.lit(False).alias("below")), F.struct(F.col("worse").alias("id"), F.lit(True).alias("below")))).alias("v")).select(group, "v.*")
+    alone = ranked.select(group, "id").join(ends(edges).select(group, "id").distinct(), [group, "id"], "left_anti")
+    kept, edges = cut(alone), cut(edges.select(group, "better", "worse"))
+    while not edges.isEmpty():
+        flags = ends(edges).groupBy(group, "id").agg(F.max("below").alias("below"))
+        gone = edges.join(flags.where("not below").select(group, F.col("id").alias("better")), [group, "better"]).select(group, F.col("worse").alias("id"), F.lit(True).alias("gone")).distinct()
+        state = cut(flags.join(gone, [group, "id"], "left").select(group, "id", "below", F.coalesce("gone", F.lit(False)).alias("gone")))
+        held = kept.union(state.where("not below").select(group, "id"))
+        left = state.where("below and not gone").select(group, "id")
+        if most:
+            last = held.withColumn("__n", F.row_number().over(Window.partitionBy(group).orderBy("id"))).where(F.col("__n") == most).select(group, F.col("id").alias("__last"))
+            left = left.join(last, group, "left").where(F.col("__last").isNull() | (F.col("id") < F.col("__last"))).drop("__last")
+        for end in ("better", "worse"):
+            edges = edges.join(left.withColumnRenamed("id", end), [group, end], "left_semi")
+        edges = cut(edges)
+        freed = left.join(ends(edges).select(group, "id").distinct(), [group, "id"], "left_anti")
+        kept = cut(held.union(freed))
+    return kept
+
+
 def selected(paths: DataFrame, config: TrackConfig = TrackConfig()) -> DataFrame:
     """The best paths of each clip that overlap none kept before them; `track_rank` from 1.
 
-    The greedy choice is sequential in a clip; a clip is a minute of video at most, which bounds the group.
+    (clip_id, seed_frame, seed_rank, path) is unique; a path without candidates overlaps nothing. The choice runs in
+    rounds over the pairs that overlap, so a clip of any length spreads; a clip's last window holds the kept ids only.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(__neg=-pdf["score"]).sort_values(["__neg", "seed_frame", "seed_rank", "path"], kind="stable").drop(columns="__neg")
-        kept: list[set] = []
-        at = []
-        for i, ids in enumerate(pdf["candidate_ids"]):
-            own = set(ids)
-            if all(len(own & k) / min(len(own), len(k)) < config.overlap for k in kept):
-                kept.append(own)
-                at.append(i)
-                if len(kept) >= config.max_tracks:
-                    break
-        out = pdf.iloc[at].copy()
-        out.insert(1, "track_rank", range(1, len(out) + 1))
-        return out
-
-    schema = "clip_id string, track_rank long, seed_frame long, seed_rank long, path long, score double, candidate_ids array<string>, frames array<long>, xs array<double>, ys array<double>, errors array<double>"
-    return paths.groupBy("clip_id").applyInPandas(run, schema)
+    rank = F.struct((-F.col("score")).alias("loss"), *PATH_KEY)
+    paths = cut(paths)
+    ranked = paths.select("clip_id", rank.alias("id"), F.explode("candidate_ids").alias("item"))
+    pairs = overlaps(ranked, "id", "item", "clip_id", config.overlap)
+    kept = suppressed(paths.select("clip_id", rank.alias("id")), pairs.select("clip_id", F.col("a").alias("better"), F.col("b").alias("worse")), "clip_id", config.max_tracks)
+    first = kept.withColumn("track_rank", F.row_number().over(Window.partitionBy("clip_id").orderBy("id")).cast("long")).where(F.col("track_rank") <= config.max_tracks)
+    names = first.select("clip_id", "track_rank", *[F.col(f"id.{k}").alias(k) for k in PATH_KEY])
+    # A clip has max_tracks rows here at most.
+    found = paths.join(names, ["clip_id", *PATH_KEY])
+    return found.select("clip_id", "track_rank", *PATH_KEY, "score", "candidate_ids", "frames", "xs", "ys", "errors")
 
 
 def track_points(tracks: DataFrame, fps: float = 30.0) -> DataFrame:
