@@ -26,17 +26,28 @@ def scene_cuts(frames: DataFrame, threshold: float = 30.0, key: str = "clip_id")
     return rows.select(key, "frame", F.round(total / F.size("gray"), 6).alias("difference")).filter(F.col("difference") >= threshold)
 
 
-def motion_means(frames: DataFrame, threshold: int = 18, key: str = "clip_id") -> DataFrame:
-    """Symmetric motion of inner frames: pixels above the threshold in the lesser of both differences, and their mean."""
+def triples(frames: DataFrame, value: str = "gray", key: str = "clip_id") -> DataFrame:
+    """(key, frame, before, value, after) of every inner frame: its value between its neighbours' in the clip's order."""
     w = Window.partitionBy(key).orderBy("frame")
-    rows = frames.select(key, "frame", "gray", F.lag("gray").over(w).alias("__a"), F.lead("gray").over(w).alias("__b")).filter("__a is not null and __b is not null")
+    rows = frames.select(key, "frame", F.lag(value).over(w).alias("before"), value, F.lead(value).over(w).alias("after"))
+    return rows.filter("before is not null and after is not null")
+
+
+def motion_of(inner: DataFrame, threshold: int = 18, key: str = "clip_id") -> DataFrame:
+    """Symmetric motion of frames with their neighbours, from a table (`triples`) or a stream (`live_triples`):
+    pixels above the threshold in the lesser of both differences, and their mean."""
     diff = lambda c: F.zip_with("gray", c, lambda x, y: F.abs(x - y))
-    rows = rows.withColumn("__m", F.zip_with(diff("__a"), diff("__b"), lambda x, y: F.least(x, y)))
+    rows = inner.withColumn("__m", F.zip_with(diff("before"), diff("after"), lambda x, y: F.least(x, y)))
     above = rows.withColumn("__over", F.filter("__m", lambda v: v > threshold))
     mean = F.try_divide(F.aggregate("__over", F.lit(0), lambda s, v: s + v).cast("double"), F.size("__over"))
     return above.select(key, "frame", F.size("__over").cast("bigint").alias("moving_pixels"), F.round(F.coalesce(mean, F.lit(0.0)), 6).alias("mean_motion"), F.array_max("__m").cast("bigint").alias("peak_motion"))
 
 
+def motion_means(frames: DataFrame, threshold: int = 18, key: str = "clip_id") -> DataFrame:
+    """Symmetric motion of a clip's inner frames."""
+    return motion_of(triples(frames, key=key), threshold, key)
+
+
 def blurred(gray: np.ndarray, size: int) -> np.ndarray:
     """Separable smoothing with mirrored edges, rounded to whole values."""
     kernel, pad = np.array(KERNELS[size]), size // 2
@@ -132,8 +143,7 @@ def detected(frames: DataFrame, height: int, width: int, limits: ComponentLimits
     Neighbours come from lag and lead in the clip's order, so batches of frames go to Python and never a clip.
     Scoring and the choice of the best `per_frame` are columns and a window again.
     """
-    w = Window.partitionBy(key).orderBy("frame")
-    rows = frames.select(F.col(key).cast("string").alias("clip_id"), "frame", F.lag("gray").over(w).alias("before"), "gray", F.lead("gray").over(w).alias("after")).filter("before is not null and after is not null")
+    rows = triples(frames.select(F.col(key).cast("string").alias("clip_id"), "frame", "gray"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shape = lambda v: blurred(np.asarray(v, np.int16).reshape(height, width), limits.blur)

@@ -183,6 +183,21 @@ def smoothed(points: DataFrame, alpha: float = 0.72, max_gap: int = 4, max_jump:
     return out.select(key, "frame", "session", F.round("smooth_x", 6).alias("smooth_x"), F.round("smooth_y", 6).alias("smooth_y"))
 
 
+def trail_age(fps: float) -> int:
+    """Frames after which a point leaves the trail."""
+    return max(10, round(1.35 * fps))
+
+
+def smoothed_trails(points: DataFrame, age: int, alpha: float = 0.72, max_gap: int = 4, max_jump: float = 230.4, key: str = "track_id", size: int = SIZE) -> DataFrame:
+    """`smoothed` with `trail`: the session's points (frame, x, y) up to each point that are at most `age` frames old."""
+    rows = smoothed(points, alpha, max_gap, max_jump, key, size=size)
+    point = F.struct("frame", F.col("smooth_x").alias("x"), F.col("smooth_y").alias("y"), "session")
+    near = F.collect_list(point).over(inside(key, "frame").rangeBetween(-age, 0))
+    held = with_halo(rows, before=age, size=max(size, age)).withColumn("__near", near).where("__own")
+    own = F.transform(F.filter("__near", lambda p: p["session"] == F.col("session")), lambda p: F.struct(p["frame"], p["x"], p["y"]))
+    return held.select(key, "frame", "session", "smooth_x", "smooth_y", F.array_sort(own).alias("trail"))
+
+
 def best_window(rows: DataFrame, size: int, key: str, order: str, value: str, span: int = SIZE) -> DataFrame:
     """The start of the full window of `size` rows with the greatest mean, the earliest on ties.
 

@@ -1,14 +1,11 @@
-"""Streams of track points: windowed counts with late data, and sessions that gaps and jumps end."""
+"""Streams of events: windowed counts with late data. Sessions that gaps and jumps end are in `ordered`."""
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from .ordered import live_sessions  # noqa: F401
 
 
 def windowed_counts(events: DataFrame, late: str = "10 minutes", size: str = "5 minutes") -> DataFrame:
@@ -16,29 +13,3 @@ def windowed_counts(events: DataFrame, late: str = "10 minutes", size: str = "5
     rows = events.withWatermark("ts", late) if events.isStreaming else events
     grouped = rows.groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
     return grouped.select(F.col("w.start").alias("window_start"), "event_type", "n", "total")
-
-
-def live_sessions(points: DataFrame, max_gap: int = 4, max_jump: float = 230.4, alpha: float = 0.72) -> DataFrame:
-    """Smoothed points as they arrive; the state of a track is its last point, not its history.
-
-    Points of a track must arrive in order of frames, as a decoder gives them; a later frame that arrives early
-    starts from where the state stands, and an earlier one is dropped.
-    """
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get if state.exists else None
-        out = []
-        for pdf in batches:
-            for frame, x, y in pdf.sort_values("frame")[["frame", "x", "y"]].itertuples(index=False):
-                if last is not None and frame <= last[0]:
-                    continue
-                fresh = last is None or frame - last[0] > max_gap or math.hypot(x - last[1], y - last[2]) > max_jump
-                session = 1 if last is None else last[5] + bool(fresh)
-                sx, sy = (x, y) if fresh else (alpha * x + (1 - alpha) * last[3], alpha * y + (1 - alpha) * last[4])
-                last = (int(frame), float(x), float(y), float(sx), float(sy), int(session))
-                out.append((key[0], last[0], last[5], round(sx, 6), round(sy, 6)))
-        if last is not None:
-            state.update(last)
-        yield pd.DataFrame(out, columns=["track_id", "frame", "session", "smooth_x", "smooth_y"])
-
-    return points.groupBy("track_id").applyInPandasWithState(run, "track_id long, frame long, session long, smooth_x double, smooth_y double", "frame long, x double, y double, sx double, sy double, session long", "append", GroupStateTimeout.NoTimeout)
