@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import f_beta, inside, is_hit
+from ..session import cut
 from .ranks import percentiles
 
 # The thresholds that the sweep tries.
@@ -36,37 +37,61 @@ def strict_refined_valid(global_min: float, local_min: float) -> Column:
     return F.coalesce(valid, F.lit(False))
 
 
-def stage_metrics(valid: Column, error: Column) -> list[Column]:
-    """One pass of conditional aggregates; rates are null without a denominator."""
-    visible = F.col("visible")
-    hit = is_hit(error) & visible
-    tp, shown, seen = F.count_if(valid & hit), F.count_if(valid), F.count_if(visible)
-    precision, recall = F.round(F.try_divide(tp, shown), 9), F.round(F.try_divide(tp, seen), 9)
-    return [
-        F.count(F.lit(1)).alias("frames"), seen.alias("visible_frames"), shown.alias("valid_frames"), F.count_if(valid & ~visible).alias("invisible_valid"),
-        F.count_if(hit).alias("raw_hits"), tp.alias("valid_hits"), precision.alias("precision"), recall.alias("recall"), F.round(f_beta(precision, recall), 6).alias("f1"),
-    ]
+CELL = ["stage", "fps_nominal", "match_id", "visible", "valid", "error"]
 
 
-def grouped_stage_metrics(predictions: DataFrame, global_min: float = 0.15, local_min: float = 0.04) -> DataFrame:
-    """Both stages by frame rate, by match and over all: counts in one aggregation, error percentiles by ranks."""
+def error_cells(predictions: DataFrame, global_min: float = 0.15, local_min: float = 0.04) -> DataFrame:
+    """How many rows of each frame rate and match share a stage's outcome: (stage, fps_nominal, match_id, visible,
+    valid, error, n).
+
+    This is all that the stages' quality depends on, so it is its exact, mergeable state: tables of several days or
+    runs are merged by `merged_cells`, in any order.
+    """
     stages = F.array(
         F.struct(F.lit("global").alias("stage"), F.coalesce((F.col("global_conf") >= global_min) & in_image("global"), F.lit(False)).alias("valid"), F.col("global_error").alias("error")),
         F.struct(F.lit("refined").alias("stage"), strict_refined_valid(global_min, local_min).alias("valid"), F.col("refined_error").alias("error")),
     )
-    views = [("fps", F.col("fps_nominal")), ("match", F.col("match_id").cast("string")), ("all", F.lit("all"))]
-    groups = F.array(*[F.struct(F.lit(n).alias("grouping"), v.alias("value")) for n, v in views])
-    rows = predictions.select("*", F.inline(stages)).select("visible", "stage", "valid", "error", F.inline(groups))
+    return predictions.select("fps_nominal", "match_id", "visible", F.inline(stages)).groupBy(*CELL).agg(F.count(F.lit(1)).alias("n"))
+
+
+def merged_cells(*parts: DataFrame) -> DataFrame:
+    """One table of cells for all parts."""
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole.groupBy(*CELL).agg(F.sum("n").alias("n"))
+
+
+def metrics_of_cells(cells: DataFrame) -> DataFrame:
+    """Both stages by frame rate, by match and over all. Rates are null without a denominator; error percentiles are
+    exact, by ranks over counted values.
+
+    The cells are stored once, and once more by group and error; everything else reads these.
+    """
+    groups = F.array(*[F.struct(F.lit(n).alias("grouping"), v.alias("value")) for n, v in (("fps", F.col("fps_nominal")), ("match", F.col("match_id").cast("string")), ("all", F.lit("all")))])
+    rows = cut(cells).select("stage", "visible", "valid", "error", "n", F.inline(groups))
     keys = ["stage", "grouping", "value"]
-    errors = rows.filter("visible and error is not null")
-    raw = percentiles(errors, keys, "error", {"raw_median_error": 0.5})
-    shown = percentiles(errors.filter("valid"), keys, "error", {"valid_median_error": 0.5, "valid_p90_error": 0.9})
-    out = rows.groupBy(*keys).agg(*stage_metrics(F.col("valid"), F.col("error"))).withColumnsRenamed({k: f"__{k}" for k in keys})
+    number = lambda when: F.coalesce(F.sum(F.when(when, F.col("n"))), F.lit(0))
+    seen = F.col("visible") & F.col("error").isNotNull()
+    errors = cut(rows.where(seen).groupBy(*keys, "error").agg(F.sum("n").alias("raw_n"), number(F.col("valid")).alias("valid_n")))
+    raw = percentiles(errors, keys, "error", {"raw_median_error": 0.5}, weight="raw_n")
+    shown = percentiles(errors, keys, "error", {"valid_median_error": 0.5, "valid_p90_error": 0.9}, weight="valid_n")
+    hit = is_hit(F.col("error")) & F.col("visible")
+    counts = {"frames": F.lit(True), "visible_frames": F.col("visible"), "valid_frames": F.col("valid"), "invisible_valid": F.col("valid") & ~F.col("visible"), "raw_hits": hit, "valid_hits": F.col("valid") & hit}
+    out = rows.groupBy(*keys).agg(*[number(v).alias(c) for c, v in counts.items()])
+    precision, recall = F.round(F.try_divide("valid_hits", "valid_frames"), 9), F.round(F.try_divide("valid_hits", "visible_frames"), 9)
+    out = out.withColumn("precision", precision).withColumn("recall", recall).withColumn("f1", F.round(f_beta(F.col("precision"), F.col("recall")), 6))
+    out = out.withColumnsRenamed({k: f"__{k}" for k in keys})
     for more in (raw, shown):
         out = out.join(more, [F.col(f"__{k}").eqNullSafe(F.col(k)) for k in keys], "left").drop(*keys)
     return out.withColumnsRenamed({f"__{k}": k for k in keys}).withColumns({c: F.round(c, 6) for c in ("raw_median_error", "valid_median_error", "valid_p90_error")})
 
 
+def grouped_stage_metrics(predictions: DataFrame, global_min: float = 0.15, local_min: float = 0.04) -> DataFrame:
+    """Both stages by frame rate, by match and over all, in one pass over the predictions."""
+    return metrics_of_cells(error_cells(predictions, global_min, local_min))
+
+
 def transitions(predictions: DataFrame) -> DataFrame:
     """How the refined stage changes the global one, over visible frames with both errors."""
     both = predictions.filter(F.col("visible") & F.col("global_error").isNotNull() & F.col("refined_error").isNotNull())

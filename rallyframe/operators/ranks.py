@@ -6,16 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def counted_values(rows: DataFrame, keys: list[str], value: str, cells: int = 64) -> DataFrame:
+def counted_values(rows: DataFrame, keys: list[str], value: str, cells: int = 64, weight: str | None = None) -> DataFrame:
     """(keys, value, __n, __first, __size): each distinct value of a group, how often it occurs, how many rows of the
     group lie below it, and how many the group has. Nulls don't count.
 
     Values are counted before anything is sorted. A group's values are split at approximate quantiles into cells,
-    running sums go over a cell's values and over the cells. Keys are matched with null as a value.
+    running sums go over a cell's values and over the cells. Keys are matched with null as a value. With `weight`, a
+    row counts so many times; keys and value are unique then.
     """
     if cells < 2:
         raise ValueError("cells must be 2 or more")
-    per = rows.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
+    known = rows.filter(F.col(value).isNotNull())
+    per = known.where(F.col(weight) > 0).select(*keys, value, F.col(weight).alias("__n")) if weight else known.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
     named = {k: f"__key{i}" for i, k in enumerate(keys)}
     steps = [i / cells for i in range(1, cells)]
     cuts = per.groupBy(*keys).agg(F.percentile_approx(value, steps, 1000).alias("__cuts"), F.sum("__n").alias("__size")).withColumnsRenamed(named)
@@ -36,10 +38,10 @@ def _same(named: dict[str, str]) -> Column:
     return both
 
 
-def percentiles(rows: DataFrame, keys: list[str], value: str, wanted: dict[str, float], nearest: tuple[str, ...] = ()) -> DataFrame:
+def percentiles(rows: DataFrame, keys: list[str], value: str, wanted: dict[str, float], nearest: tuple[str, ...] = (), weight: str | None = None) -> DataFrame:
     """(keys, names): exact percentiles of each group's values, interpolated between neighbours, or the value at the
     nearest rank for names in `nearest`. Groups without a value have no row."""
-    ranked = counted_values(rows, keys, value)
+    ranked = counted_values(rows, keys, value, weight=weight)
     at = lambda rank: F.max(F.when((rank >= F.col("__first")) & (rank < F.col("__first") + F.col("__n")), F.col(value)))
     out = []
     for name, p in wanted.items():
