@@ -129,6 +129,45 @@ def oversampled(rows: DataFrame, flag: str, share: float, order: tuple[str, ...]
     return rows.filter(~F.col(flag)).withColumn("copy", F.lit(1)).unionByName(whole).unionByName(more)
 
 
+def keyed_number(*parts: Column) -> Column:
+    """60 random-looking bits that depend on the parts alone, the same in any engine with MD5."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *parts).cast("binary")), 1, 15), 16, 10).cast("bigint")
+
+
+def by_number(rows: DataFrame, number: Column, order: tuple[str, ...], name: str) -> DataFrame:
+    """Number rows 0..n-1 by a column of `keyed_number` and then `order`, range by range of the numbers."""
+    held = rows.withColumn("__number", number).withColumn("__part", F.shiftright("__number", 44))
+    return numbered(held, ("__part", "__number", *order), name, ("__part",)).drop("__part", "__number")
+
+
+def drawn(rows: DataFrame, n: int, order: tuple[str, ...], seed: int) -> DataFrame:
+    """Exactly n draws with replacement, as rows with `copies` >= 1, each row as likely as any other at every draw.
+
+    Draw j takes the row numbered keyed_number(seed, j) modulo the rows' count. Nothing depends on partitions or on the
+    generator's earlier values: draws are made where they are needed, and a retried task draws the same. `order` is a
+    unique key. Fewer rows than one are an error if draws are wanted.
+    """
+    total = rows.count()
+    if n and not total:
+        raise ValueError("there are no rows to draw from")
+    number = F.pmod(keyed_number(F.lit(str(seed)), F.col("id").cast("string")), F.lit(max(total, 1)))
+    draws = rows.sparkSession.range(n).groupBy(number.alias("__index")).agg(F.count(F.lit(1)).alias("copies"))
+    indexed = by_number(rows, keyed_number(*[F.col(c).cast("string") for c in order]), order, "__index")
+    return indexed.join(draws, "__index").drop("__index")
+
+
+def training_rows(rows: DataFrame, flag: str, share: float, order: tuple[str, ...], seed: int) -> DataFrame:
+    """All rows once (copy 0), and flagged ones drawn with replacement until they are `share` of all, rounded up; in a
+    random order, `place` from 0. Without rows of either kind nothing is drawn. Rows with a null flag stay out."""
+    if not 0 <= share < 1:
+        raise ValueError("share must be at least 0 and below 1")
+    sizes = rows.agg(F.count_if(F.col(flag)).alias("a"), F.count_if(~F.col(flag)).alias("b")).first()
+    more = max(0, math.ceil(sizes["b"] * share / (1 - share)) - sizes["a"]) if sizes["a"] and sizes["b"] else 0
+    again = drawn(rows.filter(F.col(flag)), more, order, seed).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("copies")
+    every = rows.filter(F.col(flag).isNotNull()).withColumn("copy", F.lit(0)).unionByName(again)
+    return by_number(every, keyed_number(F.lit(str(seed)), *[F.col(c).cast("string") for c in order], F.col("copy").cast("string")), (*order, "copy"), "place")
+
+
 def fold_plan(rows: DataFrame, holdouts: list[str], same_frame: int = 4, missing_times: int = 2, invisible_times: int = 1) -> DataFrame:
     """The training selection of every holdout clip at once.
 

@@ -240,6 +240,23 @@ def oversampled_copies(spark, sf_dir):
     return sampling.oversampled(rows, "invisible", 1.5, ("o_orderkey",)).groupBy("invisible", F.col("copy").cast("bigint").alias("copy")).agg(F.count(F.lit(1)).alias("rows_out"), F.count_distinct("o_orderkey").alias("keys"))
 
 
+def _number(text: str) -> str:
+    return f"('0x' || substr(md5({text}), 1, 15))::BIGINT"
+
+
+@query(f"""WITH o AS (SELECT o_orderkey, o_orderstatus = 'P' AS invisible FROM orders), c AS (SELECT count_if(invisible) AS a, count_if(NOT invisible) AS b FROM o),
+ k AS (SELECT greatest(0, ceil(b * 0.5 / (1 - 0.5))::BIGINT - a)::BIGINT AS more, a FROM c),
+ f AS (SELECT o_orderkey, row_number() OVER (ORDER BY {_number('o_orderkey::VARCHAR')}, o_orderkey) - 1 AS i FROM o WHERE invisible),
+ d AS (SELECT i, count(*) AS copies FROM (SELECT {_number("'7:' || j")} % a AS i FROM (SELECT a, unnest(range(0, more)) AS j FROM k)) GROUP BY i),
+ e AS (SELECT o_orderkey, invisible, 0 AS copy FROM o UNION ALL SELECT o_orderkey, true, unnest(range(1, copies + 1)) FROM f JOIN d USING (i))
+SELECT o_orderkey, invisible, copy::BIGINT AS copy, row_number() OVER (ORDER BY {_number("'7:' || o_orderkey || ':' || copy")}, o_orderkey, copy) - 1 AS place FROM e""")
+def training_rows(spark, sf_dir):
+    """Every order once and rare ones drawn with replacement to a half of all, in a random order."""
+    rows = views.table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderstatus") == "P").alias("invisible"))
+    out = sampling.training_rows(rows, "invisible", 0.5, ("o_orderkey",), seed=7)
+    return out.select("o_orderkey", "invisible", F.col("copy").cast("bigint").alias("copy"), "place")
+
+
 def _fold_sql(tail: str) -> str:
     return sql(tail, CAND, GT, LAB, OUT, CAT, """tr AS (SELECT c.*, h AS holdout_clip FROM cat c CROSS JOIN (SELECT unnest(['clip_0', 'clip_1', 'clip_2']) AS h) WHERE h <> clip_id AND category <> 'ignore'),
  t1 AS (SELECT *, count_if(category = 'positive') OVER (PARTITION BY holdout_clip) AS np, bool_or(category = 'positive') OVER (PARTITION BY holdout_clip, clip_id, frame) AS has, row_number() OVER (PARTITION BY holdout_clip, category, clip_id, frame ORDER BY rank) AS pl FROM tr),
