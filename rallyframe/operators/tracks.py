@@ -253,20 +253,46 @@ def neighbours(candidates: DataFrame, radii: tuple[int, ...] = (20, 40, 80)) ->
     return pairs.groupBy("clip_id", "frame", "candidate_id").agg(*[F.count_if(F.col("d") <= r).alias(f"within_{r}") for r in radii], F.round(F.min("d"), 6).alias("nearest"))
 
 
-def occupancy(candidates: DataFrame, radius: int = 20) -> DataFrame:
+def _offsets(steps: int) -> tuple[Column, Column]:
+    """Neighbours (i, j) of a cell of 1/steps of the radius: those whose every point lies within the radius of the
+    cell's every point, and those of which some may."""
+    around = [(i, j) for i in range(-steps - 1, steps + 2) for j in range(-steps - 1, steps + 2)]
+    sure = [(i, j) for i, j in around if (abs(i) + 1) ** 2 + (abs(j) + 1) ** 2 < steps**2]
+    rim = [(i, j) for i, j in around if (i, j) not in sure and max(abs(i) - 1, 0) ** 2 + max(abs(j) - 1, 0) ** 2 <= steps**2]
+    listed = lambda cells: F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in cells])
+    return listed(sure), listed(rim)
+
+
+def occupancy(candidates: DataFrame, radius: int = 20, steps: int = 4) -> DataFrame:
     """For every candidate, in how many other frames of its clip some candidate lies within the radius.
 
-    Space is cut into cells of the radius: a candidate goes to its nine cells and meets only what lies
-    there. Frames are counted once a candidate.
+    Space is cut into cells of 1/steps of the radius, and the frames of a cell are kept as bits, 64 to a number. The
+    cells that surely lie within the radius are joined by bitwise or, once for a cell and not for a candidate: where
+    a still camera fills a cell with every frame, there are as many bits and no pairs. Distances are measured only on
+    the rim, and only for frames that the bits don't hold yet.
     """
-    cell = lambda c: F.floor(F.col(c) / radius)
+    sure, rim = _offsets(steps)
+    cell = lambda c: F.floor(F.col(c) * steps / radius)
     a = candidates.select("clip_id", "frame", "candidate_id", "x", "y", cell("x").alias("cx"), cell("y").alias("cy"))
-    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    sent = a.select("clip_id", "frame", "candidate_id", "x", "y", "cx", "cy", F.inline(around)).select("clip_id", F.col("frame").alias("f"), "candidate_id", "x", "y", (F.col("cx") + F.col("i")).alias("cx"), (F.col("cy") + F.col("j")).alias("cy"))
-    b = a.select("clip_id", "cx", "cy", "frame", F.col("x").alias("ox"), F.col("y").alias("oy"))
-    near = sent.join(b, ["clip_id", "cx", "cy"]).filter((F.col("frame") != F.col("f")) & (F.hypot(F.col("x") - F.col("ox"), F.col("y") - F.col("oy")) <= radius))
-    counted = near.groupBy("clip_id", "f", "candidate_id").agg(F.count_distinct("frame").alias("frames_near"))
+    word = F.floor(F.col("frame") / 64).alias("word")
+    bit = F.expr("shiftleft(1L, cast(pmod(frame, 64) as int))").alias("bit")
+    place = ["clip_id", "cx", "cy"]
+    held = a.groupBy(*place, word).agg(F.bit_or(bit).alias("bits"))
+    cells = a.select(*place).distinct()
+
+    def sent(rows: DataFrame, offsets: Column) -> DataFrame:
+        """Rows to the occupied cells around theirs."""
+        keep = [c for c in rows.columns if c not in place]
+        moved = rows.select("*", F.inline(offsets)).select("clip_id", (F.col("cx") + F.col("i")).alias("cx"), (F.col("cy") + F.col("j")).alias("cy"), *keep)
+        return moved.join(cells, place, "left_semi")
+
+    core = sent(held, sure).groupBy(*place, "word").agg(F.bit_or("bits").alias("core"))
+    inside_core = core.groupBy(*place).agg(F.sum(F.bit_count("core")).alias("__core"))
+    far = sent(a.select(*place, "frame", F.col("x").alias("ox"), F.col("y").alias("oy"), word, bit), rim).join(core, [*place, "word"], "left")
+    fresh = far.where(F.coalesce(F.col("core").bitwiseAND(F.col("bit")), F.lit(0)) == 0).select(*place, F.col("frame").alias("of"), "ox", "oy")
+    near = a.join(fresh, place).filter(F.hypot(F.col("x") - F.col("ox"), F.col("y") - F.col("oy")) <= radius)
+    counted = near.groupBy("clip_id", "frame", "candidate_id").agg(F.count_distinct("of").alias("__rim"))
     total = candidates.groupBy("clip_id").agg((F.count_distinct("frame") - 1).alias("others"))
-    out = a.join(total, "clip_id").join(counted.withColumnRenamed("f", "frame"), ["clip_id", "frame", "candidate_id"], "left")
-    n = F.coalesce("frames_near", F.lit(0))
+    out = a.join(inside_core, place).join(counted, ["clip_id", "frame", "candidate_id"], "left").join(total, "clip_id")
+    n = F.col("__core") - 1 + F.coalesce("__rim", F.lit(0))
     return out.select("clip_id", "frame", "candidate_id", n.alias("frames_near"), F.round(F.coalesce(F.try_divide(n, F.col("others")), F.lit(0.0)), 9).alias("occupancy"))
