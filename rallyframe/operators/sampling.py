@@ -12,12 +12,26 @@ from ..session import cut
 ORDER = ("clip_id", "frame", "rank", "candidate_id")
 
 
+def _starts(sums: DataFrame, level: str) -> DataFrame:
+    """(level, __more): the sum of all earlier levels. Levels are dealt by range; what the ranges before add up to is
+    one number for each partition, which passes the driver."""
+    ranged = cut(sums.repartitionByRange(level).withColumn("__range", F.spark_partition_id()))
+    starts, before = [], 0
+    for r in sorted(ranged.groupBy("__range").agg(F.sum("__sum").alias("n")).collect()):
+        starts.append((r["__range"], before))
+        before += r["n"]
+    ahead = F.element_at(F.create_map(*[F.lit(v).cast("bigint") for pair in starts for v in pair]), F.col("__range").cast("bigint")) if starts else F.lit(0).cast("bigint")
+    earlier = Window.partitionBy("__range").orderBy(level).rowsBetween(Window.unboundedPreceding, -1)
+    return ranged.select(level, (F.coalesce(F.sum("__sum").over(earlier), F.lit(0)) + ahead).alias("__more"))
+
+
 def numbered(rows: DataFrame, order: tuple[str, ...], name: str, parts: tuple[str, ...], within: tuple[str, ...] = ()) -> DataFrame:
     """Number rows 0..n-1 in each `within`, over a total order that begins with `parts`, without a task for all rows.
 
     Rows are numbered inside their part, and the counts of earlier parts are added level by level: parts under the
     same leading columns, then these under theirs. A last part that is a number gets a level of 1000 of them, so
-    no window holds the parts of a large group. Parts aren't null.
+    no window holds the parts of a large group; without `within`, the leading parts are dealt by range. Parts aren't
+    null.
     """
     keys = [*within, *parts]
     local = F.row_number().over(Window.partitionBy(*keys).orderBy(*[c for c in order if c not in keys])) - 1
@@ -30,8 +44,11 @@ def numbered(rows: DataFrame, order: tuple[str, ...], name: str, parts: tuple[st
     for i, level in enumerate(levels):
         lead = [*within, *levels[:i]]
         sums = counts.groupBy(*lead, level).agg(F.sum("__n").alias("__sum"))
-        earlier = Window.partitionBy(*lead).orderBy(level).rowsBetween(Window.unboundedPreceding, -1)
-        more = sums.select(*lead, level, F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__more"))
+        if lead:
+            earlier = Window.partitionBy(*lead).orderBy(level).rowsBetween(Window.unboundedPreceding, -1)
+            more = sums.select(*lead, level, F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__more"))
+        else:
+            more = _starts(sums, level)
         before = before.join(more, [*lead, level]).withColumn("__before", F.col("__before") + F.col("__more")).drop("__more")
     before = before.select(*keys, "__before")
     return rows.withColumn("__local", local).join(before, keys).withColumn(name, F.col("__before") + F.col("__local")).drop("__local", "__before")
@@ -50,11 +67,11 @@ def lowest_per_frame(rows: DataFrame, keys: DataFrame, per_frame: int) -> DataFr
 def round_robin(rows: DataFrame, budget: int) -> DataFrame:
     """One row of each frame in turn, by depth and then frame, until the budget is used.
 
-    A row's depth is its place in its frame. Depths are counted first; all rows of the depths that fit go,
-    and only the last depth is ordered to be cut.
+    A row's depth is its place in its frame, found once and stored. Depths are counted first; all rows of the depths
+    that fit go, and only the last depth is ordered to be cut.
     """
     depth = F.row_number().over(Window.partitionBy("clip_id", "frame").orderBy("rank", "candidate_id")) - 1
-    deep = rows.withColumn("depth", depth)
+    deep = cut(rows.withColumn("depth", depth))
     # A row for each depth: as many as the fullest frame has rows.
     left = budget
     for r in sorted(deep.groupBy("depth").agg(F.count(F.lit(1)).alias("n")).collect()):
@@ -87,11 +104,18 @@ def even_indices(n: Column, k: int, to_nearest: bool = False) -> Column:
     return F.when(n == 0, F.expr("cast(array() as array<bigint>)")).when(n <= k, every).otherwise(some)
 
 
+def _placed(rows: DataFrame, within: tuple[str, ...], order: tuple[str, ...], name: str, span: int = 4096) -> DataFrame:
+    """Number rows in each `within` by `order`, by spans of its first column if that is a number."""
+    number = dict(rows.dtypes)[order[0]] in ("int", "bigint", "smallint", "tinyint")
+    part = F.coalesce(F.floor(F.col(order[0]) / span), F.lit(-(2**62))) if number else F.coalesce(F.col(order[0]).cast("string"), F.lit(""))
+    return numbered(rows.withColumn("__part", part), ("__part", *order), name, ("__part",), within).drop("__part")
+
+
 def even_sample(rows: DataFrame, k: int, per: str, order: tuple[str, ...], to_nearest: bool = False) -> DataFrame:
     """k evenly spread rows of each `per`. More than k rows give k different indices, so none is filled up."""
-    w = Window.partitionBy(per)
-    numbered_ = rows.withColumn("index", (F.row_number().over(w.orderBy(*order)) - 1).cast("bigint")).withColumn("__n", F.count(F.lit(1)).over(w))
-    return numbered_.filter(F.array_contains(even_indices(F.col("__n"), k, to_nearest), F.col("index"))).drop("__n")
+    sizes = rows.groupBy(per).agg(F.count(F.lit(1)).alias("__n"))
+    placed = _placed(rows, (per,), order, "index").join(sizes, per)
+    return placed.filter(F.array_contains(even_indices(F.col("__n"), k, to_nearest), F.col("index"))).drop("__n")
 
 
 def stratified_sample(rows: DataFrame, flag: str, per: str, order: tuple[str, ...], total: int = 32, most: int = 8) -> DataFrame:
@@ -99,10 +123,9 @@ def stratified_sample(rows: DataFrame, flag: str, per: str, order: tuple[str, ..
 
     A group that can't give `total` rows is an error.
     """
-    mine = F.coalesce(F.col(flag), F.lit(False))
-    group = Window.partitionBy(per)
-    rows = rows.withColumn("__flag", mine).withColumn("__i", F.row_number().over(Window.partitionBy(per, mine).orderBy(*order)) - 1)
-    rows = rows.withColumn("__a", F.count_if("__flag").over(group)).withColumn("__b", F.count_if(~F.col("__flag")).over(group))
+    rows = rows.withColumn("__flag", F.coalesce(F.col(flag), F.lit(False)))
+    sizes = rows.groupBy(per).agg(F.count_if("__flag").alias("__a"), F.count_if(~F.col("__flag")).alias("__b"))
+    rows = _placed(rows, (per, "__flag"), order, "__i").join(sizes, per)
     few = F.least(F.col("__a"), F.lit(most))
     n, k = F.when(F.col("__flag"), F.col("__a")).otherwise(F.col("__b")), F.when(F.col("__flag"), few).otherwise(total - few)
     spread = F.transform(F.sequence(F.lit(0).cast("bigint"), k - 1), lambda i: F.bround(i * (n - 1) / F.greatest(k - 1, F.lit(1))).cast("bigint"))
@@ -168,33 +191,47 @@ def training_rows(rows: DataFrame, flag: str, share: float, order: tuple[str, ..
     return by_number(every, keyed_number(F.lit(str(seed)), *[F.col(c).cast("string") for c in order], F.col("copy").cast("string")), (*order, "copy"), "place")
 
 
+REASONS = ("all_positive", "all_hard_negative", "top_rank_same_frame", "round_robin_visible_missing", "round_robin_invisible")
+
+
 def fold_plan(rows: DataFrame, holdouts: list[str], same_frame: int = 4, missing_times: int = 2, invisible_times: int = 1) -> DataFrame:
     """The training selection of every holdout clip at once.
 
     All positives and hard negatives; of frames with a positive the first `same_frame` other candidates; and
-    round-robin shares of the visible-missing and invisible ones, as multiples of the positives. The
-    holdout is a dimension of the rows, so all folds are one plan. Rows of the holdout and ignored rows
-    never enter. sample_order numbers each fold. What is numbered is used twice, so it is computed once.
+    round-robin shares of the visible-missing and invisible ones, as multiples of the positives. Rows of the holdout
+    and ignored rows never enter. sample_order numbers each fold.
+
+    Rows are classed and numbered once, over all clips. A row's number in a fold is that number less the holdout's
+    rows before it, which follow from the holdout's counts by class and depth: rows are multiplied by the folds only
+    where they are chosen, and nothing of that is stored.
     """
-    folds = F.array(*[F.lit(h) for h in holdouts])
-    train = rows.filter(F.col("category") != "ignore").withColumn("holdout_clip", F.explode(folds)).filter(F.col("holdout_clip") != F.col("clip_id"))
-    positives = train.filter("category = 'positive'").groupBy("holdout_clip").agg(F.count(F.lit(1)).alias("__p"))
-    # One row for each holdout: a bound that the caller's list sets.
-    train = train.join(F.broadcast(positives), "holdout_clip", "left").fillna(0, ["__p"])
     c = F.col("category")
-    frame = Window.partitionBy("holdout_clip", "clip_id", "frame")
-    train = train.withColumn("__has", F.max(c == "positive").over(frame))
-    place = F.row_number().over(Window.partitionBy("holdout_clip", "clip_id", "frame", "category").orderBy("rank", "candidate_id"))
-    deep = F.when(c.isin("visible_missing", "invisible"), place).otherwise(F.lit(0))
-    train = train.withColumn("__place", place).withColumn("__depth", deep).withColumn("__span", F.expr("frame div 256"))
-    train = numbered(cut(train), ("__depth", "clip_id", "__span", "frame", "rank", "candidate_id"), "__turn", ("__depth", "clip_id", "__span"), ("holdout_clip", "category"))
-    reason = (F.when(c == "positive", "all_positive").when(c == "hard_negative", "all_hard_negative").when((c == "same_frame") & F.col("__has") & (F.col("__place") <= same_frame), "top_rank_same_frame")
-              .when((c == "visible_missing") & (F.col("__turn") < missing_times * F.col("__p")), "round_robin_visible_missing").when((c == "invisible") & (F.col("__turn") < invisible_times * F.col("__p")), "round_robin_invisible"))
-    chosen = train.withColumn("selection_reason", reason).filter("selection_reason is not null")
-    group = F.array_position(F.array(*[F.lit(r) for r in ("all_positive", "all_hard_negative", "top_rank_same_frame", "round_robin_visible_missing", "round_robin_invisible")]), F.col("selection_reason"))
-    chosen = chosen.withColumn("__group", group).withColumn("__block", F.expr("__turn div 4096"))
-    out = numbered(cut(chosen), ("__group", "__block", "__turn"), "sample_order", ("__group", "__block"), ("holdout_clip",))
-    return out.drop("__p", "__has", "__place", "__depth", "__span", "__turn", "__group", "__block")
+    has = F.max(c == "positive").over(Window.partitionBy("clip_id", "frame"))
+    place = F.row_number().over(Window.partitionBy("clip_id", "frame", "category").orderBy("rank", "candidate_id"))
+    classed = rows.filter(c != "ignore").withColumn("__has", has).withColumn("__place", place)
+    group = (F.when(c == "positive", 1).when(c == "hard_negative", 2).when((c == "same_frame") & F.col("__has") & (F.col("__place") <= same_frame), 3)
+             .when(c == "visible_missing", 4).when(c == "invisible", 5))
+    deep = F.when(F.col("__group") > 3, F.col("__place")).otherwise(F.lit(0))
+    classed = cut(classed.withColumn("__group", group).filter("__group is not null").withColumn("__depth", deep).withColumn("__span", F.expr("frame div 256")))
+    turned = numbered(classed, ("__depth", "clip_id", "__span", "frame", "rank", "candidate_id"), "__turn", ("__depth", "clip_id", "__span"), ("__group",))
+    counts = cut(classed.groupBy("__group", "clip_id", "__depth").agg(F.count(F.lit(1)).alias("n")))
+    # A row for each holdout and class; its list is as long as the fullest frame.
+    folds = rows.sparkSession.createDataFrame([(h, g) for h in holdouts for g in range(1, 6)], "holdout_clip string, __group int")
+    held = counts.groupBy(F.col("clip_id").alias("holdout_clip"), "__group").agg(F.collect_list(F.struct("__depth", "n")).alias("__held"), F.sum("n").alias("__mine"))
+    totals = counts.groupBy("__group").agg(F.sum("n").alias("__total"))
+    sizes = folds.join(held, ["holdout_clip", "__group"], "left").join(F.broadcast(totals), "__group", "left")
+    sizes = sizes.withColumn("__rows", F.coalesce("__total", F.lit(0)) - F.coalesce("__mine", F.lit(0)))
+    fold = Window.partitionBy("holdout_clip")
+    positives = F.max(F.when(F.col("__group") == 1, F.col("__rows"))).over(fold)
+    most = F.when(F.col("__group") == 4, missing_times * positives).when(F.col("__group") == 5, invisible_times * positives).otherwise(F.col("__rows"))
+    sizes = sizes.withColumn("__most", F.least(most, "__rows"))
+    sizes = sizes.withColumn("__base", F.coalesce(F.sum("__most").over(fold.orderBy("__group").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    each = turned.join(F.broadcast(sizes.select("holdout_clip", "__group", "__held", "__most", "__base")), "__group").filter("holdout_clip <> clip_id")
+    ahead = F.filter("__held", lambda x: (x["__depth"] < F.col("__depth")) | ((x["__depth"] == F.col("__depth")) & (F.col("holdout_clip") < F.col("clip_id"))))
+    before = F.coalesce(F.aggregate(ahead, F.lit(0).cast("bigint"), lambda s, x: s + x["n"]), F.lit(0))
+    chosen = each.withColumn("__turn", F.col("__turn") - before).filter(F.col("__turn") < F.col("__most"))
+    reason = F.get(F.array(*[F.lit(r) for r in REASONS]), F.col("__group") - 1)
+    return chosen.withColumn("selection_reason", reason).withColumn("sample_order", F.col("__base") + F.col("__turn")).drop("__has", "__place", "__group", "__depth", "__span", "__turn", "__held", "__most", "__base")
 
 
 def last_wins(rows: DataFrame, key: str, order: tuple[str, ...]) -> DataFrame:
@@ -202,9 +239,13 @@ def last_wins(rows: DataFrame, key: str, order: tuple[str, ...]) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c != key]), F.struct(*order)).alias("__last")).select(key, "__last.*")
 
 
-def tree_digest(rows: DataFrame, key: str, number: str, digest: str, fan: int = 1000, levels: int = 4) -> DataFrame:
+def tree_digest(rows: DataFrame, key: str, number: str, digest: str, fan: int = 1000) -> DataFrame:
     """One ordered digest for each key. Digests of `fan` numbers in a row are joined and hashed, level by level, so
-    no group grows with the data: four levels hold numbers below fan ** 4."""
+    no group grows with the data. Numbers are 0 or more; there are four levels, and more where they reach `fan` ** 4."""
+    top = rows.agg(F.max(number)).first()[0] or 0
+    levels = 4
+    while fan**levels <= top:
+        levels += 1
     for _ in range(levels):
         listed = F.array_sort(F.collect_list(F.struct(F.col(number).alias("n"), F.col(digest).alias("d"))))
         text = F.array_join(F.transform(listed, lambda r: F.concat_ws(":", r["n"].cast("string"), r["d"])), ",")

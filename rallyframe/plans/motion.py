@@ -175,8 +175,8 @@ def frame_histories(spark, sf_dir):
 @query(sql("SELECT clip_id, candidate_id, frame, row_number() OVER (ORDER BY clip_id, frame, rank) - 1 AS manifest_index, (row_number() OVER (ORDER BY clip_id, frame, rank) - 1) // 1024 AS shard FROM candidates", CAND))
 def manifest_numbers(spark, sf_dir):
     """Global numbers without a global sort: numbers inside a segment plus the counts before it."""
-    rows = views.candidates(spark, sf_dir).withColumn("part", F.concat("clip_id", F.format_string("_%012d", F.expr("frame div 150"))))
-    out = sampling.numbered(rows, ("part", "frame", "rank"), "manifest_index", ("part",))
+    rows = views.candidates(spark, sf_dir).withColumn("span", F.expr("frame div 150"))
+    out = sampling.numbered(rows, ("clip_id", "span", "frame", "rank"), "manifest_index", ("clip_id", "span"))
     return out.select("clip_id", "candidate_id", "frame", "manifest_index", F.expr("manifest_index div 1024").alias("shard"))
 
 
