@@ -2,9 +2,10 @@
 
 A text's k-mers are windows of k pieces, numbered by occurrence. A selection takes, under each of two
 permutations of its own, the minimal one of all numbered k-mers, puts the two in text order and hashes the
-tuple: two texts agree in a selection only if they share both k-mers and their order. Pieces are words; a
-longer word is cut behind certain letters, and ideographs stand alone, so that an edit in a text without
-spaces changes only the k-mers around it.
+tuple: two texts agree in a selection only if they share both k-mers and their order. Pieces are words with the
+white space behind them, and ideographs, so that every character belongs to one. A longer piece is cut by its
+content, where a hash of two neighbouring characters says so: in every script, an edit in a text without spaces
+changes only the k-mers around it.
 """
 
 from __future__ import annotations
@@ -12,13 +13,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import stored, text_of
 
-# Fixed values of the method: words up to 16 characters are pieces; in longer ones a piece ends behind a vowel or
-# an even digit and after 8 characters at the latest; from U+2E80 on every character is a piece.
+# Fixed values of the method: from U+2E80 on every character is a piece; a piece of more than LONG characters is cut
+# where one in CUT_IN pairs of neighbours is met, and after CHUNK characters at the latest.
+_SPACE = r"[\x20\x09-\x0D]"
 _WORD = r"[^\x20\x09-\x0D\x{2E80}-\x{10FFFF}]"
-PIECE = rf"[\x{{2E80}}-\x{{10FFFF}}]|{_WORD}{{1,16}}(?!{_WORD})|{_WORD}{{0,7}}?[aeiouyAEIOUY02468]|{_WORD}{{1,8}}"
-PLACE_BITS = 24
+PIECE = rf"(?:[\x{{2E80}}-\x{{10FFFF}}]|{_WORD}++){_SPACE}*+|{_SPACE}++"
+LONG, CUT_IN, CHUNK = 24, 8, 32
+#: A place takes the bits that any array's index needs.
+PLACE_BITS = 31
 
 
 def _let(value: Column, body) -> Column:
@@ -26,6 +30,20 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def _by_content(piece: Column) -> Column:
+    """A long piece as an array of shorter ones."""
+
+    def parts(chars: Column) -> Column:
+        n = F.size(chars)
+        cut = lambda j: (j == n) | (F.pmod(F.xxhash64(F.get(chars, j - 2), F.get(chars, j - 1)), F.lit(CUT_IN)) == 0)
+        ends = F.filter(F.sequence(F.lit(2), n), cut)
+        start = lambda e, r: F.coalesce(F.when(r > 0, F.get(e, r - 1)), F.lit(0))
+        return _let(ends, lambda e: F.transform(e, lambda j, r: F.array_join(F.slice(chars, start(e, r) + 1, j - start(e, r)), "")))
+
+    whole = _let(F.regexp_extract_all(piece, F.lit("(?s)."), F.lit(0)), parts)
+    return F.flatten(F.transform(whole, lambda p: F.regexp_extract_all(p, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))))
+
+
 def with_kmers(df: DataFrame, text: str, out: str, k: int = 3) -> DataFrame:
     """Replace the text by an array of the hashes of its occurrence-numbered k-mers in text order.
 
@@ -35,10 +53,13 @@ def with_kmers(df: DataFrame, text: str, out: str, k: int = 3) -> DataFrame:
     own = [F.col(f"`{c}`") for c in df.columns if c not in (out, text)]
     empty = F.expr("cast(array() as array<bigint>)")
     step = df.select(*own, F.regexp_extract_all(F.col(text), F.lit(PIECE), F.lit(0)).alias("__w"))
+    long = lambda w: F.length(w) > LONG
+    cut = F.flatten(F.transform("__w", lambda w: F.when(long(w), _by_content(w)).otherwise(F.array(w))))
+    step = step.select(*own, F.when(F.exists("__w", long), cut).otherwise(F.col("__w")).alias("__w"))
     n = F.size("__w")
     word = lambda i: F.get("__w", i)
     kmers = F.when(n >= k, F.transform(F.sequence(F.lit(0), n - k), lambda i: F.xxhash64(*[word(i + j) for j in range(k)])))
-    step = step.select(*own, kmers.when(n > 0, F.array(F.xxhash64(F.array_join("__w", " ")))).otherwise(empty).alias("__g"))
+    step = step.select(*own, kmers.when(n > 0, F.array(F.xxhash64(F.array_join("__w", "")))).otherwise(empty).alias("__g"))
     pairs = F.sort_array(F.transform("__g", lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
     step = step.select(*own, "__g", F.when(F.size(F.array_distinct("__g")) < F.size("__g"), pairs).alias("__s"))
     ends = F.filter(F.sequence(F.lit(1), F.size("__s")), lambda j: (j == F.size("__s")) | (F.get("__s", j)["x"] != F.get("__s", j - 1)["x"]))
@@ -52,13 +73,13 @@ def with_kmers(df: DataFrame, text: str, out: str, k: int = 3) -> DataFrame:
 def signatures(df: DataFrame, keys: list[str], kmers: str, out: str, selections: int = 32) -> DataFrame:
     """(keys, out): an array of ints, one for each selection, null for a text without k-mers.
 
-    A minimum is one long, the upper 40 bits of the permuted hash over the k-mer's place, so the aggregate runs
-    on primitive values. Places from 2**24 on aren't told apart. If `df` is partitioned by some of the keys,
-    nothing moves.
+    A minimum is one long, the upper 33 bits of the permuted hash over the k-mer's place, so the aggregate runs
+    on primitive values. Of k-mers whose 33 bits are equal the earlier one counts. If `df` is partitioned by some of
+    the keys, nothing moves.
     """
     place = (1 << PLACE_BITS) - 1
     rows = df.select(*keys, F.posexplode_outer(kmers).alias("__at", "__h"))
-    drawn = lambda i: F.xxhash64("__h", F.lit(i)).bitwiseAND(F.lit(~place)).bitwiseOR(F.least(F.col("__at"), F.lit(place)).cast("long"))
+    drawn = lambda i: F.xxhash64("__h", F.lit(i)).bitwiseAND(F.lit(~place)).bitwiseOR(F.col("__at").cast("long"))
     least = rows.groupBy(*keys).agg(*[F.min(F.when(F.col("__h").isNotNull(), drawn(i))).alias(f"__m{i}") for i in range(2 * selections)])
 
     def tuple_of(i: int) -> Column:
@@ -92,10 +113,14 @@ def with_next(df: DataFrame, key: str, column: str, rows_per_bucket: int = 20_00
     spark = df.sparkSession
     coarse = 1000
     spread = F.xxhash64(F.monotonically_increasing_id())
-    stats = df.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(F.col(key), [i / coarse for i in range(coarse + 1)], 10_000).alias("q")).first()
+    stats = df.agg(F.count(F.lit(1)).alias("n"), F.count(key).alias("known"), F.percentile_approx(F.col(key), [i / coarse for i in range(coarse + 1)], 10_000).alias("q")).first()
     marks, rows_ = list(stats["q"] or []), stats["n"]
     buckets = min(most_buckets, max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), rows_ // rows_per_bucket))
     hot = sorted({a for a, b in zip(marks, marks[1:], strict=False) if a == b}) if rows_ >= 4 * coarse else []  # a repeat then means repeated keys
+    df = df.withColumn("__spread", spread)
+    if hot or stats["known"] < rows_ - 1:  # rows of one key are told apart by numbers that mustn't change between jobs
+        df = stored(df, "spread_rows")
+        hot = [*hot, None]
     cuts = sorted({*marks[:: max(1, coarse // 50)], *hot})
     fine = max(1, buckets // max(1, len(cuts)))
     bucket = F.lit(0)
@@ -107,17 +132,16 @@ def with_next(df: DataFrame, key: str, column: str, rows_per_bucket: int = 20_00
         if low in hot:
             share = F.shiftright((F.shiftright("__spread", 32).cast("long") + (1 << 31)) * fine, 32)
             bucket = F.when(F.col(key) == low, F.lit(first) + share).otherwise(bucket)
-    rows = df.withColumn("__spread", spread).withColumn("__bucket", bucket.cast("long"))
+    rows = df.withColumn("__bucket", bucket.cast("long"))
     order = [F.col(key).asc_nulls_first(), F.col("__spread")]
     least = F.min(F.struct(F.col(key).isNotNull().alias("known"), F.col(key).alias("k"), F.col("__spread").alias("s")))
-    firsts = sorted((r["__bucket"], r["first"]["k"], r["first"]["s"]) for r in rows.groupBy("__bucket").agg(least.alias("first")).collect())
+    firsts = sorted(((r["__bucket"], r["first"]["k"], r["first"]["s"]) for r in rows.groupBy("__bucket").agg(least.alias("first")).collect()), key=lambda f: f[0])
     kind = df.schema[key].dataType.simpleString()
     seam = spark.createDataFrame([(k, s if k in hot else None, firsts[i - 1][0]) for i, (_, k, s) in enumerate(firsts)], f"__k {kind}, __s long, __before long")
     rows = rows.join(F.broadcast(seam), F.col(key).eqNullSafe(F.col("__k")) & (F.col("__s").isNull() | (F.col("__spread") == F.col("__s"))), "left")
     place = F.array(F.struct(F.col("__bucket").alias("bucket"), F.lit(False).alias("is_copy")), F.when(F.col("__before").isNotNull(), F.struct(F.col("__before").alias("bucket"), F.lit(True).alias("is_copy"))))
-    rows = rows.select(*df.columns, "__spread", F.inline(F.array_compact(place)))
+    rows = rows.select(*df.columns, F.inline(F.array_compact(place)))
     line = Window.partitionBy("bucket").orderBy("is_copy", *order)
-    # Where an input comes in another order when it is read again, a range of one hot key may miss its copy: its own first row follows then.
     following = F.coalesce(F.lead(column).over(line), F.first(column).over(line.rowsBetween(Window.unboundedPreceding, 0)))
     return rows.select("*", F.row_number().over(line).alias("row"), following.alias(f"next_{column}")).drop("__spread")
 

@@ -268,19 +268,28 @@ def spark_hash(*values):
 
 
 def pieces_of(text):
-    word = r"[^\x20\x09-\x0D\u2e80-\U0010ffff]"
-    return re.findall(rf"[\u2e80-\U0010ffff]|{word}{{1,16}}(?!{word})|{word}{{0,7}}?[aeiouyAEIOUY02468]|{word}{{1,8}}", text)
+    space, word = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D\u2e80-\U0010ffff]"
+    out = []
+    for piece in re.findall(rf"(?:[\u2e80-\U0010ffff]|{word}+){space}*|{space}+", text):
+        start, parts = 0, []
+        for j in range(2, len(piece) + 1):
+            if len(piece) <= 24 or j < len(piece) and spark_hash(piece[j - 2], piece[j - 1]) % 8:
+                continue
+            parts.append(piece[start:j])
+            start = j
+        out += [p[i : i + 32] for p in parts for i in range(0, len(p), 32)] or [piece]
+    return out
 
 
 def order_minhash(text, k=3, selections=32):
     """A plain version: for each selection the two minimal k-mers, their order, and where they come from."""
     w = pieces_of(text)
-    grams = [spark_hash(*w[i : i + k]) for i in range(len(w) - k + 1)] if len(w) >= k else [spark_hash(" ".join(w))] if w else []
+    grams = [spark_hash(*w[i : i + k]) for i in range(len(w) - k + 1)] if len(w) >= k else [spark_hash("".join(w))] if w else []
     seen, hashed = Counter(), []
     for g in grams:
         hashed.append(spark_hash((g,), seen[g]) if seen[g] else g)
         seen[g] += 1
-    least = [min(((spark_hash((h,), i) >> 24), at) for at, h in enumerate(hashed)) for i in range(2 * selections)] if hashed else []
+    least = [min(((spark_hash((h,), i) >> 31), at) for at, h in enumerate(hashed)) for i in range(2 * selections)] if hashed else []
     return [(a[0], b[0], a[1] <= b[1]) for a, b in zip(least[::2], least[1::2], strict=True)] or [None] * selections
 
 
