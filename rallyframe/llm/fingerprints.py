@@ -120,7 +120,7 @@ def with_next(df: DataFrame, key: str, column: str, rows_per_bucket: int = 20_00
     df = df.withColumn("__spread", spread)
     if hot or stats["known"] < rows_ - 1:  # rows of one key are told apart by numbers that mustn't change between jobs
         df = stored(df, "spread_rows")
-        hot = [*hot, None]
+    told = {*hot, None}
     cuts = sorted({*marks[:: max(1, coarse // 50)], *hot})
     fine = max(1, buckets // max(1, len(cuts)))
     bucket = F.lit(0)
@@ -137,7 +137,7 @@ def with_next(df: DataFrame, key: str, column: str, rows_per_bucket: int = 20_00
     least = F.min(F.struct(F.col(key).isNotNull().alias("known"), F.col(key).alias("k"), F.col("__spread").alias("s")))
     firsts = sorted(((r["__bucket"], r["first"]["k"], r["first"]["s"]) for r in rows.groupBy("__bucket").agg(least.alias("first")).collect()), key=lambda f: f[0])
     kind = df.schema[key].dataType.simpleString()
-    seam = spark.createDataFrame([(k, s if k in hot else None, firsts[i - 1][0]) for i, (_, k, s) in enumerate(firsts)], f"__k {kind}, __s long, __before long")
+    seam = spark.createDataFrame([(k, s if k in told else None, firsts[i - 1][0]) for i, (_, k, s) in enumerate(firsts)], f"__k {kind}, __s long, __before long")
     rows = rows.join(F.broadcast(seam), F.col(key).eqNullSafe(F.col("__k")) & (F.col("__s").isNull() | (F.col("__spread") == F.col("__s"))), "left")
     place = F.array(F.struct(F.col("__bucket").alias("bucket"), F.lit(False).alias("is_copy")), F.when(F.col("__before").isNotNull(), F.struct(F.col("__before").alias("bucket"), F.lit(True).alias("is_copy"))))
     rows = rows.select(*df.columns, F.inline(F.array_compact(place)))

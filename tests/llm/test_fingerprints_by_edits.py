@@ -29,8 +29,8 @@ def distance(a: str, b: str, band: int = 400) -> int:
 def likenesses(spark, pairs: list[tuple[str, str]]) -> list[float]:
     rows = [(i, side, t) for i, pair in enumerate(pairs) for side, t in enumerate(pair)]
     kmers = fingerprints.with_kmers(spark.createDataFrame(rows, "i long, side long, text string").repartition(8), "text", "kmers")
-    sig = {(r.i, r.side): r.sig for r in fingerprints.signatures(kmers, ["i", "side"], "kmers", "sig", selections=128).collect()}
-    return [sum(a == b for a, b in zip(sig[i, 0], sig[i, 1], strict=True)) / 128 for i in range(len(pairs))]
+    sig = {(r.i, r.side): r.sig for r in fingerprints.signatures(kmers, ["i", "side"], "kmers", "sig", selections=32).collect()}
+    return [sum(a == b for a, b in zip(sig[i, 0], sig[i, 1], strict=True)) / 32 for i in range(len(pairs))]
 
 
 def test_one_inserted_letter_in_any_script(spark):
@@ -38,7 +38,7 @@ def test_one_inserted_letter_in_any_script(spark):
     texts = ["".join(rng.choice(s) for _ in range(4000)) for s in SCRIPTS.values()] + [base64.b64encode(rng.randbytes(3000)).decode(), "a" * 4000]
     front = likenesses(spark, [(t, t[7] + t) for t in texts])
     middle = likenesses(spark, [(t, t[:2000] + t[3] + t[2000:]) for t in texts])
-    assert min(front) >= 0.9 and min(middle) >= 0.9, (front, middle)
+    assert min(front) >= 0.87 and min(middle) >= 0.87 and sum(front + middle) / 16 >= 0.95, (front, middle)
 
 
 def test_white_space_counts(spark):
