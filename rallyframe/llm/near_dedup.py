@@ -7,7 +7,9 @@ bucket, are joined to families by linearly many edges; inside a family, links ar
 sets. Pairs are looked at inside tasks and never become rows: what leaves a bucket or a family is a spanning
 forest, found by comparing each reached set with those not yet reached. A large family is cut into blocks that
 all see some of its members as representatives; what then isn't in the family's main component is compared with
-every member, so no link is left out and alike members cost one comparison each.
+the members that share one of its rarest shingles, which every alike set does, or with every member where that
+is less work: no link is left out, alike members cost one comparison each and unlike ones, however much boilerplate
+they have in common, about none.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import slices
@@ -271,14 +273,56 @@ class NearDedup:
         loose = stored(hub_join(part, main, "family", "members").filter(F.col("label") != F.col("main")).select("node"), "loose")
         if not loose.limit(1).count():
             return links.union(near)
-        # Every loose set meets every set of its family: chunks of loose ones by blocks of all.
-        sized = large.join(main.select("family", F.ceil(F.col("loose") / (self.block // 2)).cast("int").alias("chunks")).filter("chunks > 0"), "family")
+        found = links.union(near)
+        # Where loose sets by members are more than the family's shingles, rare shingles tell who can be alike at all.
+        held = large.groupBy("family").agg((F.sum(F.octet_length("shingles")) / 8).alias("shingles"))
+        indexed = stored(main.join(held, "family").filter(F.col("loose") * F.col("members") > F.col("shingles")).select("family", F.col("members").alias("size")), "indexed")
+        some = large.join(indexed, "family", "left_semi")
+        prefixes, cheap = self._rare(some, loose, indexed)
+        alike = self._sharing(some, prefixes.join(cheap, ["family", "id"], "left_semi"))
+        if alike is not None:
+            found = found.union(self._verified(alike))
+        done = some.withColumn("id", _id("node")).join(cheap, ["family", "id"], "left_semi").select("node")
+        loose = stored(loose.join(done, "node", "left_anti"), "scanning")
+        if not loose.limit(1).count():
+            return found
+        # Every other loose set meets every set of its family: chunks of loose ones by blocks of all.
+        left = large.join(loose, "node", "left_semi").groupBy("family").agg(F.ceil(F.count(F.lit(1)) / (self.block // 2)).cast("int").alias("chunks"))
+        sized = large.join(left, "family")
         mine = sized.join(loose, "node", "left_semi")
         chunk = F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")).cast("int")
         group = F.xxhash64("family", "block", "chunk")
         asking = mine.withColumn("chunk", chunk).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("role", F.lit(2))
         asked = sized.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("role", F.lit(1))
-        return links.union(near).union(self._verified(asked.unionByName(asking).withColumn("group", group)))
+        return found.union(self._verified(asked.unionByName(asking).withColumn("group", group)))
+
+    def _rare(self, members: DataFrame, loose: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(family, id, token) of each loose set's rarest shingles, and the (family, id) for which their posting lists
+        are no longer than the family.
+
+        A set of n shingles that is alike another shares at least ceil(percent * n / 100) with it, hence one of any
+        n - ceil(...) + 1. The rarest are taken: what most of a family has in common asks for nobody.
+        """
+        asking = _tokens(members.join(loose, "node", "left_semi"))
+        known = asking.select("family", "token").distinct()
+        often = stored(_tokens(members).join(known, ["family", "token"], "left_semi").groupBy("family", "token").agg(F.count(F.lit(1)).alias("often")), "often")
+        own = Window.partitionBy("family", "id")
+        ranked = asking.join(often, ["family", "token"]).withColumn("n", F.count(F.lit(1)).over(own)).withColumn("at", F.row_number().over(own.orderBy("often", "token")))
+        rare = stored(ranked.filter(F.col("at") <= F.col("n") - F.ceil(F.col("n") * self.percent / 100) + 1).select("family", "id", "token", "often"), "rare")
+        cost = rare.groupBy("family", "id").agg(F.sum(F.col("often") - 1).alias("cost")).join(sizes, "family")
+        return rare, stored(cost.filter(F.col("cost") <= F.col("size")).select("family", "id", "cost"), "cheap")
+
+    def _sharing(self, members: DataFrame, rare: DataFrame) -> DataFrame | None:
+        """Groups of a loose set (role 2) with up to half a block of those that share one of its rarest shingles (role 1)."""
+        lists = _tokens(members).join(rare.filter("often > 1").select("family", "token", F.col("id").alias("asks")), ["family", "token"])
+        pairs = stored(lists.filter("id <> asks").select("family", "asks", "id").distinct(), "sharing")
+        if not pairs.limit(1).count():
+            return None
+        sets = members.withColumn("id", _id("node")).select("family", "id", "node", "sig", "shingles")
+        many = pairs.groupBy("family", "asks").agg(F.ceil(F.count(F.lit(1)) / (self.block // 2)).cast("int").alias("parts"))
+        asked = pairs.join(many, ["family", "asks"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).join(sets, ["family", "id"]).withColumn("role", F.lit(1))
+        mine = many.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("id", F.col("asks")).join(sets, ["family", "id"]).withColumn("role", F.lit(2))
+        return asked.unionByName(mine, allowMissingColumns=True).withColumn("group", F.xxhash64("family", "asks", "part"))
 
     def _verified(self, rows: DataFrame) -> DataFrame:
         """Links inside groups. Rows of role 0 are compared first; where there are rows of role 2, they are compared
@@ -371,6 +415,26 @@ def _by_group(rows: DataFrame, group: str) -> DataFrame:
     return rows.repartition(group).sortWithinPartitions(group)
 
 
+def _id(node: str) -> Column:
+    """A number for a set in its family; where two sets share one, both are looked at."""
+    return F.conv(F.hex(F.substring(node, 1, 7)), 16, 10).cast("long")
+
+
+def _tokens(members: DataFrame) -> DataFrame:
+    """(family, token, id): a row for each shingle of each set."""
+    kind = members.schema["family"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "shingles", 1 << 22):
+                raw = batch.column("shingles").to_pylist()
+                owner = np.repeat(np.arange(len(raw)), [len(x) // 8 for x in raw])
+                token = np.frombuffer(b"".join(raw), np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column("family").take(pa.array(owner)), pa.array(token), batch.column("id").take(pa.array(owner))], ["family", "token", "id"])
+
+    return members.select("family", _id("node").alias("id"), "shingles").mapInArrow(run, f"family {kind}, token long, id long")
+
+
 def hub_join(rows: DataFrame, facts: DataFrame, key: str, count: str, hub_rows: int = 2000, salts: int = 64, broadcast_rows: int = 400_000) -> DataFrame:
     """Inner join with one row of `facts` for each key, whose column `count` says how many rows have that key.
 
