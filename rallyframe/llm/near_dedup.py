@@ -179,7 +179,7 @@ class NearDedup:
     """Parameters of the operator. `likely` prefilters by the signatures: five standard deviations below
     the threshold, so that a true link passes it but for some 1e-6 of cases; candidates meet in one of
     `bands` bands at least but for 3e-6 of the links of similarity 0.8. Buckets of more than `crowd` sets are
-    families as they are; families of more than `block` members are confirmed in blocks of half as many, with `representatives` of them in each."""
+    families as they are; families of more than `block` members are confirmed in blocks of half as many, with `representatives` of them in each. An index row of a shingle costs as much as `index_pays` comparisons of signatures."""
 
     k: int = 5
     percent: int = 80
@@ -189,6 +189,7 @@ class NearDedup:
     block: int = 2048
     crowd: int = 256
     representatives: int = 16
+    index_pays: int = 50
 
     @property
     def bands(self) -> int:
@@ -274,18 +275,19 @@ class NearDedup:
         if not loose.limit(1).count():
             return links.union(near)
         found = links.union(near)
-        # Where loose sets by members are more than the family's shingles, rare shingles tell who can be alike at all.
+        # Where comparing all signatures is more work than an index of the family's shingles, rare ones tell who can be alike at all.
         held = large.groupBy("family").agg((F.sum(F.octet_length("shingles")) / 8).alias("shingles"))
-        indexed = stored(main.join(held, "family").filter(F.col("loose") * F.col("members") > F.col("shingles")).select("family", F.col("members").alias("size")), "indexed")
-        some = large.join(indexed, "family", "left_semi")
-        prefixes, cheap = self._rare(some, loose, indexed)
-        alike = self._sharing(some, prefixes.join(cheap, ["family", "id"], "left_semi"))
-        if alike is not None:
-            found = found.union(self._verified(alike))
-        done = some.withColumn("id", _id("node")).join(cheap, ["family", "id"], "left_semi").select("node")
-        loose = stored(loose.join(done, "node", "left_anti"), "scanning")
-        if not loose.limit(1).count():
-            return found
+        indexed = stored(main.join(held, "family").filter(F.col("loose") * F.col("members") > self.index_pays * F.col("shingles")).select("family", F.col("members").alias("size")), "indexed")
+        if indexed.limit(1).count():
+            some = large.join(indexed, "family", "left_semi")
+            prefixes, cheap = self._rare(some, loose, indexed)
+            alike = self._sharing(some, prefixes.join(cheap, ["family", "id"], "left_semi"))
+            if alike is not None:
+                found = found.union(self._verified(alike))
+            done = some.withColumn("id", _id("node")).join(cheap, ["family", "id"], "left_semi").select("node")
+            loose = stored(loose.join(done, "node", "left_anti"), "scanning")
+            if not loose.limit(1).count():
+                return found
         # Every other loose set meets every set of its family: chunks of loose ones by blocks of all.
         left = large.join(loose, "node", "left_semi").groupBy("family").agg(F.ceil(F.count(F.lit(1)) / (self.block // 2)).cast("int").alias("chunks"))
         sized = large.join(left, "family")
