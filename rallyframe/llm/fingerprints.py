@@ -118,9 +118,10 @@ def with_next(df: DataFrame, key: str, column: str, rows_per_bucket: int = 20_00
     buckets = min(most_buckets, max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), rows_ // rows_per_bucket))
     hot = sorted({a for a, b in zip(marks, marks[1:], strict=False) if a == b}) if rows_ >= 4 * coarse else []  # a repeat then means repeated keys
     df = df.withColumn("__spread", spread)
+    told: set = set()
     if hot or stats["known"] < rows_ - 1:  # rows of one key are told apart by numbers that mustn't change between jobs
         df = stored(df, "spread_rows")
-    told = {*hot, None}
+        told = {*hot, None}
     cuts = sorted({*marks[:: max(1, coarse // 50)], *hot})
     fine = max(1, buckets // max(1, len(cuts)))
     bucket = F.lit(0)

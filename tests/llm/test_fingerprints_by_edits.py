@@ -72,3 +72,12 @@ def test_places_beyond_16_million(spark):
     assert fingerprints.PLACE_BITS == 31
     rows = spark.sql("select id, array_repeat(7L, cast(100 as int)) as kmers from range(1)")
     assert len(fingerprints.signatures(rows, ["id"], "kmers", "sig").first().sig) == 32
+
+
+def test_several_null_keys_follow_each_other_once(spark):
+    rows = [(None, f"null {i}") for i in range(40)] + [(i, f"text {i}") for i in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    out = fingerprints.with_next(frame, "doc_id", "text", rows_per_bucket=10).filter("not is_copy").collect()
+    assert sorted(r.next_text for r in out) == sorted(r.text for r in out) == sorted(t for _, t in rows)
+    (last,) = [r for r in out if r.doc_id == 59]
+    assert last.next_text.startswith("null")
