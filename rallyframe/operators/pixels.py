@@ -5,7 +5,7 @@ Differences and means are array functions; labelling components needs NumPy insi
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import ComponentLimits, heuristic_score
+from .scan import with_neighbours
 
 # Smoothing kernels by size.
 KERNELS = {1: (1.0,), 3: (0.25, 0.5, 0.25), 5: (0.0625, 0.25, 0.375, 0.25, 0.0625), 7: (0.03125, 0.109375, 0.21875, 0.28125, 0.21875, 0.109375, 0.03125)}
@@ -20,17 +21,16 @@ KERNELS = {1: (1.0,), 3: (0.25, 0.5, 0.25), 5: (0.0625, 0.25, 0.375, 0.25, 0.062
 
 def scene_cuts(frames: DataFrame, threshold: float = 30.0, key: str = "clip_id") -> DataFrame:
     """Frames whose mean absolute difference from the previous one reaches the threshold."""
-    before = F.lag("gray").over(Window.partitionBy(key).orderBy("frame"))
-    rows = frames.select(key, "frame", "gray", before.alias("__before")).filter("__before is not null")
+    rows = with_neighbours(frames.select(key, "frame", "gray"), key, "gray", after=False).filter("__before is not null")
     total = F.aggregate(F.zip_with("gray", "__before", lambda a, b: F.abs(a - b)), F.lit(0), lambda s, v: s + v)
     return rows.select(key, "frame", F.round(total / F.size("gray"), 6).alias("difference")).filter(F.col("difference") >= threshold)
 
 
 def triples(frames: DataFrame, value: str = "gray", key: str = "clip_id") -> DataFrame:
-    """(key, frame, before, value, after) of every inner frame: its value between its neighbours' in the clip's order."""
-    w = Window.partitionBy(key).orderBy("frame")
-    rows = frames.select(key, "frame", F.lag(value).over(w).alias("before"), value, F.lead(value).over(w).alias("after"))
-    return rows.filter("before is not null and after is not null")
+    """(key, frame, before, value, after) of every inner frame: its value between its neighbours' in the clip's order.
+    Clips are cut into spans, so no task holds a clip."""
+    rows = with_neighbours(frames.select(key, "frame", value), key, value)
+    return rows.select(key, "frame", F.col("__before").alias("before"), value, F.col("__after").alias("after")).filter("before is not null and after is not null")
 
 
 def motion_of(inner: DataFrame, threshold: int = 18, key: str = "clip_id") -> DataFrame:
@@ -84,7 +84,8 @@ def labelled(mask: np.ndarray) -> tuple[np.ndarray, int]:
 def circularity(mask: np.ndarray) -> float:
     """4 pi area / perimeter ** 2 of the outline through the border pixels' centres, within 0 and 1.
 
-    Area and perimeter follow the border as a polygon of pixel centres, traced clockwise.
+    Area and perimeter follow the border as a polygon of pixel centres, traced clockwise. The length of each straight
+    run is a root in single precision, as image libraries take it.
     """
     ys, xs = np.nonzero(mask)
     if len(ys) < 3:
@@ -110,8 +111,10 @@ def circularity(mask: np.ndarray) -> float:
     if path[-1] == start:
         path = path[:-1]
     p = np.array(path, float)
+    step = np.roll(p, -1, axis=0) - p
+    p = p[(step != np.roll(step, 1, axis=0)).any(1)]  # corners
     q = np.roll(p, -1, axis=0)
-    perimeter, area = np.hypot(*(q - p).T).sum(), abs((p[:, 1] * q[:, 0] - q[:, 1] * p[:, 0]).sum()) / 2
+    perimeter, area = float(np.sqrt(((q - p) ** 2).sum(1).astype(np.float32)).astype(float).sum()), abs((p[:, 1] * q[:, 0] - q[:, 1] * p[:, 0]).sum()) / 2
     return float(min(1.0, max(0.0, 4 * np.pi * area / perimeter**2))) if perimeter else 0.0
 
 
@@ -137,10 +140,10 @@ def components(previous: np.ndarray, current: np.ndarray, following: np.ndarray,
 COMPONENT = "label int, x double, y double, bbox_x int, bbox_y int, bbox_w int, bbox_h int, area int, mean_brightness double, motion_strength double, fill_ratio double, circularity double"
 
 
-def detected(frames: DataFrame, height: int, width: int, limits: ComponentLimits = ComponentLimits(), fps: float = 30.0, key: str = "clip_id") -> DataFrame:
+def detected(frames: DataFrame, height: int, width: int, limits: ComponentLimits = ComponentLimits(), fps: float = 30.0, key: str = "clip_id", scorer: Callable[[DataFrame], Column] | None = None) -> DataFrame:
     """Ranked candidates of every inner frame; the first and the last frame of a clip have none.
 
-    Neighbours come from lag and lead in the clip's order, so batches of frames go to Python and never a clip.
+    Neighbours come from spans of the clip, so batches of frames go to Python and never a clip.
     Scoring and the choice of the best `per_frame` are columns and a window again.
     """
     rows = triples(frames.select(F.col(key).cast("string").alias("clip_id"), "frame", "gray"))
@@ -152,7 +155,7 @@ def detected(frames: DataFrame, height: int, width: int, limits: ComponentLimits
             yield pd.DataFrame(out, columns=["clip_id", "frame", *[c.split()[0] for c in COMPONENT.split(", ")]])
 
     found = rows.mapInPandas(run, f"clip_id string, frame long, {COMPONENT}")
-    score = heuristic_score(*[F.col(c) for c in ("motion_strength", "mean_brightness", "fill_ratio", "circularity", "area")])
+    score = scorer(found) if scorer else heuristic_score(*[F.col(c) for c in ("motion_strength", "mean_brightness", "fill_ratio", "circularity", "area")])
     place = F.row_number().over(Window.partitionBy("clip_id", "frame").orderBy(F.desc("score"), F.desc("motion_strength"), "label"))
     best = found.withColumn("score", F.round(score, 6)).withColumn("rank", place).filter(F.col("rank") <= limits.per_frame)
     rounded = [F.round(c, d).alias(c) for c, d in (("mean_brightness", 3), ("motion_strength", 3), ("fill_ratio", 4), ("circularity", 4))]

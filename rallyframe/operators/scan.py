@@ -87,6 +87,33 @@ def with_previous(rows: DataFrame, key: str, columns: tuple[str, ...], order: tu
     return out.withColumn("__one", one).withColumn("__two", two).drop(SPAN, "__row", "__in1", "__in2", "__place", "__before")
 
 
+def with_neighbours(rows: DataFrame, key: str, value: str, order: str = "frame", size: int = 512, after: bool = True) -> DataFrame:
+    """Add `__before` and, unless told not to, `__after`: `value` of the row before and behind in the key's order, null
+    where there is none. For wide values such as frames: only the first and last of a span leave it.
+
+    Inside a span these are lag and lead. Each span also gets the last value of the nearest earlier span that has rows
+    and the first one of the nearest later span, which are found among bare numbers; so wide values are shuffled once.
+    Rows that tie may come in any order.
+    """
+    held = with_span(rows, order, size).withColumn("__side", F.lit(0))
+    ends = held.groupBy(key, SPAN).agg(F.min_by(value, F.struct(order)).alias("__first"), F.max_by(value, F.struct(order)).alias("__last"))
+    spans = Window.partitionBy(key).orderBy(SPAN)
+    near = held.select(key, SPAN).distinct().select(F.col(key).alias("__key"), F.col(SPAN).alias("__of"), F.lag(SPAN).over(spans).alias("__low"), F.lead(SPAN).over(spans).alias("__high"))
+
+    def from_span(span: str, end: str, side: int) -> DataFrame:
+        found = near.join(ends, F.col("__key").eqNullSafe(F.col(key)) & (F.col(span) == F.col(SPAN)))
+        return found.select(F.col("__key").alias(key), F.col("__of").alias(SPAN), F.col(end).alias(value), F.lit(side).alias("__side"))
+
+    every = held.unionByName(from_span("__low", "__last", -1), allowMissingColumns=True)
+    if after:
+        every = every.unionByName(from_span("__high", "__first", 1), allowMissingColumns=True)
+    w = inside(key, "__side", order)
+    every = every.withColumn("__before", F.lag(value).over(w))
+    if after:
+        every = every.withColumn("__after", F.lead(value).over(w))
+    return every.filter("__side = 0").drop(SPAN, "__side")
+
+
 def with_running(rows: DataFrame, key: str, sums: dict[str, Column], order: tuple[str, ...] = ("frame",), size: int = SIZE) -> DataFrame:
     """Add running sums (the row included) of the given columns: counts as longs, exact numbers as decimals."""
     held = with_span(rows, order[0], size)

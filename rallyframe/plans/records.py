@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..operators import evaluation, pixels, records, sampling
+from ..operators import evaluation, jobs, pixels, records, reports, sampling
 from ..sources import views
 from ..sources.views import CAND, GT, sql
 from .motion import SEG
@@ -185,3 +185,101 @@ def compression_summaries(spark, sf_dir):
     rows = views.table(spark, sf_dir, "pages").filter("html is not null").select((F.col("page_id") % 4).alias("size"), F.expr("page_id div 3").alias("candidate_id"), F.encode("html", "UTF-8").alias("data"))
     out = pixels.compression_summary(rows, 1000)
     return out.select("size", "sample_rows", *[F.round(c, 6).alias(c) for c in out.columns if c not in ("size", "sample_rows")])
+
+
+# A tracking result as JSON text for each order; some lack keys, hold other kinds or aren't JSON.
+DOCS = """docs AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 13 = 0 THEN 'broken' WHEN o_orderkey % 11 = 0 THEN '[1, 2]' ELSE '{' || CASE WHEN o_orderkey % 7 <> 0 THEN '"schema_version": 1, ' ELSE '' END || CASE WHEN o_orderkey % 5 <> 0 THEN '"engine": {"name": "e' || (o_custkey % 4) || '", "version": ' || (o_orderkey % 3) || '}' ELSE '"engine": "e"' END
+ || CASE WHEN o_orderkey % 17 <> 0 THEN ', "scorer_id": "s' || (o_custkey % 3) || '"' ELSE '' END || ', "configuration": ' || CASE WHEN o_orderkey % 3 = 0 THEN 'null' ELSE '{"candidates": {"min_area": ' || (o_custkey % 9) || '}}' END || ', "status": "completed"}' END AS body FROM orders)"""
+CHECKED = """checked AS (SELECT *, json_valid(body) AS ok FROM docs),
+told AS (SELECT id, body, CASE WHEN NOT ok OR json_type(body) <> 'OBJECT' THEN 'not an object' WHEN NOT (json_exists(body, '$.schema_version') AND json_exists(body, '$.scorer_id')) THEN 'missing: ' || concat_ws(', ', CASE WHEN NOT json_exists(body, '$.schema_version') THEN 'schema_version' END, CASE WHEN NOT json_exists(body, '$.scorer_id') THEN 'scorer_id' END)
+ WHEN json_type(body, '$.engine') <> 'OBJECT' THEN 'not an object: engine' WHEN json_type(body, '$.configuration') <> 'OBJECT' THEN 'not an object: configuration' END AS problem FROM (SELECT id, ok, CASE WHEN ok THEN body ELSE '[]' END AS body FROM checked))"""
+
+
+@query(sql("SELECT id, problem, CASE WHEN problem IS NULL THEN (body->>'$.schema_version')::DOUBLE END AS schema_version, CASE WHEN problem IS NULL THEN body->>'$.engine.name' END AS engine, CASE WHEN problem IS NULL THEN (body->>'$.engine.version')::DOUBLE END AS engine_version, CASE WHEN problem IS NULL THEN body->>'$.scorer_id' END AS scorer_id, CASE WHEN problem IS NULL THEN (body->>'$.configuration.candidates.min_area')::DOUBLE END AS min_area FROM told", DOCS, CHECKED))
+def tracking_descriptors(spark, sf_dir):
+    """Which tracking results can be described, why the others can't, and what the descriptions hold."""
+    key, of = F.col("o_orderkey"), lambda n: (F.col("o_custkey") % n).cast("string")
+    body = F.concat(
+        F.lit("{"), F.when(key % 7 != 0, '"schema_version": 1, ').otherwise(""), F.when(key % 5 != 0, F.concat(F.lit('"engine": {"name": "e'), of(4), F.lit('", "version": '), (key % 3).cast("string"), F.lit("}"))).otherwise('"engine": "e"'),
+        F.when(key % 17 != 0, F.concat(F.lit(', "scorer_id": "s'), of(3), F.lit('"'))).otherwise(""), F.lit(', "configuration": '), F.when(key % 3 == 0, "null").otherwise(F.concat(F.lit('{"candidates": {"min_area": '), of(9), F.lit("}}"))), F.lit(', "status": "completed"}'),
+    )
+    rows = views.table(spark, sf_dir, "orders").select(key.alias("id"), reports.document(F.when(key % 13 == 0, "broken").when(key % 11 == 0, "[1, 2]").otherwise(body)).alias("doc"))
+    rows = rows.select("id", reports.document_problem(F.col("doc")).alias("problem"), reports.descriptor(F.col("doc")).alias("d"))
+    part = lambda c, path, kind, name: F.try_variant_get(f"d.{c}", path, kind).alias(name)
+    return rows.select("id", "problem", part("schema_version", "$", "double", "schema_version"), part("engine", "$.name", "string", "engine"), part("engine", "$.version", "double", "engine_version"), part("scorer_id", "$", "string", "scorer_id"), part("configuration", "$.candidates.min_area", "double", "min_area"))
+
+
+# Every clip's frames are the annotated ones; candidates of other frames don't count among them.
+CSUM = """analyzed AS (SELECT clip_id, count(*) AS analyzed FROM gt GROUP BY clip_id),
+perframe AS (SELECT g.clip_id, g.frame, count(c.rank) AS n FROM gt g LEFT JOIN candidates c USING (clip_id, frame) GROUP BY ALL),
+csum AS (SELECT clip_id, count(*) AS analyzed_frames, count_if(n > 0) AS frames_with_candidates, round(count_if(n > 0)::DOUBLE / count(*), 6) AS coverage_ratio, sum(n)::BIGINT AS total_candidates, round(sum(n)::DOUBLE / count(*), 3) AS mean_candidates_per_frame, round(quantile_cont(n, 0.5), 3) AS median_candidates_per_frame, max(n) AS max_candidates_per_frame FROM perframe GROUP BY clip_id),
+cscore AS (SELECT clip_id, round(sum(round(score * 1000000)::BIGINT)::DOUBLE / 1000000 / count(*), 6) AS mean_candidate_score, max(score) AS max_candidate_score FROM candidates GROUP BY clip_id)"""
+
+
+@query(sql("SELECT csum.*, coalesce(mean_candidate_score, 0) AS mean_candidate_score, coalesce(max_candidate_score, 0) AS max_candidate_score FROM csum LEFT JOIN cscore USING (clip_id)", CAND, GT, CSUM))
+def candidate_summaries(spark, sf_dir):
+    """The summary that a clip's report holds, from counts of counts."""
+    ranked = views.candidates(spark, sf_dir)
+    clips = views.table(spark, sf_dir, "orders").groupBy(F.concat(F.lit("clip_"), (F.col("o_orderkey") % 3).cast("string")).alias("clip_id")).agg(F.count(F.lit(1)).alias("analyzed"))
+    return reports.candidate_summaries(clips, ranked).select("clip_id", "summary.*")
+
+
+# Runs are orders, videos are customers (every fifth unknown), a clip's file is missing for some.
+RUNS = """runs AS (SELECT o_orderkey AS run_id, o_custkey AS video_id, 'v' || o_custkey || '.mp4' AS video_filename, (o_orderkey % 40)::DOUBLE AS clip_start_s, (1 + o_custkey % 30)::DOUBLE AS clip_duration_s, o_orderdate AS generated_at FROM orders),
+vids AS (SELECT c_custkey AS video_id, c_custkey * 25 AS frame_count, c_custkey * 0.5::DOUBLE AS duration_s, 50.0::DOUBLE AS fps, 1280 AS width, 720 AS height FROM customer WHERE c_custkey % 5 <> 0),
+files AS (SELECT o_orderkey AS run_id, o_orderkey * 1000 AS size_bytes, (1 + o_custkey % 30)::DOUBLE - 0.25::DOUBLE AS duration_s, o_custkey % 30 * 50 AS frame_count FROM orders WHERE o_orderkey % 6 <> 0),
+sums AS (SELECT l_orderkey AS run_id, count(*) AS total_candidates, max(l_partkey) AS best FROM lineitem WHERE l_linenumber <= 3 AND l_orderkey % 10 <> 0 GROUP BY 1),
+desc_ AS (SELECT id AS run_id, scorer_id FROM (SELECT id, body->>'$.scorer_id' AS scorer_id, problem FROM told) WHERE problem IS NULL),
+parts AS (SELECT r.*, v.video_id IS NOT NULL AS video, v.frame_count AS vf, v.duration_s AS vd, v.fps, v.width, v.height, f.run_id IS NOT NULL AS file, f.size_bytes, f.duration_s AS fd, f.frame_count AS ff, s.total_candidates, s.best, d.scorer_id,
+ nullif(concat_ws(', ', CASE WHEN f.run_id IS NULL THEN 'clip' END, CASE WHEN s.run_id IS NULL THEN 'candidates' END, CASE WHEN s.run_id IS NULL OR s.best % 4 = 0 THEN 'tracks' END, CASE WHEN d.run_id IS NULL THEN 'tracking' END), '') AS absent
+ FROM runs r LEFT JOIN vids v USING (video_id) LEFT JOIN files f USING (run_id) LEFT JOIN sums s USING (run_id) LEFT JOIN desc_ d USING (run_id))"""
+
+
+@query(sql("""SELECT run_id, 'absent: ' || absent AS problem, CASE WHEN absent IS NULL THEN scorer_id END AS scorer_id, CASE WHEN absent IS NULL THEN strftime(generated_at, '%Y-%m-%dT%H:%M:%S') END AS generated_at, CASE WHEN absent IS NULL THEN round(size_bytes / 1048576.0::DOUBLE, 3) END AS size_mb,
+ CASE WHEN absent IS NULL THEN '{"filename":"' || video_filename || '","frame_count":' || coalesce(vf::VARCHAR, 'null') || ',"duration_s":' || coalesce(vd::VARCHAR, 'null') || ',"fps":' || coalesce(fps::VARCHAR, 'null') || ',"resolution":{"width":' || coalesce(width::VARCHAR, 'null') || ',"height":' || coalesce(height::VARCHAR, 'null') || '}}' END AS source,
+ CASE WHEN absent IS NULL THEN '{"artifact":"source_clip.mp4","requested_start_s":' || clip_start_s || ',"requested_duration_s":' || clip_duration_s || ',"actual_duration_s":' || fd || ',"frame_count":' || ff || ',"fps":null,"resolution":{"width":null,"height":null}}' END AS clip,
+ CASE WHEN absent IS NULL THEN total_candidates::DOUBLE END AS total_candidates, CASE WHEN absent IS NULL THEN best::DOUBLE END AS best FROM parts""", DOCS, CHECKED, RUNS))
+def run_analyses(spark, sf_dir):
+    """The nested report of every run, or what it lacks; some videos are unknown."""
+    orders = views.table(spark, sf_dir, "orders")
+    key, video = F.col("o_orderkey"), F.col("o_custkey")
+    runs = orders.select(
+        key.alias("run_id"), video.alias("video_id"), F.lit("p").alias("pipeline"), F.concat(F.lit("v"), video.cast("string"), F.lit(".mp4")).alias("video_filename"), F.col("o_orderdate").alias("generated_at"), (key % 40).cast("double").alias("clip_start_s"), (1 + video % 30).cast("double").alias("clip_duration_s")
+    )
+    c = F.col("c_custkey")
+    videos = views.table(spark, sf_dir, "customer").filter(c % 5 != 0).select(c.alias("video_id"), (c * 25).alias("frame_count"), (c * 0.5).alias("duration_s"), F.lit(50.0).alias("fps"), F.lit(1280).alias("width"), F.lit(720).alias("height"))
+    files = orders.filter(key % 6 != 0).select(key.alias("run_id"), (key * 1000).alias("size_bytes"), ((1 + video % 30).cast("double") - 0.25).alias("duration_s"), (video % 30 * 50).alias("frame_count"))
+    clips = reports.clip_report(runs, files)
+    found = views.table(spark, sf_dir, "lineitem").filter("l_linenumber <= 3 and l_orderkey % 10 <> 0").groupBy(F.col("l_orderkey").alias("run_id")).agg(F.count(F.lit(1)).alias("total_candidates"), F.max("l_partkey").alias("best"))
+    candidates = found.select("run_id", F.struct("total_candidates").alias("summary"))
+    followed = found.filter("best % 4 <> 0").select("run_id", F.struct("best").alias("summary"))
+    described = tracking_descriptors(spark, sf_dir).filter("problem is null").select(F.col("id").alias("run_id"), F.struct("schema_version", "scorer_id").alias("descriptor"))
+    out = reports.analyses(runs, videos, clips, candidates, followed, described).join(clips.select("run_id", F.col("clip.size_mb").alias("size_mb")), "run_id", "left")
+    text = lambda part: F.to_json(f"report.{part}", {"ignoreNullFields": "false"}).alias(part)
+    return out.select("run_id", "problem", "report.tracking.scorer_id", "report.generated_at", F.when(F.col("report").isNotNull(), F.col("size_mb")).alias("size_mb"), text("source"), text("clip"), F.col("report.candidates.total_candidates").cast("double").alias("total_candidates"), F.col("report.tracks_probe.best").cast("double").alias("best"))
+
+
+# Points name candidates that may not be there; some come twice; some metrics are off by one, absent or left over.
+FAULTS = """pts AS (SELECT 'clip_' || (user_id % 3) AS clip_id, user_id AS track_id, event_id - CASE WHEN event_id % 97 = 0 THEN 1 ELSE 0 END AS point_index, format('f{:06d}_c{:02d}', event_id // 4, 1 + event_id % 3) AS candidate_id FROM events),
+tm AS (SELECT clip_id, track_id + CASE WHEN track_id % 19 = 0 THEN 1000000 ELSE 0 END AS track_id, count(*) + max(CASE WHEN track_id % 7 = 0 THEN 1 ELSE 0 END) AS point_count FROM pts GROUP BY clip_id, pts.track_id),
+cm AS (SELECT clip_id, count(*) + CASE WHEN clip_id = 'clip_1' THEN 1 ELSE 0 END AS total FROM candidates GROUP BY clip_id),
+faults AS (SELECT 'candidates' AS artifact, 'repeated' AS problem, (SELECT count(*) FROM candidates) - (SELECT count(*) FROM (SELECT DISTINCT clip_id, candidate_id FROM candidates)) AS n
+ UNION ALL SELECT 'tracks', 'repeated', (SELECT count(*) FROM pts) - (SELECT count(*) FROM (SELECT DISTINCT clip_id, track_id, point_index FROM pts))
+ UNION ALL SELECT 'tracks', 'unknown candidate', (SELECT count(*) FROM pts WHERE NOT EXISTS (SELECT 1 FROM candidates c WHERE c.clip_id = pts.clip_id AND c.candidate_id = pts.candidate_id))
+ UNION ALL SELECT 'candidate_metrics', 'other count', (SELECT count(*) FROM (SELECT clip_id, count(*) AS k FROM candidates GROUP BY clip_id) FULL JOIN cm USING (clip_id) WHERE coalesce(k, 0) <> coalesce(total, -1))
+ UNION ALL SELECT 'track_metrics', 'other count', (SELECT count(*) FROM (SELECT clip_id, track_id, count(*) AS k FROM pts GROUP BY ALL) FULL JOIN tm USING (clip_id, track_id) WHERE coalesce(k, 0) <> coalesce(point_count, -1)))"""
+
+
+@query(sql("SELECT * FROM faults WHERE n > 0", CAND, FAULTS))
+def artifact_checks(spark, sf_dir):
+    """How many rows of a tracking job's tables contradict the others."""
+    ranked = views.candidates(spark, sf_dir)
+    at = F.col("event_id")
+    points = views.table(spark, sf_dir, "events").select(
+        F.concat(F.lit("clip_"), (F.col("user_id") % 3).cast("string")).alias("clip_id"), F.col("user_id").alias("track_id"), (at - F.when(at % 97 == 0, 1).otherwise(0)).alias("point_index"), F.format_string("f%06d_c%02d", F.expr("event_id div 4"), 1 + at % 3).alias("candidate_id")
+    )
+    per = points.groupBy("clip_id", "track_id").agg(F.count(F.lit(1)).alias("n"))
+    off = F.when(F.col("track_id") % 19 == 0, 1_000_000).otherwise(0)
+    followed = per.select("clip_id", (F.col("track_id") + off).alias("track_id"), (F.col("n") + F.when(F.col("track_id") % 7 == 0, 1).otherwise(0)).alias("point_count"))
+    total = ranked.groupBy("clip_id").agg(F.count(F.lit(1)).alias("n")).select("clip_id", F.struct((F.col("n") + F.when(F.col("clip_id") == "clip_1", 1).otherwise(0)).alias("total_candidates")).alias("summary"))
+    return jobs.row_problems(ranked, total, points, followed)
