@@ -52,65 +52,112 @@ class _Frames:
         self.span = dict(zip(values.tolist(), zip(first.tolist(), [*first[1:].tolist(), len(pdf)], strict=True), strict=True))
 
 
-def _extensions(frames: _Frames, path: list[int], config: TrackConfig) -> list[tuple[float, float, int, float, float]]:
-    """Allowed next points of a path, best first: (score change, score, row, prediction error, acceleration)."""
-    here = path[-1]
-    x, y, _, area, bright, size = frames.data[here].tolist()
-    now = int(frames.frame[here])
-    until = min(now + config.max_gap_frames + 1, int(frames.frame[path[0]]) + config.max_span_frames - 1)
-    a, b = (int(i) for i in np.searchsorted(frames.frame, (now, until), "right"))
-    rows, dt = frames.data[a:b], (frames.frame[a:b] - now).astype(np.float64)
-    step = rows[:, :2] - (x, y)
+@dataclass(frozen=True)
+class _Beams:
+    """Paths of equal length from many seeds, in the order of their seeds and of their beams: a line of each table for a path."""
+
+    seed: np.ndarray
+    rows: np.ndarray
+    gain: np.ndarray
+    errors: np.ndarray
+    accelerations: np.ndarray
+
+    def taken(self, which: np.ndarray) -> _Beams:
+        return _Beams(self.seed[which], self.rows[which], self.gain[which], self.errors[which], self.accelerations[which])
+
+    def with_points(self, which: np.ndarray, row: np.ndarray, gain: np.ndarray, error: np.ndarray, acceleration: np.ndarray) -> _Beams:
+        grown = lambda table, column: np.column_stack([table[which], column])
+        return _Beams(self.seed[which], grown(self.rows, row), self.gain[which] + gain, grown(self.errors, error), grown(self.accelerations, acceleration))
+
+
+def _places(groups: np.ndarray) -> np.ndarray:
+    """0, 1, 2, ... inside each run of equal numbers."""
+    fresh = np.r_[True, groups[1:] != groups[:-1]] if len(groups) else np.zeros(0, bool)
+    first = np.flatnonzero(fresh)
+    return np.arange(len(groups)) - np.repeat(first, np.diff(np.r_[first, len(groups)]))
+
+
+def _grown(old: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """How far two sizes differ, as a logarithm of 2 at most; 0 where one is unknown."""
+    both = (new > 0) & (old > 0)
+    return np.where(both, np.minimum(2.0, np.abs(np.log(np.where(both, new, 1.0) / np.where(both, old, 1.0)))), 0.0)
+
+
+def _extensions(frames: _Frames, beams: _Beams, config: TrackConfig) -> tuple[np.ndarray, ...]:
+    """Allowed next points of all paths, by path and the best first: path, row, score change, prediction error, acceleration."""
+    here = beams.rows[:, -1]
+    now = frames.frame[here]
+    until = np.minimum(now + config.max_gap_frames + 1, frames.frame[beams.rows[:, 0]] + config.max_span_frames - 1)
+    a, b = np.searchsorted(frames.frame, now, "right"), np.searchsorted(frames.frame, until, "right")
+    count = np.maximum(b - a, 0)
+    path = np.repeat(np.arange(len(here)), count)
+    row = _places(path) + a[path]
+    dt = (frames.frame[row] - now[path]).astype(np.float64)
+    step = frames.data[row, :2] - frames.data[here[path], :2]
     jump = np.sqrt(step[:, 0] ** 2 + step[:, 1] ** 2)
-    near = np.flatnonzero((frames.segment[a:b] == frames.segment[here]) & (jump <= config.max_jump_per_frame * dt))
-    if not near.size:
-        return []
-    rows, dt, step, jump = rows[near], dt[near], step[near], jump[near]
+    near = np.flatnonzero((frames.segment[row] == frames.segment[here[path]]) & (jump <= config.max_jump_per_frame * dt))
+    path, row, dt, step, jump = path[near], row[near], dt[near], step[near], jump[near]
     error = acceleration = np.zeros(near.size)
-    ok = np.ones(near.size, bool)
-    if len(path) > 1:
-        velocity = (frames.data[here, :2] - frames.data[path[-2], :2]) / max(1, now - int(frames.frame[path[-2]]))
+    if beams.rows.shape[1] > 1:
+        back = beams.rows[:, -2]
+        velocity = ((frames.data[here, :2] - frames.data[back, :2]) / np.maximum(1, now - frames.frame[back])[:, None])[path]
         new = step / dt[:, None]
         miss, change = step - velocity * dt[:, None], new - velocity
         error, acceleration = np.hypot(miss[:, 0], miss[:, 1]), np.hypot(change[:, 0], change[:, 1])
-        old_speed, new_speed = math.hypot(*velocity), jump / dt
+        old_speed, new_speed = np.hypot(velocity[:, 0], velocity[:, 1]), jump / dt
         still = (new_speed < 1e-6) | (old_speed < 1e-6)
-        cosine = np.where(still, 1.0, new @ velocity / np.where(still, 1.0, old_speed * new_speed))
+        cosine = np.where(still, 1.0, (new * velocity).sum(1) / np.where(still, 1.0, old_speed * new_speed))
         turn = np.degrees(np.arccos(np.clip(cosine, -1, 1)))
         ok = (error <= config.prediction_error_limit + 4.0 * (dt - 1)) & (acceleration <= config.max_acceleration) & (turn <= config.max_turn_degrees)
-
-    def grown(old: float, new: np.ndarray) -> np.ndarray:
-        both = (new > 0) & (old > 0)
-        return np.where(both, np.minimum(2.0, np.abs(np.log(np.where(both, new, 1.0) / (old if old > 0 else 1.0)))), 0.0)
-
-    look = grown(area, rows[:, 3]) + np.where((bright > 0) & (rows[:, 4] > 0), np.abs(rows[:, 4] - bright) / 255.0, 0.0) + 0.5 * grown(size, rows[:, 5])
-    gain = 1.65 * rows[:, 2] - 0.035 * error - 0.022 * acceleration - 0.010 * jump - 0.24 * look - 0.10 * (dt - 1)
-    out = [(float(gain[i]), float(rows[i, 2]), a + int(near[i]), float(error[i]), float(acceleration[i])) for i in np.flatnonzero(ok)]
-    return sorted(out, key=lambda e: (-e[0], -e[1]))[: config.branch_factor]
+        path, row, dt, jump, error, acceleration = path[ok], row[ok], dt[ok], jump[ok], error[ok], acceleration[ok]
+    old, new = frames.data[here[path]], frames.data[row]
+    light = np.where((old[:, 4] > 0) & (new[:, 4] > 0), np.abs(new[:, 4] - old[:, 4]) / 255.0, 0.0)
+    look = _grown(old[:, 3], new[:, 3]) + light + 0.5 * _grown(old[:, 5], new[:, 5])
+    gain = 1.65 * new[:, 2] - 0.035 * error - 0.022 * acceleration - 0.010 * jump - 0.24 * look - 0.10 * (dt - 1)
+    order = np.lexsort((row, -new[:, 2], -gain, path))
+    best = order[_places(path[order]) < config.branch_factor]
+    return path[best], row[best], gain[best], error[best], acceleration[best]
 
 
 @dataclass(frozen=True)
 class _Path:
     rows: tuple[int, ...]
-    gain: float
     errors: tuple[float, ...] = ()
     accelerations: tuple[float, ...] = ()
 
 
-def _grow(frames: _Frames, seed: int, config: TrackConfig) -> Iterator[_Path]:
-    """All paths from a seed that end: no point follows, or the span is used up. Pruned ones vanish."""
-    span = lambda p: int(frames.frame[p.rows[-1]] - frames.frame[p.rows[0]]) + 1
-    beam = [_Path((seed,), 1.2 * float(frames.data[seed, 2]))]
-    while beam:
-        grown = []
-        for path in beam:
-            following = [] if span(path) >= config.max_span_frames else _extensions(frames, list(path.rows), config)
-            if not following:
-                yield path
-            for gain, _, row, error, acceleration in following:
-                grown.append(_Path((*path.rows, row), path.gain + gain, (*path.errors, error), (*path.accelerations, acceleration)))
-        worth = lambda p: (p.gain + 0.16 * len(p.rows) + 0.25 * len(p.rows) / span(p), len(p.rows))
-        beam = sorted(grown, key=worth, reverse=True)[: config.beam_width]
+#: Pairs of a path and a point that are looked at in one go; a path alone may have more.
+PAIRS = 1 << 18
+
+
+def _grow(frames: _Frames, seeds: np.ndarray, config: TrackConfig) -> Iterator[tuple[int, int, _Path]]:
+    """(seed, number, path) of all paths that end: no point follows, or the span is used up. Pruned ones vanish.
+
+    The beams of all seeds grow by one point at a time, as tables; a path's number counts those of its seed that ended
+    before it. A round holds beam_width paths of each seed at most, and about PAIRS pairs at once.
+    """
+    none = np.zeros((len(seeds), 0))
+    beams = _Beams(np.arange(len(seeds)), np.asarray(seeds, np.int64)[:, None], 1.2 * frames.data[seeds, 2], none, none)
+    ended = np.zeros(len(seeds), np.int64)
+    while len(beams.seed):
+        now = frames.frame[beams.rows[:, -1]]
+        wide = np.searchsorted(frames.frame, now + config.max_gap_frames + 1, "right") - np.searchsorted(frames.frame, now, "right")
+        cuts = np.flatnonzero(np.diff(np.cumsum(wide) // PAIRS)) + 1
+        parts = []
+        for chunk in np.split(np.arange(len(now)), cuts):
+            path, *found = _extensions(frames, beams.taken(chunk), config)
+            parts.append((chunk[path], *found))
+        path, row, gain, error, acceleration = (np.concatenate(c) for c in zip(*parts, strict=True))
+        done = np.flatnonzero(~np.isin(np.arange(len(now)), path))
+        numbers = ended[beams.seed[done]] + _places(beams.seed[done])
+        ended += np.bincount(beams.seed[done], minlength=len(seeds))
+        for i, number in zip(done.tolist(), numbers.tolist(), strict=True):
+            yield int(beams.seed[i]), number, _Path(tuple(beams.rows[i].tolist()), tuple(beams.errors[i].tolist()), tuple(beams.accelerations[i].tolist()))
+        beams = beams.with_points(path, row, gain, error, acceleration)
+        length = beams.rows.shape[1]
+        span = frames.frame[beams.rows[:, -1]] - frames.frame[beams.rows[:, 0]] + 1
+        order = np.lexsort((-(beams.gain + 0.16 * length + 0.25 * length / span), beams.seed))  # stable, and all are equally long
+        beams = beams.taken(order[_places(beams.seed[order]) < config.beam_width])
 
 
 def _score(frames: _Frames, path: _Path) -> float:
@@ -139,14 +186,11 @@ def hypotheses(candidates: DataFrame, config: TrackConfig = TrackConfig(), block
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         frames, part, out = _Frames(pdf), int(pdf["__part"].iloc[0]), []
-        for frame, (a, b) in frames.span.items():
-            if frame // reach != part or frame % config.seed_stride:
-                continue
-            for place, seed in enumerate(range(a, min(b, a + config.seeds_per_frame))):
-                for number, path in enumerate(_grow(frames, seed, config)):
-                    if len(path.rows) >= config.min_points:
-                        rows = list(path.rows)
-                        out.append((pdf["clip_id"].iloc[0], frame, place, number, _score(frames, path), frames.ids[rows].tolist(), frames.frame[rows].tolist(), frames.data[rows, 0].tolist(), frames.data[rows, 1].tolist(), [0.0, *path.errors]))
+        seeds = [(frame, place, row) for frame, (a, b) in frames.span.items() if frame // reach == part and frame % config.seed_stride == 0 for place, row in enumerate(range(a, min(b, a + config.seeds_per_frame)))]
+        for seed, number, path in _grow(frames, np.array([row for *_, row in seeds], np.int64), config):
+            if len(path.rows) >= config.min_points:
+                rows = list(path.rows)
+                out.append((pdf["clip_id"].iloc[0], *seeds[seed][:2], number, _score(frames, path), frames.ids[rows].tolist(), frames.frame[rows].tolist(), frames.data[rows, 0].tolist(), frames.data[rows, 1].tolist(), [0.0, *path.errors]))
         return pd.DataFrame(out, columns=["clip_id", "seed_frame", "seed_rank", "path", "score", "candidate_ids", "frames", "xs", "ys", "errors"])
 
     schema = "clip_id string, seed_frame long, seed_rank long, path long, score double, candidate_ids array<string>, frames array<long>, xs array<double>, ys array<double>, errors array<double>"

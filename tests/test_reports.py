@@ -6,11 +6,12 @@ import random
 import statistics
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from rallyframe.functions import scores
-from rallyframe.operators import jobs, pixels, reports, scan
+from rallyframe.operators import jobs, pixels, reports, scan, tracklets
 
 
 def test_documents(spark):
@@ -136,3 +137,17 @@ def test_outlines_by_hand(shape, area, perimeter):
         mask[y + 1, x + 1] = True
     for m in (mask, mask[:, ::-1], mask.T):
         assert pixels.circularity(m) == pytest.approx(min(1.0, 4 * np.pi * area / perimeter**2), abs=1e-6)
+
+
+@pytest.mark.parametrize("pairs", [1, 40])
+def test_beams_do_not_depend_on_how_pairs_are_cut(monkeypatch, pairs):
+    rng = np.random.default_rng(3)
+    n = 240
+    rows = pd.DataFrame({"candidate_id": [f"c{i:03d}" for i in range(n)], "frame": np.sort(rng.integers(0, 40, n)), "rank": 1, "segment": 0, "score": rng.integers(0, 9, n) / 10.0})
+    rows = rows.assign(x=rng.integers(0, 60, n).astype(float), y=rng.integers(0, 60, n).astype(float), area=10.0, bright=rng.integers(0, 3, n).astype(float), size=3.0)
+    frames, seeds = tracklets._Frames(rows), np.arange(0, 60, 4)
+    grown = lambda: {(s, k): (p.rows, p.errors) for s, k, p in tracklets._grow(frames, seeds, tracklets.TrackConfig())}
+    whole = grown()
+    monkeypatch.setattr(tracklets, "PAIRS", pairs)
+    assert len(whole) > len(seeds) and grown() == whole
+    assert list(tracklets._grow(frames, np.zeros(0, np.int64), tracklets.TrackConfig())) == []
