@@ -164,6 +164,7 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", least
     null id is below all others. Null text counts as empty: one empty line. Repeated rows count as so many
     documents, and share an id, so they keep or lose lines alike. Columns n_lines and n_dropped in `docs`
     are replaced.
+    The key is a number or text that reads as a whole number: ids are compared as longs, and other text raises.
     """
     keys = stored(frequent_keys(docs, key, text, least_docs, least_chars), "line_keys")
     shards = max(1, -(-rows_in(keys) // keys_per_shard))

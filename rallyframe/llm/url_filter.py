@@ -47,7 +47,7 @@ def grams(host: Column, path: Column, sizes: tuple[int, ...] = (3, 4)) -> Column
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
     """(url, label) with label 1.0 for block: every host word with every path word and with bare and numbered
-    paths, some 520 rows. Host and path decide together, so the n-grams of both carry the label."""
+    paths, 560 rows. Host and path decide together, so the n-grams of both carry the label."""
     rows = []
     for i, host in enumerate([*BLOCKED_HOSTS, *ALLOWED_HOSTS]):
         bad = host in BLOCKED_HOSTS

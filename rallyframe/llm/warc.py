@@ -55,6 +55,7 @@ def resolved(records: DataFrame, width: int = 86_400, merged: tuple[str, ...] =
     `unvalidated`, if they share none), resolved_id, resolved_digest and merged_headers: those of the full
     response, where a resolved revisit's own value of a permitted header wins. Records with a null URL or
     time are never matched. Of responses at one instant the greatest record_id counts.
+    Columns of `records` named canonical, outcome, resolved_id, resolved_digest or merged_headers are replaced.
     """
     rows = records.withColumn("canonical", canonical_url(F.col("url")))
     usable = F.col("canonical").isNotNull() & F.col("ts").isNotNull()
