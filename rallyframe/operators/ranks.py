@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def counted_values(rows: DataFrame, keys: list[str], value: str, cells: int = 64, weight: str | None = None) -> DataFrame:
     """(keys, value, __n, __first, __size): each distinct value of a group, how often it occurs, how many rows of the
     group lie below it, and how many the group has. Nulls don't count.
 
     Values are counted before anything is sorted. A group's values are split at approximate quantiles into cells,
-    running sums go over a cell's values and over the cells. Keys are matched with null as a value. With `weight`, a
-    row counts so many times; keys and value are unique then.
+    running sums go over a cell's values and over the cells. These quantiles depend on the order in which partial ones
+    arrive, so they are found once and stored: both sums must see the same cells. Keys are matched with null as a value.
+    With `weight`, a row counts so many times; keys and value are unique then.
     """
     if cells < 2:
         raise ValueError("cells must be 2 or more")
@@ -21,7 +24,7 @@ def counted_values(rows: DataFrame, keys: list[str], value: str, cells: int = 64
     named = {k: f"__key{i}" for i, k in enumerate(keys)}
     steps = [i / cells for i in range(1, cells)]
     cuts = per.groupBy(*keys).agg(F.percentile_approx(value, steps, 1000).alias("__cuts"), F.sum("__n").alias("__size")).withColumnsRenamed(named)
-    celled = per.join(cuts, _same(named)).drop(*named.values()).withColumn("__cell", F.size(F.filter("__cuts", lambda c: c < F.col(value)))).drop("__cuts")
+    celled = per.join(cut(cuts), _same(named)).drop(*named.values()).withColumn("__cell", F.size(F.filter("__cuts", lambda c: c < F.col(value)))).drop("__cuts")
     sums = celled.groupBy(*keys, "__cell").agg(F.sum("__n").alias("__cell_n"))
     before = Window.partitionBy(*keys).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select(*keys, F.col("__cell").alias("__at"), F.coalesce(F.sum("__cell_n").over(before), F.lit(0)).alias("__start")).withColumnsRenamed(named)
