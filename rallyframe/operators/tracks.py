@@ -130,25 +130,48 @@ def links(candidates: DataFrame, max_gap: int = 2, max_jump: float = 58.0, cuts:
     return both.withColumn("frame_delta", F.col("b_frame") - F.col("a_frame")).withColumn("jump", jump).filter(F.col("jump") / F.col("frame_delta") <= max_jump)
 
 
+#: Sets of a group that hold one item and look for partners in the same task.
+DEALT = 1024
+
+
 def overlaps(members: DataFrame, set_key: str, item: str, within: str, least: float = 0.65) -> DataFrame:
     """Pairs of sets in the same group whose shared items are at least a part of the smaller set.
 
     A set of n items that shares p of them has a shared one among any n - p + 1 of its own: only the rarest of the
-    smaller set's items look for partners, and a pair that is found is counted on its items.
+    smaller set's items look for partners. Sets travel with their items, so a pair is counted where it is found, and
+    only at the first of these items that both have: pairs are neither sorted nor joined again. Items are also bits of
+    a number, in which most pairs are decided; where two items of a group have the same bit, the items are compared.
+    The pairs of one item are dealt to tasks by the sets that look.
     """
-    sized = members.select(within, set_key, item).distinct()
-    sizes = sized.groupBy(within, set_key).agg(F.count(F.lit(1)).alias("size"))
+    spark = members.sparkSession
+    whole = dict(members.dtypes)[item] in ("tinyint", "smallint", "int", "bigint")
+    bit = F.pmod(F.col(item) if whole else F.xxhash64(item), F.lit(64)).cast("int").alias("__bit")
+    sized = members.select(within, set_key, item).where(F.col(within).isNotNull() & F.col(set_key).isNotNull() & F.col(item).isNotNull()).distinct()
     often = sized.groupBy(within, item).agg(F.count(F.lit(1)).alias("__often"))
-    rows = sized.join(sizes, [within, set_key])
-    place = F.row_number().over(Window.partitionBy(within, set_key).orderBy("__often", item))
-    rare = rows.join(often, [within, item]).withColumn("__place", place).filter(F.col("__place") <= F.col("size") - F.ceil(F.lit(least - 1e-6) * F.col("size")) + 1)
-    smaller = rare.select(within, item, F.col(set_key).alias("s"), F.col("size").alias("ns"))
-    larger = rows.select(within, item, F.col(set_key).alias("t"), F.col("size").alias("nt"))
-    found = smaller.join(larger, [within, item]).filter("s != t and ns <= nt").select(within, F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b"), F.least("ns", "nt").alias("n")).distinct()
-    mine = found.join(sized.select(within, F.col(set_key).alias("a"), item), [within, "a"])
-    both = mine.join(sized.select(within, F.col(set_key).alias("b"), item), [within, "b", item])
-    pairs = both.groupBy(within, "a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first("n").alias("n"))
-    return pairs.withColumn("overlap", F.round(F.col("shared") / F.col("n"), 6)).filter(F.col("overlap") >= least).drop("n")
+    bits = often.select(within, item, bit).groupBy(within, "__bit").agg((F.min(item) == F.max(item)).alias("__alone"))
+    known = often.withColumn("__bit", bit).join(bits, [within, "__bit"])
+    one = F.struct(F.col("__often").alias("often"), F.col(item).alias("item"), F.expr("shiftleft(1L, __bit)").alias("bit"), F.col("__alone").alias("alone"))
+    sets = sized.join(known, [within, item]).groupBy(within, set_key).agg(F.array_sort(F.collect_list(one)).alias("l"))
+    mask = lambda part: F.aggregate(part, F.lit(0).cast("bigint"), lambda m, x: m.bitwiseOR(x["bit"]))
+    size = F.size("l")
+    sets = sets.select(within, set_key, "l", size.alias("n"), mask(F.col("l")).alias("bits"), F.transform("l", lambda x: x["item"]).alias("items"), F.forall("l", lambda x: x["alone"]).alias("alone"), (size - F.ceil(F.lit(least - 1e-6) * size) + 1).cast("int").alias("looks"))
+    deals = lambda often: F.ceil(often / DEALT).cast("int")
+    head = F.slice("l", 1, F.col("looks"))
+    seeks = sets.select(within, F.col(set_key).alias("s"), F.col("n").alias("ns"), F.col("bits").alias("bs"), F.col("items").alias("is"), "alone", F.inline(F.transform(head, lambda x, i: F.struct(x["item"].alias(item), x["often"].alias("__often"), i.alias("__at"), mask(F.slice("l", 1, i)).alias("__before")))))
+    seeks = seeks.withColumn("__deal", F.pmod(F.xxhash64("s"), deals(F.col("__often"))).cast("int")).drop("__often")
+    meets = sets.select(within, F.col(set_key).alias("t"), F.col("n").alias("nt"), F.col("bits").alias("bt"), F.col("items").alias("it"), F.inline(F.transform("l", lambda x: F.struct(x["item"].alias(item), x["often"].alias("__often")))))
+    meets = meets.withColumn("__deal", F.explode(F.sequence(F.lit(0), deals(F.col("__often")) - 1))).drop("__often")
+    # Far more pairs come out than rows go in, so the number of tasks isn't left to the size of what goes in.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    keys = [within, item, "__deal"]
+    both = seeks.repartition(tasks, *keys).hint("merge").join(meets.repartition(tasks, *keys), keys)
+    both = both.where((F.col("s") != F.col("t")) & ((F.col("ns") < F.col("nt")) | ((F.col("ns") == F.col("nt")) & (F.col("s") < F.col("t")))))
+    at_most = F.col("ns") - F.bit_count(F.col("bs").bitwiseAND(F.bitwise_not("bt")))
+    first = F.when(F.col("alone"), F.col("__before").bitwiseAND(F.col("bt")) == 0).otherwise(~F.arrays_overlap(F.slice("is", 1, F.col("__at")), F.col("it")))
+    shared = F.when(F.col("alone"), at_most).otherwise(F.size(F.array_intersect("is", "it"))).cast("bigint")
+    enough = at_most >= (least - 1e-6) * F.col("ns")
+    pairs = both.where(enough).where(first).select(within, F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b"), shared.alias("shared"), "ns")
+    return pairs.withColumn("overlap", F.round(F.col("shared") / F.col("ns"), 6)).filter(F.col("overlap") >= least).drop("ns")
 
 
 def triplets(frames: DataFrame, key: str = "clip_id") -> DataFrame:
