@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import track_score, turn_degrees
+from ..session import cut
 from .scan import SIZE, inside, with_halo, with_previous, with_running, with_smoothed
 
 # The features that the audit compares.
@@ -286,9 +287,44 @@ def _offsets(steps: int) -> tuple[Column, Column]:
     return listed(sure), listed(rim)
 
 
-def occupancy(candidates: DataFrame, radius: int = 20, steps: int = 4) -> DataFrame:
+#: Candidates of a tile and its margin up to which pairs are measured; beyond, frames are kept as bits.
+FULL = 1024
+
+
+def occupancy(candidates: DataFrame, radius: int = 20, steps: int = 4, tile: int = 8, full: int = FULL) -> DataFrame:
     """For every candidate, in how many other frames of its clip some candidate lies within the radius.
 
+    The image is cut into tiles of `tile` radii, which also get the candidates that lie at most a radius outside. Where
+    a tile holds up to `full` of them, all its pairs are measured: only the few near a tile's edge are sent twice. Fuller
+    tiles, as those of a still camera or of a long clip, go by `_by_bits`. A candidate without a place has none near it.
+    """
+    a = candidates.select("clip_id", "frame", "candidate_id", "x", "y")
+    side = tile * radius
+    at = lambda c: F.coalesce(F.floor(F.col(c) / side), F.lit(-(2**62)))
+    low, high = lambda c: F.floor((F.col(c) - radius) / side), lambda c: F.floor((F.col(c) + radius) / side)
+    held = a.withColumn("__tx", at("x")).withColumn("__ty", at("y"))
+    reach = F.flatten(F.transform(F.sequence(low("x"), high("x")), lambda i: F.transform(F.sequence(low("y"), high("y")), lambda j: F.struct(i.alias("__tx"), j.alias("__ty")))))
+    sent = a.where("x is not null and y is not null").select("clip_id", F.col("frame").alias("of"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.inline(reach))
+    place = ["clip_id", "__tx", "__ty"]
+    crowds = sent.groupBy(*place).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > full).select(*place, F.lit(True).alias("__crowd"))
+    crowds = cut(crowds)
+    crowded = not crowds.isEmpty()
+    some = held.join(crowds, place, "left_anti") if crowded else held
+    thin = sent.join(crowds, place, "left_anti") if crowded else sent
+    near = (F.hypot(F.col("x") - F.col("ox"), F.col("y") - F.col("oy")) <= radius) & (F.col("frame") != F.col("of"))
+    pairs = some.join(thin.hint("merge"), place, "left").groupBy(*place, "frame", "candidate_id").agg(F.count_distinct(F.when(near, F.col("of"))).alias("n"))
+    counted = pairs.select("clip_id", "frame", "candidate_id", "n")
+    if crowded:
+        counted = counted.union(_by_bits(held.join(crowds, place, "left_semi").drop("__tx", "__ty"), sent.join(crowds, place, "left_semi").select("clip_id", F.col("of").alias("frame"), F.col("ox").alias("x"), F.col("oy").alias("y")).distinct(), radius, steps))
+    total = candidates.groupBy("clip_id").agg((F.count_distinct("frame") - 1).alias("others"))
+    out = counted.join(total, "clip_id")
+    n = F.col("n")
+    return out.select("clip_id", "frame", "candidate_id", n.alias("frames_near"), F.round(F.coalesce(F.try_divide(n, F.col("others")), F.lit(0.0)), 9).alias("occupancy"))
+
+
+def _by_bits(a: DataFrame, others: DataFrame, radius: int, steps: int) -> DataFrame:
+    """(clip_id, frame, candidate_id, n): in how many other frames one of `others`, which hold `a` too, lies near.
+
     Space is cut into cells of 1/steps of the radius, and the frames of a cell are kept as bits, 64 to a number. The
     cells that surely lie within the radius are joined by bitwise or, once for a cell and not for a candidate: where
     a still camera fills a cell with every frame, there are as many bits and no pairs. Distances are measured only on
@@ -296,11 +332,11 @@ def occupancy(candidates: DataFrame, radius: int = 20, steps: int = 4) -> DataFr
     """
     sure, rim = _offsets(steps)
     cell = lambda c: F.floor(F.col(c) * steps / radius)
-    a = candidates.select("clip_id", "frame", "candidate_id", "x", "y", cell("x").alias("cx"), cell("y").alias("cy"))
+    a, others = (t.withColumn("cx", cell("x")).withColumn("cy", cell("y")) for t in (a, others))
     word = F.floor(F.col("frame") / 64).alias("word")
     bit = F.expr("shiftleft(1L, cast(pmod(frame, 64) as int))").alias("bit")
     place = ["clip_id", "cx", "cy"]
-    held = a.groupBy(*place, word).agg(F.bit_or(bit).alias("bits"))
+    held = others.groupBy(*place, word).agg(F.bit_or(bit).alias("bits"))
     cells = a.select(*place).distinct()
 
     def sent(rows: DataFrame, offsets: Column) -> DataFrame:
@@ -311,11 +347,9 @@ def occupancy(candidates: DataFrame, radius: int = 20, steps: int = 4) -> DataFr
 
     core = sent(held, sure).groupBy(*place, "word").agg(F.bit_or("bits").alias("core"))
     inside_core = core.groupBy(*place).agg(F.sum(F.bit_count("core")).alias("__core"))
-    far = sent(a.select(*place, "frame", F.col("x").alias("ox"), F.col("y").alias("oy"), word, bit), rim).join(core, [*place, "word"], "left")
+    far = sent(others.select(*place, "frame", F.col("x").alias("ox"), F.col("y").alias("oy"), word, bit), rim).join(core, [*place, "word"], "left")
     fresh = far.where(F.coalesce(F.col("core").bitwiseAND(F.col("bit")), F.lit(0)) == 0).select(*place, F.col("frame").alias("of"), "ox", "oy")
     near = a.join(fresh, place).filter(F.hypot(F.col("x") - F.col("ox"), F.col("y") - F.col("oy")) <= radius)
     counted = near.groupBy("clip_id", "frame", "candidate_id").agg(F.count_distinct("of").alias("__rim"))
-    total = candidates.groupBy("clip_id").agg((F.count_distinct("frame") - 1).alias("others"))
-    out = a.join(inside_core, place).join(counted, ["clip_id", "frame", "candidate_id"], "left").join(total, "clip_id")
-    n = F.col("__core") - 1 + F.coalesce("__rim", F.lit(0))
-    return out.select("clip_id", "frame", "candidate_id", n.alias("frames_near"), F.round(F.coalesce(F.try_divide(n, F.col("others")), F.lit(0.0)), 9).alias("occupancy"))
+    out = a.join(inside_core, place).join(counted, ["clip_id", "frame", "candidate_id"], "left")
+    return out.select("clip_id", "frame", "candidate_id", (F.col("__core") - 1 + F.coalesce("__rim", F.lit(0))).alias("n"))

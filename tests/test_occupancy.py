@@ -58,3 +58,36 @@ def test_a_still_camera_costs_no_pairs(spark):
 
 def test_no_candidates(spark):
     assert tracks.occupancy(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def sent_rows(df) -> int:
+    """Rows that the plan's generators put out."""
+    df.collect()
+    total, nodes, seen = 0, [df._jdf.queryExecution().executedPlan()], set()
+    while nodes:
+        node = nodes.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            nodes.append(node.executedPlan())
+            continue
+        if "QueryStage" in node.nodeName():
+            nodes.append(node.plan())
+        if "Generate" in node.nodeName() and node.id() not in seen:
+            seen.add(node.id())
+            total += node.metrics().apply("numOutputRows").value()
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+    return total
+
+
+def test_sparse_candidates_are_hardly_sent_twice(spark):
+    rng = np.random.default_rng(5)
+    rows = [("c", f, f"{f}.{k}", float(rng.uniform(0, 1280)), float(rng.uniform(0, 720))) for f in range(150) for k in range(4)]
+    assert 0 < sent_rows(tracks.occupancy(spark.createDataFrame(rows, SCHEMA))) < 2 * len(rows)
+
+
+@pytest.mark.parametrize("full", [0, 20, 10**6])
+def test_full_and_thin_tiles_agree(spark, full):
+    rng = np.random.default_rng(6)
+    rows = [("c", f, f"{f}.{k}", float(x), float(y)) for f in range(90) for k, (x, y) in enumerate([(rng.normal(100), rng.normal(60)), tuple(rng.uniform(-200, 400, 2))])] + [("c", 5, "none", None, 3.0)]
+    frames, xy, ids = [r[1] for r in rows], np.array([r[3:] for r in rows], float), [r[2] for r in rows]
+    wanted = {i: len({f for f, p in zip(frames, xy, strict=True) if np.hypot(*(p - q)) <= 20} - {g}) for i, g, q in zip(ids, frames, xy, strict=True)}
+    assert {r.candidate_id: r.frames_near for r in tracks.occupancy(spark.createDataFrame(rows, SCHEMA), full=full).collect()} == wanted
