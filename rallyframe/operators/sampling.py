@@ -111,11 +111,18 @@ def _placed(rows: DataFrame, within: tuple[str, ...], order: tuple[str, ...], na
     return numbered(rows.withColumn("__part", part), ("__part", *order), name, ("__part",), within).drop("__part")
 
 
-def even_sample(rows: DataFrame, k: int, per: str, order: tuple[str, ...], to_nearest: bool = False) -> DataFrame:
-    """k evenly spread rows of each `per`. More than k rows give k different indices, so none is filled up."""
+def even_samples(rows: DataFrame, k: int, per: str, order: tuple[str, ...], kinds: dict[str, bool]) -> DataFrame:
+    """`even_sample` for every kind, a name and whether it rounds to nearest, as rows with `kind`. Rows are numbered
+    once; few of them are then repeated."""
     sizes = rows.groupBy(per).agg(F.count(F.lit(1)).alias("__n"))
     placed = _placed(rows, (per,), order, "index").join(sizes, per)
-    return placed.filter(F.array_contains(even_indices(F.col("__n"), k, to_nearest), F.col("index"))).drop("__n")
+    chosen = [F.when(F.array_contains(even_indices(F.col("__n"), k, nearest), F.col("index")), F.lit(kind)) for kind, nearest in kinds.items()]
+    return placed.withColumn("kind", F.explode(F.array_compact(F.array(*chosen)))).drop("__n")
+
+
+def even_sample(rows: DataFrame, k: int, per: str, order: tuple[str, ...], to_nearest: bool = False) -> DataFrame:
+    """k evenly spread rows of each `per`. More than k rows give k different indices, so none is filled up."""
+    return even_samples(rows, k, per, order, {"": to_nearest}).drop("kind")
 
 
 def stratified_sample(rows: DataFrame, flag: str, per: str, order: tuple[str, ...], total: int = 32, most: int = 8) -> DataFrame:
