@@ -30,18 +30,26 @@ def nearest_labelled(rows: DataFrame, radius: float = 20.0) -> DataFrame:
     return rows.withColumn("label", label).withColumn("label_reason", reason)
 
 
+def frame_counts(labelled: DataFrame, *more: Column) -> DataFrame:
+    """What the candidates of each frame say of it, and `more` aggregates; the first one counts by (rank, id)."""
+    first = lambda c: F.min_by(c, F.struct("rank", "candidate_id"))
+    return labelled.groupBy(*FRAME).agg(
+        F.count(F.lit(1)).alias("candidate_count"), F.bool_or(is_hit(F.col("distance"))).alias("any_hit"), first("candidate_id").alias("baseline_id"),
+        first("label").alias("baseline_label"), first("distance").alias("baseline_distance"), first("hard_negative").alias("baseline_hard_negative"), *more,
+    )
+
+
 def frame_outcomes(truth: DataFrame, labelled: DataFrame) -> DataFrame:
     """A row for each annotated frame, those without candidates included.
 
     Coverage looks at any candidate, the baseline at the first by (rank, id); its hard-negative flag holds
     whether or not the ball is visible.
     """
-    first = lambda c: F.min_by(c, F.struct("rank", "candidate_id"))
-    per = labelled.groupBy(*FRAME).agg(
-        F.count(F.lit(1)).alias("candidate_count"), F.bool_or(is_hit(F.col("distance"))).alias("any_hit"), first("candidate_id").alias("baseline_id"),
-        first("label").alias("baseline_label"), first("distance").alias("baseline_distance"), first("hard_negative").alias("baseline_hard_negative"),
-    )
-    rows = truth.select(*FRAME, "visible").join(per, FRAME, "left")
+    return outcomes(truth.select(*FRAME, "visible").join(frame_counts(labelled), FRAME, "left"))
+
+
+def outcomes(rows: DataFrame) -> DataFrame:
+    """The outcomes of frames with `visible` and their `frame_counts`, null where a frame has no candidates."""
     n = F.coalesce("candidate_count", F.lit(0)).cast("bigint")
     covered = F.col("visible") & F.coalesce("any_hit", F.lit(False))
     hit = F.col("visible") & is_hit(F.col("baseline_distance"))
@@ -63,13 +71,22 @@ def summarized(outcomes: DataFrame) -> DataFrame:
             .withColumn("baseline_strict_recall", ratio(F.col("baseline_strict_hit"), F.col("visible"))).withColumn("baseline_of_oracle", ratio(F.col("baseline_hit"), F.col("oracle_covered"))))
 
 
+def first_ranks(labelled: DataFrame, radii: list[float], *more: Column) -> DataFrame:
+    """For every frame with candidates, the first rank that hits within each radius, and `more` aggregates."""
+    first = [F.min(F.when(F.col("distance") <= r, F.col("rank"))).alias(f"r{i}") for i, r in enumerate(radii)]
+    return labelled.groupBy(*FRAME).agg(*first, *more)
+
+
 def recall_at(labelled: DataFrame, truth: DataFrame, ks: list[int], radii: list[float]) -> DataFrame:
     """Recall for each radius and k: a frame counts if any of its first k candidates is within the radius.
 
     One aggregation keeps, for every frame and radius, the first rank that hits; the grid never multiplies rows.
     """
-    first = [F.min(F.when(F.col("distance") <= r, F.col("rank"))).alias(f"r{i}") for i, r in enumerate(radii)]
-    seen = truth.filter("visible").select(*FRAME).join(labelled.groupBy(*FRAME).agg(*first), FRAME, "left")
+    return recall_of(truth.filter("visible").select(*FRAME).join(first_ranks(labelled, radii), FRAME, "left"), ks, radii)
+
+
+def recall_of(seen: DataFrame, ks: list[int], radii: list[float]) -> DataFrame:
+    """`recall_at` of visible frames with their `first_ranks`."""
     sums = [F.count_if(F.col(f"r{i}") <= k).alias(f"h{i}_{k}") for i in range(len(radii)) for k in ks]
     one = seen.agg(F.count(F.lit(1)).alias("visible"), *sums)
     cells = F.array(*[F.struct(F.lit(float(r)).alias("radius"), F.lit(k).alias("k"), F.col(f"h{i}_{k}").alias("hits")) for i, r in enumerate(radii) for k in ks])

@@ -41,13 +41,21 @@ cand AS (SELECT clip_id, frame, x, y, area, bright, motion, fill, circ, score, r
 candidates AS (SELECT *, format('f{:06d}_c{:02d}', frame, rank) AS candidate_id FROM cand)"""
 
 
+def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The annotated frames: each order is one."""
+    return table(spark, sf_dir, "orders").select(F.concat(F.lit("clip_"), (F.col("o_orderkey") % 3).cast("string")).alias("clip_id"), F.expr("o_orderkey div 3").alias("frame"), F.col("o_orderstatus").alias("status"), (F.col("o_custkey") % 61 - 30).alias("shift"))
+
+
+def placed(rows: DataFrame) -> DataFrame:
+    """Rows of `annotated` with the frame's second candidate (x2, y2): add visible and the shifted position."""
+    visible = (F.col("status") != "P") & F.col("x2").isNotNull()
+    return rows.withColumns({"visible": visible, "gt_x": F.col("x2") + F.col("shift"), "gt_y": F.col("y2") + F.col("shift")}).drop("status", "shift", "x2", "y2")
+
+
 def ground_truth(spark: SparkSession, sf_dir: str, ranked: DataFrame | None = None) -> DataFrame:
     """A row for each frame; the position is the frame's second candidate, shifted, or null without one."""
-    orders = table(spark, sf_dir, "orders").select(F.concat(F.lit("clip_"), (F.col("o_orderkey") % 3).cast("string")).alias("clip_id"), F.expr("o_orderkey div 3").alias("frame"), "o_orderstatus", "o_custkey")
     second = (ranked if ranked is not None else candidates(spark, sf_dir)).filter("rank = 2").select("clip_id", "frame", F.col("x").alias("x2"), F.col("y").alias("y2"))
-    shift = F.col("o_custkey") % 61 - 30
-    rows = orders.join(second, ["clip_id", "frame"], "left")
-    return rows.select("clip_id", "frame", ((F.col("o_orderstatus") != "P") & F.col("x2").isNotNull()).alias("visible"), (F.col("x2") + shift).alias("gt_x"), (F.col("y2") + shift).alias("gt_y"))
+    return placed(annotated(spark, sf_dir).join(second, ["clip_id", "frame"], "left"))
 
 
 GT = """gt AS (SELECT 'clip_' || (o_orderkey % 3) AS clip_id, o_orderkey // 3 AS frame, (o_orderstatus <> 'P' AND s.x IS NOT NULL) AS visible, s.x + (o_custkey % 61 - 30) AS gt_x, s.y + (o_custkey % 61 - 30) AS gt_y
