@@ -42,14 +42,24 @@ class TrackConfig:
 
 
 class _Frames:
-    """A clip part's candidates as arrays, frame by frame in the order of rank."""
+    """Candidates of some blocks of frames as arrays, sorted by clip, block, frame and then in the order of rank.
 
-    def __init__(self, pdf: pd.DataFrame):
-        pdf = pdf.assign(__neg=-pdf["score"]).sort_values(["frame", "rank", "__neg", "candidate_id"], kind="stable")
-        self.ids, self.frame, self.segment = pdf["candidate_id"].to_numpy(), pdf["frame"].to_numpy(np.int64), pdf["segment"].to_numpy(np.int64)
+    Blocks lie so far apart in `frame` that no path leaves one; `number` is the frame's own number. Without `block` all
+    are one block of a clip.
+    """
+
+    def __init__(self, pdf: pd.DataFrame, block: int = 0, config: TrackConfig = TrackConfig()):
+        self.ids, self.number, self.segment = pdf["candidate_id"].to_numpy(), pdf["frame"].to_numpy(np.int64), pdf["segment"].to_numpy(np.int64)
         self.data = pdf[list(FIELDS)].to_numpy(np.float64)
-        values, first = np.unique(self.frame, return_index=True)
-        self.span = dict(zip(values.tolist(), zip(first.tolist(), [*first[1:].tolist(), len(pdf)], strict=True), strict=True))
+        if not block:
+            self.frame = self.number
+            return
+        self.clip, part = pdf["clip_id"].to_numpy(), pdf["__part"].to_numpy(np.int64)
+        fresh = np.r_[True, (self.clip[1:] != self.clip[:-1]) | (part[1:] != part[:-1])]
+        ahead = self.number - part * block
+        self.frame = ahead + (np.cumsum(fresh) - 1) * (2 * block + config.max_span_frames + config.max_gap_frames + 1)
+        self.place = _places(self.frame)
+        self.seeds = np.flatnonzero((ahead < block) & (self.number % config.seed_stride == 0) & (self.place < config.seeds_per_frame))
 
 
 @dataclass(frozen=True)
@@ -119,19 +129,13 @@ def _extensions(frames: _Frames, beams: _Beams, config: TrackConfig) -> tuple[np
     return path[best], row[best], gain[best], error[best], acceleration[best]
 
 
-@dataclass(frozen=True)
-class _Path:
-    rows: tuple[int, ...]
-    errors: tuple[float, ...] = ()
-    accelerations: tuple[float, ...] = ()
-
-
 #: Pairs of a path and a point that are looked at in one go; a path alone may have more.
 PAIRS = 1 << 18
 
 
-def _grow(frames: _Frames, seeds: np.ndarray, config: TrackConfig) -> Iterator[tuple[int, int, _Path]]:
-    """(seed, number, path) of all paths that end: no point follows, or the span is used up. Pruned ones vanish.
+def _ended(frames: _Frames, seeds: np.ndarray, config: TrackConfig) -> Iterator[tuple[_Beams, np.ndarray]]:
+    """All paths that end, with their numbers, a table for each length: no point follows, or the span is used up. Pruned
+    ones vanish.
 
     The beams of all seeds grow by one point at a time, as tables; a path's number counts those of its seed that ended
     before it. A round holds beam_width paths of each seed at most, and about PAIRS pairs at once.
@@ -151,8 +155,7 @@ def _grow(frames: _Frames, seeds: np.ndarray, config: TrackConfig) -> Iterator[t
         done = np.flatnonzero(~np.isin(np.arange(len(now)), path))
         numbers = ended[beams.seed[done]] + _places(beams.seed[done])
         ended += np.bincount(beams.seed[done], minlength=len(seeds))
-        for i, number in zip(done.tolist(), numbers.tolist(), strict=True):
-            yield int(beams.seed[i]), number, _Path(tuple(beams.rows[i].tolist()), tuple(beams.errors[i].tolist()), tuple(beams.accelerations[i].tolist()))
+        yield beams.taken(done), numbers
         beams = beams.with_points(path, row, gain, error, acceleration)
         length = beams.rows.shape[1]
         span = frames.frame[beams.rows[:, -1]] - frames.frame[beams.rows[:, 0]] + 1
@@ -160,42 +163,91 @@ def _grow(frames: _Frames, seeds: np.ndarray, config: TrackConfig) -> Iterator[t
         beams = beams.taken(order[_places(beams.seed[order]) < config.beam_width])
 
 
-def _score(frames: _Frames, path: _Path) -> float:
-    rows = np.array(path.rows)
-    span = int(frames.frame[rows[-1]] - frames.frame[rows[0]]) + 1
-    moves = np.diff(frames.data[rows, :2], axis=0)
-    speed = float(np.hypot(moves[:, 0], moves[:, 1]).mean()) if len(moves) else 0.0
-    mean = lambda v: sum(v) / len(v) if v else 0.0
-    gaps = int(np.maximum(np.diff(frames.frame[rows]) - 1, 0).sum())
-    return 1.8 * float(frames.data[rows, 2].mean()) + 0.55 * len(rows) / span + 0.32 * math.log1p(len(rows)) + 0.25 * min(1.0, speed / 18.0) - 0.030 * mean(path.errors) - 0.018 * mean(path.accelerations) - 0.025 * gaps
+@dataclass(frozen=True)
+class _Path:
+    rows: tuple[int, ...]
+    errors: tuple[float, ...] = ()
+    accelerations: tuple[float, ...] = ()
+
+
+def _grow(frames: _Frames, seeds: np.ndarray, config: TrackConfig) -> Iterator[tuple[int, int, _Path]]:
+    """(seed, number, path) of the paths of `_ended`, one by one."""
+    for paths, numbers in _ended(frames, seeds, config):
+        for seed, number, *tables in zip(paths.seed.tolist(), numbers.tolist(), paths.rows.tolist(), paths.errors.tolist(), paths.accelerations.tolist(), strict=True):
+            yield seed, number, _Path(*map(tuple, tables))
+
+
+def _means(table: np.ndarray) -> np.ndarray:
+    """Means of lines, 0 for empty ones, of sums that carry what rounding drops."""
+    total = lost = np.zeros(len(table))
+    for value in table.T:
+        new = total + value
+        lost = lost + np.where(np.abs(total) >= np.abs(value), (total - new) + value, (value - new) + total)
+        total = new
+    return (total + lost) / max(table.shape[1], 1)
+
+
+def _scores(frames: _Frames, paths: _Beams) -> np.ndarray:
+    """Scores of paths of equal length."""
+    rows, length = paths.rows, paths.rows.shape[1]
+    span = frames.frame[rows[:, -1]] - frames.frame[rows[:, 0]] + 1
+    moves = np.diff(frames.data[rows, :2], axis=1)
+    speed = np.hypot(moves[..., 0], moves[..., 1]).mean(axis=1) if length > 1 else np.zeros(len(rows))
+    gaps = np.maximum(np.diff(frames.frame[rows], axis=1) - 1, 0).sum(axis=1)
+    return 1.8 * frames.data[rows, 2].mean(axis=1) + 0.55 * length / span + 0.32 * math.log1p(length) + 0.25 * np.minimum(1.0, speed / 18.0) - 0.030 * _means(paths.errors) - 0.018 * _means(paths.accelerations) - 0.025 * gaps
+
+
+def _whole_blocks(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The same rows in tables that end where a block ends; each holds a table's rows and one block's more at most."""
+    held: list[pd.DataFrame] = []
+    for pdf in pdfs:
+        if pdf.empty:
+            continue
+        clip, part = pdf["clip_id"].to_numpy(), pdf["__part"].to_numpy()
+        last = np.flatnonzero((clip != clip[-1]) | (part != part[-1]))
+        at = int(last[-1]) + 1 if last.size else 0
+        if held and (at or clip[-1] != held[-1]["clip_id"].iloc[-1] or part[-1] != held[-1]["__part"].iloc[-1]):
+            yield pd.concat([*held, pdf.iloc[:at]], ignore_index=True)
+            held = [pdf.iloc[at:]]
+        elif at:
+            yield pdf.iloc[:at]
+            held = [pdf.iloc[at:]]
+        else:
+            held.append(pdf)
+    if held:
+        yield pd.concat(held, ignore_index=True)
 
 
 def hypotheses(candidates: DataFrame, config: TrackConfig = TrackConfig(), block: int = 64) -> DataFrame:
     """Finished paths of all seeds: (clip_id, seed_frame, seed_rank, path, score, candidate_ids, frames, xs, ys, errors).
 
-    A path spans at most max_span_frames, so a clip is cut into blocks of frames. A block owns its seeds
-    and also gets the frames that they may reach; a task holds two blocks and never a clip.
+    A path spans at most max_span_frames, so a clip is cut into blocks of frames. A block owns its seeds and also gets
+    the frames that they may reach. Blocks follow one another in a task, which searches as many of them at once as a
+    batch of rows holds: short clips cost no call each, and a task never holds a long one.
     """
     reach = max(block, config.max_span_frames)
     own = F.floor(F.col("frame") / reach)
-    parts = candidates.withColumn("__part", F.explode(F.array(own, own - 1)))
+    reached = F.when(F.col("frame") - own * reach < config.max_span_frames - 1, own - 1)
+    parts = candidates.withColumn("__part", F.explode(F.array_compact(F.array(own, reached))))
     extra = {"segment": F.lit(0), "area": F.lit(0.0), "bright": F.lit(0.0), "size": F.lit(0.0)}
     for name, value in extra.items():
         if name not in candidates.columns:
             parts = parts.withColumn(name, value)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        frames, part, out = _Frames(pdf), int(pdf["__part"].iloc[0]), []
-        seeds = [(frame, place, row) for frame, (a, b) in frames.span.items() if frame // reach == part and frame % config.seed_stride == 0 for place, row in enumerate(range(a, min(b, a + config.seeds_per_frame)))]
-        for seed, number, path in _grow(frames, np.array([row for *_, row in seeds], np.int64), config):
-            if len(path.rows) >= config.min_points:
-                rows = list(path.rows)
-                out.append((pdf["clip_id"].iloc[0], *seeds[seed][:2], number, _score(frames, path), frames.ids[rows].tolist(), frames.frame[rows].tolist(), frames.data[rows, 0].tolist(), frames.data[rows, 1].tolist(), [0.0, *path.errors]))
-        return pd.DataFrame(out, columns=["clip_id", "seed_frame", "seed_rank", "path", "score", "candidate_ids", "frames", "xs", "ys", "errors"])
+    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in _whole_blocks(pdfs):
+            frames = _Frames(pdf, reach, config)
+            for paths, numbers in _ended(frames, frames.seeds, config):
+                if not len(numbers) or paths.rows.shape[1] < config.min_points:
+                    continue
+                seed, rows = frames.seeds[paths.seed], paths.rows
+                listed = {"candidate_ids": frames.ids[rows], "frames": frames.number[rows], "xs": frames.data[rows, 0], "ys": frames.data[rows, 1], "errors": np.column_stack([np.zeros(len(rows)), paths.errors])}
+                yield pd.DataFrame({"clip_id": frames.clip[seed], "seed_frame": frames.number[seed], "seed_rank": frames.place[seed], "path": numbers, "score": _scores(frames, paths)} | {name: table.tolist() for name, table in listed.items()})
 
     schema = "clip_id string, seed_frame long, seed_rank long, path long, score double, candidate_ids array<string>, frames array<long>, xs array<double>, ys array<double>, errors array<double>"
     slim = parts.select("clip_id", "__part", "candidate_id", F.col("frame").cast("long").alias("frame"), "rank", "segment", *[F.col(c).cast("double").alias(c) for c in FIELDS])
-    return slim.groupBy("clip_id", "__part").applyInPandas(run, schema)
+    order = ["clip_id", "__part", "frame", F.col("rank").asc_nulls_last(), (-F.col("score")).asc_nulls_last(), "candidate_id"]
+    return slim.repartition("clip_id", "__part").sortWithinPartitions(*order).mapInPandas(run, schema)
 
 
 PATH_KEY = ("seed_frame", "seed_rank", "path")
