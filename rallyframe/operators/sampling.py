@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -104,20 +105,49 @@ def even_indices(n: Column, k: int, to_nearest: bool = False) -> Column:
     return F.when(n == 0, F.expr("cast(array() as array<bigint>)")).when(n <= k, every).otherwise(some)
 
 
-def _placed(rows: DataFrame, within: tuple[str, ...], order: tuple[str, ...], name: str, span: int = 4096) -> DataFrame:
-    """Number rows in each `within` by `order`, by spans of its first column if that is a number."""
-    number = dict(rows.dtypes)[order[0]] in ("int", "bigint", "smallint", "tinyint")
-    part = F.coalesce(F.floor(F.col(order[0]) / span), F.lit(-(2**62))) if number else F.coalesce(F.col(order[0]).cast("string"), F.lit(""))
-    return numbered(rows.withColumn("__part", part), ("__part", *order), name, ("__part",), within).drop("__part")
+def _lead_counts(rows: DataFrame, within: tuple[str, ...], lead: str) -> DataFrame:
+    """(within, __lead, __c): how many rows have each leading value, stored. Nothing is ranked for it."""
+    return cut(rows.groupBy(*within, F.col(lead).alias("__lead")).agg(F.count(F.lit(1)).alias("__c")))
 
 
-def even_samples(rows: DataFrame, k: int, per: str, order: tuple[str, ...], kinds: dict[str, bool]) -> DataFrame:
+def _placed(rows: DataFrame, within: tuple[str, ...], order: tuple[str, ...], name: str, counts: DataFrame, wanted: DataFrame, late: Callable[[DataFrame], DataFrame] | None = None, span: int = 4096) -> DataFrame:
+    """Rows with the columns of `wanted` and their number in each `within` by `order`, but only those rows whose leading
+    value holds a wanted number; `__at` in `wanted` (within, ...) lists these, null means all.
+
+    Where a leading value starts follows from `counts` of `_lead_counts`: by spans of it if it is a number. So only the
+    rows of the values that are wanted are sorted. `late` may add columns, such as others of `order`, to the rows of whole
+    leading values.
+    """
+    number = dict(counts.dtypes)["__lead"] in ("int", "bigint", "smallint", "tinyint")
+    part = F.coalesce(F.floor(F.col("__lead") / span), F.lit(-(2**62))) if number else F.coalesce(F.col("__lead").cast("string"), F.lit(""))
+    held = counts.withColumn("__part", part)
+    before = lambda of, by: Window.partitionBy(*of).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    parts = held.groupBy(*within, "__part").agg(F.sum("__c").alias("__s")).withColumn("__ahead", F.coalesce(F.sum("__s").over(before(within, "__part")), F.lit(0))).drop("__s")
+    starts = held.withColumn("__start", F.coalesce(F.sum("__c").over(before((*within, "__part"), "__lead")), F.lit(0))).join(parts, [*within, "__part"]).withColumn("__start", F.col("__start") + F.col("__ahead"))
+    holds = F.col("__at").isNull() | F.exists("__at", lambda i: (i >= F.col("__start")) & (i < F.col("__start") + F.col("__c")))
+    some = cut(starts.join(wanted, list(within)).where(holds).drop("__part", "__ahead", "__c"))
+    keys = some.select(*[F.col(k).alias(f"__of{i}") for i, k in enumerate(within)], F.col("__lead").alias("__of"))
+    same = F.col(order[0]).eqNullSafe(F.col("__of"))
+    for i, k in enumerate(within):
+        same = same & (F.col(k) == F.col(f"__of{i}"))
+    few = rows.join(keys.hint("shuffle_hash"), same, "left_semi")
+    few = (late(few) if late else few).withColumn("__part", F.col(order[0]))
+    few = few.withColumn("__local", F.row_number().over(Window.partitionBy(*within, "__part").orderBy(*(order[1:] or order))) - 1)
+    known = some.select(*[F.col(k).alias(f"__of{i}") for i, k in enumerate(within)], F.col("__lead").alias("__of"), *[c for c in some.columns if c not in (*within, "__lead")])
+    out = few.join(known, same).withColumn(name, F.col("__start") + F.col("__local"))
+    return out.drop("__part", "__local", "__start", "__of", *[f"__of{i}" for i in range(len(within))])
+
+
+def even_samples(rows: DataFrame, k: int, per: str, order: tuple[str, ...], kinds: dict[str, bool], late: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """`even_sample` for every kind, a name and whether it rounds to nearest, as rows with `kind`. Rows are numbered
-    once; few of them are then repeated."""
-    sizes = rows.groupBy(per).agg(F.count(F.lit(1)).alias("__n"))
-    placed = _placed(rows, (per,), order, "index").join(sizes, per)
-    chosen = [F.when(F.array_contains(even_indices(F.col("__n"), k, nearest), F.col("index")), F.lit(kind)) for kind, nearest in kinds.items()]
-    return placed.withColumn("kind", F.explode(F.array_compact(F.array(*chosen)))).drop("__n")
+    once; few of them are then repeated. `late` is that of `_placed`."""
+    counts = _lead_counts(rows, (per,), order[0])
+    some = {kind: even_indices(F.col("__n"), k, nearest) for kind, nearest in kinds.items()}
+    every = F.array_distinct(F.concat(*some.values()))
+    sizes = counts.groupBy(per).agg(F.sum("__c").alias("__n")).withColumn("__at", F.when(F.col("__n") > k, every))
+    placed = _placed(rows, (per,), order, "index", counts, sizes, late)
+    chosen = [F.when(F.array_contains(indices, F.col("index")), F.lit(kind)) for kind, indices in some.items()]
+    return placed.withColumn("kind", F.explode(F.array_compact(F.array(*chosen)))).drop("__n", "__at")
 
 
 def even_sample(rows: DataFrame, k: int, per: str, order: tuple[str, ...], to_nearest: bool = False) -> DataFrame:
@@ -125,20 +155,25 @@ def even_sample(rows: DataFrame, k: int, per: str, order: tuple[str, ...], to_ne
     return even_samples(rows, k, per, order, {"": to_nearest}).drop("kind")
 
 
-def stratified_sample(rows: DataFrame, flag: str, per: str, order: tuple[str, ...], total: int = 32, most: int = 8) -> DataFrame:
-    """`total` rows of each `per`: up to `most` flagged ones, the others unflagged, each part evenly spread.
+def stratified_sample(rows: DataFrame, flag: str, per: str, order: tuple[str, ...], total: int = 32, most: int = 8, least: int = 0, late: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """`total` rows of each `per` that has `least` of them: up to `most` flagged ones, the others unflagged, each part
+    evenly spread.
 
-    A group that can't give `total` rows is an error.
+    A group that can't give `total` rows is an error. `late` is that of `_placed`.
     """
-    rows = rows.withColumn("__flag", F.coalesce(F.col(flag), F.lit(False)))
-    sizes = rows.groupBy(per).agg(F.count_if("__flag").alias("__a"), F.count_if(~F.col("__flag")).alias("__b"))
-    rows = _placed(rows, (per, "__flag"), order, "__i").join(sizes, per)
+    held = rows.withColumn("__flag", F.coalesce(F.col(flag), F.lit(False)))
+    counts = _lead_counts(held, (per, "__flag"), order[0])
+    sizes = counts.groupBy(per).agg(F.coalesce(F.sum(F.when(F.col("__flag"), F.col("__c"))), F.lit(0)).alias("__a"), F.coalesce(F.sum(F.when(~F.col("__flag"), F.col("__c"))), F.lit(0)).alias("__b"))
     few = F.least(F.col("__a"), F.lit(most))
-    n, k = F.when(F.col("__flag"), F.col("__a")).otherwise(F.col("__b")), F.when(F.col("__flag"), few).otherwise(total - few)
+    short = F.raise_error(F.concat(F.lit("too few rows to sample: "), F.col(per).cast("string"))).cast("bigint")
+    rest = F.when(F.col("__b") < total - few, short).otherwise(total - few)
+    kinds = F.inline(F.array(F.struct(F.lit(True).alias("__flag"), F.col("__a").alias("__n"), few.alias("__k")), F.struct(F.lit(False).alias("__flag"), F.col("__b").alias("__n"), rest.alias("__k"))))
+    parts = sizes.where(F.col("__a") + F.col("__b") >= least).select(per, kinds).where("__k > 0")
+    n, k = F.col("__n"), F.col("__k")
     spread = F.transform(F.sequence(F.lit(0).cast("bigint"), k - 1), lambda i: F.bround(i * (n - 1) / F.greatest(k - 1, F.lit(1))).cast("bigint"))
-    some = F.when(k <= 0, False).when(n <= k, True).when(k == 1, F.col("__i") == F.floor(n / 2)).otherwise(F.array_contains(spread, F.col("__i").cast("bigint")))
-    short = F.col("__b") < total - few
-    return rows.filter(F.when(short, F.raise_error(F.concat(F.lit("too few rows to sample: "), F.col(per).cast("string"))).cast("boolean")).otherwise(some)).drop("__flag", "__i", "__a", "__b")
+    at = F.when(n <= k, F.lit(None)).when(k == 1, F.array(F.floor(n / 2).cast("bigint"))).otherwise(spread)
+    placed = _placed(held, (per, "__flag"), order, "__i", counts, parts.select(per, "__flag", at.alias("__at")), late)
+    return placed.where(F.col("__at").isNull() | F.array_contains("__at", F.col("__i"))).drop("__flag", "__i", "__at")
 
 
 def oversampled(rows: DataFrame, flag: str, share: float, order: tuple[str, ...]) -> DataFrame:

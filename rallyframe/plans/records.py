@@ -168,9 +168,8 @@ def _stratified_sql() -> str:
 @query(_stratified_sql())
 def stratified_samples(spark, sf_dir):
     """32 candidates of each stretch: up to 8 of the rare kind, the others of the rest, evenly spread."""
-    rows = segments(views.candidates(spark, sf_dir)).withColumn("flag", F.col("frame") % 17 == 0)
-    enough = rows.groupBy("clip_id").agg(F.count(F.lit(1)).alias("n")).filter("n >= 100").select("clip_id")
-    return sampling.stratified_sample(rows.join(enough, "clip_id"), "flag", "clip_id", ("frame", "rank")).select("clip_id", "candidate_id", "frame", "flag")
+    rows = segments(views.unranked(spark, sf_dir)).withColumn("flag", F.col("frame") % 17 == 0)
+    return sampling.stratified_sample(rows, "flag", "clip_id", ("frame", "rank"), least=100, late=views.ranked).select("clip_id", "candidate_id", "frame", "flag")
 
 
 @query(sql("SELECT clip_id, frame, CASE WHEN visible THEN round(gt_x * 320 / 1280, 6) ELSE -1 END::DOUBLE AS target_x, CASE WHEN visible THEN round(gt_y * 128 / 720, 6) ELSE -1 END::DOUBLE AS target_y FROM gt", CAND, GT))

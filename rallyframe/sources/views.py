@@ -25,13 +25,19 @@ def unranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("score", F.round(score, 6))
 
 
-def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ranked in each frame by score, motion and then all columns."""
+def ranked(rows: DataFrame) -> DataFrame:
+    """Rows of `unranked` whose frames are whole, ranked in each frame by score, motion and then all columns; columns
+    that were added stay."""
     ties = [F.desc("score"), F.desc("motion"), "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
     rank = F.row_number().over(Window.partitionBy("clip_id", "frame").orderBy(*ties))
     columns = ["clip_id", "frame", "rank", "x", "y", "area", "bright", "motion", "fill", "circ", "score"]
-    name = F.format_string("f%06d_c%02d", "frame", "rank")
-    return unranked(spark, sf_dir).withColumn("rank", rank).select(*columns, name.alias("candidate_id"))
+    more = [c for c in rows.columns if c not in columns and not c.startswith("l_")]
+    return rows.withColumn("rank", rank).select(*columns, F.format_string("f%06d_c%02d", "frame", "rank").alias("candidate_id"), *more)
+
+
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All candidates, ranked."""
+    return ranked(unranked(spark, sf_dir))
 
 
 CAND = """c0 AS (SELECT 'clip_' || (l_orderkey % 3) AS clip_id, l_orderkey // 3 AS frame, ((37 * l_partkey + 11 * l_suppkey) % 1280)::DOUBLE AS x, ((17 * l_partkey + 91 * l_linenumber) % 720)::DOUBLE AS y,
