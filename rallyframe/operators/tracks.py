@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import track_score, turn_degrees
 from ..session import cut
+from . import ranks
 from .scan import SIZE, inside, with_halo, with_previous, with_running, with_smoothed
 
 # The features that the audit compares.
@@ -35,8 +36,8 @@ def median_of_deviations(rows: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def features(points: DataFrame, key: str = "track_id") -> DataFrame:
-    """One row of motion features a track; without steps they are 0."""
-    moved = with_kinematics(points, key)
+    """One row of motion features a track; without steps they are 0. Steps are found once and stored."""
+    moved = cut(with_kinematics(points, key).select(key, "frame", "x", "y", "step", "speed", "acceleration", "turn"))
     end = lambda f, c: f(c, "frame")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     per = moved.groupBy(key).agg(
@@ -60,7 +61,7 @@ def appearance(points: DataFrame, candidates: DataFrame, last: tuple[str, ...],
 
     Of a repeated candidate_id the row that is last by `last` counts. Points without a candidate add to the
     errors only; values that aren't finite numbers are 0; a box without width or height has no elongation.
-    Scores have six digits, so their median keeps seven.
+    Scores have six digits, so their median keeps seven. Points meet their candidates once and are stored.
     """
     named = {"area": "area", "brightness": "bright", "motion_strength": "motion", "fill_ratio": "fill", "circularity": "circ", "candidate_score": "score", "width": "width", "height": "height"}
 
@@ -71,6 +72,7 @@ def appearance(points: DataFrame, candidates: DataFrame, last: tuple[str, ...],
     latest = candidates.groupBy("candidate_id").agg(F.max_by(F.struct(*[number(F.col(c)).alias(n) for n, c in named.items()]), F.struct(*last)).alias("c"))
     rows = points.select(key, "candidate_id", number(F.col("prediction_error")).alias("prediction_error")).join(latest, "candidate_id", "left").select(key, "prediction_error", "c.*")
     rows = rows.withColumn("elongation", F.when((F.col("width") > 0) & (F.col("height") > 0), F.greatest(F.col("width") / F.col("height"), F.col("height") / F.col("width")))).drop("width", "height")
+    rows = cut(rows)
     centre = rows.groupBy(key).agg(*[F.coalesce(F.percentile(c, 0.5), F.lit(0.0)).alias(f"median_{c}") for c in rows.columns if c != key])
     off = lambda c: F.percentile(F.abs(F.col(c) - F.col(f"median_{c}")), 0.5).alias(f"{c}_mad")
     spread = rows.join(centre, key).groupBy(key).agg(off("area"), off("elongation"))
@@ -84,11 +86,16 @@ def audit(points: DataFrame, candidates: DataFrame, last: tuple[str, ...], key:
 
 
 def separation(per_track: DataFrame, label: str, names: tuple[str, ...] = COMPARED) -> DataFrame:
-    """Difference of the two labels' medians over the joint interquartile range, for every feature."""
+    """Difference of the two labels' medians over the joint interquartile range, for every feature. Tracks are stored,
+    and no task holds a feature's values."""
+    kept = cut(per_track.filter(F.col(label).isin("ball", "not_ball")).select(F.col(label).alias("__label"), *names))
     pairs = F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).cast("double").alias("value")) for n in names])
-    long = per_track.filter(F.col(label).isin("ball", "not_ball")).select(label, F.inline(pairs))
-    of = lambda name: F.percentile(F.when(F.col(label) == name, F.col("value")), 0.5)
-    out = long.groupBy("feature").agg(F.coalesce(of("ball"), F.lit(0.0)).alias("ball_median"), F.coalesce(of("not_ball"), F.lit(0.0)).alias("not_ball_median"), (F.percentile("value", 0.75) - F.percentile("value", 0.25)).alias("iqr"))
+    long = kept.select("__label", F.inline(pairs))
+    groups = long.withColumn("__group", F.explode(F.array("__label", F.lit("every"))))
+    found = ranks.percentiles(groups, ["feature", "__group"], "value", {"q1": 0.25, "q2": 0.5, "q3": 0.75})
+    of = lambda name: F.coalesce(F.max(F.when(F.col("__group") == name, F.col("q2"))), F.lit(0.0))
+    iqr = F.max(F.when(F.col("__group") == "every", F.col("q3") - F.col("q1")))
+    out = long.select("feature").distinct().join(found, "feature", "left").groupBy("feature").agg(of("ball").alias("ball_median"), of("not_ball").alias("not_ball_median"), iqr.alias("iqr"))
     gap = (F.col("ball_median") - F.col("not_ball_median")) / F.greatest(F.col("iqr"), F.lit(1e-9))
     return out.select("feature", F.round("ball_median", 6).alias("ball_median"), F.round("not_ball_median", 6).alias("not_ball_median"), F.round(gap, 6).alias("robust_separation"))
 
