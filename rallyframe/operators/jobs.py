@@ -114,12 +114,15 @@ def row_problems(candidates: DataFrame, candidate_metrics: DataFrame, points: Da
     nothing holds a clip.
     """
     n = F.count(F.lit(1))
-    per_candidate = candidates.groupBy("clip_id", "candidate_id").agg(n.alias("n"))
     per_point = points.groupBy("clip_id", "track_id", "point_index").agg(n.alias("n"))
-    repeated = lambda rows, name: rows.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n")).select(F.lit(name).alias("artifact"), F.lit("repeated").alias("problem"), "n")
-    there = per_candidate.select("clip_id", "candidate_id", F.lit(True).alias("__there"))
-    used = points.groupBy("clip_id", "candidate_id").agg(n.alias("__points")).join(there, ["clip_id", "candidate_id"], "left")
-    unknown = used.agg(F.coalesce(F.sum(F.when(F.col("__there").isNull(), F.col("__points"))), F.lit(0)).alias("n")).select(F.lit("tracks").alias("artifact"), F.lit("unknown candidate").alias("problem"), "n")
+    repeated = per_point.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n")).select(F.lit("tracks").alias("artifact"), F.lit("repeated").alias("problem"), "n")
+    # One count for both tables: a join would sort their names.
+    names = ["clip_id", "candidate_id"]
+    side = lambda rows, c, p: rows.select(*names, F.lit(c).alias("__c"), F.lit(p).alias("__p"))
+    used = side(candidates, 1, 0).union(side(points, 0, 1)).groupBy(*names).agg(F.sum("__c").alias("__c"), F.sum("__p").alias("__p"))
+    absent = (F.col("__c") == 0) | F.col("clip_id").isNull() | F.col("candidate_id").isNull()
+    both = used.agg(F.coalesce(F.sum(F.when(F.col("__c") > 0, F.col("__c") - 1)), F.lit(0)).alias("again"), F.coalesce(F.sum(F.when(absent, F.col("__p"))), F.lit(0)).alias("unknown"))
+    named = both.select(F.inline(F.array(F.struct(F.lit("candidates").alias("artifact"), F.lit("repeated").alias("problem"), F.col("again").alias("n")), F.struct(F.lit("tracks").alias("artifact"), F.lit("unknown candidate").alias("problem"), F.col("unknown").alias("n")))))
 
     def different(rows: DataFrame, keys: list[str], metrics: DataFrame, stated: Column, name: str) -> DataFrame:
         counted = rows.groupBy(*keys).agg(n.alias("__n"))
@@ -129,7 +132,7 @@ def row_problems(candidates: DataFrame, candidate_metrics: DataFrame, points: Da
     # A clip may have no candidate; its metrics then say 0.
     clips = different(candidates, ["clip_id"], candidate_metrics, F.col("summary.total_candidates"), "candidate_metrics")
     paths = different(points, ["clip_id", "track_id"], track_metrics, F.col("point_count"), "track_metrics")
-    every = repeated(per_candidate, "candidates").union(repeated(per_point, "tracks")).union(unknown).union(clips).union(paths)
+    every = named.union(repeated).union(clips).union(paths)
     return every.filter("n > 0")
 
 
