@@ -138,48 +138,66 @@ def links(candidates: DataFrame, max_gap: int = 2, max_jump: float = 58.0, cuts:
     return both.withColumn("frame_delta", F.col("b_frame") - F.col("a_frame")).withColumn("jump", jump).filter(F.col("jump") / F.col("frame_delta") <= max_jump)
 
 
-#: Sets of a group that hold one item and look for partners in the same task.
-DEALT = 1024
+#: Rows that hold one item and meet in one place of a task.
+DEALT = 1 << 16
+#: Equal sets of a group that travel in one row.
+ALIKE = 128
 
 
 def overlaps(members: DataFrame, set_key: str, item: str, within: str, least: float = 0.65) -> DataFrame:
     """Pairs of sets in the same group whose shared items are at least a part of the smaller set.
 
-    A set of n items that shares p of them has a shared one among any n - p + 1 of its own: only the rarest of the
-    smaller set's items look for partners. Sets travel with their items, so a pair is counted where it is found, and
-    only at the first of these items that both have: pairs are neither sorted nor joined again. Items are also bits of
-    a number, in which most pairs are decided; where two items of a group have the same bit, the items are compared.
-    The pairs of one item are dealt to tasks by the sets that look.
+    Equal sets of a group are one row, ALIKE at most: rows are compared, and the pairs of their sets come out of the
+    place where two rows meet, without passing a shuffle. A set of n items that shares p of them has a shared one among
+    any n - p + 1 of its own: only the rarest of the smaller set's items look for partners. Rows travel with their
+    items, and a pair is taken only at the first of these items that both have. Items are also bits of a number, in
+    which most pairs are decided; where two items of a group have the same bit, the items are compared.
+    The rows of an item meet in a square of places. Its side follows the item's share of all pairs and the number of
+    tasks, so rows are copied as often as the tasks need it and not as often as there are rows; only above DEALT rows
+    an item is divided further, as a place holds no more.
     """
     spark = members.sparkSession
     whole = dict(members.dtypes)[item] in ("tinyint", "smallint", "int", "bigint")
     bit = F.pmod(F.col(item) if whole else F.xxhash64(item), F.lit(64)).cast("int").alias("__bit")
-    sized = members.select(within, set_key, item).where(F.col(within).isNotNull() & F.col(set_key).isNotNull() & F.col(item).isNotNull()).distinct()
-    often = sized.groupBy(within, item).agg(F.count(F.lit(1)).alias("__often"))
+    given = members.select(within, set_key, item).where(F.col(within).isNotNull() & F.col(set_key).isNotNull() & F.col(item).isNotNull())
+    listed = given.repartition(within, set_key).distinct().groupBy(within, set_key).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    place = F.row_number().over(Window.partitionBy(within, "items").orderBy(set_key)) - 1
+    alike = listed.withColumn("__part", F.floor(place / ALIKE)).groupBy(within, "items", "__part").agg(F.min(set_key).alias("s"), F.collect_list(set_key).alias("of")).drop("__part")
+    each = alike.select(within, "s", F.explode("items").alias(item))
+    often = each.groupBy(within, item).agg(F.count(F.lit(1)).alias("__often"))
     bits = often.select(within, item, bit).groupBy(within, "__bit").agg((F.min(item) == F.max(item)).alias("__alone"))
-    known = often.withColumn("__bit", bit).join(bits, [within, "__bit"])
-    one = F.struct(F.col("__often").alias("often"), F.col(item).alias("item"), F.expr("shiftleft(1L, __bit)").alias("bit"), F.col("__alone").alias("alone"))
-    sets = sized.join(known, [within, item]).groupBy(within, set_key).agg(F.array_sort(F.collect_list(one)).alias("l"))
+    # Far more pairs come out than rows go in, so the number of tasks isn't left to the size of what goes in.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * spark.sparkContext.defaultParallelism)
+    every = often.agg(F.sum(F.col("__often").cast("double") ** 2).alias("__pairs"))
+    side = F.greatest(F.ceil(F.col("__often") / DEALT), F.least("__often", F.ceil(F.col("__often") * F.sqrt(4 * tasks / F.col("__pairs"))))).cast("int")
+    known = often.withColumn("__bit", bit).join(bits, [within, "__bit"]).crossJoin(F.broadcast(every))
+    one = F.struct(F.col("__often").alias("often"), F.col(item).alias("item"), F.expr("shiftleft(1L, __bit)").alias("bit"), F.col("__alone").alias("alone"), side.alias("side"))
+    ordered = each.join(known, [within, item]).groupBy(within, "s").agg(F.array_sort(F.collect_list(one)).alias("l"))
     mask = lambda part: F.aggregate(part, F.lit(0).cast("bigint"), lambda m, x: m.bitwiseOR(x["bit"]))
     size = F.size("l")
-    sets = sets.select(within, set_key, "l", size.alias("n"), mask(F.col("l")).alias("bits"), F.transform("l", lambda x: x["item"]).alias("items"), F.forall("l", lambda x: x["alone"]).alias("alone"), (size - F.ceil(F.lit(least - 1e-6) * size) + 1).cast("int").alias("looks"))
-    deals = lambda often: F.ceil(often / DEALT).cast("int")
+    sets = ordered.join(alike.select(within, "s", "of"), [within, "s"])
+    sets = sets.select(within, "s", "of", "l", size.alias("n"), mask(F.col("l")).alias("bits"), F.transform("l", lambda x: x["item"]).alias("items"), F.forall("l", lambda x: x["alone"]).alias("alone"), (size - F.ceil(F.lit(least - 1e-6) * size) + 1).cast("int").alias("looks"))
     head = F.slice("l", 1, F.col("looks"))
-    seeks = sets.select(within, F.col(set_key).alias("s"), F.col("n").alias("ns"), F.col("bits").alias("bs"), F.col("items").alias("is"), "alone", F.inline(F.transform(head, lambda x, i: F.struct(x["item"].alias(item), x["often"].alias("__often"), i.alias("__at"), mask(F.slice("l", 1, i)).alias("__before")))))
-    seeks = seeks.withColumn("__deal", F.pmod(F.xxhash64("s"), deals(F.col("__often"))).cast("int")).drop("__often")
-    meets = sets.select(within, F.col(set_key).alias("t"), F.col("n").alias("nt"), F.col("bits").alias("bt"), F.col("items").alias("it"), F.inline(F.transform("l", lambda x: F.struct(x["item"].alias(item), x["often"].alias("__often")))))
-    meets = meets.withColumn("__deal", F.explode(F.sequence(F.lit(0), deals(F.col("__often")) - 1))).drop("__often")
-    # Far more pairs come out than rows go in, so the number of tasks isn't left to the size of what goes in.
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
-    keys = [within, item, "__deal"]
+    seeks = sets.select(within, "s", F.col("of").alias("os"), F.col("n").alias("ns"), F.col("bits").alias("bs"), F.col("items").alias("is"), "alone", F.inline(F.transform(head, lambda x, i: F.struct(x["item"].alias(item), x["side"].alias("__side"), i.alias("__at"), mask(F.slice("l", 1, i)).alias("__before")))))
+    meets = sets.select(within, F.col("s").alias("t"), F.col("of").alias("ot"), F.col("n").alias("nt"), F.col("bits").alias("bt"), F.col("items").alias("it"), F.inline(F.transform("l", lambda x: F.struct(x["item"].alias(item), x["side"].alias("__side")))))
+    own = lambda c: F.pmod(F.xxhash64(c), F.col("__side")).cast("int")
+    every_place = F.explode(F.sequence(F.lit(0), F.col("__side") - 1))
+    seeks = seeks.withColumn("__row", own("s")).withColumn("__column", every_place).drop("__side")
+    meets = meets.withColumn("__column", own("t")).withColumn("__row", every_place).drop("__side")
+    keys = [within, item, "__row", "__column"]
     both = seeks.repartition(tasks, *keys).hint("merge").join(meets.repartition(tasks, *keys), keys)
-    both = both.where((F.col("s") != F.col("t")) & ((F.col("ns") < F.col("nt")) | ((F.col("ns") == F.col("nt")) & (F.col("s") < F.col("t")))))
+    both = both.where((F.col("ns") < F.col("nt")) | ((F.col("ns") == F.col("nt")) & ((F.col("s") < F.col("t")) | ((F.col("s") == F.col("t")) & (F.size("os") > 1)))))
     at_most = F.col("ns") - F.bit_count(F.col("bs").bitwiseAND(F.bitwise_not("bt")))
     first = F.when(F.col("alone"), F.col("__before").bitwiseAND(F.col("bt")) == 0).otherwise(~F.arrays_overlap(F.slice("is", 1, F.col("__at")), F.col("it")))
     shared = F.when(F.col("alone"), at_most).otherwise(F.size(F.array_intersect("is", "it"))).cast("bigint")
     enough = at_most >= (least - 1e-6) * F.col("ns")
-    pairs = both.where(enough).where(first).select(within, F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b"), shared.alias("shared"), "ns")
-    return pairs.withColumn("overlap", F.round(F.col("shared") / F.col("ns"), 6)).filter(F.col("overlap") >= least).drop("ns")
+    pairs = both.where(enough).where(first).select(within, (F.col("s") == F.col("t")).alias("__same"), "os", "ot", shared.alias("shared"), "ns")
+    pairs = pairs.withColumn("overlap", F.round(F.col("shared") / F.col("ns"), 6)).filter(F.col("overlap") >= least)
+    # Each set of the one row with those of the other.
+    found = pairs.select(within, "__same", "ot", "shared", "overlap", F.explode("os").alias("__a"))
+    others = F.when(F.col("__same"), F.filter("ot", lambda y: y > F.col("__a"))).otherwise(F.col("ot"))
+    found = found.select(within, "shared", "overlap", "__a", others.alias("__others")).withColumn("__b", F.explode("__others"))
+    return found.select(within, F.least("__a", "__b").alias("a"), F.greatest("__a", "__b").alias("b"), "shared", "overlap")
 
 
 def triplets(frames: DataFrame, key: str = "clip_id") -> DataFrame:
