@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import math
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..session import cut
-from .tracks import overlaps
 
 FIELDS = ("x", "y", "score", "area", "bright", "size")
 
@@ -218,21 +221,27 @@ def _whole_blocks(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.concat(held, ignore_index=True)
 
 
+#: Neighbouring blocks of a clip that go to one task.
+TOGETHER = 8
+
+
 def hypotheses(candidates: DataFrame, config: TrackConfig = TrackConfig(), block: int = 64) -> DataFrame:
     """Finished paths of all seeds: (clip_id, seed_frame, seed_rank, path, score, candidate_ids, frames, xs, ys, errors).
 
     A path spans at most max_span_frames, so a clip is cut into blocks of frames. A block owns its seeds and also gets
     the frames that they may reach. Blocks follow one another in a task, which searches as many of them at once as a
-    batch of rows holds: short clips cost no call each, and a task never holds a long one.
+    batch of rows holds: short clips cost no call each, and a task never holds a long one. TOGETHER neighbouring blocks
+    go to one task, where the frames that two of them get are copied; only those at its ends are sent twice.
     """
     reach = max(block, config.max_span_frames)
     own = F.floor(F.col("frame") / reach)
     reached = F.when(F.col("frame") - own * reach < config.max_span_frames - 1, own - 1)
-    parts = candidates.withColumn("__part", F.explode(F.array_compact(F.array(own, reached))))
+    blocks = F.array_compact(F.array(own, reached))
+    together = lambda part: F.floor(part / TOGETHER)
     extra = {"segment": F.lit(0), "area": F.lit(0.0), "bright": F.lit(0.0), "size": F.lit(0.0)}
-    for name, value in extra.items():
-        if name not in candidates.columns:
-            parts = parts.withColumn(name, value)
+    columns = ["clip_id", "candidate_id", F.col("frame").cast("long").alias("frame"), "rank", *[c for c in ("segment",) if c in candidates.columns], *[F.col(c).cast("double").alias(c) for c in FIELDS if c in candidates.columns]]
+    sent = candidates.select(*columns, F.explode(F.array_distinct(F.transform(blocks, together))).alias("__together")).repartition("clip_id", "__together")
+    parts = sent.withColumn("__part", F.explode(F.filter(blocks, lambda part: together(part) == F.col("__together")))).withColumns({name: value for name, value in extra.items() if name not in candidates.columns})
 
     def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in _whole_blocks(pdfs):
@@ -245,9 +254,9 @@ def hypotheses(candidates: DataFrame, config: TrackConfig = TrackConfig(), block
                 yield pd.DataFrame({"clip_id": frames.clip[seed], "seed_frame": frames.number[seed], "seed_rank": frames.place[seed], "path": numbers, "score": _scores(frames, paths)} | {name: table.tolist() for name, table in listed.items()})
 
     schema = "clip_id string, seed_frame long, seed_rank long, path long, score double, candidate_ids array<string>, frames array<long>, xs array<double>, ys array<double>, errors array<double>"
-    slim = parts.select("clip_id", "__part", "candidate_id", F.col("frame").cast("long").alias("frame"), "rank", "segment", *[F.col(c).cast("double").alias(c) for c in FIELDS])
     order = ["clip_id", "__part", "frame", F.col("rank").asc_nulls_last(), (-F.col("score")).asc_nulls_last(), "candidate_id"]
-    return slim.repartition("clip_id", "__part").sortWithinPartitions(*order).mapInPandas(run, schema)
+    slim = parts.select("clip_id", "__part", "candidate_id", "frame", "rank", "segment", *FIELDS)
+    return slim.sortWithinPartitions(*order).mapInPandas(run, schema)
 
 
 PATH_KEY = ("seed_frame", "seed_rank", "path")
@@ -281,22 +290,66 @@ def suppressed(ranked: DataFrame, edges: DataFrame, group: str, most: int | None
     return kept
 
 
+#: Paths of a clip that are looked at first, how many times as many are when these don't decide it, and the parts of a
+#: clip in which the best of so many are found.
+LOOKED, WIDER, PARTS = 999, 8, 64
+
+
+def _kept(batches: Iterator[pa.RecordBatch], most: int, config: TrackConfig) -> Iterator[pa.RecordBatch]:
+    """Of paths by clip and the best first (`__n`), those that overlap none kept before them, with `track_rank`. Of a clip
+    that `most` paths don't decide the next one follows, as track_rank 0. Kept paths of one clip are held."""
+    clip, sizes, places = None, [], defaultdict(list)
+    for batch in batches:
+        rows, ranks = [], []
+        for row, (name, n, ids) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("clip_id", "__n", "candidate_ids")), strict=True)):
+            if name != clip:
+                clip, sizes, places = name, [], defaultdict(list)
+            if len(sizes) >= config.max_tracks:
+                continue
+            own = {x for x in ids or () if x is not None}
+            shared = Counter(k for x in own for k in places.get(x, ()))
+            if n > most:
+                rows.append(row)
+                ranks.append(0)
+            elif all(round(both / min(len(own), sizes[k]), 6) < config.overlap for k, both in shared.items()):
+                for x in own:
+                    places[x].append(len(sizes))
+                sizes.append(len(own))
+                rows.append(row)
+                ranks.append(len(sizes))
+        taken = batch.take(pa.array(rows, pa.int64()))
+        columns = {name: taken.column(name) for name in batch.schema.names if name != "__n"}
+        yield pa.RecordBatch.from_pydict(columns | {"track_rank": pa.array(ranks, pa.int64())})
+
+
 def selected(paths: DataFrame, config: TrackConfig = TrackConfig()) -> DataFrame:
     """The best paths of each clip that overlap none kept before them; `track_rank` from 1.
 
-    (clip_id, seed_frame, seed_rank, path) is unique; a path without candidates overlaps nothing. The choice runs in
-    rounds over the pairs that overlap, so a clip of any length spreads; a clip's last window holds the kept ids only.
+    (clip_id, seed_frame, seed_rank, path) is unique; a path without candidates overlaps nothing. Whether a path is kept
+    depends on better ones only, and a clip ends with max_tracks kept ones: so its best paths decide it, and pairs of
+    paths are neither listed nor stored. A task sees the LOOKED best of a clip one after the other and holds the kept
+    ones. Clips that these don't decide are seen again with WIDER times as many, found in PARTS parts.
     """
-    rank = F.struct((-F.col("score")).alias("loss"), *PATH_KEY)
-    paths = cut(paths)
-    ranked = paths.select("clip_id", rank.alias("id"), F.explode("candidate_ids").alias("item"))
-    pairs = overlaps(ranked, "id", "item", "clip_id", config.overlap)
-    kept = suppressed(paths.select("clip_id", rank.alias("id")), pairs.select("clip_id", F.col("a").alias("better"), F.col("b").alias("worse")), "clip_id", config.max_tracks)
-    first = kept.withColumn("track_rank", F.row_number().over(Window.partitionBy("clip_id").orderBy("id")).cast("long")).where(F.col("track_rank") <= config.max_tracks)
-    names = first.select("clip_id", "track_rank", *[F.col(f"id.{k}").alias(k) for k in PATH_KEY])
-    # A clip has max_tracks rows here at most.
-    found = paths.join(names, ["clip_id", *PATH_KEY])
-    return found.select("clip_id", "track_rank", *PATH_KEY, "score", "candidate_ids", "frames", "xs", "ys", "errors")
+    best = F.struct((-F.col("score")).alias("loss"), *PATH_KEY)
+    columns = ["clip_id", *PATH_KEY, "score", "candidate_ids", "frames", "xs", "ys", "errors"]
+    schema = StructType([*paths.select(columns).schema.fields, StructField("track_rank", LongType())])
+    paths = cut(paths.select(columns).where(F.col("clip_id").isNotNull()))
+    first = lambda rows, most, *part: rows.withColumn("__n", F.row_number().over(Window.partitionBy("clip_id", *part).orderBy(best))).where(F.col("__n") <= most + 1)
+    done, rows, most = [], paths, LOOKED
+    while True:
+        look = lambda batches, most=most: _kept(batches, most, config)
+        found = cut(first(rows, most).sortWithinPartitions("clip_id", "__n").mapInArrow(look, schema))
+        open_ = found.where("track_rank = 0").select("clip_id")
+        kept = found.where("track_rank > 0")
+        if open_.isEmpty():
+            done.append(kept)
+            break
+        done.append(kept.join(open_, "clip_id", "left_anti"))
+        most *= WIDER
+        part = F.pmod(F.xxhash64(*PATH_KEY), F.lit(PARTS)).alias("__part")
+        rows = first(paths.join(open_, "clip_id", "left_semi").select("*", part), most, "__part").drop("__n", "__part")
+    out = reduce(DataFrame.unionByName, done)
+    return out.select("clip_id", "track_rank", *PATH_KEY, "score", "candidate_ids", "frames", "xs", "ys", "errors")
 
 
 def track_points(tracks: DataFrame, fps: float = 30.0) -> DataFrame:

@@ -12,11 +12,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def unranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates with features and score. The division of keys by 3 spreads each clip over all partitions."""
-    li = table(spark, sf_dir, "lineitem")
+def unranked(spark: SparkSession, sf_dir: str, by_frame: bool = False) -> DataFrame:
+    """Candidates with features and score. The division of keys by 3 spreads each clip over all partitions. With `by_frame`
+    the table's own columns, which are smaller, are sent to the frames' tasks, where the others are computed."""
+    li = table(spark, sf_dir, "lineitem").withColumns({"clip_id": F.concat(F.lit("clip_"), (F.col("l_orderkey") % 3).cast("string")), "frame": F.expr("l_orderkey div 3")})
+    if by_frame:
+        li = li.repartition("clip_id", "frame")
     rows = li.select(
-        F.concat(F.lit("clip_"), (F.col("l_orderkey") % 3).cast("string")).alias("clip_id"), F.expr("l_orderkey div 3").alias("frame"),
+        "clip_id", "frame",
         ((37 * F.col("l_partkey") + 11 * F.col("l_suppkey")) % 1280).cast("double").alias("x"), ((17 * F.col("l_partkey") + 91 * F.col("l_linenumber")) % 720).cast("double").alias("y"),
         (2 + F.col("l_partkey") % 160).alias("area"), (5.1 * F.col("l_quantity")).alias("bright"), (2 * F.col("l_quantity")).alias("motion"), (0.1 + F.col("l_discount")).alias("fill"),
         F.least(F.lit(1.0), 10 * F.col("l_tax")).alias("circ"), "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate",
@@ -35,9 +38,9 @@ def ranked(rows: DataFrame) -> DataFrame:
     return rows.withColumn("rank", rank).select(*columns, F.format_string("f%06d_c%02d", "frame", "rank").alias("candidate_id"), *more)
 
 
-def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+def candidates(spark: SparkSession, sf_dir: str, by_frame: bool = False) -> DataFrame:
     """All candidates, ranked."""
-    return ranked(unranked(spark, sf_dir))
+    return ranked(unranked(spark, sf_dir, by_frame))
 
 
 CAND = """c0 AS (SELECT 'clip_' || (l_orderkey % 3) AS clip_id, l_orderkey // 3 AS frame, ((37 * l_partkey + 11 * l_suppkey) % 1280)::DOUBLE AS x, ((17 * l_partkey + 91 * l_linenumber) % 720)::DOUBLE AS y,

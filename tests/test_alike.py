@@ -9,8 +9,8 @@ import pytest
 from rallyframe.operators import tracks
 
 
-def written(spark, df) -> tuple[int, int]:
-    """Rows of the result, and rows that its stages write to shuffles."""
+def written(spark, make) -> tuple[int, int]:
+    """Rows of the table that is made, and rows that all stages up to it write to shuffles."""
     sc = spark.sparkContext._jsc.sc()
 
     def total() -> int:
@@ -20,14 +20,14 @@ def written(spark, df) -> tuple[int, int]:
         return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
 
     before = total()
-    return df.count(), total() - before
+    return make().count(), total() - before
 
 
 def shuffled(spark, copies: int) -> tuple[int, int]:
     rng = random.Random(1)
     shapes = [rng.sample(range(20), rng.randrange(1, 6)) for _ in range(40)]
     rows = [(0, 40 * c + i, x) for c in range(copies) for i, shape in enumerate(shapes) for x in shape]
-    return written(spark, tracks.overlaps(spark.createDataFrame(rows, "g long, s long, x long"), "s", "x", "g"))
+    return written(spark, lambda: tracks.overlaps(spark.createDataFrame(rows, "g long, s long, x long"), "s", "x", "g"))
 
 
 def test_shuffled_rows_grow_with_the_sets(spark, monkeypatch):
