@@ -11,7 +11,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -225,23 +225,38 @@ def _whole_blocks(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 TOGETHER = 8
 
 
+def _blocks(config: TrackConfig, block: int) -> tuple[int, Column]:
+    """Frames of a block, and the blocks that get a frame."""
+    reach = max(block, config.max_span_frames)
+    own = F.floor(F.col("frame") / reach)
+    reached = F.when(F.col("frame") - own * reach < config.max_span_frames - 1, own - 1)
+    return reach, F.array_compact(F.array(own, reached))
+
+
+def together(rows: DataFrame, config: TrackConfig = TrackConfig(), block: int = 64) -> DataFrame:
+    """Rows of a table with clip_id and frame, sent to the tasks that search them, with the number of their blocks'
+    group in `__together`. Frames at its ends are there twice, so ranks and the like are found by `__together` too."""
+    groups = F.array_distinct(F.transform(_blocks(config, block)[1], lambda part: F.floor(part / TOGETHER)))
+    return rows.withColumn("__together", F.explode(groups)).repartition("clip_id", "__together")
+
+
 def hypotheses(candidates: DataFrame, config: TrackConfig = TrackConfig(), block: int = 64) -> DataFrame:
     """Finished paths of all seeds: (clip_id, seed_frame, seed_rank, path, score, candidate_ids, frames, xs, ys, errors).
 
     A path spans at most max_span_frames, so a clip is cut into blocks of frames. A block owns its seeds and also gets
     the frames that they may reach. Blocks follow one another in a task, which searches as many of them at once as a
     batch of rows holds: short clips cost no call each, and a task never holds a long one. TOGETHER neighbouring blocks
-    go to one task, where the frames that two of them get are copied; only those at its ends are sent twice.
+    go to one task, where the frames that two of them get are copied; only those at its ends are sent twice. Candidates
+    that come out of `together`, with the same settings, lie there already.
     """
-    reach = max(block, config.max_span_frames)
-    own = F.floor(F.col("frame") / reach)
-    reached = F.when(F.col("frame") - own * reach < config.max_span_frames - 1, own - 1)
-    blocks = F.array_compact(F.array(own, reached))
-    together = lambda part: F.floor(part / TOGETHER)
+    reach, blocks = _blocks(config, block)
     extra = {"segment": F.lit(0), "area": F.lit(0.0), "bright": F.lit(0.0), "size": F.lit(0.0)}
     columns = ["clip_id", "candidate_id", F.col("frame").cast("long").alias("frame"), "rank", *[c for c in ("segment",) if c in candidates.columns], *[F.col(c).cast("double").alias(c) for c in FIELDS if c in candidates.columns]]
-    sent = candidates.select(*columns, F.explode(F.array_distinct(F.transform(blocks, together))).alias("__together")).repartition("clip_id", "__together")
-    parts = sent.withColumn("__part", F.explode(F.filter(blocks, lambda part: together(part) == F.col("__together")))).withColumns({name: value for name, value in extra.items() if name not in candidates.columns})
+    if "__together" in candidates.columns:
+        sent = candidates.select(*columns, "__together").repartition("clip_id", "__together")  # no second shuffle where they lie so
+    else:
+        sent = together(candidates.select(*columns), config, block)
+    parts = sent.withColumn("__part", F.explode(F.filter(blocks, lambda part: F.floor(part / TOGETHER) == F.col("__together")))).withColumns({name: value for name, value in extra.items() if name not in candidates.columns})
 
     def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in _whole_blocks(pdfs):

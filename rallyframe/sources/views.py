@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,14 +14,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def unranked(spark: SparkSession, sf_dir: str, by_frame: bool = False) -> DataFrame:
-    """Candidates with features and score. The division of keys by 3 spreads each clip over all partitions. With `by_frame`
-    the table's own columns, which are smaller, are sent to the frames' tasks, where the others are computed."""
+def unranked(spark: SparkSession, sf_dir: str, sent: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Candidates with features and score. The division of keys by 3 spreads each clip over all partitions. `sent` gets the
+    table's own columns with clip_id and frame, which are smaller, before the others are computed; what it adds stays."""
     li = table(spark, sf_dir, "lineitem").withColumns({"clip_id": F.concat(F.lit("clip_"), (F.col("l_orderkey") % 3).cast("string")), "frame": F.expr("l_orderkey div 3")})
-    if by_frame:
-        li = li.repartition("clip_id", "frame")
+    known = li.columns
+    if sent:
+        li = sent(li)
     rows = li.select(
-        "clip_id", "frame",
+        "clip_id", "frame", *[c for c in li.columns if c not in known],
         ((37 * F.col("l_partkey") + 11 * F.col("l_suppkey")) % 1280).cast("double").alias("x"), ((17 * F.col("l_partkey") + 91 * F.col("l_linenumber")) % 720).cast("double").alias("y"),
         (2 + F.col("l_partkey") % 160).alias("area"), (5.1 * F.col("l_quantity")).alias("bright"), (2 * F.col("l_quantity")).alias("motion"), (0.1 + F.col("l_discount")).alias("fill"),
         F.least(F.lit(1.0), 10 * F.col("l_tax")).alias("circ"), "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate",
@@ -28,19 +31,19 @@ def unranked(spark: SparkSession, sf_dir: str, by_frame: bool = False) -> DataFr
     return rows.withColumn("score", F.round(score, 6))
 
 
-def ranked(rows: DataFrame) -> DataFrame:
+def ranked(rows: DataFrame, *within: str) -> DataFrame:
     """Rows of `unranked` whose frames are whole, ranked in each frame by score, motion and then all columns; columns
-    that were added stay."""
+    that were added stay. A frame that is there more than once is ranked by `within`, too."""
     ties = [F.desc("score"), F.desc("motion"), "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
-    rank = F.row_number().over(Window.partitionBy("clip_id", "frame").orderBy(*ties))
+    rank = F.row_number().over(Window.partitionBy("clip_id", "frame", *within).orderBy(*ties))
     columns = ["clip_id", "frame", "rank", "x", "y", "area", "bright", "motion", "fill", "circ", "score"]
     more = [c for c in rows.columns if c not in columns and not c.startswith("l_")]
     return rows.withColumn("rank", rank).select(*columns, F.format_string("f%06d_c%02d", "frame", "rank").alias("candidate_id"), *more)
 
 
-def candidates(spark: SparkSession, sf_dir: str, by_frame: bool = False) -> DataFrame:
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All candidates, ranked."""
-    return ranked(unranked(spark, sf_dir, by_frame))
+    return ranked(unranked(spark, sf_dir))
 
 
 CAND = """c0 AS (SELECT 'clip_' || (l_orderkey % 3) AS clip_id, l_orderkey // 3 AS frame, ((37 * l_partkey + 11 * l_suppkey) % 1280)::DOUBLE AS x, ((17 * l_partkey + 91 * l_linenumber) % 720)::DOUBLE AS y,

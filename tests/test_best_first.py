@@ -33,3 +33,14 @@ def test_frames_inside_a_part_are_sent_once(spark):
     frame.count()
     found, sent = written(spark, lambda: tracklets.hypotheses(frame, CONFIG))
     assert found and sent < 2.3 * frame.count()  # one row in the repartition above, and one beside a few copies here
+
+
+def test_candidates_that_lie_together(spark):
+    """Ranks can be found where the search is: then its rows are sent once in all."""
+    frame = spark.createDataFrame(clips(3, 512))
+    keys = ["clip_id", "seed_frame", "seed_rank", "path", "score", "candidate_ids"]
+    lies = lambda: tracklets.hypotheses(tracklets.together(frame, CONFIG), CONFIG)
+    found, sent = written(spark, lies)
+    assert sent < 1.3 * frame.count()
+    got = sorted(tuple(r) for r in lies().select(*keys).collect())
+    assert len(got) == found and got == sorted(tuple(r) for r in tracklets.hypotheses(frame, CONFIG, block=1024).select(*keys).collect())
